@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadastre.llm.jaccard import jaccard_join
 from cadastre.llm.substrings import suffix_dedup, window_dedup
 from cadastre.llm.tables import load
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(load(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(load(spark, sf_dir, "documents"), with_text=False)
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
@@ -22,6 +27,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }

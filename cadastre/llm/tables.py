@@ -37,7 +37,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written() tables that nothing still to be computed reads."""
+    for table in tables:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
