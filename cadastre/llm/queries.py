@@ -7,9 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from cadastre.llm.jaccard import jaccard_join
 from cadastre.llm.substrings import suffix_dedup, window_dedup
 from cadastre.llm.tables import load
+from cadastre.llm.tokens import read_tokens, write_tokens
+from cadastre.llm.toxicity import CUT, held_out, train, with_toxicity
+
+
+#: Tokenizer file of op1, and the id that ends a document.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+END = 1
+
+
+def tokenizer_spec(path: str = TOKENIZER) -> str:
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(load(spark, sf_dir, "documents"), tokenizer_spec(), END))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    scored = with_toxicity(docs.select("doc_id", "text", "lang"), train(docs, load(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "threshold")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +51,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_output": op1_token_output,
+    "op4_toxicity": op4_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
