@@ -1,12 +1,54 @@
-"""A training-data pipeline over the documents table, stage by stage."""
+"""A training-data pipeline over the documents table, stage by stage.
+
+Each stage works on all rows that the one before it kept.  All but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cadastre.llm.decontamination import decontaminated
+from cadastre.llm.jaccard import jaccard_join
+from cadastre.llm.mixing import mixed
+from cadastre.llm.queries import END, tokenizer_spec
 from cadastre.llm.tables import load, written
+from cadastre.llm.tokens import read_tokens, write_tokens
+from cadastre.llm.toxicity import train, with_toxicity
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects at their language's threshold."""
+    model = train(docs, load(spark, sf_dir, "labels"))
+    return with_toxicity(docs, model, score="__score", threshold="__threshold").where("__score < __threshold").select(docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, that of the smallest key."""
+    groups = jaccard_join(docs)
+    kept = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__k")), "kept")
+    docs = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__k")), "left_semi")
+    # Rows that share a key are one group as well.
+    return docs if kept.groupBy("__k").count().where("count > 1").isEmpty() else docs.dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a window of a benchmark item."""
+    return decontaminated(docs, load(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that the sources come near their target weights."""
+    return mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token shards; returns what they hold for each document."""
+    return read_tokens(write_tokens(docs, tokenizer_spec(), END))
+
 
-STAGES: list = []
+STAGES = [("toxicity", clean), ("near_duplicates", distinct), ("decontamination", decontaminate), ("mixing", mix), ("tokens", tokens)]
 
 #: A trained classifier and a tokenizer have no SQL form.
 ORACLE_SQL = None
