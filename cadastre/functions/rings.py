@@ -33,7 +33,7 @@ def perimeter(ring: Column) -> Column:
 def centroid(ring: Column) -> tuple[Column, Column]:
     """Mean of the corners, the closing point left out."""
     corners = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1)))
-    return tuple(_sum(F.transform(corners, lambda p, a=axis: p[a])) / F.size(corners) for axis in ("x", "y"))
+    return _sum(F.transform(corners, lambda p: p["x"])) / F.size(corners), _sum(F.transform(corners, lambda p: p["y"])) / F.size(corners)
 
 
 def bounds(ring: Column) -> tuple[Column, Column, Column, Column]:

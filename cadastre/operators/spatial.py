@@ -25,12 +25,13 @@ def parcel_overlaps(parcels: DataFrame, cell: float, least: float) -> DataFrame:
     lower-left corner, so it arises once and needs no DISTINCT.
     """
     cells = in_cells(with_box(parcels).select("id", "ring", "x0", "y0", "x1", "y1"), cell)
-    a, b = cells.alias("a"), cells.alias("b")
-    corner = (F.floor(F.greatest("a.x0", "b.x0") / cell) == F.col("a.cx")) & (F.floor(F.greatest("a.y0", "b.y0") / cell) == F.col("a.cy"))
-    meet = F.expr("a.cx = b.cx and a.cy = b.cy and a.id < b.id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1")
-    pairs = a.join(b, meet).where(corner)
-    area = F.abs(rings.signed_area(rings.clip(F.col("a.ring"), F.col("b.ring"))))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), area.alias("area")).where(F.col("area") > least)
+    p, q = cells.alias("p"), cells.alias("q")
+    corner = (F.floor(F.greatest("p.x0", "q.x0") / cell) == F.col("p.cx")) & (F.floor(F.greatest("p.y0", "q.y0") / cell) == F.col("p.cy"))
+    meet = F.expr("p.cx = q.cx and p.cy = q.cy and p.id < q.id and p.x0 < q.x1 and q.x0 < p.x1 and p.y0 < q.y1 and q.y0 < p.y1")
+    pairs = p.join(q, meet).where(corner)
+    area = F.abs(rings.signed_area(rings.clip(F.col("p.ring"), F.col("q.ring"))))
+    pairs = pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), area.alias("area"))
+    return pairs.where(F.col("area") > least)
 
 
 def points_in_parcels(points: DataFrame, parcels: DataFrame, cell: float) -> DataFrame:

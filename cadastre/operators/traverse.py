@@ -92,5 +92,5 @@ def closure_report(legs: DataFrame, needed: int = 10_000) -> DataFrame:
 
 
 def worst_closures(legs: DataFrame, k: int) -> DataFrame:
-    """The k traverses of least ratio: a top-k report."""
-    return traverse_closure(legs).where("ratio is not null").orderBy(F.asc("ratio"), F.asc("t")).limit(k)
+    """The k traverses of least ratio (to 9 digits, ties by t): a top-k report."""
+    return traverse_closure(legs).where("ratio is not null").orderBy(F.round("ratio", 9), "t").limit(k)
