@@ -11,6 +11,11 @@ def _pairs(ring: Column) -> Column:
     return F.arrays_zip(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))).alias("a"), F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))).alias("b"))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
@@ -22,8 +27,10 @@ def closed(ring: Column) -> Column:
 
 def signed_area(ring: Column) -> Column:
     """Shoelace area about the first point; positive if counter-clockwise."""
-    o = F.element_at(ring, 1)
-    return _sum(F.transform(_pairs(ring), lambda e: (e["a"]["x"] - o["x"]) * (e["b"]["y"] - o["y"]) - (e["b"]["x"] - o["x"]) * (e["a"]["y"] - o["y"]))) / 2
+    def about(k: Column) -> Column:
+        return _sum(F.transform(_pairs(k["r"]), lambda e: (e["a"]["x"] - k["o"]["x"]) * (e["b"]["y"] - k["o"]["y"]) - (e["b"]["x"] - k["o"]["x"]) * (e["a"]["y"] - k["o"]["y"]))) / 2
+
+    return let(ring, lambda r: let(F.struct(r.alias("r"), F.try_element_at(r, F.lit(1)).alias("o")), about))
 
 
 def perimeter(ring: Column) -> Column:
@@ -65,16 +72,16 @@ def clip(subject: Column, window: Column) -> Column:
         return (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"])
 
     def cut(poly: Column, e: Column) -> Column:
+        sides = F.transform(let(poly, _pairs), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), inside(e, s["a"]).alias("p"), inside(e, s["b"]).alias("q")))
+        kept = F.filter(sides, lambda s: (s["p"] >= 0) | (s["q"] >= 0))
+
         def of(s: Column) -> Column:
-            p, q = inside(e, s["a"]), inside(e, s["b"])
-            t = p / (p - q)
+            t = s["p"] / (s["p"] - s["q"])
             cross = F.struct((s["a"]["x"] + t * (s["b"]["x"] - s["a"]["x"])).alias("x"), (s["a"]["y"] + t * (s["b"]["y"] - s["a"]["y"])).alias("y"))
             end = F.struct(s["b"]["x"].alias("x"), s["b"]["y"].alias("y"))
-            none = F.slice(F.array(end), 1, 0)
-            return F.when((p >= 0) & (q >= 0), F.array(end)).when((p >= 0) & (q < 0), F.array(cross)).when((p < 0) & (q >= 0), F.array(cross, end)).otherwise(none)
+            return F.when(s["q"] < 0, F.array(cross)).when(s["p"] < 0, F.array(cross, end)).otherwise(F.array(end))
 
-        new = F.flatten(F.transform(_pairs(poly), of))
-        return F.concat(new, F.slice(new, 1, 1))
+        return let(F.flatten(F.transform(kept, of)), lambda new: F.concat(new, F.slice(new, 1, 1)))
 
     return F.aggregate(_pairs(oriented(window)), oriented(subject), cut)
 

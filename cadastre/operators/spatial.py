@@ -29,9 +29,11 @@ def parcel_overlaps(parcels: DataFrame, cell: float, least: float) -> DataFrame:
     corner = (F.floor(F.greatest("p.x0", "q.x0") / cell) == F.col("p.cx")) & (F.floor(F.greatest("p.y0", "q.y0") / cell) == F.col("p.cy"))
     meet = F.expr("p.cx = q.cx and p.cy = q.cy and p.id < q.id and p.x0 < q.x1 and q.x0 < p.x1 and p.y0 < q.y1 and q.y0 < p.y1")
     pairs = p.join(q, meet).where(corner)
-    area = F.abs(rings.signed_area(rings.clip(F.col("p.ring"), F.col("q.ring"))))
-    pairs = pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), area.alias("area"))
-    return pairs.where(F.col("area") > least)
+    pairs = pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.ring").alias("s"), F.col("q.ring").alias("w"))
+    # Clipping costs far more than the join: deal the pairs out evenly first.
+    pairs = pairs.repartition("a", "b")
+    area = F.abs(rings.signed_area(rings.clip(F.col("s"), F.col("w"))))
+    return pairs.select("a", "b", area.alias("area")).where(F.col("area") > least)
 
 
 def points_in_parcels(points: DataFrame, parcels: DataFrame, cell: float) -> DataFrame:

@@ -198,12 +198,12 @@ def evidence_weights(spark, sf_dir) -> DataFrame:
 d AS (SELECT *, sqrt((x - x0) ** 2 + (y - y0) ** 2) AS r FROM m), f AS (SELECT *, sqrt(sum(w * r * r) OVER c / sum(w) OVER c) AS rms, max(greatest(sigma, 1e-6)) OVER c AS top FROM d WINDOW c AS (PARTITION BY corner)),
 k AS (SELECT *, r <= greatest(3 * CASE WHEN rms > 0 THEN rms ELSE 1e-6 END, 3 * top) AS keep FROM f), k2 AS (SELECT *, keep OR NOT bool_or(keep) OVER (PARTITION BY corner) AS kept FROM k),
 s AS (SELECT corner, count(*) AS n, count(*) FILTER (kept) AS n_kept, sum(w * x) FILTER (kept) / sum(w) FILTER (kept) AS fx, sum(w * y) FILTER (kept) / sum(w) FILTER (kept) AS fy FROM k2 GROUP BY corner)
-SELECT s.corner, s.n, s.n_kept, round(s.fx, 5) AS x, round(s.fy, 5) AS y, round(t.sx, 4) AS sigma_x FROM s JOIN
+SELECT s.corner, s.n, s.n_kept, round(s.fx + 1e-9, 6) AS x, round(s.fy + 1e-9, 6) AS y, round(t.sx + 1e-9, 6) AS sigma_x FROM s JOIN
  (SELECT k2.corner, sqrt(sum(w * (x - fx) ** 2) / greatest(sum(w), 1e-12)) AS sx FROM k2 JOIN s ON s.corner = k2.corner WHERE kept GROUP BY k2.corner) t ON t.corner = s.corner""",
 )
 def determine_boundary(spark, sf_dir) -> DataFrame:
     out = E.determine_boundary(E.evidence_weights(B.evidence(spark, sf_dir), E.state_rules(spark)))
-    return out.select("corner", "n", "n_kept", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round("sigma_x", 4).alias("sigma_x"))
+    return out.select("corner", "n", "n_kept", F.round(F.col("x") + 1e-9, 6).alias("x"), F.round(F.col("y") + 1e-9, 6).alias("y"), F.round(F.col("sigma_x") + 1e-9, 6).alias("sigma_x"))
 
 
 # Point clouds.
