@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cadastre.llm import hashing
 from cadastre.llm.arrow import byte_rows, ints, longs, repeat_key
-from cadastre.llm.tables import written
+from cadastre.llm.tables import drop, written
 
 #: A trigger with more distinct phrases than this is compared by rows, not in a task's memory.
 LIGHT = 4096
@@ -183,14 +183,17 @@ def repeated_windows(texts: DataFrame, windows: Windows, light: int = LIGHT) ->
     phrases = written(texts.mapInArrow(_phrases(windows), "g long, c long, k long, a int, n int"), "phrases")
     repeated = phrases.groupBy("g").agg(F.count("*").alias("times"), F.min("k").alias("lo"), F.max("k").alias("hi"))
     repeated = repeated.where(F.col("times") > 1 if windows.within else F.col("lo") < F.col("hi")).select("g")
-    found = written(phrases.join(written(repeated, "triggers"), "g", "left_semi"), "occurrences")
+    triggers = written(repeated, "triggers")
+    found = written(phrases.join(triggers, "g", "left_semi"), "occurrences")
+    drop(phrases, triggers)
 
     order = F.struct("k", "a") if windows.within else F.struct("k")
-    dictionary = written(found.groupBy("g", "c").agg(F.min(order).alias("first")), "dictionary")
-    shared = written(dictionary.groupBy("g").agg(F.count("*").alias("distinct")).where("distinct > 1"), "shared")
-    dictionary = written(dictionary.join(shared, "g", "left"), "dictionary")
+    distinct = written(found.groupBy("g", "c").agg(F.min(order).alias("first")), "distinct")
+    shared = written(distinct.groupBy("g").agg(F.count("*").alias("distinct")).where("distinct > 1"), "shared")
+    dictionary = written(distinct.join(shared, "g", "left"), "dictionary")
     placed = found.join(dictionary, ["g", "c"]).select("g", "k", "a", "n", (order > F.col("first")).alias("later"), "distinct")
     placed = written(placed.where("later or distinct is not null"), "placed")
+    drop(found, distinct, shared, dictionary)
 
     whole = placed.where("later").select("k", "a", "n")
     parts = placed.where("not later").groupBy("k").agg(F.collect_list(F.struct("g", (F.col("distinct") > light).alias("heavy"), "a", "n")).alias("parts"))
