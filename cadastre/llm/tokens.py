@@ -34,7 +34,7 @@ LEVEL = 3
 #: Fixed values of the seekable format: skippable frame, footer.
 _SKIPPABLE, _FOOTER = 0x184D2A5E, 0x8F92EAB1
 #: Cached encodings of a Python worker; the cache starts anew beyond this.
-CACHE = 300_000
+CACHE = 1_000_000
 
 _coder: dict = {}
 
@@ -56,8 +56,17 @@ def _encoder(spec: str):
             known = _coder["known"] = {}
         pieces = [t.split() for t in texts]
         new = list({p for own in pieces for p in own if p not in known})
-        for piece, got in zip(new, tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-            known[piece] = np.array(got.ids, dtype="<u4").tobytes()
+        if new:
+            # One call for all new pieces; offsets tell whose each id is.
+            listed = [p.decode() for p in new]
+            got = tokenizer.encode("\n".join(listed), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, listed), dtype=np.int64, count=len(listed)) + 1)
+            begin = np.fromiter((a for a, _ in got.offsets), dtype=np.int64, count=len(got.ids))
+            data, cut = np.array(got.ids, dtype="<u4").tobytes(), 4 * np.searchsorted(begin, ends, side="left")
+            at = 0
+            for piece, end in zip(new, cut.tolist(), strict=True):
+                known[piece] = data[at:end]
+                at = end
         return [b"".join([known[p] for p in own]) for own in pieces]
 
     return encode
