@@ -61,8 +61,8 @@ class Model:
     thresholds: dict | None = None
 
     def pooled(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Embedded words padded with two empty ones, pooled filter outputs, and where each was found."""
-        x = np.zeros((len(words) + max(WIDTHS) - 1, DIM), dtype=np.float32)
+        """Embedded words padded with empty ones, so that every filter fits once, pooled filter outputs, and where each was found."""
+        x = np.zeros((len(words) + max(WIDTHS), DIM), dtype=np.float32)
         for column in range(words.shape[1]):
             x[: len(words)] += self.embedding[words[:, column]]
         top, at = [], []
