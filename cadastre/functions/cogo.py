@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_PI = F.lit(6.283185307179586)
+TWO_PI = 6.283185307179586
 
 
 def azimuth(angle: Column) -> Column:
     """The angle in [0, 2 pi)."""
-    return F.pmod(angle, TWO_PI)
+    return F.pmod(angle, F.lit(TWO_PI))
 
 
 def back_azimuth(az: Column) -> Column:
@@ -22,7 +22,7 @@ def back_azimuth(az: Column) -> Column:
 
 def azimuth_difference(a: Column, b: Column) -> Column:
     """a - b, signed, in (-pi, pi]."""
-    d = F.pmod(a - b, TWO_PI)
+    d = F.pmod(a - b, F.lit(TWO_PI))
     return F.when(d > F.pi(), d - TWO_PI).otherwise(d)
 
 
