@@ -44,7 +44,7 @@ def traverse_closure(legs: DataFrame) -> DataFrame:
 
 
 def area_by_dmd(legs: DataFrame) -> DataFrame:
-    """(t, area): double meridian distances times latitudes, halved."""
+    """(t, area): DMDs (twice the mid-leg eastings) times latitudes, halved."""
     at = with_components(legs).withColumn("dmd", 2 * F.sum("dx").over(_running(("t",))) - F.col("dx"))
     return at.groupBy("t").agg((F.sum(F.col("dmd") * F.col("dy")) / 2).alias("area"))
 
