@@ -19,12 +19,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(hung.unionByName(low.withColumnRenamed("m", "v")).distinct(), "links")
-        drop(edges, least, large, low)
+        drop(edges, large)
         edges = new
         roots = edges.select(F.col("v").alias("u")).distinct()
         if edges.groupBy("u").count().where("count > 1").isEmpty() and edges.join(roots, "u", "left_semi").isEmpty():

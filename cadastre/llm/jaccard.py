@@ -203,7 +203,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a not in memo:
                 memo = {a: hashing.shingles(x, WIDTH)}
             p, q = memo[a], hashing.shingles(y, WIDTH)
-            common = len(p) + len(q) - len(np.union1d(p, q))
+            common = np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p)
             if 9 * common >= 4 * (len(p) + len(q)):
                 kept.append(i)
         yield batch.select(["a", "b"]).take(pa.array(kept, type=pa.int64()))
@@ -218,7 +218,7 @@ def _enough(count: Column) -> Column:
 def _links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts link."""
     pairs = written(pairs.select("a", "b"), "pairs")
-    involved = written(texts.join(written(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "involved"), "k", "left_semi"), "texts")
+    involved = written(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k", "left_semi"), "texts")
     x, y = (involved.select(F.col("k").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
     joined = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
     links = written(joined.mapInArrow(_verified, "a long, b long"), "links")
