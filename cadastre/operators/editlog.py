@@ -29,3 +29,18 @@ def tamper_report(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.select("manifest", F.col("hash").alias("was")).join(new.select("manifest", F.col("hash").alias("now")), "manifest", "full_outer")
     problem = F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "added").when(F.col("was") != F.col("now"), "changed")
     return both.select("manifest", problem.alias("problem")).where("problem is not null")
+
+
+def merkle_roots(leaves: DataFrame) -> DataFrame:
+    """(grp, root): SHA-256 tree over leaves(grp, pos, hash) with hex hashes and positions 0, 1, 2, ... in each group.
+
+    A level halves every group's rows by one aggregation, so no group is ever
+    in one task; an odd last hash is paired with itself. No leaves, no root.
+    """
+    longest = leaves.agg(F.max("pos")).first()[0] or 0
+    level = leaves.join(leaves.groupBy("grp").agg(F.max("pos").alias("last")), "grp")
+    for _ in range(int(longest).bit_length()):
+        up = level.groupBy("grp", F.floor(F.col("pos") / 2).alias("pos")).agg(F.min_by("hash", "pos").alias("l"), F.max_by("hash", "pos").alias("r"), F.first("last").alias("last"))
+        paired = F.sha2(F.concat(F.unhex("l"), F.unhex("r")), 256)
+        level = up.select("grp", "pos", F.when(F.col("last") > 0, paired).otherwise(F.col("l")).alias("hash"), F.floor(F.col("last") / 2).alias("last"))
+    return level.select("grp", F.col("hash").alias("root"))
