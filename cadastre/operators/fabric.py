@@ -57,3 +57,39 @@ def feature_summary(features: DataFrame) -> DataFrame:
 def distinct_warnings(warnings: DataFrame) -> DataFrame:
     """(file, warning, pos): each warning of a file once, at its first position."""
     return warnings.groupBy("file", "warning").agg(F.min("pos").alias("pos"))
+
+
+#: Most controls of a rubber sheet: all of them stand in one row beside every node.
+CONTROLS_MOST = 10_000
+
+
+def move_nodes(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    """nodes(id, x, y) with the places of moves(id, x, y) for those it names."""
+    to = moves.select("id", F.struct("x", "y").alias("to"))
+    return nodes.join(to, "id", "left").select("id", F.coalesce("to.x", "x").alias("x"), F.coalesce("to.y", "y").alias("y"))
+
+
+def rubber_sheet(nodes: DataFrame, controls: DataFrame, power: float = 2.0, eps: float = 1e-9) -> DataFrame:
+    """nodes(id, x, y) moved by the mean of what controls(ord, sx, sy, tx, ty) move, weighted by distance to -power.
+
+    A node within ``eps`` of a control goes to the target of the first such
+    one. More than CONTROLS_MOST controls are refused; without controls nothing moves.
+    """
+    if power <= 0:
+        raise ValueError("power must be above 0")
+    if controls.limit(CONTROLS_MOST + 1).count() > CONTROLS_MOST:
+        raise ValueError(f"more than {CONTROLS_MOST} controls")
+    row = controls.agg(F.array_sort(F.collect_list(F.struct("ord", "sx", "sy", "tx", "ty"))).alias("controls"))
+
+    def apart(c: Column) -> Column:
+        return F.hypot(F.col("x") - c["sx"], F.col("y") - c["sy"])
+
+    def add(total: Column, c: Column) -> Column:
+        weight = F.pow(F.greatest(apart(c), F.lit(eps)), F.lit(-power))
+        return F.struct((total["w"] + weight).alias("w"), (total["x"] + weight * (c["tx"] - c["sx"])).alias("x"), (total["y"] + weight * (c["ty"] - c["sy"])).alias("y"))
+
+    none = F.struct(*[F.lit(0.0).alias(c) for c in ("w", "x", "y")])
+    pinned = F.get(F.filter("controls", lambda c: apart(c) <= eps), F.lit(0))
+    moved = nodes.crossJoin(F.broadcast(row)).withColumns({"pin": pinned, "sum": F.aggregate("controls", none, add)})
+    place = lambda c: F.when(F.col("pin").isNotNull(), F.col(f"pin.t{c}")).when(F.col("sum.w") > 0, F.col(c) + F.col(f"sum.{c}") / F.col("sum.w")).otherwise(F.col(c)).alias(c)
+    return moved.select("id", place("x"), place("y"))

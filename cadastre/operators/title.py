@@ -80,3 +80,10 @@ def chain_defect_summary(links: DataFrame) -> DataFrame:
         own = found.select("parcel", F.lit(kind).alias("kind"))
         rows = own if rows is None else rows.unionByName(own)
     return rows.cube("parcel", "kind").agg(F.count("*").alias("defects"))
+
+
+def upsert_parcels(target: DataFrame, incoming: DataFrame) -> DataFrame:
+    """target with the rows of incoming(survey, name, version, ..) in place of those of one survey and name; the latest version counts."""
+    latest = Window.partitionBy("survey", "name").orderBy(F.desc_nulls_last("version"))
+    new = incoming.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
+    return target.join(new.select("survey", "name"), ["survey", "name"], "left_anti").unionByName(new)
