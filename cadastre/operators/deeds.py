@@ -73,3 +73,67 @@ def plss_boxes(parsed: DataFrame) -> DataFrame:
 
     boxes = parsed.where("section between 1 and 36").withColumn("box", F.aggregate("quarters", start, narrow))
     return boxes.select("doc", "box.x", "box.y", "box.side", (F.lit(640.0) / F.pow(F.lit(4.0), F.size("quarters"))).alias("acres"))
+
+
+_EXCEPT = r"(?i)(?:SAVE\s+AND\s+EXCEPT(?:ING)?|LESS\s+AND\s+EXCEPT(?:ING)?|SAVING\s+AND\s+EXCEPTING|EXCEPT(?:ING)?\s+(?:FOR\s+)?THAT|EXCEPT(?:ING)?\s+THE|RESERVING\s+UNTO|SUBJECT\s+TO\s+THAT\s+CERTAIN)"
+_HEAD = r"(?im)^\s*(?:TRACT|PARCEL)\s+[A-Z0-9]+\s*[:\-]?"
+#: Most characters of a reservation; what follows is not part of it.
+RESERVED_MOST = 800
+SQUARE_METRES_PER_ACRE = 4046.8564224
+
+
+def deed_flags(docs: DataFrame) -> DataFrame:
+    """docs(doc, text) to (doc, is_plss, has_exception, is_multi_tract); a null text has none of them."""
+    has = lambda p: F.coalesce(F.col("text").rlike(p), F.lit(False))
+    return docs.select("doc", (has(_TOWNSHIP) & has(_RANGE) & has(_SECTION)).alias("is_plss"), has(_EXCEPT).alias("has_exception"), has(_HEAD).alias("is_multi_tract"))
+
+
+def deed_boundaries(calls: DataFrame) -> DataFrame:
+    """(doc, n, dx, dy, misclosure, perimeter, ratio, ring): the boundary that calls(doc, seq, az, metres) run from the origin.
+
+    A deed with a call that lacks bearing or distance has none. ratio is the
+    perimeter for one unit of misclosure, null if that is below a micrometre.
+    ring holds the corners in the order of the calls.
+    """
+    dx, dy = F.col("metres") * F.sin("az"), F.col("metres") * F.cos("az")
+    legs = F.array_sort(F.collect_list(F.struct("seq", dx.alias("dx"), dy.alias("dy"))))
+    whole = calls.groupBy("doc").agg(F.count("*").alias("n"), F.count(dx).alias("known"), F.sum("metres").alias("perimeter"), legs.alias("legs")).where("n = known")
+    corner = lambda ring, leg: F.concat(ring, F.array(F.struct((F.element_at(ring, -1)["x"] + leg["dx"]).alias("x"), (F.element_at(ring, -1)["y"] + leg["dy"]).alias("y"))))
+    rings = whole.withColumn("ring", F.aggregate("legs", F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))), corner))
+    rings = rings.withColumns({"dx": F.element_at("ring", -1)["x"], "dy": F.element_at("ring", -1)["y"]}).withColumn("misclosure", F.hypot("dx", "dy"))
+    return rings.select("doc", "n", "dx", "dy", "misclosure", "perimeter", F.when(F.col("misclosure") >= 1e-6, F.col("perimeter") / F.col("misclosure")).alias("ratio"), "ring")
+
+
+def split_tracts(docs: DataFrame) -> DataFrame:
+    """docs(doc, text) to (doc, pos, role, part): parent, additional, exception and reservation parts in text order.
+
+    The first headed tract, or without headers the text before the first
+    marker, is the parent. Text before the first header, and blank or null
+    text, gives no part.
+    """
+    marked = F.regexp_replace(F.regexp_replace("text", _HEAD, "\u0001$0"), _EXCEPT, "\u0001$0")
+    parts = docs.select("doc", F.transform(F.split(marked, "\u0001"), lambda p: F.trim(p)).alias("parts"))
+    heads = lambda p: p.rlike("^" + _HEAD)
+    rows = parts.withColumn("first", F.array_position(F.transform("parts", heads), True)).select("doc", "first", F.posexplode("parts").alias("pos", "part")).where("part != ''")
+    part = F.col("part")
+    role = (
+        F.when(part.rlike(r"(?i)^RESERVING"), "reservation")
+        .when(part.rlike("^" + _EXCEPT), "exception")
+        .when(heads(part), F.when(F.col("pos") + 1 == F.col("first"), "parent").otherwise("additional"))
+        .when(F.col("first") == 0, "parent")
+    )
+    rows = rows.withColumn("role", role).where("role is not null")
+    return rows.select("doc", "pos", "role", F.when(F.col("role") == "reservation", F.substring(part, 1, RESERVED_MOST)).otherwise(part).alias("part"))
+
+
+def net_area(areas: DataFrame) -> DataFrame:
+    """(doc, net, acres) of areas(doc, role, area) in square metres: the parent without its exceptions, not below nothing; additional tracts do not count."""
+    of = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("area"))), F.lit(0.0))
+    net = areas.groupBy("doc").agg(F.greatest(of("parent") - of("exception"), F.lit(0.0)).alias("net"))
+    return net.withColumn("acres", F.col("net") / SQUARE_METRES_PER_ACRE)
+
+
+def training_pairs(docs: DataFrame, calls: DataFrame) -> DataFrame:
+    """(id, doc, text, target): each text of docs(doc, text) with its calls as JSON; id is the start of the text's hash. Texts without calls are left out."""
+    target = calls.groupBy("doc").agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", "kind", "az", "metres", "radius")))).alias("target"))
+    return docs.join(target, "doc").select(F.substring(F.sha2("text", 256), 1, 16).alias("id"), "doc", "text", "target")

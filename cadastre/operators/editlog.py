@@ -44,3 +44,10 @@ def merkle_roots(leaves: DataFrame) -> DataFrame:
         paired = F.sha2(F.concat(F.unhex("l"), F.unhex("r")), 256)
         level = up.select("grp", "pos", F.when(F.col("last") > 0, paired).otherwise(F.col("l")).alias("hash"), F.floor(F.col("last") / 2).alias("last"))
     return level.select("grp", F.col("hash").alias("root"))
+
+
+def presence(cursors: DataFrame, stale: str = "30 seconds") -> DataFrame:
+    """(doc, actor, ts, x, y): each actor's latest of cursors(doc, actor, ts, x, y), those within ``stale`` of the document's latest."""
+    last = cursors.groupBy("doc", "actor").agg(F.max(F.struct("ts", "x", "y")).alias("at"))
+    newest = last.groupBy("doc").agg(F.max("at.ts").alias("newest"))
+    return last.join(newest, "doc").where(F.col("at.ts") >= F.col("newest") - F.expr(f"interval {stale}")).select("doc", "actor", "at.*")

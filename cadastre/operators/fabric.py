@@ -93,3 +93,17 @@ def rubber_sheet(nodes: DataFrame, controls: DataFrame, power: float = 2.0, eps:
     moved = nodes.crossJoin(F.broadcast(row)).withColumns({"pin": pinned, "sum": F.aggregate("controls", none, add)})
     place = lambda c: F.when(F.col("pin").isNotNull(), F.col(f"pin.t{c}")).when(F.col("sum.w") > 0, F.col(c) + F.col(f"sum.{c}") / F.col("sum.w")).otherwise(F.col(c)).alias(c)
     return moved.select("id", place("x"), place("y"))
+
+
+def fabric_rings(edges: DataFrame, tol: float) -> DataFrame:
+    """(id, ring): the closed rings that fabric_edges were taken from, on its grid. A ring of fewer than three edges gives none."""
+    sides = edges.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "edge"))).alias("sides")).where(F.size("sides") >= 3)
+
+    def start(side: Column, i: Column) -> Column:
+        before = F.element_at("sides", F.when(i == 0, F.lit(-1)).otherwise(i))["edge"]
+        p, q = side["edge"]["p"], side["edge"]["q"]
+        node = F.when((p == before["p"]) | (p == before["q"]), p).otherwise(q)
+        return F.struct((node["x"] * tol).alias("x"), (node["y"] * tol).alias("y"))
+
+    ring = sides.select("id", F.transform("sides", start).alias("ring"))
+    return ring.select("id", F.concat("ring", F.slice("ring", 1, 1)).alias("ring"))

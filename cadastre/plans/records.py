@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastre.functions import rings
-from cadastre.operators import design, documents, fabric, title
+from cadastre.operators import deeds, design, documents, editlog, fabric, title
 from cadastre.plans import bindings as B
+from cadastre.plans import field
 from cadastre.plans.registry import query
 from cadastre.plans.traverse import r
 from cadastre.sources.tables import load
@@ -173,3 +174,71 @@ SELECT * FROM old ANTI JOIN new USING (survey, name) UNION ALL SELECT * FROM new
 def upsert_parcels(spark, sf_dir) -> DataFrame:
     rows = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("survey"), (F.col("o_orderkey") % 10).alias("name"), F.col("o_orderkey").alias("version"))
     return title.upsert_parcels(rows.where("version % 2 = 0 or version % 3 = 0"), rows.where("version % 2 = 1"))
+
+
+# Deeds: boundaries, tracts and training pairs.
+
+
+@query(
+    "deed_boundaries",
+    f"""WITH {B.LEGS_SQL}, c AS (SELECT t AS doc, radians(l_partkey % 90 + l_partkey % 60 / 60.0 + 30 / 3600.0) AS q, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS e, CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE -1 END AS n,
+  CASE WHEN l_partkey % 7 != 0 AND l_partkey % 11 != 0 THEN d * {field._FACTOR} END AS m FROM legs),
+s AS (SELECT doc, count(*) AS n, sum(e * m * sin(q)) AS dx, sum(n * m * cos(q)) AS dy, sum(m) AS p FROM c GROUP BY doc HAVING count(*) = count(m))
+SELECT doc, n, round(dx, 4) + 0.0 AS dx, round(dy, 4) + 0.0 AS dy, round(p, 4) AS perimeter, n + 1 AS corners FROM s""",
+)
+def deed_boundaries(spark, sf_dir) -> DataFrame:
+    found = deeds.deed_boundaries(deeds.parse_deeds(field._deeds(spark, sf_dir)))
+    return found.select("doc", "n", r("dx", 4).alias("dx"), r("dy", 4).alias("dy"), r("perimeter", 4).alias("perimeter"), F.size("ring").cast("long").alias("corners"))
+
+
+@query("training_pairs")
+def training_pairs(spark, sf_dir) -> DataFrame:
+    docs = field._deeds(spark, sf_dir)
+    return deeds.training_pairs(docs, deeds.parse_deeds(docs))
+
+
+_TRACTS = """WITH docs AS (SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'Tract 1: lot ' || o_custkey || chr(10) || 'TRACT B: lot 2' ELSE 'Lot ' || o_custkey || ', Sec. 5, T3N R2W' END
+  || CASE WHEN o_orderkey % 7 < 3 THEN ' save and except the north part' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN ' Reserving unto the ' || o_orderpriority ELSE '' END AS text FROM orders)"""
+
+
+def _tracts(spark, sf_dir) -> DataFrame:
+    k, lot = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    body = F.when(k % 2 == 0, F.concat(F.lit("Tract 1: lot "), lot, F.lit("\nTRACT B: lot 2"))).otherwise(F.concat(F.lit("Lot "), lot, F.lit(", Sec. 5, T3N R2W")))
+    saved = F.when(k % 7 < 3, " save and except the north part").otherwise("")
+    reserved = F.when(k % 5 == 0, F.concat(F.lit(" Reserving unto the "), "o_orderpriority")).otherwise("")
+    return load(spark, sf_dir, "orders").select(k.alias("doc"), F.concat(body, saved, reserved).alias("text"))
+
+
+@query("deed_flags", f"{_TRACTS} SELECT doc, contains(text, 'T3N') AS is_plss, contains(text, 'save') OR contains(text, 'Reserving') AS has_exception, contains(text, 'Tract') AS is_multi_tract FROM docs")
+def deed_flags(spark, sf_dir) -> DataFrame:
+    return deeds.deed_flags(_tracts(spark, sf_dir))
+
+
+_ROLES = f"""{_TRACTS}, parts AS (SELECT doc, trim(unnest(parts), ' ' || chr(10)) AS part FROM (SELECT doc, string_split_regex(regexp_replace(text, '(TRACT B|save|Reserving)', '~\\1', 'g'), '~') AS parts FROM docs)),
+roles AS (SELECT doc, part, CASE WHEN part LIKE 'save%' THEN 'exception' WHEN part LIKE 'Reserving%' THEN 'reservation' WHEN part LIKE 'TRACT B%' THEN 'additional' ELSE 'parent' END AS role FROM parts)"""
+
+
+@query("split_tracts", f"{_ROLES} SELECT doc, role, part FROM roles")
+def split_tracts(spark, sf_dir) -> DataFrame:
+    return deeds.split_tracts(_tracts(spark, sf_dir)).select("doc", "role", F.trim(F.regexp_replace("part", "\n", " ")).alias("part"))
+
+
+@query("net_area", f"{_ROLES} SELECT doc, round(greatest(100.0 * max(length(part)) FILTER (role = 'parent') - coalesce(sum(100.0 * length(part)) FILTER (role = 'exception'), 0), 0), 3)::DOUBLE AS net FROM roles GROUP BY doc")
+def net_area(spark, sf_dir) -> DataFrame:
+    areas = deeds.split_tracts(_tracts(spark, sf_dir)).withColumn("area", F.lit(100.0) * F.length(F.trim(F.regexp_replace("part", "\n", " "))))
+    return deeds.net_area(areas).select("doc", r("net", 3).alias("net"))
+
+
+@query("fabric_rings", f"{_P} SELECT id, 5::BIGINT AS points, round((x1 - x0) * (y1 - y0), 3) AS area FROM parcels")
+def fabric_rings(spark, sf_dir) -> DataFrame:
+    found = fabric.fabric_rings(fabric.fabric_edges(B.parcels(spark, sf_dir), 0.5), 0.5)
+    return found.select("id", F.size("ring").cast("long").alias("points"), r(F.abs(rings.signed_area(F.col("ring"))), 3).alias("area"))
+
+
+@query(
+    "presence",
+    f"""WITH {B.OPS_SQL}, last AS (SELECT doc, actor, max(ts) AS ts, arg_max(x, ts) AS x, arg_max(y, ts) AS y FROM ops GROUP BY doc, actor)
+SELECT doc, actor, ts, x, y FROM (SELECT *, max(ts) OVER (PARTITION BY doc) AS newest FROM last) WHERE ts >= newest - INTERVAL 3 DAY""",
+)
+def presence(spark, sf_dir) -> DataFrame:
+    return editlog.presence(B.ops(load(spark, sf_dir, "events")), "3 days")

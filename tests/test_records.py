@@ -1,11 +1,12 @@
 """Goldens of title items, field codes, replies, lot design and fabric moves."""
 
+import hashlib
 import json
 import math
 
 import pytest
 
-from cadastre.operators import design, documents, fabric, title
+from cadastre.operators import deeds, design, documents, fabric, title
 
 
 def test_title_items(spark):
@@ -63,3 +64,30 @@ def test_upsert(spark):
     target = spark.createDataFrame([(1, "a", 1), (1, "b", 1)], "survey int, name string, version int")
     incoming = spark.createDataFrame([(1, "a", 2), (1, "a", 3), (2, "a", 1)], target.schema)
     assert sorted(tuple(r) for r in title.upsert_parcels(target, incoming).collect()) == [(1, "a", 3), (1, "b", 1), (2, "a", 1)]
+
+
+def test_deed_boundary(spark):
+    calls = spark.createDataFrame([(1, i, math.radians(90 * i), 10.0) for i in range(4)] + [(2, 0, None, 5.0), (2, 1, 0.0, 5.0), (3, 0, 0.0, 4.0)], "doc int, seq int, az double, metres double")
+    square, line = deeds.deed_boundaries(calls).orderBy("doc").collect()
+    assert (square.doc, square.n, square.perimeter, square.ratio) == (1, 4, 40.0, None) and square.misclosure < 1e-9
+    assert [(round(p.x, 6) + 0.0, round(p.y, 6) + 0.0) for p in square.ring] == [(0, 0), (0, 10), (10, 10), (10, 0), (0, 0)]
+    assert (line.doc, line.misclosure, line.ratio) == (3, 4.0, 1.0)
+
+
+def test_tracts(spark):
+    rows = [(1, "Preamble\nTract 1: a field\nPARCEL B - a wood\nLess and except the barn, RESERVING UNTO seller " + "x" * 900), (2, "All the land save and except the well"), (3, None), (4, " ")]
+    docs = spark.createDataFrame(rows, "doc int, text string")
+    parts = deeds.split_tracts(docs)
+    got = [(r.doc, r.role) for r in parts.orderBy("doc", "pos").collect()]
+    assert got == [(1, "parent"), (1, "additional"), (1, "exception"), (1, "reservation"), (2, "parent"), (2, "exception")]
+    assert len(parts.where("role = 'reservation'").first().part) == deeds.RESERVED_MOST
+    assert [tuple(r)[1:] for r in deeds.deed_flags(docs).orderBy("doc").collect()] == [(False, True, True), (False, True, False), (False, False, False), (False, False, False)]
+    areas = spark.createDataFrame([(1, "parent", 9.0), (1, "exception", 4.0), (1, "additional", 7.0), (2, "parent", 1.0), (2, "exception", 4.0)], "doc int, role string, area double")
+    assert {r.doc: r.net for r in deeds.net_area(areas).collect()} == {1: 5.0, 2: 0.0}
+
+
+def test_training_pairs(spark):
+    docs = spark.createDataFrame([(1, "Thence N 10° E 5 feet"), (2, "nothing")], "doc int, text string")
+    (pair,) = deeds.training_pairs(docs, deeds.parse_deeds(docs)).collect()
+    (call,) = json.loads(pair.target)
+    assert pair.doc == 1 and pair.id == hashlib.sha256(pair.text.encode()).hexdigest()[:16] and call["kind"] == "line" and math.isclose(call["metres"], 1.524)
