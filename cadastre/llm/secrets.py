@@ -60,10 +60,11 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", scope
         parts = own if parts is None else parts.unionByName(own)
     parts = written(parts, "parts")
 
-    # A part stands in the cell of its start; weak ones look into all cells that their scope touches.
+    # A part stands in all cells from its start to its end; weak ones look into all cells that their scope touches.
     weak = parts.where(F.col("kind") >= len(BASE))
     reach = weak.withColumn("cell", F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("until") + scope) / scope))))
-    other = parts.select("k", "t", F.floor(F.col("start") / scope).alias("cell"), F.col("kind").alias("other"), F.col("start").alias("from"), F.col("until").alias("to"))
+    cells = F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("until") / scope))
+    other = parts.select("k", "t", F.explode(cells).alias("cell"), F.col("kind").alias("other"), F.col("start").alias("from"), F.col("until").alias("to"))
     near = reach.join(other, ["k", "t", "cell"]).where(F.col("from") <= F.col("until") + scope).where(F.col("to") >= F.col("start") - scope)
     met = near.groupBy("k", "t", "kind", "start", "until").agg(F.collect_set("other").alias("others"))
     complete = F.lit(False)

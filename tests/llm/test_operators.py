@@ -16,7 +16,8 @@ from cadastre.llm.jaccard import jaccard_join
 from cadastre.llm.licences import licence_scan
 from cadastre.llm.mixing import mix, mixed
 from cadastre.llm.repeats import Windows, repeated_windows
-from cadastre.llm.secrets import secret_spans
+from cadastre.llm.secrets import BASE as BASE_KINDS
+from cadastre.llm.secrets import COMPLETED_BY, KINDS, SCOPE, WEAK, secret_spans
 from cadastre.llm.substrings import suffix_dedup, window_dedup
 from cadastre.llm.tables import keyed
 from cadastre.llm.tokens import read_documents, read_tokens, write_tokens
@@ -150,6 +151,32 @@ def test_secrets(spark):
     assert rest[0] == rest[1] == rest[3] == rest[4] == "" and rest[5] == "hex:0:24"
 
 
+def secrets_by_brute_force(text):
+    found = [(m.start(), number, m.end()) for number, (_, pattern, least, group) in enumerate((*BASE_KINDS, *WEAK)) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    base = [x for x in found if x[1] < len(BASE_KINDS)]
+    kept = list(base)
+    for s, number, e in found:
+        if number >= len(BASE_KINDS) and not any(a <= s and b >= e for a, _, b in base):
+            others = {KINDS[kind] for a, kind, b in found if a <= e + SCOPE and b >= s - SCOPE}
+            if all(others & set(group) for group in COMPLETED_BY[KINDS[number]]):
+                kept.append((s, number, e))
+    return ",".join(f"{KINDS[kind]}:{s}:{e}" for s, kind, e in sorted(kept))
+
+
+def test_secrets_of_long_values(spark):
+    identifier, endpoint, key = "ASIA" + "Q7W8E9R0T1Y2", "https://host/x", "AKIA" + "A1B2C3D4E5F6G7H8"
+    texts = []
+    for size in (48, 399, 400, 801, 5000):
+        strong = ["token=" + "aB3-" * (size // 4), "0123456789abcdef" * (size // 16 + 2), "abcdEFGH1234" * (size // 12 + 4)]
+        for gap in (1, SCOPE, SCOPE + 1):
+            for weak in (identifier, endpoint, f"{identifier} {endpoint}", "Zz9/" * (size // 4 + 10)):
+                texts += [x for long in strong for x in (long + "!" * gap + weak, weak + "!" * gap + long)]
+            texts += [key + "!" * gap + strong[2], strong[2] + "!" * gap + key]
+    got = by_id(secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i].spans for i in range(len(texts))] == [secrets_by_brute_force(x) for x in texts]
+    assert "identifier" in got[texts.index("token=" + "aB3-" * 1250 + "!" + identifier)].spans
+
+
 def test_fingerprints(docs, empty):
     got = by_id(fingerprints(docs, buckets=3))
     for i, x in enumerate(TEXTS):
