@@ -9,7 +9,7 @@ Two sets of n and m shingles link when 100 * common >= 80 * union, that is
   order (a link must share one of the first n - ceil(0.8 n) + 1).  The order
   puts shingles of many documents last, so that lists stay short.  Lists are
   scanned: first each against one member, then, between classes that are not
-  yet connected, pair by pair; a pair is verified on its texts if the lists
+  yet connected, pair by pair, long lists in blocks; a pair is verified on its texts if the lists
   show as many common first shingles as a link must have.
 
 The boundary is the size with the least estimated cost, from the histogram of
@@ -40,6 +40,8 @@ ZONE = np.uint64(int(0.4 * 2**64))
 HEAVY = 64
 #: Most shingles put last (the most frequent ones): bounds the broadcast. Any order gives the same links.
 HEAVY_MOST = 1_000_000
+#: Members of a long list that one task pairs with as many others.
+BLOCK = 2048
 #: Largest set size at which listing subsets is considered.
 SUBSETS_MOST = 24
 #: Cost of a row of an inverted list, in rows of listed subsets.
@@ -73,13 +75,14 @@ def boundary(sizes: dict[int, int]) -> int:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, text) to (k, n, f, g, first): set size, fingerprint, and the shingles below ZONE or the prefix."""
+    """(k, text) to (k, n, f, g, first): set size, fingerprint, and the shingles below ZONE, or all if these are no prefix."""
     for batch in batches:
         n, f, g, first = [], [], [], []
         for data in byte_rows(batch.column(1)):
             own = hashing.shingles(data, WIDTH)
             print_ = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), dtype=np.int64)
-            keep = max(int(np.searchsorted(own, ZONE)), prefix_size(len(own)) if len(own) else 0, len(own) if len(own) <= SUBSETS_MOST else 0)
+            below = int(np.searchsorted(own, ZONE))
+            keep = len(own) if len(own) <= SUBSETS_MOST or below < prefix_size(len(own)) else below
             n.append(len(own)), f.append(int(print_[0])), g.append(int(print_[1])), first.append(own[:keep].tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, type=pa.int32()), pa.array(f, type=pa.int64()), pa.array(g, type=pa.int64()), pa.array(first, type=pa.binary())],
@@ -91,9 +94,13 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes(), dtype=np.uint64)
 
 
-def _below_zone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, first) to a row (t) for each shingle that the set may list in some order: those below ZONE, or all if these are no prefix."""
     for batch in batches:
-        parts = [x[x < ZONE] for x in map(_hashes, byte_rows(batch.column(0)))]
+        parts = []
+        for n, own in zip(batch.column(0).to_pylist(), map(_hashes, byte_rows(batch.column(1))), strict=True):
+            below = own[own < ZONE]
+            parts.append(below if len(below) >= prefix_size(n) else own)
         if parts:
             yield pa.RecordBatch.from_arrays([longs(np.concatenate(parts))], names=["t"])
 
@@ -109,7 +116,7 @@ def _prefixes(heavy):
                 often = np.zeros(len(own), dtype=bool)
                 if len(last):
                     at = np.minimum(np.searchsorted(last, own), len(last) - 1)
-                    often = (last[at] == own) & (own < ZONE)
+                    often = last[at] == own
                 order = np.lexsort((own, often, own >= ZONE))[: prefix_size(n)]
                 rows.append(own[order]), flags.append(often[order]), keys.append(len(order)), sizes.append(np.full(len(order), n, dtype=np.int32))
             if rows:
@@ -209,6 +216,19 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(kept, type=pa.int64()))
 
 
+def _inverted_lists(large: DataFrame) -> DataFrame:
+    """(k, n, first) to (t, k, n, often): all lists that are not ``often`` have at most HEAVY members."""
+    spark = large.sparkSession
+    often = large.select("n", "first").mapInArrow(_listable, "t long").groupBy("t").count().where(F.col("count") > HEAVY)
+    often = written(often, "often")
+    last = often.orderBy(F.desc("count"), "t").limit(HEAVY_MOST)
+    heavy = spark.sparkContext.broadcast(np.sort(np.array([r.t for r in last.select("t").toLocalIterator()], dtype=np.int64).view(np.uint64)))
+    listed = large.select("k", "n", "first").mapInArrow(_prefixes(heavy), "t long, k long, n int, often boolean")
+    if len(heavy.value) == HEAVY_MOST:  # further ones may be long too
+        listed = listed.drop("often").join(often.select("t", F.lit(True).alias("often")), "t", "left").select("t", "k", "n", F.coalesce("often", F.lit(False)).alias("often"))
+    return written(listed, "lists")
+
+
 def _enough(count: Column) -> Column:
     """Whether so many common first shingles can belong to a link of sizes n and m."""
     rest = F.greatest(F.expr("n - (n - ceil(4 * n / 5) + 1)"), F.expr("m - (m - ceil(4 * m / 5) + 1)"))
@@ -252,13 +272,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     small = subsets.join(least, ["c", "s"]).where("k != to.k and 9 * c >= 4 * (n + to.n)").select(F.col("to.k").alias("a"), F.col("k").alias("b")).distinct()
 
     large = chosen.where(5 * F.col("n") > 4 * small_most)
-    often = large.select("first").mapInArrow(_below_zone, "t long").groupBy("t").count().where(F.col("count") > HEAVY)
-    often = written(often, "often").orderBy(F.desc("count"), "t").limit(HEAVY_MOST)
-    heavy = spark.sparkContext.broadcast(np.sort(np.array([r.t for r in often.select("t").toLocalIterator()], dtype=np.int64).view(np.uint64)))
-    listed = large.select("k", "n", "first").mapInArrow(_prefixes(heavy), "t long, k long, n int, often boolean")
-
     # One shuffle serves all lists of at most HEAVY members; longer ones are aggregated and joined.
-    rows = written(listed, "lists")
+    rows = _inverted_lists(large)
     drop(chosen)
     light = rows.where("not often").select("t", "k", "n").repartition("t").sortWithinPartitions("t", "n", "k")
     stars = light.mapInArrow(_runs(False), "a long, n int, b long, m int")
@@ -278,11 +293,13 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     drop(rows)
     crossed = light.repartition("t").sortWithinPartitions("t", "n", "k").mapInArrow(_runs(True), "a long, n int, b long, m int")
     long_lists = written(placed(long_lists), "placed")
-    mixed = long_lists.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("t")
-    left = written(long_lists.join(written(mixed, "mixed"), "t", "left_semi"), "mixed")
-    right = left.select("t", F.col("k").alias("b"), F.col("n").alias("m"), F.col("band").alias("band_b"), F.col("component").alias("other"))
-    near = left.withColumn("band_b", F.explode(F.array("band", F.col("band") + 1)))
-    near = near.join(right, ["t", "band_b"]).where("component != other and (n < m or n = m and k < b) and 4 * m <= 5 * n")
+    mixed = long_lists.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo < hi").select("t", "blocks")
+    # A list is dealt in blocks by key: every pair of blocks is a task's work of its own.
+    left = written(long_lists.join(written(mixed, "mixed"), "t").withColumn("block", F.expr("cast(pmod(xxhash64(k), blocks) as int)")), "mixed")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    right = left.select("t", F.col("k").alias("b"), F.col("n").alias("m"), F.col("band").alias("band_b"), F.col("component").alias("other"), F.col("block").alias("block_b"), each.alias("block"))
+    near = left.withColumn("band_b", F.explode(F.array("band", F.col("band") + 1))).withColumn("block_b", each)
+    near = near.join(right, ["t", "band_b", "block", "block_b"]).where("component != other and (n < m or n = m and k < b) and 4 * m <= 5 * n")
     crossed = crossed.unionByName(near.select(F.col("k").alias("a"), "n", "b", "m"))
     rest = _links(texts, crossed.groupBy("a", "n", "b", "m").count().where(_enough(F.col("count"))))
     linked = written(components(first.unionByName(small).unionByName(rest)), "components")

@@ -12,6 +12,7 @@ from cadastre.llm import queries as Q
 from cadastre.llm.components import components
 from cadastre.llm.decontamination import contamination, decontaminated
 from cadastre.llm.fingerprints import fingerprints
+from cadastre.llm import jaccard
 from cadastre.llm.jaccard import jaccard_join
 from cadastre.llm.licences import licence_scan
 from cadastre.llm.mixing import mix, mixed
@@ -97,6 +98,34 @@ def test_jaccard_join(docs, empty):
     assert jaccard_join(empty).count() == 0
 
 
+def components_by_brute_force(texts):
+    sets = [{tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in texts]
+    to = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 100 * len(x & y) >= 80 * len(x | y):
+                to = [min(to[i], to[j]) if c in (to[i], to[j]) else c for c in to]
+    return to
+
+
+def test_jaccard_join_of_short_texts_with_a_common_line(spark, monkeypatch):
+    common = " ".join(f"common{i}" for i in range(11))
+    texts = [f"{common} " + " ".join(f"own{i}x{j}" for j in range(4 + i % 8)) for i in range(600)]
+    texts += [x + " end" for x in texts[::40]] + [f"{common} own{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "k long, text string").mapInArrow(jaccard._sets, "k long, n int, f long, g long, first binary")
+    expected = components_by_brute_force(texts)
+    for heavy, most, block in ((64, 1_000_000, 2048), (4, 3, 8)):
+        monkeypatch.setattr(jaccard, "HEAVY", heavy)
+        monkeypatch.setattr(jaccard, "HEAVY_MOST", most)
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "SUBSETS_MOST", 0)  # inverted lists for all
+        lists = jaccard._inverted_lists(own.select("k", "n", "first"))
+        assert lists.where("not often").groupBy("t").count().agg(F.max("count")).first()[0] <= heavy
+        got = by_id(jaccard_join(docs))
+        assert [got[i].component_id for i in range(len(texts))] == expected
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in components(links).collect()} == {0}
