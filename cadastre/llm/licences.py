@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,14 @@ from cadastre.llm.tables import NO_KEY, written
 SIMILAR = 0.6
 #: Least part of a segment's words that templates have too, for it to be scored.
 KNOWN_PART = 0.5
+#: A word of more than this part of all lines (and of more than COMMON_LEAST lines) doesn't count for or against KNOWN_PART.
+COMMON_PART, COMMON_LEAST = 0.05, 20
+#: Lines of the overlapping segments besides single lines and whole texts; each starts a quarter of its length after the last.
+WINDOWS = (2, 3, 4, 6, 8, 12, 16, 24, 32)
+#: Whole licences (NAME.txt) and standard headers (NAME.header.txt), read on the driver.
+TEXTS = Path(__file__).parent / "licence_texts"
+#: Taken only where no other licence is like the file: open licences say "All rights reserved" too.
+LAST = "Proprietary"
 #: Fixed texts: how common licences are announced.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -36,10 +46,16 @@ def _terms(text) -> Column:
     return F.filter(F.split(lower_ascii(text), _BETWEEN), lambda w: w != "")
 
 
-def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(template, terms) rows of the licence texts."""
-    rows = spark.createDataFrame(sorted(texts.items()), "template string, text string")
-    return rows.select("template", _terms(F.col("text")).alias("terms"))
+def all_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the announcements, headers and whole licences."""
+    return [*TEMPLATES.items(), *((p.name.removesuffix(".txt").removesuffix(".header"), p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt")))]
+
+
+def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
+    """(model, template, terms) rows of the licence texts, by default all; a licence may have several models."""
+    pairs = sorted(all_texts() if texts is None else texts.items())
+    rows = spark.createDataFrame([(i, *pair) for i, pair in enumerate(pairs)], "model int, template string, text string")
+    return rows.select("model", "template", _terms(F.col("text")).alias("terms"))
 
 
 def _vectors(rows: DataFrame, idf: DataFrame, most: float, keys: list[str]) -> DataFrame:
@@ -51,13 +67,15 @@ def _vectors(rows: DataFrame, idf: DataFrame, most: float, keys: list[str]) -> D
     return known.where("idf is not null").select(*keys, "term", weight.alias("weight")).join(length, keys)
 
 
-def licence_scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "doc_id", licence_file: str = r"(?i)(^|/)(licen[cs]e|copying)[^/]*$", texts: dict[str, str] = TEMPLATES, similar: float = SIMILAR) -> DataFrame:
+def licence_scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "doc_id", licence_file: str = r"(?i)(^|/)(licen[cs]e|copying)[^/]*$", texts: dict[str, str] | None = None, similar: float = SIMILAR) -> DataFrame:
     """(key, path, licence, origin, similarity) for each row of files.
 
-    Segments are lines.  Document frequencies of template terms count all lines
+    Segments are lines, overlapping runs of WINDOWS lines that aren't blank, and
+    whole texts; runs and whole texts are formed where some line is like the
+    templates.  Document frequencies of template terms count all lines
     of all files; a term in no template has the weight of one seen once.  A
     file's own licence is the template of greatest cosine, if at least
-    ``similar`` (ties: the template's name).  A file without one inherits that
+    ``similar`` (ties: the template's name; LAST only if there is no other).  A file without one inherits that
     of the licence file in its nearest ancestor directory that has one (several
     there: the least path, then key).  origin is own, inherited or null.  A
     null text has no lines, a null path no directory; a null key is kept;
@@ -78,12 +96,25 @@ def licence_scan(files: DataFrame, path: str = "path", text: str = "text", key:
     idf = spark.createDataFrame([(w, counted.get(w, 0)) for w in vocabulary], "term string, df long").select("term", F.log((total + 1) / (F.col("df") + 1.0)).alias("idf"))
     most = float(spark.range(1).select(F.log(F.lit((total + 1) / 2.0))).first()[0]) if total else 0.0
 
-    scored = lines.where(F.size("known") >= F.greatest(F.lit(2), KNOWN_PART * F.size("terms"))).select("k", "t", "line", "terms")
-    segments = _vectors(written(scored, "segments"), idf, most, ["k", "t", "line"])
-    patterns = _vectors(models, idf, most, ["template"]).select("template", "term", F.col("weight").alias("w2"), F.col("norm2").alias("m2"))
-    products = segments.join(F.broadcast(patterns), "term").groupBy("k", "t", "line", "template").agg((F.sum(F.col("weight") * F.col("w2")) / F.sqrt(F.first("norm2") * F.first("m2"))).alias("cosine"))
+    def likely(segments: DataFrame, least: int) -> DataFrame:
+        """Segments with at least ``least`` template words, and KNOWN_PART of their words but the common ones."""
+        n_known, n_other = F.expr(f"size(filter(terms, w -> w IN ({listed}) AND w NOT IN ({common})))"), F.expr(f"size(filter(terms, w -> w NOT IN ({listed})))")
+        return segments.where(n_known >= KNOWN_PART * (n_known + n_other)).where(F.size(F.expr(f"filter(terms, w -> w IN ({listed}))")) >= least)
+
+    common = ", ".join(f"'{w}'" for w in ["", *(w for w in vocabulary if counted.get(w, 0) > max(COMMON_LEAST, COMMON_PART * total))])
+    some = written(likely(lines.select("k", "t", "line", "terms"), 1).where(F.expr(f"exists(terms, w -> w IN ({listed}) AND w NOT IN ({common}))")), "lines")
+    hopeful = rows.withColumn("t", F.xxhash64("path", "text")).join(some.select("k", "t").distinct(), ["k", "t"], "left_semi").dropDuplicates(["k", "t"])
+    hopeful = hopeful.select("k", "t", F.filter(F.transform(F.split("text", "\n"), _terms), lambda x: F.size(x) > 0).alias("all"))
+    runs = [F.expr(f"transform(sequence(0, size(all) - 1, {max(1, w // 4)}), i -> struct({w} AS size, i AS line))") for w in WINDOWS]
+    spans = F.concat(F.array(F.struct(F.size("all").alias("size"), F.lit(0).alias("line"))), *runs)
+    longer = hopeful.where("size(all) > 1").select("k", "t", "all", F.explode(F.array_distinct(spans)).alias("run"))
+    longer = longer.select("k", "t", F.col("run.size").alias("size"), F.col("run.line").alias("line"), F.expr("flatten(slice(all, run.line + 1, run.size))").alias("terms"))
+    scored = likely(some.select("k", "t", F.lit(1).alias("size"), "line", "terms"), 2).unionByName(likely(longer, 2))
+    segments = _vectors(written(scored, "segments"), idf, most, ["k", "t", "size", "line"])
+    patterns = _vectors(models, idf, most, ["model", "template"]).select("model", "template", "term", F.col("weight").alias("w2"), F.col("norm2").alias("m2"))
+    products = segments.join(F.broadcast(patterns), "term").groupBy("k", "t", "size", "line", "model", "template").agg((F.sum(F.col("weight") * F.col("w2")) / F.sqrt(F.first("norm2") * F.first("m2"))).alias("cosine"))
     products = products.withColumn("cosine", F.round("cosine", 9)).where(F.col("cosine") >= similar)
-    own = products.groupBy("k", "t").agg(F.min(F.struct(-F.col("cosine"), "template")).alias("x")).select("k", "t", F.col("x.template").alias("own"), (-F.col("x.col1")).alias("similarity"))
+    own = products.groupBy("k", "t").agg(F.min(F.struct((F.col("template") == LAST).alias("last"), (-F.col("cosine")).alias("away"), "template")).alias("x")).select("k", "t", F.col("x.template").alias("own"), (-F.col("x.away")).alias("similarity"))
 
     named = rows.select("key", "k", "path", F.xxhash64("path", "text").alias("t")).join(own, ["k", "t"], "left")
     named = written(named, "named")

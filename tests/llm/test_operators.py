@@ -14,6 +14,7 @@ from cadastre.llm.decontamination import contamination, decontaminated
 from cadastre.llm.fingerprints import fingerprints
 from cadastre.llm import jaccard
 from cadastre.llm.jaccard import jaccard_join
+from cadastre.llm.licences import TEXTS as LICENCE_TEXTS
 from cadastre.llm.licences import licence_scan
 from cadastre.llm.mixing import mix, mixed
 from cadastre.llm.repeats import Windows, repeated_windows
@@ -225,6 +226,19 @@ def test_licences(spark, empty):
     assert licence_scan(empty.withColumn("path", F.lit("/x"))).count() == 0
 
 
+def test_licences_of_whole_texts_and_wrapped_headers(spark):
+    clauses = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal", "in the Software without restriction, including without limitation the rights", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell", "copies of the Software, and to permit persons to whom the Software is", "furnished to do so, subject to the following conditions:"]
+    header = ["Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "", "    http://www.apache.org/licenses/LICENSE-2.0", "", "Unless required by applicable law or agreed to in writing, software", "distributed under the License is distributed on an \"AS IS\" BASIS,", "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "See the License for the specific language governing permissions and", "limitations under the License."]
+    code = [f"value{i} = compute{i}(alpha{i}, beta{i})" for i in range(80)]
+    whole = {p.name.removesuffix(".txt"): p.read_text() for p in sorted(LICENCE_TEXTS.glob("*.txt")) if not p.name.endswith(".header.txt")}
+    rows = [(f"/{name}/LICENSE", f"Copyright (c) 2019 Some One\nAll rights reserved.\n\n{x[: len(x) // 3]}additional words{x[len(x) // 3 :]}") for name, x in whole.items()] + [(f"/{name}/src/a.py", "x = 1") for name in whole]
+    expected = [(name, o) for o in ("own", "inherited") for name in whole]
+    rows += [("/h/a.py", "\n".join(["# " + x for x in header] + code)), ("/h/b.py", "\n".join([*code, "// This work is licensed under", "// the GNU General Public", "// License, version 3.", *code])), ("/h/m.c", "\n".join(["/*", *clauses, "*/", *code])), ("/h/c.py", "\n".join(code)), ("/h/p.txt", "we use the software of the files and copy them\nto the other folder")]
+    expected += [("Apache-2.0", "own"), ("GPL-3.0", "own"), ("MIT", "own"), (None, None), (None, None)]
+    got = by_id(licence_scan(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, path string, text string")))
+    assert [(rows[i][0], got[i].licence, got[i].origin) for i in range(len(rows))] == [(x[0], *y) for x, y in zip(rows, expected, strict=True)]
+
+
 def test_tokens_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
