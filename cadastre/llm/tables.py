@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a fresh local folder only where it is unset (tests)."""
+    """The cluster's spark.checkpoint.dir; a fresh local folder only where it is unset and all runs in one process (tests)."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -66,6 +69,11 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
 
 
+def row_identity(key: Column, text: Column) -> tuple[Column, Column]:
+    """(k, x) of a row as keyed() and the hash of its text have them: tells rows apart that share a key."""
+    return F.coalesce(key.cast("long"), F.lit(NO_KEY)), F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def unkeyed(column: str = "k"):
     """The key back from keyed(): NO_KEY becomes null."""
     return F.when(F.col(column) != NO_KEY, F.col(column))

@@ -1,10 +1,12 @@
 """The ten operators and the pipeline against brute force on a small fixture with all odd cases."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,7 +116,7 @@ def test_jaccard_join_of_short_texts_with_a_common_line(spark, monkeypatch):
     texts = [f"{common} " + " ".join(f"own{i}x{j}" for j in range(4 + i % 8)) for i in range(600)]
     texts += [x + " end" for x in texts[::40]] + [f"{common} own{i}" for i in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    own = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "k long, text string").mapInArrow(jaccard._sets, "k long, n int, f long, g long, first binary")
+    own = spark.createDataFrame([(i, 0, x) for i, x in enumerate(texts)], "k long, x long, text string").mapInArrow(jaccard._sets, "k long, x long, n int, f long, g long, first binary")
     expected = components_by_brute_force(texts)
     for heavy, most, block in ((64, 1_000_000, 2048), (4, 3, 8)):
         monkeypatch.setattr(jaccard, "HEAVY", heavy)
@@ -127,6 +129,46 @@ def test_jaccard_join_of_short_texts_with_a_common_line(spark, monkeypatch):
         assert [got[i].component_id for i in range(len(texts))] == expected
 
 
+def test_jaccard_join_of_a_loose_group_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    text = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(500):
+        words = list(text)
+        for j in rng.sample(range(len(words)), rng.randrange(1, 9)):
+            words[j] = f"new{rng.randrange(60)}"
+        texts.append(" ".join(words if i % 7 else words[: rng.randrange(90, 120)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = components_by_brute_force(texts)
+    assert 20 < len(set(expected)) < 480
+    for block, shingles, share in ((2048, 1 << 20, 4096), (40, 1 << 20, 3), (2048, 3000, 64)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles)
+        monkeypatch.setattr(jaccard, "SHARE", share)
+        got = by_id(jaccard_join(docs))
+        assert [got[i].component_id for i in range(len(texts))] == expected
+
+
+def test_common_shingles_of_blocks():
+    rng = np.random.default_rng(3)
+    own = [np.unique(np.append(rng.integers(0, 400, 60), rng.integers(0, 4000, 30))).astype(np.uint64) for _ in range(90)]
+    row, column = np.repeat(np.arange(90), [len(x) for x in own]), np.concatenate(own).astype(np.int64)
+    left, right = np.arange(0, 90, 3), np.setdiff1d(np.arange(90), np.arange(0, 90, 3))
+    for one, two in ((left, right), (np.arange(90), np.arange(90))):
+        assert (jaccard._counts(row, column, one, two) == [[len(np.intersect1d(own[i], own[j])) for j in two] for i in one]).all()
+
+
+def test_near_duplicates_of_shared_keys_and_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, 1), (None, "quite another text of some words", 2), (None, text + " end", 3), (5, "one text here", 4), (5, "some other text here", 5), (5, "one text here", 6), (7, text, 7), (8, None, 8), (8, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    got = jaccard.without_near_duplicates(docs)
+    assert got.columns == docs.columns
+    kept = sorted(r.k for r in got.collect())
+    assert len(kept) == 6 and {2, 5, 8, 9} <= set(kept) and len({1, 3} & set(kept)) == 1 and len({4, 6} & set(kept)) == 1
+    assert jaccard.without_near_duplicates(docs.where("false")).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in components(links).collect()} == {0}
