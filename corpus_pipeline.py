@@ -7,10 +7,9 @@ return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cadastre.llm.decontamination import decontaminated
-from cadastre.llm.jaccard import jaccard_join
+from cadastre.llm.jaccard import without_near_duplicates
 from cadastre.llm.mixing import mixed
 from cadastre.llm.queries import END, tokenizer_spec
 from cadastre.llm.tables import load, written
@@ -26,11 +25,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, that of the smallest key."""
-    groups = jaccard_join(docs)
-    kept = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__k")), "kept")
-    docs = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__k")), "left_semi")
-    # Rows that share a key are one group as well.
-    return docs if kept.groupBy("__k").count().where("count > 1").isEmpty() else docs.dropDuplicates(["doc_id"])
+    return without_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
