@@ -254,7 +254,7 @@ def _counts(row: np.ndarray, column: np.ndarray, left: np.ndarray, right: np.nda
 
     Shingles of few members add pair by pair, those of many by matrix products.
     """
-    place = [np.full(int(row.max()) + 1, -1, dtype=np.int64) for _ in range(2)]
+    place = [np.full(int(max(left.max(), right.max(), row.max())) + 1, -1, dtype=np.int64) for _ in range(2)]
     for at, members in zip(place, (left, right), strict=True):
         at[members] = np.arange(len(members))
     rows, columns = [], []

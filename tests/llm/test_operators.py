@@ -153,8 +153,9 @@ def test_common_shingles_of_blocks():
     rng = np.random.default_rng(3)
     own = [np.unique(np.append(rng.integers(0, 400, 60), rng.integers(0, 4000, 30))).astype(np.uint64) for _ in range(90)]
     row, column = np.repeat(np.arange(90), [len(x) for x in own]), np.concatenate(own).astype(np.int64)
-    left, right = np.arange(0, 90, 3), np.setdiff1d(np.arange(90), np.arange(0, 90, 3))
-    for one, two in ((left, right), (np.arange(90), np.arange(90))):
+    own.append(np.empty(0, dtype=np.uint64))  # a last member of which nothing is left
+    left, right = np.arange(0, 91, 3), np.setdiff1d(np.arange(91), np.arange(0, 91, 3))
+    for one, two in ((left, right), (np.arange(91), np.arange(91))):
         assert (jaccard._counts(row, column, one, two) == [[len(np.intersect1d(own[i], own[j])) for j in two] for i in one]).all()
 
 
