@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -33,52 +34,98 @@ FRAME = 1 << 16
 LEVEL = 3
 #: Fixed values of the seekable format: skippable frame, footer.
 _SKIPPABLE, _FOOTER = 0x184D2A5E, 0x8F92EAB1
-#: Cached encodings of a Python worker; the cache starts anew beyond this.
-CACHE = 1_000_000
+#: Bytes of text that are encoded at once, and of pieces and their ids that a Python worker remembers before it starts anew.
+CHUNK, CACHE = 8 << 20, 64 << 20
+#: Marks after a word's last letter; pieces of the tokenizers meant here never hold a letter and one of these together.
+MARKS = "!#$%&*+,./:;=?@^_|~)]}>"
 
 _coder: dict = {}
 
 
-def _encoder(spec: str):
-    """Encodes texts as bytes of ids. Pieces between ASCII white space are encoded once and remembered.
+class Pieces:
+    """Encodes texts piece by piece: what stands between ASCII white space is encoded once and remembered.
 
     Only for tokenizers whose pieces never cross white space and that drop it.
     """
-    from tokenizers import Tokenizer
 
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.lowers = Tokenizer.from_str(spec), _lowers(json.loads(spec).get("normalizer") or {})
+        self.forget()
+
+    def forget(self) -> None:
+        self.slot, self.ids, self.ends, self.held = {"": 0}, np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64), 0
+        self.part, self.part_ids, self.part_ends = {"": 0}, np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes new pieces: what comes before closing marks, and the marks, each once."""
+        parts = []
+        for piece in new:
+            core = piece.rstrip(MARKS)
+            parts += (core, piece[len(core) :]) if core and core[-1] < "\u0530" and core[-1].lower()[-1].isalpha() else (piece, "")
+        fresh = [x for x in dict.fromkeys(parts) if x not in self.part]
+        if fresh:
+            got = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+            size = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(fresh))
+            self.part.update(zip(fresh, range(len(self.part_ends), len(self.part_ends) + len(fresh)), strict=True))
+            self.part_ends = np.append(self.part_ends, len(self.part_ids) + np.cumsum(size))
+            self.part_ids = np.append(self.part_ids, np.array(got.ids, dtype="<u4"))
+        at, upto = _gathered(self.part_ends, np.fromiter(map(self.part.__getitem__, parts), dtype=np.int64, count=len(parts)))
+        self.slot.update(zip(new, range(len(self.ends), len(self.ends) + len(new)), strict=True))
+        self.ends = np.append(self.ends, len(self.ids) + upto[2::2])
+        self.ids = np.append(self.ids, self.part_ids[at])
+        self.held += sum(map(len, new)) + sum(map(len, fresh)) + 4 * len(at)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's ids end."""
+        if self.held > CACHE:
+            self.forget()
+        pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.lowers else texts)
+        words = pieces.flatten().dictionary_encode()
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), "\n")[0].as_py()
+        distinct = joined.split("\n") if len(words.dictionary) else []
+        if new := [w for w in distinct if w not in self.slot]:
+            self.learn(new)
+        own = np.fromiter(map(self.slot.__getitem__, distinct), dtype=np.int64, count=len(distinct))[words.indices.to_numpy()]
+        at, upto = _gathered(self.ends, own)
+        return self.ids[at], upto[pieces.offsets.to_numpy()[1:]]
+
+
+def _gathered(ends: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ids of the slots one after the other, and where each slot's begin and end among them."""
+    begin = np.append(0, ends[:-1])[slots]
+    size = ends[slots] - begin
+    upto = np.append(0, np.cumsum(size))
+    return np.repeat(begin - upto[:-1], size) + np.arange(upto[-1]), upto
+
+
+def _encoder(spec: str) -> Pieces:
     if _coder.get("spec") != spec:
-        _coder.update(spec=spec, tokenizer=Tokenizer.from_str(spec), known={})
-    tokenizer = _coder["tokenizer"]
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        known = _coder["known"]
-        if len(known) > CACHE:
-            known = _coder["known"] = {}
-        pieces = [t.split() for t in texts]
-        new = list({p for own in pieces for p in own if p not in known})
-        if new:
-            # One call for all new pieces; offsets tell whose each id is.
-            listed = [p.decode() for p in new]
-            got = tokenizer.encode("\n".join(listed), add_special_tokens=False)
-            ends = np.cumsum(np.fromiter(map(len, listed), dtype=np.int64, count=len(listed)) + 1)
-            begin = np.fromiter((a for a, _ in got.offsets), dtype=np.int64, count=len(got.ids))
-            data, cut = np.array(got.ids, dtype="<u4").tobytes(), 4 * np.searchsorted(begin, ends, side="left")
-            at = 0
-            for piece, end in zip(new, cut.tolist(), strict=True):
-                known[piece] = data[at:end]
-                at = end
-        return [b"".join([known[p] for p in own]) for own in pieces]
-
-    return encode
+        _coder.update(spec=spec, pieces=Pieces(spec))
+    return _coder["pieces"]
+
+
+def _chunks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about CHUNK bytes, of one text at least."""
+    upto, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(texts):
+        until = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, side="right")))
+        yield texts.slice(at, until - at)
+        at = until
+
+
+def _lowers(normalizer: dict) -> bool:
+    return normalizer.get("type") == "Lowercase" or any(map(_lowers, normalizer.get("normalizers", [])))
 
 
 def drops_white_space(spec: str) -> bool:
-    """Whether a tokenizer file splits at white space and drops it, and pads or cuts nothing."""
+    """Whether a tokenizer file splits at white space and drops it, parts letters from marks, and pads or cuts nothing."""
     parts = json.loads(spec)
     before = parts.get("pre_tokenizer") or {}
     first = (before.get("pretokenizers") or [before])[0]
     pattern = (first.get("pattern") or {}).get("Regex", "")
-    splits = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "^\\s" in pattern
+    splits = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and r"[\p{L}]+" in pattern and r"[^\s\p{L}\p{N}]+" in pattern
     return bool(splits and not parts.get("truncation") and not parts.get("padding"))
 
 
@@ -158,20 +205,22 @@ class ShardReader:
 
 def _write(spec: str, folder: str, end: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = _encoder(spec), b"" if end is None else struct.pack("<I", end)
+        coder, tail = _encoder(spec), b"" if end is None else struct.pack("<I", end)
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
         name = f"{root}/shard-{task.partitionId():06d}.zst"
         part, shard, file = f"{name}.{task.taskAttemptId()}.tmp", None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                texts = [x.as_buffer().to_pybytes() for x in some.column(1)]
-                for key, ids in zip(some.column(0).to_pylist(), encode(texts), strict=True):
-                    if shard is None:
-                        file = fs.open_output_stream(part)
-                        shard = ShardWriter(file)
-                    shard.add(key, ids + tail)
+            keys = iter(batch.column(0).to_pylist())
+            for texts in _chunks(batch.column(1)):
+                if shard is None:
+                    file = fs.open_output_stream(part)
+                    shard = ShardWriter(file)
+                ids, ends = coder.encode(texts)
+                data, begin = ids.tobytes(), 0
+                for stop in (4 * ends).tolist():
+                    shard.add(next(keys), data[begin:stop] + tail)
+                    begin = stop
         if shard is None:
             return
         shard.close()
@@ -201,7 +250,7 @@ def write_tokens(docs: DataFrame, spec: str, end: int | None = 1, key: str = "do
 
     spec: the tokenizer file's content; end: id appended to every document, or
     None.  A null or empty text has no other id.  A null key comes first;
-    rows with one key stay together, ordered by text.  start counts the ids of
+    rows with one key follow each other by the hash of their text.  start counts the ids of
     all shards before.  An empty table writes nothing.  Other columns are ignored.
     """
     if not drops_white_space(spec):
@@ -209,14 +258,19 @@ def write_tokens(docs: DataFrame, spec: str, end: int | None = 1, key: str = "do
     folder = folder or new_path(docs.sparkSession, "tokens")
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root)
-    ordered = keyed(docs, key, text).repartitionByRange("k").sortWithinPartitions("k", "text")
-    shards = written(ordered.mapInArrow(_write(spec, folder, end), "shard long, path string, n_docs long, n_ids long"), "shards")
+    ordered = keyed(docs, key, text).select("k", "text", F.xxhash64("text").alias("x")).repartitionByRange("k", "x").sortWithinPartitions("k", "x")
+    shards = written(ordered.select("k", "text").mapInArrow(_write(spec, folder, end), "shard long, path string, n_docs long, n_ids long"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard only
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
 def read_tokens(shards: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of every document, from the shards' files alone."""
+    """(key, start, n_tokens, ids_crc32) of every document, from the shards' files alone.
+
+    A document without a key has null there; one of no text has the end id
+    only, or nothing; repeated rows stand as often as they were written.  No
+    shards give no rows.
+    """
     shards = written(shards, "offsets")
     spread = shards.select("path", "start").repartition(max(1, shards.count()))
     return spread.mapInArrow(_read, "k long, start long, n_tokens long, ids_crc32 long").select(unkeyed().alias(key), "start", "n_tokens", "ids_crc32")
