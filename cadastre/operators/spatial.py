@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,38 +22,94 @@ def with_box(parcels: DataFrame, ring: str = "ring") -> DataFrame:
     return parcels.withColumns(dict(zip(("x0", "y0", "x1", "y1"), rings.bounds(F.col(ring)), strict=True)))
 
 
+def _corners(rings_of: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, n): counter-clockwise corners of closed rings, a row each, padded; the closing point is left out."""
+    at, points = rings_of.offsets.to_numpy(), rings_of.values
+    n = np.maximum(np.diff(at) - 1, 0)
+    place = at[:-1, None] + np.minimum(np.arange(max(n.max(initial=0), 1)), np.maximum(n - 1, 0)[:, None])
+    x, y = (points.field(c).to_numpy()[place] for c in ("x", "y"))
+    turned = _areas(x, y, n) < 0
+    order = np.where(turned[:, None], np.maximum(n[:, None] - 1 - np.arange(x.shape[1]), 0), np.arange(x.shape[1]))
+    return np.take_along_axis(x, order, 1), np.take_along_axis(y, order, 1), n
+
+
+def _areas(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Signed areas of padded corner rows, about each first corner."""
+    i = np.arange(x.shape[1])
+    after = np.where(i + 1 < n[:, None], i + 1, 0)
+    dx, dy = x - x[:, :1], y - y[:, :1]
+    cross = dx * np.take_along_axis(dy, after, 1) - np.take_along_axis(dx, after, 1) * dy
+    return np.where(i < n[:, None], cross, 0).sum(axis=1) / 2
+
+
+def _cut(x, y, n, ax, ay, bx, by, active):
+    """All rings cut at once by one edge each: the part left of a-b; rings that aren't ``active`` stay."""
+    i = np.arange(x.shape[1])
+    after = np.where(i + 1 < n[:, None], i + 1, 0)
+    side = np.where(active[:, None], (bx - ax)[:, None] * (y - ay[:, None]) - (by - ay)[:, None] * (x - ax[:, None]), 0.0)
+    x2, y2, side2 = (np.take_along_axis(v, after, 1) for v in (x, y, side))
+    real = i < n[:, None]
+    crossing, end = real & ((side >= 0) != (side2 >= 0)), real & (side2 >= 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = side / (side - side2)
+        new_x, new_y = np.stack((x + t * (x2 - x), x2), 2), np.stack((y + t * (y2 - y), y2), 2)
+    keep = np.stack((crossing, end), 2).reshape(len(x), -1)
+    count = keep.sum(axis=1)
+    out_x, out_y = (np.zeros((len(x), max(count.max(initial=0), 1))) for _ in range(2))
+    row, column = np.nonzero(keep)
+    place = (np.cumsum(keep, axis=1) - 1)[row, column]
+    out_x[row, place], out_y[row, place] = new_x.reshape(len(x), -1)[row, column], new_y.reshape(len(x), -1)[row, column]
+    return out_x, out_y, count
+
+
+def _common_areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, s, w) with rings s, w to (a, b, area) of what s and the convex w have in common."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        (x, y, n), (wx, wy, wn) = _corners(batch.column(2)), _corners(batch.column(3))
+        rows = np.arange(len(wn))
+        for e in range(wx.shape[1]):
+            active = e < wn
+            after = np.where(e + 1 < wn, e + 1, 0)
+            x, y, n = _cut(x, y, n, wx[:, e], wy[:, e], wx[rows, after], wy[rows, after], active)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.abs(_areas(x, y, n)))], names=["a", "b", "area"])
+
+
 def parcel_overlaps(parcels: DataFrame, cell: float, least: float) -> DataFrame:
     """(a, b, area): pairs a < b whose rings (convex) overlap by more than ``least``.
 
     Boxes meet in cells; a pair counts only in the cell of its boxes' common
-    lower-left corner, so it arises once and needs no DISTINCT.
+    lower-left corner, so it arises once and needs no DISTINCT.  Pairs whose
+    boxes overlap by less are dropped there; the rest are clipped by whole
+    Arrow batches, an edge of all windows at a time.
     """
     cells = in_cells(with_box(parcels).select("id", "ring", "x0", "y0", "x1", "y1"), cell)
     p, q = cells.alias("p"), cells.alias("q")
     corner = (F.floor(F.greatest("p.x0", "q.x0") / cell) == F.col("p.cx")) & (F.floor(F.greatest("p.y0", "q.y0") / cell) == F.col("p.cy"))
     meet = F.expr("p.cx = q.cx and p.cy = q.cy and p.id < q.id and p.x0 < q.x1 and q.x0 < p.x1 and p.y0 < q.y1 and q.y0 < p.y1")
-    pairs = p.join(q, meet).where(corner)
+    large = F.expr("(least(p.x1, q.x1) - greatest(p.x0, q.x0)) * (least(p.y1, q.y1) - greatest(p.y0, q.y0))") > least
+    pairs = p.join(q, meet).where(corner & large)
     pairs = pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.ring").alias("s"), F.col("q.ring").alias("w"))
-    # Clipping costs far more than the join: deal the pairs out evenly first.
-    pairs = pairs.repartition("a", "b")
-    area = F.abs(rings.signed_area(rings.clip(F.col("s"), F.col("w"))))
-    return pairs.select("a", "b", area.alias("area")).where(F.col("area") > least)
+    kind = dict(parcels.dtypes)["id"]
+    return pairs.mapInArrow(_common_areas, f"a {kind}, b {kind}, area double").where(F.col("area") > least)
 
 
 def points_in_parcels(points: DataFrame, parcels: DataFrame, cell: float) -> DataFrame:
-    """(point, parcel) for each parcel ring that holds a point."""
+    """(point, parcel) for each parcel ring that holds a point; boxes are tested before rings."""
     cells = in_cells(with_box(parcels).select(F.col("id").alias("parcel"), "ring", "x0", "y0", "x1", "y1"), cell)
     at = points.select(F.col("id").alias("point"), "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    return at.join(cells, ["cx", "cy"]).where(rings.contains(F.col("ring"), F.col("x"), F.col("y"))).select("point", "parcel")
+    boxed = at.join(cells, ["cx", "cy"]).where("x between x0 and x1 and y between y0 and y1")
+    return boxed.where(rings.contains(F.col("ring"), F.col("x"), F.col("y"))).select("point", "parcel")
 
 
-def near_pairs(a: DataFrame, b: DataFrame, tol: float) -> DataFrame:
+def near_pairs(a: DataFrame, b: DataFrame, tol: float, also: str = "true") -> DataFrame:
     """(a_id, b_id, dist) of points within ``tol``: each a looks into its cell and the eight around."""
     around: Column = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     left = a.select(F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), around.alias("o"))
     left = left.withColumns({"cx": F.floor(F.col("ax") / tol) + F.col("o.i"), "cy": F.floor(F.col("ay") / tol) + F.col("o.j")})
     right = b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), F.floor(F.col("x") / tol).alias("cx"), F.floor(F.col("y") / tol).alias("cy"))
-    return left.join(right, ["cx", "cy"]).withColumn("dist", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("dist") <= tol).select("a_id", "b_id", "dist")
+    return left.join(right, ["cx", "cy"]).where(also).withColumn("dist", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("dist") <= tol).select("a_id", "b_id", "dist")
 
 
 def snap_query(points: DataFrame, nodes: DataFrame, tol: float) -> DataFrame:
@@ -59,5 +119,5 @@ def snap_query(points: DataFrame, nodes: DataFrame, tol: float) -> DataFrame:
 
 
 def duplicate_nodes(nodes: DataFrame, tol: float) -> DataFrame:
-    """(a_id, b_id, dist) of nodes a < b within ``tol``."""
-    return near_pairs(nodes, nodes, tol).where("a_id < b_id")
+    """(a_id, b_id, dist) of nodes a < b within ``tol``: the order is part of the join, so no pair is made twice."""
+    return near_pairs(nodes, nodes, tol, "a_id < b_id")

@@ -20,17 +20,19 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-PARCELS_SQL = """parcels AS (
-  SELECT o_orderkey AS id, (o_custkey * 7919) % 5000 * 1.0::DOUBLE AS x0, (o_orderkey * 104729) % 5000 * 1.0::DOUBLE AS y0,
-         ((o_custkey * 7919) % 5000 + 10 + o_orderkey % 40) * 1.0::DOUBLE AS x1, ((o_orderkey * 104729) % 5000 + 10 + o_custkey % 30) * 1.0::DOUBLE AS y1 FROM orders)"""
+PARCELS_SQL = """side AS (SELECT (40 * ceil(sqrt(count(*))))::BIGINT AS side FROM orders),
+placed AS (SELECT o_orderkey AS id, o_orderkey % 40 AS w, o_custkey % 30 AS h, (o_custkey * 7919 + o_orderkey * 31) % side AS x, (o_orderkey * 104729) % side AS y FROM orders, side),
+parcels AS (SELECT id, x::DOUBLE AS x0, y::DOUBLE AS y0, (x + 10 + w)::DOUBLE AS x1, (y + 10 + h)::DOUBLE AS y1 FROM placed)"""
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rectangular parcels from orders, as closed counter-clockwise rings."""
-    x0, y0 = (F.col("o_custkey") * 7919) % 5000, (F.col("o_orderkey") * 104729) % 5000
-    box = load(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 10 + F.col("o_orderkey") % 40).cast("double").alias("x1"), (y0 + 10 + F.col("o_custkey") % 30).cast("double").alias("y1")
-    )
+    """Rectangular parcels from orders, as closed counter-clockwise rings; the plane grows with the table, as dense at every size."""
+    orders = load(spark, sf_dir, "orders")
+    side = orders.agg((40 * F.ceil(F.sqrt(F.count("*")))).cast("long").alias("side"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    placed = orders.select("o_orderkey", "o_custkey").crossJoin(F.broadcast(side))  # one row
+    x0, y0 = (c * 7919 + k * 31) % F.col("side"), (k * 104729) % F.col("side")
+    box = placed.select(k.alias("id"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 10 + k % 40).cast("double").alias("x1"), (y0 + 10 + c % 30).cast("double").alias("y1"))
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     ring = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"), corner("x0", "y0"))
     return box.select("id", ring.alias("ring"))

@@ -78,17 +78,19 @@ def clip_polygons(spark, sf_dir) -> DataFrame:
     return rows.select("id", F.round(F.abs(rings.signed_area(rings.clip(F.col("ring"), window))), 3).alias("area"))
 
 
-_SHOTS = "shots AS (SELECT l_orderkey * 1000000 + l_partkey * 8 + l_linenumber AS id, l_partkey * 13 % 5000 + 0.37::DOUBLE AS x, (l_suppkey * 29 + l_orderkey) % 5000 + 0.71::DOUBLE AS y FROM lineitem)"
+_SHOTS = "shots AS (SELECT l_orderkey * 1000000 + l_partkey * 8 + l_linenumber AS id, (l_partkey * 13 + l_orderkey * 17) % side + 0.37::DOUBLE AS x, (l_suppkey * 29 + l_orderkey) % side + 0.71::DOUBLE AS y FROM lineitem, side)"
 
 
 def shots(spark, sf_dir) -> DataFrame:
     k = F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 8 + F.col("l_linenumber")
-    return load(spark, sf_dir, "lineitem").select(k.alias("id"), (F.col("l_partkey") * 13 % 5000 + 0.37).alias("x"), ((F.col("l_suppkey") * 29 + F.col("l_orderkey")) % 5000 + 0.71).alias("y"))
+    side = load(spark, sf_dir, "orders").agg((40 * F.ceil(F.sqrt(F.count("*")))).cast("long").alias("side"))
+    x, y = (F.col("l_partkey") * 13 + F.col("l_orderkey") * 17) % F.col("side"), (F.col("l_suppkey") * 29 + F.col("l_orderkey")) % F.col("side")
+    return load(spark, sf_dir, "lineitem").crossJoin(F.broadcast(side)).select(k.alias("id"), (x + 0.37).alias("x"), (y + 0.71).alias("y"))
 
 
 @query("points_in_parcels", f"{_P}, {_SHOTS} SELECT s.id AS point, p.id AS parcel FROM shots s JOIN parcels p ON s.x > p.x0 AND s.x < p.x1 AND s.y > p.y0 AND s.y < p.y1")
 def points_in_parcels(spark, sf_dir) -> DataFrame:
-    return spatial.points_in_parcels(shots(spark, sf_dir), B.parcels(spark, sf_dir), 64.0)
+    return spatial.points_in_parcels(shots(spark, sf_dir), B.parcels(spark, sf_dir), 40.0)
 
 
 _NODES = f"{_P}, {_SHOTS}, near AS (SELECT s.id, n.id AS node, round(sqrt((s.x - n.x0) ** 2 + (s.y - n.y0) ** 2), 9) AS dist FROM shots s JOIN parcels n ON abs(s.x - n.x0) <= 8 AND abs(s.y - n.y0) <= 8 WHERE sqrt((s.x - n.x0) ** 2 + (s.y - n.y0) ** 2) <= 8)"
