@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadastre.sources.field import scan_nmea
+
 from cadastre.functions import cogo
 
 #: How late a row may come.
@@ -56,3 +58,8 @@ def ingest_dedupe(texts: DataFrame) -> DataFrame:
 def live_closure(legs: DataFrame) -> DataFrame:
     """(t, n, dx, dy, perimeter) of the legs(t, az, d) that have arrived, in any order."""
     return legs.groupBy("t").agg(F.count("*").alias("n"), F.sum(cogo.departure(F.col("az"), F.col("d"))).alias("dx"), F.sum(cogo.latitude(F.col("az"), F.col("d"))).alias("dy"), F.sum("d").alias("perimeter"))
+
+
+def stream_fixes(lines: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Positions of the GGA sentences in lines(ts, .., line), by the plan of the batch scan, with a watermark on ts."""
+    return scan_nmea(lines.withWatermark("ts", delay))
