@@ -1,10 +1,20 @@
-"""Least-squares networks: normal equations and the shape of a point's error."""
+"""Least-squares networks: linearised rows, normal equations, adjustment of many networks at once, and its statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadastre.operators.observations import usable_observations
+from cadastre.sources.tables import written
+
 
 def normal_equations(rows: DataFrame) -> DataFrame:
     """(net, i, j, value) of A'WA from rows(net, row, param, coef, misclosure, weight); j null holds A'Wl.
@@ -28,3 +38,212 @@ def error_ellipses(covariances: DataFrame, scale: float = 2.45) -> DataFrame:
 def point_sigmas(covariance: DataFrame) -> DataFrame:
     """(net, i, sigma): roots of the diagonal of covariance(net, i, j, value)."""
     return covariance.where("i = j").select("net", "i", F.sqrt("value").alias("sigma"))
+
+
+#: Standard deviation of an observation that states none, by kind (radians or metres).
+SIGMAS = {"azimuth": 0.001 * math.pi / 180, "horizontal_angle": 0.001 * math.pi / 180, "horizontal_distance": 0.005, "slope_distance": 0.005, "height_difference": 0.002, "gnss": 0.005}
+AXES = ("x", "y", "z")
+
+
+def free_params(points: DataFrame, mode: str = "auto") -> DataFrame:
+    """(net, id, axis) of the coordinates of points(net, id, ord, fixed) that an adjustment may move.
+
+    free: all.  partial, full: those of points that aren't fixed.  minimal: all
+    but the first fixed point (or the first of all) and x of the second fixed
+    one.  auto: partial for networks with two fixed points, else minimal.
+    """
+    if mode not in ("auto", "free", "minimal", "partial", "full"):
+        raise ValueError(f"unknown mode {mode}")
+    net, fixed = Window.partitionBy("net"), F.coalesce("fixed", F.lit(False))
+    ranked = points.withColumns({"fixed": fixed, "n_fixed": F.sum(fixed.cast("int")).over(net), "rank": F.row_number().over(net.orderBy((~fixed).cast("int"), "ord"))})
+    minimal = (F.col("rank") == 1) | ((F.col("rank") == 2) & F.col("fixed") & (F.col("axis") == "x"))
+    held = {"free": F.lit(False), "partial": F.col("fixed"), "full": F.col("fixed"), "minimal": minimal, "auto": F.when(F.col("n_fixed") >= 2, F.col("fixed")).otherwise(minimal)}
+    axes = F.explode(F.array(*map(F.lit, AXES))).alias("axis")
+    return ranked.select("net", "id", "fixed", "n_fixed", "rank", axes).where(~held[mode]).select("net", "id", "axis")
+
+
+def jacobian_rows(points: DataFrame, obs: DataFrame, free: DataFrame) -> DataFrame:
+    """(net, row, id, axis, coef, misclosure, weight): linearised obs(net, obs, kind, from_pt, to_pt, value, vector, sigma).
+
+    points(net, id, x, y, z) are the present coordinates; row is struct(obs,
+    part), a GNSS vector has three parts.  Observations whose ends coincide or
+    aren't known, of other kinds or rejected ones give no row.
+    """
+    ends = points.select("net", F.col("id").alias("pt"), F.struct("x", "y", "z").alias("at"))
+    placed = usable_observations(obs).join(ends.withColumnsRenamed({"pt": "from_pt", "at": "p"}), ["net", "from_pt"]).join(ends.withColumnsRenamed({"pt": "to_pt", "at": "q"}), ["net", "to_pt"])
+    placed = placed.withColumns({f"d{c}": F.col(f"q.{c}") - F.col(f"p.{c}") for c in AXES})
+    dx, dy, dz = (F.col(f"d{c}") for c in AXES)
+    placed = placed.withColumns({"flat": F.sqrt(dx * dx + dy * dy), "slope": F.sqrt(dx * dx + dy * dy + dz * dz)})
+    flat, slope, value = F.nullif(F.col("flat"), F.lit(0.0)), F.nullif(F.col("slope"), F.lit(0.0)), F.col("value")
+    off = F.pmod(value - F.atan2(dx, dy) + F.pi(), F.lit(2 * math.pi)) - F.pi()
+    none = F.lit(0.0)
+
+    def part(number: int, misclosure: Column, *coefs: Column) -> Column:
+        return F.struct(F.lit(number).alias("part"), misclosure.alias("misclosure"), F.struct(*[c.alias(a) for a, c in zip(AXES, coefs, strict=True)]).alias("to"))
+
+    turned = F.array(part(0, off, dy / (flat * flat), -dx / (flat * flat), none))
+    parts = (
+        F.when(F.col("kind").isin("azimuth", "horizontal_angle"), turned)
+        .when(F.col("kind") == "horizontal_distance", F.array(part(0, value - flat, dx / flat, dy / flat, none)))
+        .when(F.col("kind") == "slope_distance", F.array(part(0, value - slope, dx / slope, dy / slope, dz / slope)))
+        .when(F.col("kind") == "height_difference", F.array(part(0, value - dz, none, none, F.lit(1.0))))
+        .otherwise(F.array(*[part(i, F.col("vector")[i] - F.col(f"d{c}"), *[F.lit(float(c == a)) for a in AXES]) for i, c in enumerate(AXES)]))
+    )
+    usual = F.lit(None).cast("double")
+    for kind, sigma in SIGMAS.items():
+        usual = F.when(F.col("kind") == kind, F.lit(sigma)).otherwise(usual)
+    sigma = F.coalesce("sigma", usual)
+    rows = placed.select("net", "obs", "from_pt", "to_pt", (1 / (sigma * sigma)).alias("weight"), F.explode(parts).alias("r")).where("r.misclosure is not null")
+    sides = F.array(*[F.struct(F.col(pt).alias("id"), F.lit(a).alias("axis"), (F.col(f"r.to.{a}") * sign).alias("coef")) for pt, sign in (("to_pt", 1.0), ("from_pt", -1.0)) for a in AXES])
+    out = rows.select("net", F.struct("obs", "r.part").alias("row"), "r.misclosure", "weight", F.explode(sides).alias("s")).select("net", "row", "s.id", "s.axis", "s.coef", "misclosure", "weight")
+    return out.where("coef != 0").join(free, ["net", "id", "axis"], "left_semi")
+
+
+def _solve(table: pa.Table) -> pa.RecordBatch:
+    """Whole networks' rows (net, i, j, value) to (net, i, j, dx, q); networks of one size are solved together."""
+    net, value = table["net"].to_numpy(), table["value"].to_numpy()
+    group = np.cumsum(np.append(False, net[1:] != net[:-1]))
+    left, right = table["i"].combine_chunks(), table["j"].combine_chunks()
+    names = pa.concat_arrays([left, pc.fill_null(right, "")]).dictionary_encode()
+    codes, width = names.indices.to_numpy().astype(np.int64), len(names.dictionary)
+    key = group * width + codes[: len(net)]
+    params = np.unique(key)
+    begin = np.searchsorted(params, np.arange(group[-1] + 2) * width)
+    row = np.searchsorted(params, key) - begin[group]
+    column = np.searchsorted(params, group * width + codes[len(net) :]) - begin[group]
+    known, size, out = right.is_null().to_numpy(zero_copy_only=False), np.diff(begin), []
+    for n in np.unique(size).tolist():
+        own = np.flatnonzero(size == n)
+        place = np.full(len(size), -1)
+        place[own] = np.arange(len(own))
+        here = place[group] >= 0
+        normal, absolute = np.zeros((len(own), n, n)), np.zeros((len(own), n))
+        inner, outer = here & ~known, here & known
+        normal[place[group[inner]], row[inner], column[inner]] = value[inner]
+        absolute[place[group[outer]], row[outer]] = value[outer]
+        # Networks without enough held points have no inverse; the least solution of all stands in.
+        low = ~(np.linalg.cond(normal) < 1e14)
+        q = np.zeros_like(normal)
+        q[~low], q[low] = np.linalg.inv(normal[~low]), np.linalg.pinv(normal[low], hermitian=True)
+        x = (q @ absolute[:, :, None])[:, :, 0]
+        g, i, j = np.indices(q.shape).reshape(3, -1)
+        out.append((own[g], params[begin[own[g]] + i] % width, params[begin[own[g]] + j] % width, np.where(i == j, x[g, i], np.nan), q.ravel()))
+    g, i, j, dx, q = (np.concatenate(c) for c in zip(*out, strict=True))
+    first = table["net"].combine_chunks().take(pa.array(np.searchsorted(group, g)))
+    named = [names.dictionary.take(pa.array(c)) for c in (i, j)]
+    return pa.RecordBatch.from_arrays([first, *named, pa.array(dx), pa.array(q)], names=["net", "i", "j", "dx", "q"])
+
+
+def _solve_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by net; the last network of a batch may go on in the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        net = batch.column(0).to_numpy(zero_copy_only=False)
+        last = int(np.flatnonzero(net == net[-1])[0])
+        if held and (last or held[-1].column(0)[-1].as_py() != net[0]):
+            yield _solve(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        elif last:
+            yield _solve(pa.Table.from_batches([batch.slice(0, last)]))
+        held.append(batch.slice(last))
+    if held:
+        yield _solve(pa.Table.from_batches(held))
+
+
+def solved(rows: DataFrame) -> DataFrame:
+    """(net, i, j, dx, q): corrections (where i = j) and cofactors of each network's Jacobian rows; i, j are "id axis".
+
+    A network's normal matrix is dense and stands in one task: that bounds the
+    number of coordinates of a network, never the number of networks.
+    """
+    net = dict(rows.dtypes)["net"]
+    param = rows.select("net", "row", F.concat_ws(" ", "id", "axis").alias("param"), "coef", "misclosure", "weight")
+    equations = normal_equations(param).select("net", "i", "j", "value").repartition("net").sortWithinPartitions("net")
+    return equations.mapInArrow(_solve_all, f"net {net}, i string, j string, dx double, q double")
+
+
+def adjust_networks(points: DataFrame, obs: DataFrame, free: DataFrame, most: int = 12, close: float = 0.0005) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gauss-Newton over all networks at once: points(net, id, x, y, z, turns, converged), covariance cofactors, and rejects(net, reason).
+
+    Rows are assembled by joins, every network is solved in a group of its own,
+    and each turn's coordinates are written.  A network leaves once no
+    coordinate moves more than ``close``; one that has fewer rows than
+    coordinates is rejected.
+    """
+    first = jacobian_rows(points, obs, free)
+    sizes = first.groupBy("net").agg(F.countDistinct("row").alias("rows"), F.countDistinct("id", "axis").alias("params"))
+    rejects = written(points.select("net").distinct().join(sizes, "net", "left").where("coalesce(rows, 0) < coalesce(params, 1)").select("net", F.lit("underdetermined").alias("reason")), "rejects")
+    now = points.join(rejects, "net", "left_anti").select("net", "id", *AXES, F.lit(0).alias("turns"), F.lit(False).alias("converged"))
+    now, done, cofactors = written(now, "points"), [], []
+    for turn in range(1, most + 1):
+        got = written(solved(jacobian_rows(now, obs, free)), "solved")
+        moves = got.where("i = j").groupBy("net", F.split("i", " ")[0].alias("id")).agg(*[F.max(F.when(F.split("i", " ")[1] == a, F.col("dx"))).alias(f"m{a}") for a in AXES])
+        still = got.where("i = j").groupBy("net").agg((F.max(F.abs("dx")) <= close).alias("closed"))
+        next_ = now.withColumn("name", F.col("id").cast("string")).join(moves.withColumnRenamed("id", "name"), ["net", "name"], "left").join(still, "net", "left")
+        now = written(next_.select("net", "id", *[(F.col(a) + F.coalesce(f"m{a}", F.lit(0.0))).alias(a) for a in AXES], F.lit(turn).alias("turns"), F.coalesce("closed", F.lit(True)).alias("converged")), "points")
+        ready = now.where("converged" if turn < most else "true")
+        done.append(ready)
+        cofactors.append(got.join(ready.select("net").distinct(), "net", "left_semi").select("net", "i", "j", F.col("q").alias("value")))
+        now = now.where("not converged")
+        if now.isEmpty():
+            break
+    union = lambda tables: reduce(DataFrame.unionByName, tables)
+    return union(done), union(cofactors), rejects
+
+
+def adjust_levels(points: DataFrame, obs: DataFrame, free: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """adjust_networks for height differences alone: linear, so one turn is exact."""
+    return adjust_networks(points, obs.where("kind = 'height_difference'"), free, most=1)
+
+
+def residuals_blunders(points: DataFrame, obs: DataFrame, free: DataFrame, cofactors: DataFrame, threshold: float = 3.29, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Residuals (net, obs, part, v, standardized, blunder) and networks (net, redundancy, sigma0_sq) at adjusted points.
+
+    A residual is computed minus observed; it is divided by the root of 1/w - a
+    Q a', or with ``compat`` of 1/w - a Q a' without the variance taken out of Q.
+    """
+    rows = jacobian_rows(points, obs, free)
+    params = rows.groupBy("net").agg(F.countDistinct("id", "axis").alias("params"))
+    single = rows.groupBy("net", "row").agg(F.first("misclosure").alias("misclosure"), F.first("weight").alias("weight"))
+    nets = single.groupBy("net").agg(F.count("*").alias("rows"), F.sum(F.col("weight") * F.col("misclosure") * F.col("misclosure")).alias("wvv")).join(params, "net")
+    nets = nets.select("net", (F.col("rows") - F.col("params")).alias("redundancy"), F.when(F.col("rows") > F.col("params"), F.col("wvv") / (F.col("rows") - F.col("params"))).otherwise(0.0).alias("sigma0_sq"))
+    one = rows.select("net", "row", F.concat_ws(" ", "id", "axis").alias("i"), F.col("coef").alias("ci"))
+    pairs = one.join(one.select("net", "row", F.col("i").alias("j"), F.col("ci").alias("cj")), ["net", "row"]).join(cofactors, ["net", "i", "j"])
+    spread = pairs.groupBy("net", "row").agg(F.sum(F.col("ci") * F.col("cj") * F.col("value")).alias("aqa"))
+    out = single.join(spread, ["net", "row"], "left").join(nets, "net")
+    scale = F.greatest("sigma0_sq", F.lit(1e-30)) if compat else F.lit(1.0)
+    room = F.greatest(1 / F.col("weight") - F.coalesce("aqa", F.lit(0.0)) / scale, F.lit(1e-30))
+    out = out.withColumn("v", -F.col("misclosure")).withColumn("standardized", F.col("v") / F.sqrt(room))
+    return out.select("net", "row.obs", "row.part", "v", "standardized", (F.abs("standardized") > threshold).alias("blunder")), nets
+
+
+def _gamma_part(a: float, x: float) -> float:
+    """Regularised lower incomplete gamma function, by its series."""
+    term = total = 1 / a
+    n = a
+    while term > total * 1e-16:
+        n += 1
+        term *= x / n
+        total += term
+    return total * math.exp(a * math.log(x) - x - math.lgamma(a)) if x > 0 else 0.0
+
+
+def chi_square_quantile(p: float, r: int) -> float:
+    low, high = 0.0, r + 40 * math.sqrt(2 * r) + 40
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _gamma_part(r / 2, middle / 2) < p else (low, middle)
+    return (low + high) / 2
+
+
+def chi_square_gate(nets: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """nets(net, redundancy, sigma0_sq) with ``passes``: redundancy * sigma0_sq between both critical values; false without redundancy.
+
+    The critical values stand in a table of the redundancies that occur.
+    """
+    found = [r.redundancy for r in nets.where("redundancy > 0").select("redundancy").distinct().collect()]
+    table = nets.sparkSession.createDataFrame([(int(r), chi_square_quantile(alpha / 2, r), chi_square_quantile(1 - alpha / 2, r)) for r in sorted(found)], "redundancy long, low double, high double")
+    chi = F.col("redundancy") * F.col("sigma0_sq")
+    return nets.join(F.broadcast(table), "redundancy", "left").withColumn("passes", F.coalesce(chi.between(F.col("low"), F.col("high")), F.lit(False))).drop("low", "high")

@@ -1,9 +1,30 @@
-"""Reading the given tables."""
+"""Reading the given tables, and writing intermediate ones."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows written as Parquet in the folder of spark.checkpoint.dir and read back: cuts the lineage of loops.
+
+    A fresh local folder stands in where the setting is missing and all runs in one process.
+    """
+    spark = df.sparkSession
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    path, schema = f"{where.rstrip('/')}/cadastre-{label}-{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
