@@ -27,7 +27,3 @@ def longs(values: np.ndarray) -> pa.Array:
 
 def ints(values: np.ndarray) -> pa.Array:
     return pa.array(np.asarray(values).astype(np.int32, copy=False))
-
-
-def repeat_key(keys: list[int], sizes: list[int]) -> np.ndarray:
-    return np.repeat(np.array(keys, dtype=np.int64), np.array(sizes, dtype=np.int64))

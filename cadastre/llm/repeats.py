@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastre.llm import hashing
-from cadastre.llm.arrow import byte_rows, ints, longs, repeat_key
+from cadastre.llm.arrow import byte_rows, ints, longs
 from cadastre.llm.tables import drop, written
 
 #: A trigger with more distinct phrases than this is compared by rows, not in a task's memory.
@@ -67,56 +67,58 @@ class Windows:
 def _phrases(windows: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, parts = [], [], []
-            for key, data in zip(batch.column(0).to_pylist(), byte_rows(batch.column(1)), strict=True):
+            rows, sizes, parts = [], [], []
+            for row, data in enumerate(byte_rows(batch.column(2))):
                 if len(data) < windows.size:
                     continue
                 found = hashing.anchors(windows.symbols(data), windows.gram, windows.size)
                 if len(found[0]):
-                    keys.append(key), sizes.append(len(found[0])), parts.append(found)
+                    rows.append(row), sizes.append(len(found[0])), parts.append(found)
             if parts:
                 g, c, a, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([longs(g), longs(c), longs(repeat_key(keys, sizes)), ints(a), ints(n)], names=["g", "c", "k", "a", "n"])
+                of = np.repeat(rows, sizes)
+                k, x = (batch.column(i).to_numpy()[of] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([longs(g), longs(c), longs(k), longs(x), ints(a), ints(n)], names=["g", "c", "k", "x", "a", "n"])
 
     return run
 
 
 def _cut_out(windows: Windows):
-    """(k, text, parts) to one row for each part, with its payload."""
+    """(k, x, text, parts) to one row for each part, with its payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = batch.column(2)
+            parts = batch.column(3)
             flat, rows = parts.flatten(), np.diff(parts.offsets.to_numpy())
             at, a, n = 0, flat.field("a").to_numpy(), flat.field("n").to_numpy()
             payloads: list[bytes] = []
-            for data, count in zip(byte_rows(batch.column(1)), rows, strict=True):
+            for data, count in zip(byte_rows(batch.column(2)), rows, strict=True):
                 payloads += windows.payload(data, a[at : at + count], n[at : at + count])
                 at += count
-            key = np.repeat(batch.column(0).to_numpy(), rows)
+            key, other = (np.repeat(batch.column(i).to_numpy(), rows) for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [flat.field("g"), flat.field("heavy"), longs(key), ints(a), pa.array(payloads, type=pa.binary())],
-                names=["g", "heavy", "k", "a", "payload"],
+                [flat.field("g"), flat.field("heavy"), longs(key), longs(other), ints(a), pa.array(payloads, type=pa.binary())],
+                names=["g", "heavy", "k", "x", "a", "payload"],
             )
 
     return run
 
 
-def _shared_runs(windows: Windows, keys: list[np.ndarray], starts: list[np.ndarray], hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Runs of windows that started earlier, among phrases all of which are here."""
+def _shared_runs(windows: Windows, keys: np.ndarray, others: np.ndarray, starts: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, ...] | None:
+    """Runs (k, x, a, n) of windows that started earlier, among phrases all of which are here."""
     if not hashes:
         return None
     sizes = [len(h) for h in hashes]
     h, phrase = np.concatenate(hashes), np.repeat(np.arange(len(sizes)), sizes)
-    key = np.repeat(np.concatenate(keys), sizes)
-    pos = np.concatenate([a + np.arange(n) for a, n in zip(np.concatenate(starts), sizes, strict=True)])
-    order = np.lexsort((pos, key, h))
-    hs, ks, ps = h[order], key[order], pos[order]
+    key, other = np.repeat(keys, sizes), np.repeat(others, sizes)
+    pos = np.concatenate([a + np.arange(n) for a, n in zip(starts, sizes, strict=True)])
+    order = np.lexsort((pos, other, key, h))
+    hs, ks, xs, ps = h[order], key[order], other[order], pos[order]
     head = np.append(True, hs[1:] != hs[:-1])
     first = np.maximum.accumulate(np.where(head, np.arange(len(hs)), 0))
     later = ks > ks[first]
     if windows.within:
-        later |= ps > ps[first]
+        later |= (xs > xs[first]) | ((xs == xs[first]) & (ps > ps[first]))
     mark = np.zeros(len(h), dtype=bool)
     mark[order] = later
     hit = np.flatnonzero(mark)
@@ -124,37 +126,38 @@ def _shared_runs(windows: Windows, keys: list[np.ndarray], starts: list[np.ndarr
         return None
     new = np.append(True, (np.diff(hit) != 1) | (np.diff(phrase[hit]) != 0))
     begin = hit[new]
-    return key[begin], pos[begin], np.diff(np.append(np.flatnonzero(new), len(hit)))
+    return key[begin], other[begin], pos[begin], np.diff(np.append(np.flatnonzero(new), len(hit)))
 
 
 def _compare(windows: Windows):
-    """Rows sorted by trigger; phrases with one trigger stand together."""
+    """Rows (g, k, x, a, payload) sorted by trigger; phrases with one trigger stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         waiting = 0
 
         def flush(rows):
-            out = _shared_runs(windows, [x[1] for x in rows], [x[2] for x in rows], [h for x in rows for h in x[3]])
+            k, x, a = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 3))
+            out = _shared_runs(windows, k, x, a, [h for r in rows for h in r[4]])
             if out is not None:
-                k, a, n = out
-                yield pa.RecordBatch.from_arrays([longs(k), ints(a), ints(n)], names=["k", "a", "n"])
+                k, x, a, n = out
+                yield pa.RecordBatch.from_arrays([longs(k), longs(x), ints(a), ints(n)], names=["k", "x", "a", "n"])
 
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            g, k, a = (batch.column(i).to_numpy() for i in range(3))
-            hashes = [windows.hashes(x) for x in byte_rows(batch.column(3))]
+            g, k, x, a = (batch.column(i).to_numpy() for i in range(4))
+            hashes = [windows.hashes(p) for p in byte_rows(batch.column(4))]
             last = int(np.searchsorted(g, g[-1]))  # the last trigger may go on in the next batch
             if held and last == 0 and held[-1][0][-1] != g[0]:
                 yield from flush(held)
                 held, waiting = [], 0
-            held.append((g[:last], k[:last], a[:last], hashes[:last]))
+            held.append((g[:last], k[:last], x[:last], a[:last], hashes[:last]))
             waiting += sum(map(len, hashes))
             if waiting >= CHUNK and last:
                 yield from flush(held)
                 held, waiting = [], 0
-            held.append((g[last:], k[last:], a[last:], hashes[last:]))
+            held.append((g[last:], k[last:], x[last:], a[last:], hashes[last:]))
         if held:
             yield from flush(held)
 
@@ -164,47 +167,49 @@ def _compare(windows: Windows):
 def _explode(windows: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [windows.hashes(x) for x in byte_rows(batch.column(2))]
+            hashes = [windows.hashes(p) for p in byte_rows(batch.column(3))]
             if hashes:
                 sizes = [len(h) for h in hashes]
-                pos = np.concatenate([a + np.arange(n) for a, n in zip(batch.column(1).to_numpy(), sizes, strict=True)])
-                yield pa.RecordBatch.from_arrays([longs(np.concatenate(hashes)), longs(np.repeat(batch.column(0).to_numpy(), sizes)), ints(pos)], names=["h", "k", "a"])
+                pos = np.concatenate([a + np.arange(n) for a, n in zip(batch.column(2).to_numpy(), sizes, strict=True)])
+                k, x = (np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([longs(np.concatenate(hashes)), longs(k), longs(x), ints(pos)], names=["h", "k", "x", "a"])
 
     return run
 
 
 def repeated_windows(texts: DataFrame, windows: Windows, light: int = LIGHT) -> DataFrame:
-    """Windows of (k, text) rows that start earlier elsewhere: (k, ranges array<struct<a, n>>).
+    """Windows of (k, x, text) rows that start earlier elsewhere: (k, x, ranges array<struct<a, n>>).
 
-    A range is n consecutive windows, the first starting at symbol a.  Earlier
-    means a smaller k, or with ``within`` also the same k and a smaller start.
-    Documents without such a window have no row.
+    A range is n consecutive windows, the first starting at symbol a.  A
+    document is a pair (k, x), of one text.  Earlier means a smaller k, or with
+    ``within`` also the same k and a smaller x, or the same document and a
+    smaller start.  Documents without such a window have no row.
     """
-    phrases = written(texts.mapInArrow(_phrases(windows), "g long, c long, k long, a int, n int"), "phrases")
+    phrases = written(texts.mapInArrow(_phrases(windows), "g long, c long, k long, x long, a int, n int"), "phrases")
     repeated = phrases.groupBy("g").agg(F.count("*").alias("times"), F.min("k").alias("lo"), F.max("k").alias("hi"))
     repeated = repeated.where(F.col("times") > 1 if windows.within else F.col("lo") < F.col("hi")).select("g")
     triggers = written(repeated, "triggers")
     found = written(phrases.join(triggers, "g", "left_semi"), "occurrences")
     drop(phrases, triggers)
 
-    order = F.struct("k", "a") if windows.within else F.struct("k")
+    order = F.struct("k", "x", "a") if windows.within else F.struct("k")
     distinct = written(found.groupBy("g", "c").agg(F.min(order).alias("first")), "distinct")
     shared = written(distinct.groupBy("g").agg(F.count("*").alias("distinct")).where("distinct > 1"), "shared")
     dictionary = written(distinct.join(shared, "g", "left"), "dictionary")
-    placed = found.join(dictionary, ["g", "c"]).select("g", "k", "a", "n", (order > F.col("first")).alias("later"), "distinct")
+    placed = found.join(dictionary, ["g", "c"]).select("g", "k", "x", "a", "n", (order > F.col("first")).alias("later"), "distinct")
     placed = written(placed.where("later or distinct is not null"), "placed")
     drop(found, distinct, shared, dictionary)
 
-    whole = placed.where("later").select("k", "a", "n")
-    parts = placed.where("not later").groupBy("k").agg(F.collect_list(F.struct("g", (F.col("distinct") > light).alias("heavy"), "a", "n")).alias("parts"))
-    cut = texts.join(parts, "k").select("k", "text", "parts").mapInArrow(_cut_out(windows), "g long, heavy boolean, k long, a int, payload binary")
+    whole = placed.where("later").select("k", "x", "a", "n")
+    parts = placed.where("not later").groupBy("k", "x").agg(F.collect_list(F.struct("g", (F.col("distinct") > light).alias("heavy"), "a", "n")).alias("parts"))
+    cut = texts.join(parts, ["k", "x"]).select("k", "x", "text", "parts").mapInArrow(_cut_out(windows), "g long, heavy boolean, k long, x long, a int, payload binary")
     cut = written(cut, "boundary")
-    same = cut.where("not heavy").select("g", "k", "a", "payload").repartition("g").sortWithinPartitions("g")
-    same = same.mapInArrow(_compare(windows), "k long, a int, n int")
-    rows = cut.where("heavy").select("k", "a", "payload").mapInArrow(_explode(windows), "h long, k long, a int")
+    same = cut.where("not heavy").select("g", "k", "x", "a", "payload").repartition("g").sortWithinPartitions("g")
+    same = same.mapInArrow(_compare(windows), "k long, x long, a int, n int")
+    rows = cut.where("heavy").select("k", "x", "a", "payload").mapInArrow(_explode(windows), "h long, k long, x long, a int")
     first = rows.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    hot = rows.join(first, "h").where(order > F.col("first")).select("k", "a", F.lit(1).alias("n"))
-    return whole.unionByName(same).unionByName(hot).groupBy("k").agg(F.collect_list(F.struct("a", "n")).alias("ranges"))
+    hot = rows.join(first, "h").where(order > F.col("first")).select("k", "x", "a", F.lit(1).alias("n"))
+    return whole.unionByName(same).unionByName(hot).groupBy("k", "x").agg(F.collect_list(F.struct("a", "n")).alias("ranges"))
 
 
 def merged(ranges_a: np.ndarray, ranges_n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

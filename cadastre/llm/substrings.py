@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cadastre.llm import hashing
 from cadastre.llm.arrow import byte_rows
 from cadastre.llm.repeats import Windows, merged, repeated_windows
-from cadastre.llm.tables import keyed, unkeyed
+from cadastre.llm.tables import identified, unkeyed
 
 _OUT = "k long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -55,13 +55,15 @@ def remove_repeats(docs: DataFrame, windows: Windows, key: str = "doc_id", text:
 
     ``kept`` is what is left, as bytes (a removed byte string may end inside a
     character); null with ``with_text=False``.  A null text is empty: no units,
-    nothing removed.  A null key counts as the smallest key.  Rows with one key
-    are one document to each other: copies of a row get the same result.  Other
-    columns are ignored and may have any names.  An empty table gives no rows.
+    nothing removed.  A null key counts as the smallest key.  Repeated rows are
+    one document, and get the same result; rows of one key with different texts
+    are documents of their own, in the order of their texts' hashes where an
+    order counts.  Other columns are ignored and may have any names.  An empty
+    table gives no rows.
     """
-    texts = keyed(docs, key, text)
+    texts = identified(docs, key, text)
     none = F.from_json(F.lit("[]"), "array<struct<a:int,n:int>>")
-    joined = texts.join(repeated_windows(texts, windows), "k", "left").select("k", "text", F.coalesce("ranges", none).alias("ranges"))
+    joined = texts.join(repeated_windows(texts, windows), ["k", "x"], "left").select("k", "text", F.coalesce("ranges", none).alias("ranges"))
     return joined.mapInArrow(_removed(windows, with_text), _OUT).select(unkeyed().alias(key), "n_units", "n_removed", "n_spans", "kept_sha256", "kept")
 
 

@@ -69,6 +69,14 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
 
 
+def identified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k, x, text): as keyed(), with x telling apart the texts of a key that has several (their hash; 0 where a key has one)."""
+    rows = keyed(docs, key, text)
+    texts = rows.select("k", F.xxhash64("text").alias("x")).groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    several = written(texts.where("lo != hi").select("k", F.lit(True).alias("several")), "shared-keys")
+    return rows.join(several, "k", "left").select("k", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("x"), "text")
+
+
 def row_identity(key: Column, text: Column) -> tuple[Column, Column]:
     """(k, x) of a row as keyed() and the hash of its text have them: tells rows apart that share a key."""
     return F.coalesce(key.cast("long"), F.lit(NO_KEY)), F.xxhash64(F.coalesce(text, F.lit("")))

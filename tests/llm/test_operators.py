@@ -23,7 +23,7 @@ from cadastre.llm.repeats import Windows, repeated_windows
 from cadastre.llm.secrets import BASE as BASE_KINDS
 from cadastre.llm.secrets import COMPLETED_BY, KINDS, SCOPE, WEAK, secret_spans
 from cadastre.llm.substrings import suffix_dedup, window_dedup
-from cadastre.llm.tables import keyed
+from cadastre.llm.tables import identified
 from cadastre.llm.tokens import read_documents, read_tokens, write_tokens
 from cadastre.llm.toxicity import train, with_toxicity
 
@@ -80,8 +80,32 @@ def test_window_dedup_and_heavy_triggers(docs, empty):
         assert (got[i * 3].n_units, got[i * 3].n_removed, got[i * 3].kept_sha256) == (len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
     assert window_dedup(empty).count() == 0
     for w in (Windows("words", 13, 4, False), Windows("bytes", 100, 16, True)):
-        cover = lambda df, size=w.size: {r.k: {a + j for a, n in r.ranges for j in range(n)} for r in df.collect()}
-        assert cover(repeated_windows(keyed(docs), w, light=0)) == cover(repeated_windows(keyed(docs), w))
+        cover = lambda df, size=w.size: {(r.k, r.x): {a + j for a, n in r.ranges for j in range(n)} for r in df.collect()}
+        assert cover(repeated_windows(identified(docs), w, light=0)) == cover(repeated_windows(identified(docs), w))
+
+
+def test_removal_among_rows_that_share_a_key(spark):
+    long = BASE[:900]
+    rows = [(5, long + " one more"), (5, "short"), (5, "other " + long), (5, "short"), (None, OTHER[:600]), (None, "x " + OTHER[:600]), (None, None), (9, long), (7, OTHER[:300] + OTHER[:300])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    several = {None, 5}
+    keys = sorted({(-1 if k is None else k, hashes[x] if k in several else 0, x or "") for k, x in rows})
+    seen_bytes, seen_words, expected = set(), {}, {}
+    for k, _, x in keys:
+        data, words = x.encode(), x.split()
+        gone, out = [0] * len(data), [0] * len(words)
+        for s in range(len(data) - 99):
+            if data[s : s + 100] in seen_bytes:
+                gone[s : s + 100] = [1] * 100
+            seen_bytes.add(data[s : s + 100])
+        for s in range(len(words) - 12):
+            if seen_words.setdefault(tuple(words[s : s + 13]), k) < k:
+                out[s : s + 13] = [1] * 13
+        expected[k, x] = (len(data), sum(gone)), (len(words), sum(out))
+    for i, remove in enumerate((suffix_dedup, window_dedup)):
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_units, r.n_removed) for r in remove(docs).collect())
+        assert got == sorted((-1 if k is None else k, *expected[-1 if k is None else k, x or ""][i]) for k, x in rows)
 
 
 def test_jaccard_join(docs, empty):
