@@ -3,7 +3,8 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range, and
 the FLOOR least hashes where those are fewer.  Two sketches are compared below
 the lower of their limits, where both are complete: the estimate is unbiased
-for texts of any sizes, and sketches of parts merge into that of the whole.
+for texts of any sizes, and sketches of parts merge into one of the whole,
+complete up to the lower of their limits.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastre.llm.tables import NO_KEY, written
+from cadastre.llm.tables import keyed, unkeyed
 
 WIDTH = 5
 #: Hashes are 63-bit; those below 1/8 of the range are kept.
@@ -67,29 +68,28 @@ def merged(a: Column, b: Column) -> Column:
     return F.struct(F.array_sort(F.filter(F.array_union(a["h"], b["h"]), lambda v: v <= upto)).alias("h"), upto.alias("upto"))
 
 
-def with_next(rows: DataFrame, order: str, columns: list[str], buckets: int) -> DataFrame:
-    """Rows with ``next``: the columns of the row after it by ``order``; after the last comes the first.
+def _bucket(bounds: list[int]) -> Column:
+    """Range of (k, x) by the bounds of k; a key that is a bound several times is split as often by x."""
+    if not bounds:
+        return F.lit(0)
+    listed = F.array(*map(F.lit, bounds))
+    share = F.col("x") / F.lit(2.0**64) + 0.5
+    return F.size(F.filter(listed, lambda b: b < F.col("k"))) + F.floor(F.least(share, F.lit(1 - 1e-9)) * F.greatest(F.size(F.filter(listed, lambda b: b == F.col("k"))), F.lit(1))).cast("int")
+
+
+def with_next(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows (k, x, text) with ``next``: the text of the row after it by (k, x); after the last comes the first.
 
     Rows go to ranges of the order, and each range looks up the first row of
-    the next one that has rows.  ``order`` has no nulls.
+    the next one that has rows: one key for each range passes the driver.
     """
-    bounds = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else []
-    bounds = sorted(set(bounds or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b < F.col(order)))
-    ranged = rows.withColumn("bucket", bucket)
-    by = Window.partitionBy("bucket").orderBy(order, *columns)
-    own = F.struct(*columns)
-    ranged = ranged.withColumn("next", F.lead(own).over(by))
-    # The least row of each range: one row per range, found by its key.
-    firsts = [r.m for r in rows.groupBy(bucket.alias("bucket")).agg(F.min(order).alias("m")).collect()]
-    heads = rows.where(F.col(order).isin(firsts)).withColumn("bucket", bucket).groupBy("bucket").agg(F.min(F.struct(order, *columns)).alias("head"))
-    heads = written(heads, "heads")
-    spots = Window.orderBy("bucket")
-    first = F.first("head").over(spots.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    after = heads.select("bucket", F.coalesce(F.lead("head").over(spots), first).alias("after"))
-    joined = ranged.join(F.broadcast(after), "bucket")
-    follows = F.coalesce("next", F.struct(*[F.col(f"after.{c}").alias(c) for c in columns]))
-    return joined.withColumn("next", follows).drop("bucket", "after")
+    bounds = rows.agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else []
+    ranged = rows.withColumn("bucket", _bucket(sorted(bounds or [])))
+    firsts = sorted((r.bucket, r.m.k, r.m.x) for r in ranged.groupBy("bucket").agg(F.min(F.struct("k", "x")).alias("m")).collect())
+    heads = rows.sparkSession.createDataFrame([(b, *firsts[(i + 1) % len(firsts)][1:]) for i, (b, *_) in enumerate(firsts)], "bucket int, k long, x long")
+    after = rows.join(F.broadcast(heads), ["k", "x"]).dropDuplicates(["bucket"]).select("bucket", F.col("text").alias("after"))
+    own = ranged.withColumn("next", F.lead("text").over(Window.partitionBy("bucket").orderBy("k", "x")))
+    return own.join(after, "bucket").withColumn("next", F.coalesce("next", "after")).drop("bucket", "after")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -97,19 +97,16 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", bucke
 
     The edited text replaces the last quarter of the code points by the first
     as many of the next document.  A null text is empty; a null key comes
-    first; rows with one key follow each other by text.  A table of one row is
-    its own next.  Other columns are ignored; an empty table gives no rows.
+    first; rows with one key follow each other by the hash of their text, and
+    repeated rows one after the other.  A table of one row is its own next.
+    Other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    buckets = buckets or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = with_next(rows, "k", ["text"], buckets)
+    rows = keyed(docs, key, text).select("k", F.xxhash64("text").alias("x"), "text")
+    rows = with_next(rows, buckets or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next.text"), F.lit(1), quarter))
-    rows = rows.select("k", n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text")).alias("s"), sketch(edited).alias("e"))
-    rows = written(rows, "sketches")
-    rows = with_next(rows, "k", ["s", "edited_sha256"], buckets)
-    s, e = F.col("s"), F.col("e")
-    return rows.select(
-        F.when(F.col("k") != NO_KEY, F.col("k")).alias(key), "n_chars", "edited_sha256", fingerprint(s).alias("fingerprint"), fingerprint(e).alias("edited_fingerprint"), likeness(s, e).alias("near_edited"), likeness(s, F.col("next.s")).alias("near_next")
-    )
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next"), F.lit(1), quarter))
+    rows = rows.withColumn("edited", edited)
+    rows = rows.select("k", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[sketch(F.col(c)).alias(s) for c, s in (("text", "s"), ("edited", "e"), ("next", "t"))])
+    s, e, t = F.col("s"), F.col("e"), F.col("t")
+    return rows.select(unkeyed().alias(key), "n_chars", "edited_sha256", fingerprint(s).alias("fingerprint"), fingerprint(e).alias("edited_fingerprint"), likeness(s, e).alias("near_edited"), likeness(s, t).alias("near_next"))

@@ -14,6 +14,7 @@ from cadastre.llm import queries as Q
 from cadastre.llm.components import components
 from cadastre.llm.decontamination import contamination, decontaminated
 from cadastre.llm.fingerprints import fingerprints
+from cadastre.llm import fingerprints as fp
 from cadastre.llm import jaccard
 from cadastre.llm.jaccard import jaccard_join
 from cadastre.llm.licences import TEXTS as LICENCE_TEXTS
@@ -286,6 +287,50 @@ def test_fingerprints(docs, empty):
     assert fingerprints(empty, buckets=2).count() == 0
 
 
+def test_sketches_against_all_shingles(spark, docs):
+    texts = [*TEXTS, " ".join(f"u{i}" for i in range(3000)), " ".join(f"u{i}" for i in range(400)), " ".join(f"u{i}" for i in range(350, 420))]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", x or "") for x in texts]
+    shingles = [[w[i : i + 5] for i in range(max(1, len(w) - 4))] if w else [] for w in words]
+    rows = spark.createDataFrame([(i, w) for i, ws in enumerate(shingles) for w in ws], "i int, w array<string>")
+    hashes = [set() for _ in texts]
+    for r in rows.select("i", F.xxhash64("w").bitwiseAND(F.lit((1 << 63) - 1)).alias("h")).collect():
+        hashes[r.i].add(r.h)
+
+    def kept(own):
+        low = sorted(h for h in own if h < fp.LIMIT)
+        if len(low) >= fp.FLOOR:
+            return low, fp.LIMIT
+        least = sorted(own)[: fp.FLOOR]
+        return least, (1 << 63) - 1 if len(least) < fp.FLOOR else least[-1]
+
+    pairs = spark.createDataFrame([(i, j, texts[i], texts[j]) for i in range(len(texts)) for j in range(len(texts))], "i int, j int, a string, b string")
+    s, t = fp.sketch(F.col("a")), fp.sketch(F.col("b"))
+    pairs = pairs.select("i", "j", s.alias("s"), t.alias("t")).select("i", "j", "s", fp.fingerprint(F.col("s")).alias("text"), fp.likeness(F.col("s"), F.col("t")).alias("near"), fp.containment(F.col("s"), F.col("t")).alias("part"), fp.merged(F.col("s"), F.col("t")).alias("both"))
+    for r in pairs.collect():
+        (x, xup), (y, yup) = kept(hashes[r.i]), kept(hashes[r.j])
+        assert (list(r.s.h), r.s.upto) == (x, xup) and r.text == f"{xup:X}:" + ",".join(f"{h:X}" for h in x)
+        upto = min(xup, yup)
+        p, q = {h for h in x if h <= upto}, {h for h in y if h <= upto}
+        assert r.near == (len(p & q) / len(p | q) if p | q else 1.0) and r.part == (len(p & q) / len(p) if p else 1.0)
+        assert (list(r.both.h), r.both.upto) == (sorted(h for h in hashes[r.i] | hashes[r.j] if h <= upto), upto)
+    whole, part = len(TEXTS), len(TEXTS) + 1
+    assert any(r.i == part and r.j == whole and r.part > 0.95 for r in pairs.collect())
+
+
+def test_fingerprints_of_rows_that_share_a_key(spark):
+    rows = [(k, f"{k} text {i} " + " ".join(f"w{j * i % 7}" for j in range(8 + i))) for i in range(40) for k in (None, 3, i)] + [(3, "same"), (3, "same")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], hashes[r[1]]))
+    expected = []
+    for i, (k, x) in enumerate(ordered):
+        q, following = len(x) // 4, ordered[(i + 1) % len(ordered)][1]
+        expected.append((str(k), hashlib.sha256((x[: len(x) - q] + following[:q]).encode()).hexdigest()))
+    for buckets in (1, 2, 16):
+        got = fingerprints(docs, buckets=buckets).collect()
+        assert sorted((str(r.doc_id), r.edited_sha256) for r in got) == sorted(expected)
+
+
 def test_licences(spark, empty):
     rows = [(1, "/p/LICENSE", "Released under the MIT License."), (2, "/p/a/b/x.py", "code"), (3, "/q/y.py", None), (4, "/p/z", "x\nLicensed under the Apache License, Version 2.0."), (5, None, "text"), (5, None, "text")]
     got = licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
