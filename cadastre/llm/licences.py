@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,6 @@ from cadastre.llm.tables import NO_KEY, written
 
 #: Least cosine between a segment and a template.
 SIMILAR = 0.6
-#: Least part of a segment's words that templates have too, for it to be scored.
-KNOWN_PART = 0.5
-#: A word of more than this part of all lines (and of more than COMMON_LEAST lines) doesn't count for or against KNOWN_PART.
-COMMON_PART, COMMON_LEAST = 0.05, 20
 #: Lines of the overlapping segments besides single lines and whole texts; each starts a quarter of its length after the last.
 WINDOWS = (2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Whole licences (NAME.txt) and standard headers (NAME.header.txt), read on the driver.
@@ -58,6 +55,16 @@ def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataF
     return rows.select("model", "template", _terms(F.col("text")).alias("terms"))
 
 
+def least_share(similar: float) -> float:
+    """Least ratio of the squared weights of template words to those of other words in a segment of that cosine.
+
+    A cosine to a template is at most the segment's length over template words
+    divided by its whole length.  The sum of the template words' weights bounds
+    the first from above, their number times the weight of each the rest from below.
+    """
+    return similar * similar / max(1 - similar * similar, 1e-12) * (1 - 1e-9)
+
+
 def _vectors(rows: DataFrame, idf: DataFrame, most: float, keys: list[str]) -> DataFrame:
     """(keys, term, weight, norm2): known terms with tf * idf, and the squared length over all terms."""
     known = rows.select(*keys, "terms", F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.first(F.size("terms")).alias("n"))
@@ -71,8 +78,9 @@ def licence_scan(files: DataFrame, path: str = "path", text: str = "text", key:
     """(key, path, licence, origin, similarity) for each row of files.
 
     Segments are lines, overlapping runs of WINDOWS lines that aren't blank, and
-    whole texts; runs and whole texts are formed where some line is like the
-    templates.  Document frequencies of template terms count all lines
+    whole texts, all of at least two template words.  Those whose template
+    words weigh too little to reach ``similar`` are left out before the vectors
+    are formed.  Document frequencies of template terms count all lines
     of all files; a term in no template has the weight of one seen once.  A
     file's own licence is the template of greatest cosine, if at least
     ``similar`` (ties: the template's name; LAST only if there is no other).  A file without one inherits that
@@ -86,30 +94,29 @@ def licence_scan(files: DataFrame, path: str = "path", text: str = "text", key:
     models = written(templates(spark, texts), "templates")
     vocabulary = sorted(r.term for r in models.select(F.explode("terms").alias("term")).distinct().collect())  # of the templates only
     listed = ", ".join(f"'{w}'" for w in vocabulary)
-    lines = rows.select("k", F.xxhash64("path", "text").alias("t"), F.posexplode(F.split("text", "\n")).alias("line", "segment")).where("trim(segment) != ''")
-    lines = lines.select("k", "t", "line", _terms(F.col("segment")).alias("terms"))
-    lines = lines.withColumn("known", F.expr(f"filter(terms, w -> w IN ({listed}))"))
-
-    counted = lines.select(F.explode(F.array_distinct(F.concat("known", F.array(F.lit(""))))).alias("term")).groupBy("term").count()
+    lines = rows.select(F.explode(F.split("text", "\n")).alias("segment")).where("trim(segment) != ''").select(_terms(F.col("segment")).alias("terms"))
+    counted = lines.select(F.explode(F.array_distinct(F.expr(f"concat(filter(terms, w -> w IN ({listed})), array(''))"))).alias("term")).groupBy("term").count()
     counted = {r.term: r["count"] for r in counted.collect()}  # a row for each template term, and the number of lines
     total = counted.get("", 0)
-    idf = spark.createDataFrame([(w, counted.get(w, 0)) for w in vocabulary], "term string, df long").select("term", F.log((total + 1) / (F.col("df") + 1.0)).alias("idf"))
-    most = float(spark.range(1).select(F.log(F.lit((total + 1) / 2.0))).first()[0]) if total else 0.0
-
-    def likely(segments: DataFrame, least: int) -> DataFrame:
-        """Segments with at least ``least`` template words, and KNOWN_PART of their words but the common ones."""
-        n_known, n_other = F.expr(f"size(filter(terms, w -> w IN ({listed}) AND w NOT IN ({common})))"), F.expr(f"size(filter(terms, w -> w NOT IN ({listed})))")
-        return segments.where(n_known >= KNOWN_PART * (n_known + n_other)).where(F.size(F.expr(f"filter(terms, w -> w IN ({listed}))")) >= least)
-
-    common = ", ".join(f"'{w}'" for w in ["", *(w for w in vocabulary if counted.get(w, 0) > max(COMMON_LEAST, COMMON_PART * total))])
-    some = written(likely(lines.select("k", "t", "line", "terms"), 1).where(F.expr(f"exists(terms, w -> w IN ({listed}) AND w NOT IN ({common}))")), "lines")
-    hopeful = rows.withColumn("t", F.xxhash64("path", "text")).join(some.select("k", "t").distinct(), ["k", "t"], "left_semi").dropDuplicates(["k", "t"])
-    hopeful = hopeful.select("k", "t", F.filter(F.transform(F.split("text", "\n"), _terms), lambda x: F.size(x) > 0).alias("all"))
-    runs = [F.expr(f"transform(sequence(0, size(all) - 1, {max(1, w // 4)}), i -> struct({w} AS size, i AS line))") for w in WINDOWS]
+    weights = {w: math.log((total + 1) / (counted.get(w, 0) + 1)) for w in vocabulary}
+    most = math.log((total + 1) / 2) if total else 0.0
+    idf = spark.createDataFrame(list(weights.items()), "term string, idf double")
+
+    # What may reach ``similar``: its template words must outweigh the others, whatever their repetitions.
+    levels: dict[float, list[str]] = {}
+    for w, x in weights.items():
+        levels.setdefault(math.ceil(2 * max(x, 0)) / 2, []).append(f"'{w}'")
+    weight = "CASE " + " ".join(f"WHEN w IN ({', '.join(own)}) THEN {level}D" for level, own in sorted(levels.items())) + " ELSE 0D END"
+    known = f"filter(ws, w -> w IN ({listed}))"
+    stats = F.expr(f"transform(all, ws -> struct(aggregate({known}, 0D, (s, w) -> s + {weight}) AS a, size({known}) AS n, size(ws) AS m))")
+    texts_of = rows.select("k", F.xxhash64("path", "text").alias("t"), F.filter(F.transform(F.split("text", "\n"), _terms), lambda x: F.size(x) > 0).alias("all")).withColumn("stats", stats)
+    runs = [F.expr(f"transform(sequence(0, size(all) - 1, {max(1, w // 4)}), i -> struct({w} AS size, i AS line))") for w in (1, *WINDOWS)]
     spans = F.concat(F.array(F.struct(F.size("all").alias("size"), F.lit(0).alias("line"))), *runs)
-    longer = hopeful.where("size(all) > 1").select("k", "t", "all", F.explode(F.array_distinct(spans)).alias("run"))
-    longer = longer.select("k", "t", F.col("run.size").alias("size"), F.col("run.line").alias("line"), F.expr("flatten(slice(all, run.line + 1, run.size))").alias("terms"))
-    scored = likely(some.select("k", "t", F.lit(1).alias("size"), "line", "terms"), 2).unionByName(likely(longer, 2))
+    sums = "aggregate(slice(stats, r.line + 1, r.size), struct(0D AS a, 0 AS n, 0 AS m), (s, x) -> struct(s.a + x.a AS a, s.n + x.n AS n, s.m + x.m AS m))"
+    enough = f"exists(array({sums}), s -> s.n >= 2 AND s.a * s.a >= {least_share(similar) * most * most!r}D * (s.m - s.n))"
+    hopeful = texts_of.where("aggregate(stats, 0, (s, x) -> s + x.n) >= 2").select("k", "t", "all", "stats", F.array_distinct(spans).alias("runs"))
+    hopeful = hopeful.select("k", "t", "all", F.explode(F.expr(f"filter(runs, r -> {enough})")).alias("run"))
+    scored = hopeful.select("k", "t", F.col("run.size").alias("size"), F.col("run.line").alias("line"), F.expr("flatten(slice(all, run.line + 1, run.size))").alias("terms")).dropDuplicates(["k", "t", "size", "line"])
     segments = _vectors(written(scored, "segments"), idf, most, ["k", "t", "size", "line"])
     patterns = _vectors(models, idf, most, ["model", "template"]).select("model", "template", "term", F.col("weight").alias("w2"), F.col("norm2").alias("m2"))
     products = segments.join(F.broadcast(patterns), "term").groupBy("k", "t", "size", "line", "model", "template").agg((F.sum(F.col("weight") * F.col("w2")) / F.sqrt(F.first("norm2") * F.first("m2"))).alias("cosine"))

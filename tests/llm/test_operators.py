@@ -1,10 +1,12 @@
 """The ten operators and the pipeline against brute force on a small fixture with all odd cases."""
 
 import hashlib
+import math
 import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -18,7 +20,7 @@ from cadastre.llm import fingerprints as fp
 from cadastre.llm import jaccard
 from cadastre.llm.jaccard import jaccard_join
 from cadastre.llm.licences import TEXTS as LICENCE_TEXTS
-from cadastre.llm.licences import licence_scan
+from cadastre.llm.licences import WINDOWS, all_texts, licence_scan
 from cadastre.llm.mixing import mix, mixed
 from cadastre.llm.repeats import Windows, repeated_windows
 from cadastre.llm.secrets import BASE as BASE_KINDS
@@ -351,6 +353,49 @@ def test_licences_of_whole_texts_and_wrapped_headers(spark):
     assert [(rows[i][0], got[i].licence, got[i].origin) for i in range(len(rows))] == [(x[0], *y) for x, y in zip(rows, expected, strict=True)]
 
 
+def licences_by_brute_force(rows, similar):
+    """(licence, cosine) of each text by all its segments, without any filter."""
+    terms = lambda x: [w for w in re.split("[^0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), x)) if w]
+    models = [(name, Counter(terms(x))) for name, x in sorted(all_texts())]
+    vocabulary = {w for _, m in models for w in m}
+    lines = [terms(line) for x in rows for line in x.split("\n") if line.strip()]
+    total, df = len(lines), Counter(w for line in lines for w in set(line))
+    idf = lambda w: math.log((total + 1) / (df[w] + 1)) if w in vocabulary else math.log((total + 1) / 2)
+    vectors = [(name, {w: n * idf(w) for w, n in m.items()}) for name, m in models]
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    out = []
+    for x in rows:
+        own = [t for t in map(terms, x.split("\n")) if t]
+        spans = {(len(own), 0)} | {(w, i) for w in (1, *WINDOWS) for i in range(0, len(own), max(1, w // 4))} if own else set()
+        found = []
+        for size, at in spans:
+            v = Counter(w for t in own[at : at + size] for w in t)
+            if sum(n for w, n in v.items() if w in vocabulary) >= 2:
+                v = {w: n * idf(w) for w, n in v.items()}
+                for name, m in vectors:
+                    cosine = round(sum(c * m.get(w, 0) for w, c in v.items()) / (norm(v) * norm(m)), 9) if norm(v) * norm(m) else 0
+                    if cosine >= similar:
+                        found.append((name == "Proprietary", -cosine, name))
+        out.append((min(found)[2], -min(found)[1]) if found else (None, None))
+    return out
+
+
+def test_licences_against_all_segments(spark):
+    rng = random.Random(11)
+    vocabulary = "software license version permission copy free public general modify notice the of and to any use MIT Apache BSD GNU rights reserved copyright under".split()
+    texts = []
+    for i in range(120):
+        lines = [" ".join(rng.choice(vocabulary) if rng.random() < i % 6 / 5 else f"x{rng.randrange(500)}" for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(1, 9))]
+        texts.append("\n".join(lines))
+    texts += ["Released under the MIT License and six other words on line", "Released under\nthe MIT\n\nLicense", "", "MIT", "mit mit mit", "All rights reserved."]
+    rows = spark.createDataFrame([(i, f"/{i}/a", x) for i, x in enumerate(texts)], "doc_id long, path string, text string")
+    for similar in (0.6, 0.35):
+        got, expected = by_id(licence_scan(rows, similar=similar)), licences_by_brute_force(texts, similar)
+        assert [got[i].licence for i in range(len(texts))] == [x for x, _ in expected]
+        assert all(y is None or abs(got[i].similarity - y) < 1e-6 for i, (_, y) in enumerate(expected))
+    assert expected[120][0] == "MIT"
+
+
 def test_tokens_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
