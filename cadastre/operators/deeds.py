@@ -2,42 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastre.functions import cogo
 
-_BEARING = r"(?i)\b([NS])\s*(\d{1,3})\s*[°*\s]\s*(?:(\d{1,2})\s*['′\s]\s*)?(?:(\d{1,2}(?:\.\d+)?)\s*[\"″]\s*)?([EW])\b"
+#: Marks between the parts of an angle, and words for compass points: made blanks and letters before anything is read.
+_MARKS = r"(?i)(?:[°º*'′’\"″”]|(?<=[0-9NSns])-(?=[0-9])|(?<=[0-9])-(?=[EWew])|\b(?:degrees?|deg|minutes?|min|seconds?|sec)\b\.?)"
+_NUMBER = r"(\d+(?:\.\d+)?)"
+_DMS = rf"{_NUMBER}(?: +{_NUMBER})?(?: +{_NUMBER})?"
+_BEARING = rf"\b([NS]) *{_DMS} *([EW])\b"
 #: Longer spellings first, so that none stops a longer one.
-_DISTANCE = r"(?i)\b(\d+(?:\.\d+)?)\s*(" + "|".join(sorted(cogo.UNITS, key=len, reverse=True)) + r")\b"
-_CURVE = r"(?i)along\s+(?:a|the)\s+(?:curve|arc)|curving\s+to\s+the"
-_RADIUS = r"(?i)radius\s+of\s+(\d+(?:\.\d+)?)"
-_TOWNSHIP = r"(?i)\bT(?:ownship)?\.?\s*(\d+)\s*(N|S)"
-_RANGE = r"(?i)\bR(?:ange)?\.?\s*(\d+)\s*(E|W)"
-_SECTION = r"(?i)\bSec(?:tion)?\.?\s*(\d+)"
-_QUARTER = r"(?i)\b(NE|NW|SE|SW)\s*(?:1/4|¼)"
+_UNIT = "(" + "|".join(sorted(cogo.UNITS, key=len, reverse=True)) + r")\b"
+_DISTANCE = rf"(?i)\b{_NUMBER}\s*{_UNIT}"
+_TURN = r"(?i)\b(?:curve|curving|arc)\b[^;]*?\b(left|right|counter-?clockwise|clockwise)\b"
+#: What is told of a curve, each wherever it stands in the clause.
+_RADIUS = rf"(?i)\bradius\s+(?:of\s+)?{_NUMBER}\s*{_UNIT}"
+_ARC = rf"(?i)(?<!\bchord )\b(?:arc\s+)?(?:length|distance)\s+of\s+{_NUMBER}\s*{_UNIT}"
+_CHORD = rf"(?i)\bchord\s+(?:length\s+)?(?:of\s+)?{_NUMBER}\s*{_UNIT}"
+_DELTA = rf"(?i)\b(?:delta|central angle)\s+(?:angle\s+)?(?:of\s+)?{_DMS}"
+_CHORD_BEARING = rf"(?i)\bchord\s+(?:bears|bearing)\s+[^;]*?{_BEARING}"
+_BEGINNING = r"(?i)\b(?:true\s+)?point\s+of\s+beginning\b|\bP\.?O\.?B\b\.?"
+_TOWNSHIP = r"(?i)\bT(?:ownship)?\.?\s*(\d{1,3})\s*(N|S)"
+_RANGE = r"(?i)\bR(?:ange)?\.?\s*(\d{1,3})\s*(E|W)"
+_SECTION = r"(?i)\bSec(?:tion)?\.?\s*(\d{1,2})"
+_QUARTER = r"(?i)\b(NE|NW|SE|SW|Northeast|Northwest|Southeast|Southwest)\s*(?:1/4|¼|quarter)"
 #: Metres of a section's side.
 MILE = 1609.344
+#: Principal meridians.
+MERIDIANS = (
+    "1st", "2nd", "3rd", "4th", "5th", "6th", "Black Hills", "Boise", "Chickasaw", "Choctaw", "Cimarron", "Copper River", "Fairbanks", "Gila and Salt River", "Humboldt", "Huntsville", "Indian", "Kateel River", "Louisiana",
+    "Michigan", "Mount Diablo", "Navajo", "New Mexico", "Salt Lake", "San Bernardino", "Seward", "St. Helena", "St. Stephens", "Tallahassee", "Uintah Special", "Umiat", "Ute", "Washington", "Willamette", "Wind River",
+    "Ohio River Survey", "Connecticut Western Reserve",
+)
+_MERIDIAN = r"(?i)\b(" + "|".join(m.replace(".", r"\.") for m in sorted(MERIDIANS, key=len, reverse=True)) + r")\s*(?:Principal\s+)?(?:Meridian\b|P\.?\s*M\b)"
+
+
+def _plain(text: Column) -> Column:
+    """The text with blanks for the marks of angles, and letters for compass points at numbers."""
+    letters = F.regexp_replace(F.regexp_replace(text, _MARKS, " "), r"(?i)\b(?:(N)orth|(S)outh)(?= *\d)", "$1$2")
+    return F.regexp_replace(letters, r"(?i)(?<=\d) +(e|w)(?:ast|est)\b", " $1")
+
+
+def _part(column: Column | str, pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(column, pattern, group), F.lit(""))
+
+
+def _angle(column: Column | str, pattern: str, first: int) -> Column:
+    """Radians of the degrees, minutes and seconds in three groups."""
+    value = lambda i: _part(column, pattern, first + i).cast("double")
+    return F.radians(value(0) + F.coalesce(value(1), F.lit(0.0)) / 60 + F.coalesce(value(2), F.lit(0.0)) / 3600)
+
+
+def _quadrant(column: Column | str, pattern: str) -> Column:
+    """Azimuth of a quadrant bearing: letter, three parts, letter."""
+    angle, ns, ew, pi = _angle(column, pattern, 2), F.upper(_part(column, pattern, 1)), F.upper(_part(column, pattern, 5)), F.lit(cogo.TWO_PI / 2)
+    return cogo.azimuth(F.when(ns == "N", F.when(ew == "E", angle).otherwise(-angle)).otherwise(F.when(ew == "E", pi - angle).otherwise(pi + angle)))
+
+
+def _metres(column: Column | str, pattern: str) -> Column:
+    factor = F.create_map(*[F.lit(v) for item in cogo.UNITS.items() for v in item])
+    return _part(column, pattern, 1).cast("double") * F.element_at(factor, F.lower(_part(column, pattern, 2)))
 
 
 def parse_deeds(docs: DataFrame) -> DataFrame:
-    """(doc, seq, clause, kind, az, metres, radius): the calls of docs(doc, text), one row per THENCE.
+    """(doc, seq, clause, kind, az, metres, radius, delta, arc, chord, clockwise): the calls of docs(doc, text), one row per THENCE.
 
-    kind is curve, line or unparsed (no bearing or no distance). The text before
-    the first THENCE is no call; a text without THENCE or a null text gives none.
+    kind is curve (told by radius, arc or delta), line, or unparsed (no bearing
+    or no distance).  A curve's az and metres are those of its chord; what two
+    of its elements tell of the others is filled in.  The text before the first
+    THENCE is no call; a text without THENCE or a null text gives none.
     """
-    clauses = F.split(F.regexp_replace("text", r"\s+", " "), r"(?i)\bthence\b")
-    calls = docs.select("doc", F.posexplode(clauses).alias("seq", "clause")).where("seq > 0")
-    part = lambda p, i: F.regexp_extract("clause", p, i)
-    number = lambda p, i: F.nullif(part(p, i), F.lit("")).cast("double")
-    angle = F.radians(number(_BEARING, 2) + F.coalesce(number(_BEARING, 3), F.lit(0.0)) / 60 + F.coalesce(number(_BEARING, 4), F.lit(0.0)) / 3600)
-    ns, ew, pi = F.upper(part(_BEARING, 1)), F.upper(part(_BEARING, 5)), F.lit(cogo.TWO_PI / 2)
-    az = F.when(ns == "N", F.when(ew == "E", angle).otherwise(-angle)).otherwise(F.when(ew == "E", pi - angle).otherwise(pi + angle))
-    factor = F.create_map(*[F.lit(v) for item in cogo.UNITS.items() for v in item])
-    metres = number(_DISTANCE, 1) * F.element_at(factor, F.lower(part(_DISTANCE, 2)))
-    calls = calls.withColumns({"az": cogo.azimuth(az), "metres": metres, "radius": number(_RADIUS, 1)})
-    kind = F.when(F.col("clause").rlike(_CURVE), "curve").when(F.col("az").isNull() | F.col("metres").isNull(), "unparsed").otherwise("line")
-    return calls.withColumn("kind", kind)
+    clauses = F.transform(F.split(F.regexp_replace("text", r"\s+", " "), r"(?i)\bthence\b"), lambda c: F.struct(c.alias("clause"), _plain(c).alias("plain")))
+
+    def told(c: Column) -> Column:
+        clause, plain = c["clause"], c["plain"]
+        parts = {"clause": clause, "turn": F.lower(_part(clause, _TURN, 1)), "radius": _metres(clause, _RADIUS), "delta": _angle(plain, _DELTA, 1), "arc": _metres(clause, _ARC), "chord": _metres(clause, _CHORD)}
+        parts |= {"chord_az": _quadrant(plain, _CHORD_BEARING), "line_az": _quadrant(plain, "(?i)" + _BEARING), "length": _metres(clause, _DISTANCE)}
+        return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+    # What the patterns find is computed once for each clause, before anything refers to it.
+    calls = docs.select("doc", F.posexplode(F.transform(clauses, told)).alias("seq", "e")).where("seq > 0").select("doc", "seq", "e.*")
+    calls = calls.withColumn("curve", F.col("turn").isNotNull() & F.coalesce("radius", "arc", "delta").isNotNull())
+    filled = curve_fill(calls.withColumns({c: F.when(F.col("curve"), F.col(c)) for c in ("radius", "delta", "arc", "chord")}))
+    curve = F.col("curve")
+    filled = filled.withColumns({"az": F.when(curve, F.col("chord_az")).otherwise(F.col("line_az")), "metres": F.when(curve, F.col("chord")).otherwise(F.col("length")), "clockwise": F.when(curve, F.col("turn").isin("right", "clockwise"))})
+    kind = F.when(curve, "curve").when(F.col("az").isNull() | F.col("metres").isNull(), "unparsed").otherwise("line")
+    return filled.withColumn("kind", kind).select("doc", "seq", "clause", "kind", "az", "metres", "radius", "delta", "arc", "chord", "clockwise")
+
+
+def beginnings(docs: DataFrame) -> DataFrame:
+    """(doc, beginning): how docs(doc, text) name their point of beginning, null where they don't."""
+    return docs.select("doc", _part("text", _BEGINNING, 0).alias("beginning"))
+
+
+def failed_deeds(docs: DataFrame, calls: DataFrame) -> DataFrame:
+    """(doc, reason) of the docs without a single call that could be read."""
+    read = calls.where("kind != 'unparsed'").select("doc").distinct()
+    return docs.join(read, "doc", "left_anti").select("doc", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty").otherwise("no calls").alias("reason"))
 
 
 def curve_fill(curves: DataFrame) -> DataFrame:
@@ -48,10 +112,11 @@ def curve_fill(curves: DataFrame) -> DataFrame:
 
 
 def parse_plss(docs: DataFrame) -> DataFrame:
-    """docs(doc, text) to (doc, township, ns, range, ew, section, quarters); quarters in text order. Others are null."""
-    part = lambda p, i: F.nullif(F.regexp_extract("text", p, i), F.lit(""))
-    quarters = F.transform(F.regexp_extract_all("text", F.lit(_QUARTER), F.lit(1)), F.upper)
-    return docs.select("doc", part(_TOWNSHIP, 1).cast("int").alias("township"), F.upper(part(_TOWNSHIP, 2)).alias("ns"), part(_RANGE, 1).cast("int").alias("range"), F.upper(part(_RANGE, 2)).alias("ew"), part(_SECTION, 1).cast("int").alias("section"), quarters.alias("quarters"))
+    """docs(doc, text) to (doc, township, ns, range, ew, section, quarters, meridian); quarters in text order. Others are null."""
+    names = F.regexp_extract_all("text", F.lit(_QUARTER), F.lit(1))
+    quarters = F.transform(names, lambda q: F.upper(F.when(F.length(q) == 2, q).otherwise(F.concat(F.substring(q, 1, 1), F.substring(q, 6, 1)))))
+    part = lambda p, i: _part("text", p, i)
+    return docs.select("doc", part(_TOWNSHIP, 1).cast("int").alias("township"), F.upper(part(_TOWNSHIP, 2)).alias("ns"), part(_RANGE, 1).cast("int").alias("range"), F.upper(part(_RANGE, 2)).alias("ew"), part(_SECTION, 1).cast("int").alias("section"), quarters.alias("quarters"), part(_MERIDIAN, 1).alias("meridian"))
 
 
 def plss_boxes(parsed: DataFrame) -> DataFrame:
@@ -75,8 +140,10 @@ def plss_boxes(parsed: DataFrame) -> DataFrame:
     return boxes.select("doc", "box.x", "box.y", "box.side", (F.lit(640.0) / F.pow(F.lit(4.0), F.size("quarters"))).alias("acres"))
 
 
-_EXCEPT = r"(?i)(?:SAVE\s+AND\s+EXCEPT(?:ING)?|LESS\s+AND\s+EXCEPT(?:ING)?|SAVING\s+AND\s+EXCEPTING|EXCEPT(?:ING)?\s+(?:FOR\s+)?THAT|EXCEPT(?:ING)?\s+THE|RESERVING\s+UNTO|SUBJECT\s+TO\s+THAT\s+CERTAIN)"
-_HEAD = r"(?im)^\s*(?:TRACT|PARCEL)\s+[A-Z0-9]+\s*[:\-]?"
+#: Words that open an exception, a reservation or a burden, and the line that heads a tract.
+_CARVED = r"(?:(?:SAVE|LESS|SAVING)\s+AND\s+EXCEPT(?:ING)?|EXCEPT(?:ING)?\s+(?:THE|(?:FOR\s+)?THAT))"
+_EXCEPT = rf"(?i)(?:{_CARVED}|RESERVING\s+UNTO|SUBJECT\s+TO\s+THAT\s+CERTAIN)"
+_HEAD = r"(?im)^[ \t]*(?:TRACT|PARCEL)[ \t]+\w+[ \t]*[:-]?"
 #: Most characters of a reservation; what follows is not part of it.
 RESERVED_MOST = 800
 SQUARE_METRES_PER_ACRE = 4046.8564224
@@ -91,17 +158,24 @@ def deed_flags(docs: DataFrame) -> DataFrame:
 def deed_boundaries(calls: DataFrame) -> DataFrame:
     """(doc, n, dx, dy, misclosure, perimeter, ratio, ring): the boundary that calls(doc, seq, az, metres) run from the origin.
 
-    A deed with a call that lacks bearing or distance has none. ratio is the
-    perimeter for one unit of misclosure, null if that is below a micrometre.
-    ring holds the corners in the order of the calls.
+    Curves run along their chords.  A deed with a call that lacks bearing or
+    distance has none, see deed_rejects.  ratio is the perimeter for one unit of
+    misclosure, null if that is below a micrometre.  ring holds the corners in
+    the order of the calls.
     """
-    dx, dy = F.col("metres") * F.sin("az"), F.col("metres") * F.cos("az")
-    legs = F.array_sort(F.collect_list(F.struct("seq", dx.alias("dx"), dy.alias("dy"))))
-    whole = calls.groupBy("doc").agg(F.count("*").alias("n"), F.count(dx).alias("known"), F.sum("metres").alias("perimeter"), legs.alias("legs")).where("n = known")
-    corner = lambda ring, leg: F.concat(ring, F.array(F.struct((F.element_at(ring, -1)["x"] + leg["dx"]).alias("x"), (F.element_at(ring, -1)["y"] + leg["dy"]).alias("y"))))
-    rings = whole.withColumn("ring", F.aggregate("legs", F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))), corner))
-    rings = rings.withColumns({"dx": F.element_at("ring", -1)["x"], "dy": F.element_at("ring", -1)["y"]}).withColumn("misclosure", F.hypot("dx", "dy"))
-    return rings.select("doc", "n", "dx", "dy", "misclosure", "perimeter", F.when(F.col("misclosure") >= 1e-6, F.col("perimeter") / F.col("misclosure")).alias("ratio"), "ring")
+    upto = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    run = calls.select("doc", "seq", "metres", (F.col("metres") * F.sin("az")).alias("ex"), (F.col("metres") * F.cos("az")).alias("ey"))
+    run = run.withColumns({"x": F.sum("ex").over(upto), "y": F.sum("ey").over(upto)})
+    corners = F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
+    whole = run.groupBy("doc").agg(F.count("*").alias("n"), F.count("ex").alias("known"), F.sum("ex").alias("dx"), F.sum("ey").alias("dy"), F.sum("metres").alias("perimeter"), corners.alias("corners")).where("n = known")
+    whole = whole.withColumn("misclosure", F.hypot("dx", "dy")).withColumn("ring", F.concat(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))), "corners"))
+    return whole.select("doc", "n", "dx", "dy", "misclosure", "perimeter", F.when(F.col("misclosure") >= 1e-6, F.col("perimeter") / F.col("misclosure")).alias("ratio"), "ring")
+
+
+def deed_rejects(calls: DataFrame) -> DataFrame:
+    """(doc, calls, curves): deeds without a boundary, with the number of calls and of curves among them that lack bearing or distance."""
+    lacks = F.col("az").isNull() | F.col("metres").isNull()
+    return calls.where(lacks).groupBy("doc").agg(F.count("*").alias("calls"), F.count(F.when(F.col("kind") == "curve", 1)).alias("curves"))
 
 
 def split_tracts(docs: DataFrame) -> DataFrame:
@@ -127,10 +201,21 @@ def split_tracts(docs: DataFrame) -> DataFrame:
 
 
 def net_area(areas: DataFrame) -> DataFrame:
-    """(doc, net, acres) of areas(doc, role, area) in square metres: the parent without its exceptions, not below nothing; additional tracts do not count."""
+    """(doc, net, acres, exact, warning) of areas(doc, role, area) in square metres: the parent without its exceptions, not below nothing.
+
+    Additional tracts do not count.  exact is false where an exception's area
+    isn't known (null), or the exceptions are more than the parent; warning says so.
+    """
     of = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("area"))), F.lit(0.0))
-    net = areas.groupBy("doc").agg(F.greatest(of("parent") - of("exception"), F.lit(0.0)).alias("net"))
-    return net.withColumn("acres", F.col("net") / SQUARE_METRES_PER_ACRE)
+    unknown = F.count(F.when((F.col("role") == "exception") & F.col("area").isNull(), 1))
+    net = areas.groupBy("doc").agg(F.greatest(of("parent") - of("exception"), F.lit(0.0)).alias("net"), (of("exception") > of("parent")).alias("over"), unknown.alias("unknown"))
+    warning = F.when(F.col("unknown") > 0, "exception without area").when(F.col("over"), "exceptions exceed the parent")
+    return net.select("doc", "net", (F.col("net") / SQUARE_METRES_PER_ACRE).alias("acres"), warning.isNull().alias("exact"), warning.alias("warning"))
+
+
+def all_tracts(*tracts: DataFrame) -> DataFrame:
+    """Parents, exceptions, additional tracts and reservations, from however many tables(doc, role, ..), in one."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tracts)
 
 
 def training_pairs(docs: DataFrame, calls: DataFrame) -> DataFrame:

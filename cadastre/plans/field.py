@@ -203,7 +203,7 @@ def _deeds(spark, sf_dir) -> DataFrame:
     bearing = F.concat(F.element_at(F.array(F.lit("N "), F.lit("S ")), (s % 2 + 1).cast("int")), deg, F.lit("°"), (p % 60).cast("string"), F.lit("'30\" "), F.element_at(F.array(F.lit("E"), F.lit("W")), (n % 2 + 1).cast("int")))
     unit = F.element_at(F.array(*map(F.lit, _SPELT)), (n % 5 + 1).cast("int"))
     line = F.concat(bearing, F.lit(", a distance of "), F.col("d").cast("int").cast("string"), F.lit(" "), unit)
-    call = F.when(p % 7 == 0, F.concat(F.lit("along a curve to the right, radius of "), F.col("d").cast("int").cast("string"), F.lit(" feet"))).when(p % 11 == 0, F.concat(bearing, F.lit(" to a stone"))).otherwise(line)
+    call = F.when(p % 7 == 0, F.concat(F.lit("along a curve to the right, having a radius of "), F.col("d").cast("int").cast("string"), F.lit(" feet, a central angle of "), deg, F.lit("°30', and a chord bearing "), bearing)).when(p % 11 == 0, F.concat(bearing, F.lit(" to a stone"))).otherwise(line)
     texts = B.legs(spark, sf_dir).groupBy(F.col("t").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("seq", call.alias("call")))).alias("calls"))
     return texts.select("doc", F.concat(F.lit("Beginning at an iron pin;\n THENCE "), F.array_join("calls.call", ";\n  thence ")).alias("text"))
 
@@ -213,13 +213,13 @@ _FACTOR = "[0.3048, 1.0, 20.1168, 5.0292, 0.847396][l_linenumber % 5 + 1]"
 
 @query(
     "parse_deeds",
-    f"""{_W}, c AS (SELECT t AS doc, seq, l_partkey % 7 = 0 AS curve, l_partkey % 11 = 0 AS vague, d, l_linenumber, l_suppkey % 2 = 0 AS north, l_linenumber % 2 = 0 AS east, radians(l_partkey % 90 + l_partkey % 60 / 60.0 + 30 / 3600.0) AS q FROM legs)
-SELECT doc, seq::INTEGER AS seq, CASE WHEN curve THEN 'curve' WHEN vague THEN 'unparsed' ELSE 'line' END AS kind, CASE WHEN NOT curve THEN round(CASE WHEN east THEN 1 ELSE -1 END * sin(q), 6) + 0.0 END AS east,
-       CASE WHEN NOT curve THEN round(CASE WHEN north THEN 1 ELSE -1 END * cos(q), 6) + 0.0 END AS north, CASE WHEN curve THEN round(d * 0.3048, 6) WHEN NOT vague THEN round(d * {_FACTOR}, 6) END AS metres, CASE WHEN curve THEN d END AS radius FROM c""",
+    f"""{_W}, c AS (SELECT t AS doc, seq, l_partkey % 7 = 0 AS curve, l_partkey % 11 = 0 AS vague, d, l_linenumber, l_suppkey % 2 = 0 AS north, l_linenumber % 2 = 0 AS east, radians(l_partkey % 90 + l_partkey % 60 / 60.0 + 30 / 3600.0) AS q, radians(l_partkey % 90 + 0.5) AS delta FROM legs)
+SELECT doc, seq::INTEGER AS seq, CASE WHEN curve THEN 'curve' WHEN vague THEN 'unparsed' ELSE 'line' END AS kind, round(CASE WHEN east THEN 1 ELSE -1 END * sin(q), 6) + 0.0 AS east, round(CASE WHEN north THEN 1 ELSE -1 END * cos(q), 6) + 0.0 AS north,
+       CASE WHEN curve THEN round(2 * d * 0.3048 * sin(delta / 2), 6) WHEN NOT vague THEN round(d * {_FACTOR}, 6) END AS metres, CASE WHEN curve THEN round(d * 0.3048, 6) END AS radius, CASE WHEN curve THEN round(d * 0.3048 * delta, 6) END AS arc, CASE WHEN curve THEN true END AS clockwise FROM c""",
 )
 def parse_deeds(spark, sf_dir) -> DataFrame:
     calls = deeds.parse_deeds(_deeds(spark, sf_dir))
-    return calls.select("doc", "seq", "kind", r(F.sin("az")).alias("east"), r(F.cos("az")).alias("north"), F.round("metres", 6).alias("metres"), "radius")
+    return calls.select("doc", "seq", "kind", r(F.sin("az")).alias("east"), r(F.cos("az")).alias("north"), F.round("metres", 6).alias("metres"), F.round("radius", 6).alias("radius"), F.round("arc", 6).alias("arc"), "clockwise")
 
 
 @query(
@@ -233,17 +233,30 @@ def curve_fill(spark, sf_dir) -> DataFrame:
     return deeds.curve_fill(curves).select("t", "seq", *[F.round(c, 6).alias(c) for c in ("delta", "arc", "chord")])
 
 
+@query("failed_deeds", "SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 4 = 1 THEN 'empty' ELSE 'no calls' END AS reason FROM orders WHERE o_orderkey % 4 > 0 AND o_orderkey % 4 < 3")
+def failed_deeds(spark, sf_dir) -> DataFrame:
+    text = "element_at(array('from the POB thence N 1-30 E 5 feet', ' ', 'a field; thence home', 'thence South 10 degrees West 2 chains to the True Point of Beginning'), cast(o_orderkey % 4 + 1 as int)) as text"
+    docs = load(spark, sf_dir, "orders").selectExpr("o_orderkey as doc", text)
+    return deeds.failed_deeds(docs, deeds.parse_deeds(docs))
+
+
+@query("deed_beginnings", "SELECT o_orderkey AS doc, CASE o_orderkey % 3 WHEN 0 THEN 'POB' WHEN 1 THEN 'true point of beginning' END AS beginning FROM orders")
+def deed_beginnings(spark, sf_dir) -> DataFrame:
+    text = "element_at(array('from the POB thence', 'to the true point of beginning', 'beginning at a pin'), cast(o_orderkey % 3 + 1 as int)) as text"
+    return deeds.beginnings(load(spark, sf_dir, "orders").selectExpr("o_orderkey as doc", text))
+
+
 _Q = "['NE', 'NW', 'SE', 'SW']"
 
 
 def _plss(spark, sf_dir) -> DataFrame:
     k = F.col("p_partkey")
     quarter = lambda i: F.element_at(F.array(*map(F.lit, ("NE", "NW", "SE", "SW"))), (i % 4 + 1).cast("int"))
-    text = F.concat(F.lit("The "), quarter(k), F.lit(" 1/4 of the "), quarter(F.floor(k / 4)), F.lit(" 1/4 of Section "), k % 36 + 1, F.lit(", Township "), k % 9 + 1, F.lit(" North, Range "), k % 7 + 1, F.lit(" West"))
+    text = F.concat(F.lit("The "), quarter(k), F.lit(" 1/4 of the "), quarter(F.floor(k / 4)), F.when(k % 2 == 0, " 1/4 of Section ").otherwise("¼ of Section "), k % 36 + 1, F.lit(", Township "), k % 9 + 1, F.lit(" North, Range "), k % 7 + 1, F.when(k % 3 == 0, " West, 6th P.M.").when(k % 3 == 1, " West, Salt Lake Meridian").otherwise(" West"))
     return load(spark, sf_dir, "part").select(k.alias("doc"), text.alias("text"))
 
 
-@query("parse_plss", f"SELECT p_partkey AS doc, (p_partkey % 9 + 1)::INTEGER AS township, 'N' AS ns, (p_partkey % 7 + 1)::INTEGER AS range, 'W' AS ew, (p_partkey % 36 + 1)::INTEGER AS section, {_Q}[p_partkey % 4 + 1] || ',' || {_Q}[p_partkey // 4 % 4 + 1] AS quarters FROM part")
+@query("parse_plss", f"SELECT p_partkey AS doc, (p_partkey % 9 + 1)::INTEGER AS township, 'N' AS ns, (p_partkey % 7 + 1)::INTEGER AS range, 'W' AS ew, (p_partkey % 36 + 1)::INTEGER AS section, {_Q}[p_partkey % 4 + 1] || ',' || {_Q}[p_partkey // 4 % 4 + 1] AS quarters, ['6th', 'Salt Lake', NULL][1 + p_partkey % 3] AS meridian FROM part")
 def parse_plss(spark, sf_dir) -> DataFrame:
     return deeds.parse_plss(_plss(spark, sf_dir)).withColumn("quarters", F.array_join("quarters", ","))
 

@@ -182,7 +182,7 @@ def upsert_parcels(spark, sf_dir) -> DataFrame:
 @query(
     "deed_boundaries",
     f"""WITH {B.LEGS_SQL}, c AS (SELECT t AS doc, radians(l_partkey % 90 + l_partkey % 60 / 60.0 + 30 / 3600.0) AS q, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS e, CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE -1 END AS n,
-  CASE WHEN l_partkey % 7 != 0 AND l_partkey % 11 != 0 THEN d * {field._FACTOR} END AS m FROM legs),
+  CASE WHEN l_partkey % 7 = 0 THEN 2 * d * 0.3048 * sin(radians(l_partkey % 90 + 0.5) / 2) WHEN l_partkey % 11 != 0 THEN d * {field._FACTOR} END AS m FROM legs),
 s AS (SELECT doc, count(*) AS n, sum(e * m * sin(q)) AS dx, sum(n * m * cos(q)) AS dy, sum(m) AS p FROM c GROUP BY doc HAVING count(*) = count(m))
 SELECT doc, n, round(dx, 4) + 0.0 AS dx, round(dy, 4) + 0.0 AS dy, round(p, 4) AS perimeter, n + 1 AS corners FROM s""",
 )
@@ -191,6 +191,11 @@ def deed_boundaries(spark, sf_dir) -> DataFrame:
     return found.select("doc", "n", r("dx", 4).alias("dx"), r("dy", 4).alias("dy"), r("perimeter", 4).alias("perimeter"), F.size("ring").cast("long").alias("corners"))
 
 
+@query("deed_rejects", f"WITH {B.LEGS_SQL} SELECT t AS doc, count(*) AS calls, 0::BIGINT AS curves FROM legs WHERE l_partkey % 7 != 0 AND l_partkey % 11 = 0 GROUP BY t")
+def deed_rejects(spark, sf_dir) -> DataFrame:
+    return deeds.deed_rejects(deeds.parse_deeds(field._deeds(spark, sf_dir)))
+
+
 @query("training_pairs")
 def training_pairs(spark, sf_dir) -> DataFrame:
     docs = field._deeds(spark, sf_dir)
@@ -209,6 +214,13 @@ def _tracts(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "orders").select(k.alias("doc"), F.concat(body, saved, reserved).alias("text"))
 
 
+@query("all_tracts", "SELECT o_orderkey AS doc, role, CASE role WHEN 'parent' THEN o_totalprice WHEN 'exception' THEN o_custkey::DOUBLE END AS area FROM orders, (VALUES ('parent'), ('exception'), ('reservation')) v(role) WHERE role = 'parent' OR o_orderkey % CASE role WHEN 'exception' THEN 3 ELSE 5 END = 0")
+def all_tracts(spark, sf_dir) -> DataFrame:
+    orders = load(spark, sf_dir, "orders")
+    part = lambda role, area, cond: orders.where(cond).selectExpr("o_orderkey as doc", f"'{role}' as role", *([f"{area} as area"] if area else []))
+    return deeds.all_tracts(part("parent", "o_totalprice", "true"), part("exception", "cast(o_custkey as double)", "o_orderkey % 3 = 0"), part("reservation", None, "o_orderkey % 5 = 0"))
+
+
 @query("deed_flags", f"{_TRACTS} SELECT doc, contains(text, 'T3N') AS is_plss, contains(text, 'save') OR contains(text, 'Reserving') AS has_exception, contains(text, 'Tract') AS is_multi_tract FROM docs")
 def deed_flags(spark, sf_dir) -> DataFrame:
     return deeds.deed_flags(_tracts(spark, sf_dir))
@@ -223,10 +235,10 @@ def split_tracts(spark, sf_dir) -> DataFrame:
     return deeds.split_tracts(_tracts(spark, sf_dir)).select("doc", "role", F.trim(F.regexp_replace("part", "\n", " ")).alias("part"))
 
 
-@query("net_area", f"{_ROLES} SELECT doc, round(greatest(100.0 * max(length(part)) FILTER (role = 'parent') - coalesce(sum(100.0 * length(part)) FILTER (role = 'exception'), 0), 0), 3)::DOUBLE AS net FROM roles GROUP BY doc")
+@query("net_area", f"{_ROLES} SELECT doc, round(greatest(100.0 * max(length(part)) FILTER (role = 'parent') - coalesce(sum(100.0 * length(part)) FILTER (role = 'exception'), 0), 0), 3)::DOUBLE AS net, coalesce(sum(length(part)) FILTER (role = 'exception'), 0) <= max(length(part)) FILTER (role = 'parent') AS exact FROM roles GROUP BY doc")
 def net_area(spark, sf_dir) -> DataFrame:
     areas = deeds.split_tracts(_tracts(spark, sf_dir)).withColumn("area", F.lit(100.0) * F.length(F.trim(F.regexp_replace("part", "\n", " "))))
-    return deeds.net_area(areas).select("doc", r("net", 3).alias("net"))
+    return deeds.net_area(areas).select("doc", r("net", 3).alias("net"), "exact")
 
 
 @query("fabric_rings", f"{_P} SELECT id, 5::BIGINT AS points, round((x1 - x0) * (y1 - y0), 3) AS area FROM parcels")

@@ -89,3 +89,23 @@ def test_stream_gives_the_batch_rows(spark, tmp_path, feed, rows, mode):
     got, want = {tuple(r) for r in spark.table(name).collect()}, {tuple(r) for r in feed(rows(events)).collect()}
     # Windows that the watermark has not passed yet are still open.
     assert got and (got <= want if feed in (live.fix_rate, live.fix_smooth, live.occupations) else got == want)
+
+
+def test_curve_and_spelt_out_calls(spark):
+    text = "thence N45-30-15E 100 feet; thence along the arc of a curve to the left having a radius of 50.00 feet, an arc length of 25 feet, a central angle of 28°38'52\", chord bears S 10°30' W, a chord length of 24.74 feet; thence North 5 degrees 30 minutes West a distance of 3 rods; thence along a curve to the right, delta 90°, arc distance of 10 m"
+    docs = spark.createDataFrame([(1, text + " to the P.O.B."), (2, " "), (3, "thence home")], "doc int, text string")
+    calls = deeds.parse_deeds(docs)
+    rows = calls.where("doc = 1").orderBy("seq").collect()
+    assert [r.kind for r in rows] == ["line", "curve", "line", "curve"] and [r.clockwise for r in rows] == [None, False, None, True]
+    assert math.isclose(rows[0].az, math.radians(45 + 30 / 60 + 15 / 3600)) and math.isclose(rows[2].az, 2 * math.pi - math.radians(5.5))
+    curve = rows[1]
+    assert math.isclose(curve.radius, 15.24) and math.isclose(curve.arc, 7.62) and math.isclose(curve.chord, 24.74 * 0.3048) and math.isclose(curve.delta, math.radians(28 + 38 / 60 + 52 / 3600)) and math.isclose(curve.az, math.radians(190.5))
+    assert rows[3].az is None and rows[3].radius is None and math.isclose(rows[3].arc, 10)
+    assert [tuple(r) for r in deeds.deed_rejects(calls.where("doc = 1")).collect()] == [(1, 1, 1)]
+    assert [tuple(r) for r in deeds.failed_deeds(docs, calls).orderBy("doc").collect()] == [(2, "empty"), (3, "no calls")]
+    assert deeds.beginnings(docs).where("beginning is not null").first().beginning == "P.O.B."
+
+
+def test_plss_words_and_meridian(spark):
+    (row,) = deeds.parse_plss(spark.createDataFrame([(1, "the Northeast quarter of the SW¼ of Sec. 14, Township 2 North, Range 3 East, New Mexico Principal Meridian")], "doc int, text string")).collect()
+    assert (row.quarters, row.section, row.township, row.ew, row.meridian) == (["NE", "SW"], 14, 2, "E", "New Mexico")
