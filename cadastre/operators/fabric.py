@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,8 +59,8 @@ def distinct_warnings(warnings: DataFrame) -> DataFrame:
     return warnings.groupBy("file", "warning").agg(F.min("pos").alias("pos"))
 
 
-#: Most controls of a rubber sheet: all of them stand in one row beside every node.
-CONTROLS_MOST = 10_000
+#: Controls that stand in one row beside a node.
+CONTROLS = 1000
 
 
 def move_nodes(nodes: DataFrame, moves: DataFrame) -> DataFrame:
@@ -73,13 +73,14 @@ def rubber_sheet(nodes: DataFrame, controls: DataFrame, power: float = 2.0, eps:
     """nodes(id, x, y) moved by the mean of what controls(ord, sx, sy, tx, ty) move, weighted by distance to -power.
 
     A node within ``eps`` of a control goes to the target of the first such
-    one. More than CONTROLS_MOST controls are refused; without controls nothing moves.
+    one; without controls nothing moves.  Controls are dealt into blocks, every
+    node meets each block once, and the blocks' sums are added.
     """
     if power <= 0:
         raise ValueError("power must be above 0")
-    if controls.limit(CONTROLS_MOST + 1).count() > CONTROLS_MOST:
-        raise ValueError(f"more than {CONTROLS_MOST} controls")
-    row = controls.agg(F.array_sort(F.collect_list(F.struct("ord", "sx", "sy", "tx", "ty"))).alias("controls"))
+    blocks = controls.withColumn("n", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("ord"), F.lit(64))).orderBy("ord"))).groupBy(F.concat_ws(" ", F.pmod(F.xxhash64("ord"), F.lit(64)), F.floor(F.col("n") / CONTROLS)).alias("block"))
+    blocks = blocks.agg(F.array_sort(F.collect_list(F.struct("ord", "sx", "sy", "tx", "ty"))).alias("controls"))
+    names = blocks.agg(F.collect_list("block").alias("names"))  # one short name for each block
 
     def apart(c: Column) -> Column:
         return F.hypot(F.col("x") - c["sx"], F.col("y") - c["sy"])
@@ -90,8 +91,10 @@ def rubber_sheet(nodes: DataFrame, controls: DataFrame, power: float = 2.0, eps:
 
     none = F.struct(*[F.lit(0.0).alias(c) for c in ("w", "x", "y")])
     pinned = F.get(F.filter("controls", lambda c: apart(c) <= eps), F.lit(0))
-    moved = nodes.crossJoin(F.broadcast(row)).withColumns({"pin": pinned, "sum": F.aggregate("controls", none, add)})
-    place = lambda c: F.when(F.col("pin").isNotNull(), F.col(f"pin.t{c}")).when(F.col("sum.w") > 0, F.col(c) + F.col(f"sum.{c}") / F.col("sum.w")).otherwise(F.col(c)).alias(c)
+    met = nodes.crossJoin(F.broadcast(names)).select("id", "x", "y", F.explode("names").alias("block")).join(blocks, "block").withColumns({"pin": pinned, "sum": F.aggregate("controls", none, add)})
+    sums = met.groupBy("id").agg(F.min("pin").alias("pin"), F.sum("sum.w").alias("w"), F.sum("sum.x").alias("mx"), F.sum("sum.y").alias("my"))
+    moved = nodes.join(sums, "id", "left")
+    place = lambda c: F.when(F.col("pin").isNotNull(), F.col(f"pin.t{c}")).when(F.col("w") > 0, F.col(c) + F.col(f"m{c}") / F.col("w")).otherwise(F.col(c)).alias(c)
     return moved.select("id", place("x"), place("y"))
 
 
