@@ -59,8 +59,9 @@ def least_share(similar: float) -> float:
     """Least ratio of the squared weights of template words to those of other words in a segment of that cosine.
 
     A cosine to a template is at most the segment's length over template words
-    divided by its whole length.  The sum of the template words' weights bounds
-    the first from above, their number times the weight of each the rest from below.
+    divided by its whole length.  The sum of the template words' weights, or more
+    closely the squares of each word's weights together, bound the first from
+    above; the number of other words times the square of their weight bounds the rest from below.
     """
     return similar * similar / max(1 - similar * similar, 1e-12) * (1 - 1e-9)
 
@@ -105,17 +106,23 @@ def licence_scan(files: DataFrame, path: str = "path", text: str = "text", key:
     # What may reach ``similar``: its template words must outweigh the others, whatever their repetitions.
     levels: dict[float, list[str]] = {}
     for w, x in weights.items():
-        levels.setdefault(math.ceil(2 * max(x, 0)) / 2, []).append(f"'{w}'")
+        levels.setdefault(math.ceil(4 * max(x, 0)) / 4, []).append(f"'{w}'")
     weight = "CASE " + " ".join(f"WHEN w IN ({', '.join(own)}) THEN {level}D" for level, own in sorted(levels.items())) + " ELSE 0D END"
     known = f"filter(ws, w -> w IN ({listed}))"
-    stats = F.expr(f"transform(all, ws -> struct(aggregate({known}, 0D, (s, w) -> s + {weight}) AS a, size({known}) AS n, size(ws) AS m))")
-    texts_of = rows.select("k", F.xxhash64("path", "text").alias("t"), F.filter(F.transform(F.split("text", "\n"), _terms), lambda x: F.size(x) > 0).alias("all")).withColumn("stats", stats)
+    texts_of = rows.select("k", F.xxhash64("path", "text").alias("t"), F.filter(F.transform(F.split("text", "\n"), _terms), lambda x: F.size(x) > 0).alias("all")).withColumn("own", F.expr(f"transform(all, ws -> {known})"))
+    texts_of = texts_of.where("aggregate(own, 0, (s, ws) -> s + size(ws)) >= 2")
+    texts_of = texts_of.withColumn("stats", F.expr(f"transform(own, (ws, i) -> struct(aggregate(ws, 0D, (s, w) -> s + {weight}) AS a, size(ws) AS n, size(all[i]) AS m))"))
     runs = [F.expr(f"transform(sequence(0, size(all) - 1, {max(1, w // 4)}), i -> struct({w} AS size, i AS line))") for w in (1, *WINDOWS)]
     spans = F.concat(F.array(F.struct(F.size("all").alias("size"), F.lit(0).alias("line"))), *runs)
     sums = "aggregate(slice(stats, r.line + 1, r.size), struct(0D AS a, 0 AS n, 0 AS m), (s, x) -> struct(s.a + x.a AS a, s.n + x.n AS n, s.m + x.m AS m))"
-    enough = f"exists(array({sums}), s -> s.n >= 2 AND s.a * s.a >= {least_share(similar) * most * most!r}D * (s.m - s.n))"
-    hopeful = texts_of.where("aggregate(stats, 0, (s, x) -> s + x.n) >= 2").select("k", "t", "all", "stats", F.array_distinct(spans).alias("runs"))
-    hopeful = hopeful.select("k", "t", "all", F.explode(F.expr(f"filter(runs, r -> {enough})")).alias("run"))
+    least = f"{least_share(similar) * most * most!r}D"
+    enough = f"exists(array({sums}), s -> s.n >= 2 AND s.a * s.a >= {least} * (s.m - s.n))"
+    # The same with each word's own repetitions, for what is left.
+    squares = f"aggregate(array_distinct(q), 0D, (s, w) -> s + power(size(filter(q, v -> v = w)) * ({weight}), 2))"
+    others = "aggregate(slice(stats, r.line + 1, r.size), 0, (s, x) -> s + x.m - x.n)"
+    closer = f"exists(array(flatten(slice(own, r.line + 1, r.size))), q -> {squares} >= {least} * {others})"
+    hopeful = texts_of.select("k", "t", "all", "own", "stats", F.array_distinct(spans).alias("runs"))
+    hopeful = hopeful.select("k", "t", "all", F.explode(F.expr(f"filter(filter(runs, r -> {enough}), r -> {closer})")).alias("run"))
     scored = hopeful.select("k", "t", F.col("run.size").alias("size"), F.col("run.line").alias("line"), F.expr("flatten(slice(all, run.line + 1, run.size))").alias("terms")).dropDuplicates(["k", "t", "size", "line"])
     segments = _vectors(written(scored, "segments"), idf, most, ["k", "t", "size", "line"])
     patterns = _vectors(models, idf, most, ["model", "template"]).select("model", "template", "term", F.col("weight").alias("w2"), F.col("norm2").alias("m2"))
