@@ -13,7 +13,7 @@ from cadastre.llm.tables import NO_KEY, written
 
 #: Least cosine between a segment and a template.
 SIMILAR = 0.6
-#: Lines of the overlapping segments besides single lines and whole texts; each starts a quarter of its length after the last.
+#: Lines of the overlapping segments besides single lines and whole texts; each starts a quarter of its length after the last, the final one ends the text.
 WINDOWS = (2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Whole licences (NAME.txt) and standard headers (NAME.header.txt), read on the driver.
 TEXTS = Path(__file__).parent / "licence_texts"
@@ -109,21 +109,25 @@ def licence_scan(files: DataFrame, path: str = "path", text: str = "text", key:
         levels.setdefault(math.ceil(4 * max(x, 0)) / 4, []).append(f"'{w}'")
     weight = "CASE " + " ".join(f"WHEN w IN ({', '.join(own)}) THEN {level}D" for level, own in sorted(levels.items())) + " ELSE 0D END"
     known = f"filter(ws, w -> w IN ({listed}))"
-    texts_of = rows.select("k", F.xxhash64("path", "text").alias("t"), F.filter(F.transform(F.split("text", "\n"), _terms), lambda x: F.size(x) > 0).alias("all")).withColumn("own", F.expr(f"transform(all, ws -> {known})"))
-    texts_of = texts_of.where("aggregate(own, 0, (s, ws) -> s + size(ws)) >= 2")
-    texts_of = texts_of.withColumn("stats", F.expr(f"transform(own, (ws, i) -> struct(aggregate(ws, 0D, (s, w) -> s + {weight}) AS a, size(ws) AS n, size(all[i]) AS m))"))
-    runs = [F.expr(f"transform(sequence(0, size(all) - 1, {max(1, w // 4)}), i -> struct({w} AS size, i AS line))") for w in (1, *WINDOWS)]
-    spans = F.concat(F.array(F.struct(F.size("all").alias("size"), F.lit(0).alias("line"))), *runs)
-    sums = "aggregate(slice(stats, r.line + 1, r.size), struct(0D AS a, 0 AS n, 0 AS m), (s, x) -> struct(s.a + x.a AS a, s.n + x.n AS n, s.m + x.m AS m))"
+    # Whole runs only: each WINDOWS length from every quarter of it, and at the end of the text.
+    at = lambda w: f"transform(array_union(sequence(0, size(all) - {w}, {max(1, w // 4)}), array(size(all) - {w})), i -> struct({w} AS size, i AS line))"
+    runs = ", ".join(["array(struct(size(all) AS size, 0 AS line))", *(f"if(size(all) > {w}, {at(w)}, array())" for w in (1, *WINDOWS))])
+    sums = "aggregate(slice(stats, r.line + 1, r.size), struct(0D AS a, 0D AS b, 0 AS n, 0 AS m), (s, x) -> struct(s.a + x.a AS a, s.b + x.b AS b, s.n + x.n AS n, s.m + x.m AS m))"
     least = f"{least_share(similar) * most * most!r}D"
-    enough = f"exists(array({sums}), s -> s.n >= 2 AND s.a * s.a >= {least} * (s.m - s.n))"
-    # The same with each word's own repetitions, for what is left.
+    # Squares of words' weights over several lines are at most the lines' own squares times their number.
+    enough = f"exists(array({sums}), s -> s.n >= 2 AND least(s.a * s.a, r.size * s.b) >= {least} * (s.m - s.n))"
+    # The same with each word's repetitions in the whole run, for what is left.
     squares = f"aggregate(array_distinct(q), 0D, (s, w) -> s + power(size(filter(q, v -> v = w)) * ({weight}), 2))"
     others = "aggregate(slice(stats, r.line + 1, r.size), 0, (s, x) -> s + x.m - x.n)"
     closer = f"exists(array(flatten(slice(own, r.line + 1, r.size))), q -> {squares} >= {least} * {others})"
-    hopeful = texts_of.select("k", "t", "all", "own", "stats", F.array_distinct(spans).alias("runs"))
-    hopeful = hopeful.select("k", "t", "all", F.explode(F.expr(f"filter(filter(runs, r -> {enough}), r -> {closer})")).alias("run"))
-    scored = hopeful.select("k", "t", F.col("run.size").alias("size"), F.col("run.line").alias("line"), F.expr("flatten(slice(all, run.line + 1, run.size))").alias("terms")).dropDuplicates(["k", "t", "size", "line"])
+    found = f"transform(filter(filter(concat({runs}), r -> {enough}), r -> {closer}), r -> struct(r.size, r.line, flatten(slice(all, r.line + 1, r.size)) AS terms))"
+    # One nested expression: lambda variables are computed once, columns would be computed anew wherever they are named.
+    line = squares.replace("array_distinct(q)", "array_distinct(ws)").replace("filter(q,", "filter(ws,")
+    stats = f"transform(own, (ws, i) -> struct(aggregate(ws, 0D, (s, w) -> s + {weight}) AS a, {line} AS b, size(ws) AS n, size(all[i]) AS m))"
+    with_stats = f"flatten(transform(filter(array(own), o -> aggregate(o, 0, (s, ws) -> s + size(ws)) >= 2), o -> element_at(transform(array({stats}), stats -> {found}), 1)))"
+    with_own = f"flatten(transform(array(transform(all, ws -> {known})), own -> {with_stats}))"
+    texts_of = rows.select("k", F.xxhash64("path", "text").alias("t"), F.filter(F.transform(F.split("text", "\n"), _terms), lambda x: F.size(x) > 0).alias("all"))
+    scored = texts_of.select("k", "t", F.explode_outer(F.expr(with_own)).alias("r")).where("r is not null").select("k", "t", "r.size", "r.line", "r.terms").dropDuplicates(["k", "t", "size", "line"])
     segments = _vectors(written(scored, "segments"), idf, most, ["k", "t", "size", "line"])
     patterns = _vectors(models, idf, most, ["model", "template"]).select("model", "template", "term", F.col("weight").alias("w2"), F.col("norm2").alias("m2"))
     products = segments.join(F.broadcast(patterns), "term").groupBy("k", "t", "size", "line", "model", "template").agg((F.sum(F.col("weight") * F.col("w2")) / F.sqrt(F.first("norm2") * F.first("m2"))).alias("cosine"))

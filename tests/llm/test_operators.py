@@ -366,7 +366,7 @@ def licences_by_brute_force(rows, similar):
     out = []
     for x in rows:
         own = [t for t in map(terms, x.split("\n")) if t]
-        spans = {(len(own), 0)} | {(w, i) for w in (1, *WINDOWS) for i in range(0, len(own), max(1, w // 4))} if own else set()
+        spans = {(len(own), 0)} | {(w, i) for w in (1, *WINDOWS) if w < len(own) for i in {*range(0, len(own) - w + 1, max(1, w // 4)), len(own) - w}} if own else set()
         found = []
         for size, at in spans:
             v = Counter(w for t in own[at : at + size] for w in t)
