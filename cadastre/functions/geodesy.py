@@ -59,3 +59,46 @@ def sun_position(ts: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
     altitude = F.asin(F.sin(phi) * F.sin(declination) + F.cos(phi) * F.cos(declination) * F.cos(hour))
     az = F.atan2(-F.sin(hour) * F.cos(declination), F.cos(phi) * F.sin(declination) - F.sin(phi) * F.cos(declination) * F.cos(hour))
     return F.degrees(altitude), F.pmod(F.degrees(az), F.lit(360.0))
+
+
+def lonlat_area(ring: Column) -> Column:
+    """Spherical-excess area, in square metres, of a closed ring of struct(x = lon, y = lat) in degrees; 0 for fewer than four points."""
+    edges = F.arrays_zip(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))).alias("a"), F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))).alias("b"))
+    excess = F.aggregate(edges, F.lit(0.0), lambda s, e: s + F.radians(e["b"]["x"] - e["a"]["x"]) * (2 + F.sin(F.radians(e["a"]["y"])) + F.sin(F.radians(e["b"]["y"]))))
+    return F.when(F.size(ring) < 4, F.lit(0.0)).otherwise(F.abs(excess) * RADIUS * RADIUS / 2)
+
+
+def lonlat_perimeter(ring: Column) -> Column:
+    """Great-circle length of a ring of struct(x = lon, y = lat)."""
+    edges = F.arrays_zip(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))).alias("a"), F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))).alias("b"))
+    return F.aggregate(edges, F.lit(0.0), lambda s, e: s + haversine(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))
+
+
+def arc_points(x: Column, y: Column, radius: Column, begin: Column, end: Column, segments: int = 48) -> Column:
+    """Array of struct(x, y) along an arc, counter-clockwise from one angle to the other; an end before the begin wraps round."""
+    span = end - begin + F.when(end < begin, F.lit(6.283185307179586)).otherwise(0.0)
+    at = lambda i: begin + span * i / segments
+    return F.transform(F.sequence(F.lit(0), F.lit(segments)), lambda i: F.struct((x + radius * F.cos(at(i))).alias("x"), (y + radius * F.sin(at(i))).alias("y")))
+
+
+def circle_points(x: Column, y: Column, radius: Column, segments: int = 64) -> Column:
+    return arc_points(x, y, radius, F.lit(0.0), F.lit(6.283185307179586), segments)
+
+
+#: Half axis and flattening of the ellipsoid, and the scale on a zone's middle meridian.
+AXIS, FLATTENING, SCALE = 6378137.0, 1 / 298.257223563, 0.9996
+
+
+def utm(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    """(zone, easting, northing) by Krüger's series to the third order; northings south of the equator count from 10,000 km."""
+    n = FLATTENING / (2 - FLATTENING)
+    a = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    zone = F.floor((lon + 180) / 6) + 1
+    away, phi = F.radians(lon - (zone * 6 - 183)), F.radians(lat)
+    e = 2 * n**0.5 / (1 + n)
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+    east = eta + sum(c * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, c in enumerate(alpha))
+    north = xi + sum(c * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, c in enumerate(alpha))
+    return zone, 500_000 + SCALE * a * east, F.when(lat < 0, 10_000_000.0).otherwise(0.0) + SCALE * a * north
