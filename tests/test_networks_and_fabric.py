@@ -120,7 +120,7 @@ def test_utm_and_design(spark):
 
 
 def test_gsi_square(spark):
-    text = "\n".join(f"11....+0000000{i} 84..00+00000000\n11....+0000000{i + 1} 21.324+0000000{90 * i:03d}0000000 32..06+00010000" for i in range(4))
+    text = "\n".join(f"11....+0000000{i} 84..00+00000000\n11....+0000000{i + 1} 21.324+000000{90 * i:03d}0000000 32..06+00010000" for i in range(4))
     found = field.scan_gsi(field.lines_of(spark.createDataFrame([("f", text)], "file string, text string")))
     assert found.setups.count() == 4 and found.observations.where("kind = 'SD'").agg(F.sum("value")).first()[0] == 40.0
     assert sorted(round(math.degrees(r.value)) for r in found.observations.where("kind = 'HA'").collect()) == [0, 90, 180, 270]
