@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastre.llm.tables import NO_KEY, drop, written
+from cadastre.llm.tables import NO_KEY, spare, written
 
 SIZE = 10
 #: Runs of bytes that separate words of a lower-cased text.
@@ -103,13 +103,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", spans: bool = False, **options) -> DataFrame:
-    """The documents' own columns without contaminated rows, or with the hit words cut out (``spans``)."""
-    found = contamination(docs, benchmark, key, text, **options).where("contaminated").select(F.col(key).alias("__key"), F.col("t").alias("__t"), F.col("runs").alias("__runs")).distinct()
-    same = docs[key].eqNullSafe(F.col("__key")) & (F.xxhash64(docs[text]) == F.col("__t"))
+    """The documents' own columns without contaminated rows, or with the hit words cut out (``spans``).
+
+    A null or empty text holds nothing and stays; rows without a key, repeated
+    ones, and rows that share a key are judged each by its text.  An empty
+    benchmark changes nothing.  Columns of any names are kept.
+    """
+    k, t, runs, words, gaps = spare(docs, "key", "hash", "runs", "words", "gaps")
+    found = contamination(docs, benchmark, key, text, **options).where("contaminated").select(F.col(key).alias(k), F.col("t").alias(t), F.col("runs").alias(runs)).distinct()
+    same = docs[key].eqNullSafe(F.col(k)) & (F.xxhash64(docs[text]) == F.col(t))
     if not spans:
         return docs.join(found, same, "left_anti")
-    joined = docs.join(found, same, "left").drop("__key", "__t")
+    joined = docs.join(found, same, "left").drop(k, t)
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    joined = joined.withColumn("__words", F.regexp_extract_all(text, F.lit(word), F.lit(0))).withColumn("__gaps", F.split(text, word, -1))
-    kept = F.expr("array_join(transform(__gaps, (g, i) -> concat(g, if(i >= size(__words) or exists(__runs, r -> i + 1 >= r.from and i + 1 < r.until), '', get(__words, i)))), '')")
-    return joined.withColumn(text, F.when(F.col("__runs").isNull(), F.col(text)).otherwise(kept)).drop("__runs", "__words", "__gaps").select(docs.columns)
+    joined = joined.withColumn(words, F.regexp_extract_all(text, F.lit(word), F.lit(0))).withColumn(gaps, F.split(text, word, -1))
+    kept = F.expr(f"array_join(transform({gaps}, (g, i) -> concat(g, if(i >= size({words}) or exists({runs}, r -> i + 1 >= r.from and i + 1 < r.until), '', get({words}, i)))), '')")
+    return joined.withColumn(text, F.when(F.col(runs).isNull(), F.col(text)).otherwise(kept)).select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastre.llm.tables import written
+from cadastre.llm.tables import spare, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -97,11 +97,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents' rows, repeated as often as the mix takes them; the row at the threshold only whole.
 
-    A document taken k times and in part stands k times; one never taken whole is left out.
+    A document taken k times and in part stands k times; one never taken whole
+    is left out, one without words stands once.  Rows that share a key, or have
+    none, are taken alike if they share source and size too.  Columns of any names are kept.
     """
-    took = mix(docs, key, text, source, **options).select(F.col(key).alias("__key"), F.col(source).alias("__source"), F.col("size").alias("__size"), F.expr("if(size = 0, 1, taken div size)").alias("__times")).distinct()
-    same = docs[key].eqNullSafe(F.col("__key")) & docs[source].eqNullSafe(F.col("__source")) & (size_of(docs[text]) == F.col("__size"))
-    return docs.join(took, same).withColumn("__copy", F.explode(F.expr("if(__times > 0, sequence(1L, __times), cast(array() as array<bigint>))"))).select(*(docs[c] for c in docs.columns))
+    k, s, n, times, copy = spare(docs, "key", "from", "size", "times", "copy")
+    took = mix(docs, key, text, source, **options).select(F.col(key).alias(k), F.col(source).alias(s), F.col("size").alias(n), F.expr("if(size = 0, 1, taken div size)").alias(times)).distinct()
+    same = docs[key].eqNullSafe(F.col(k)) & docs[source].eqNullSafe(F.col(s)) & (size_of(docs[text]) == F.col(n))
+    return docs.join(took, same).withColumn(copy, F.explode(F.expr(f"if({times} > 0, sequence(1L, {times}), cast(array() as array<bigint>))"))).select(*(docs[c] for c in docs.columns))
 
 
 #: The same in DuckDB SQL, over documents.

@@ -82,6 +82,16 @@ def row_identity(key: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(key.cast("long"), F.lit(NO_KEY)), F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column of docs, in any case."""
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        return name if name.lower() not in taken else free(f"_{name}")
+
+    return [free(n) for n in names]
+
+
 def unkeyed(column: str = "k"):
     """The key back from keyed(): NO_KEY becomes null."""
     return F.when(F.col(column) != NO_KEY, F.col(column))

@@ -26,9 +26,9 @@ from cadastre.llm.repeats import Windows, repeated_windows
 from cadastre.llm.secrets import BASE as BASE_KINDS
 from cadastre.llm.secrets import COMPLETED_BY, KINDS, SCOPE, WEAK, secret_spans
 from cadastre.llm.substrings import suffix_dedup, window_dedup
-from cadastre.llm.tables import identified
+from cadastre.llm.tables import identified, written
 from cadastre.llm.tokens import read_documents, read_tokens, write_tokens
-from cadastre.llm.toxicity import train, with_toxicity
+from cadastre.llm.toxicity import CUT, features, train, with_toxicity
 
 BASE = " ".join(f"word{i % 37}x{i * 7 % 101}" for i in range(400))
 OTHER = " ".join(f"Ünlike{i * 13 % 211}é" for i in range(300))
@@ -229,6 +229,48 @@ def test_decontamination(spark, docs, empty):
     assert contamination(empty, bench).count() == 0 and not contamination(docs, bench.where("false")).where("contaminated").count()
 
 
+def test_names_that_clash(spark, docs):
+    more = docs.withColumns({c: F.lit(1) for c in ("key", "hash", "runs", "words", "Gaps", "from", "size", "times", "copy", "_key", "score", "threshold")})
+    bench = spark.createDataFrame([(1, BASE[:300])], "item_id long, text string")
+    for spans in (False, True):
+        assert decontaminated(more, bench, spans=spans).columns == more.columns
+        assert decontaminated(more, bench, spans=spans).count() == decontaminated(docs, bench, spans=spans).count()
+    assert mixed(more).columns == more.columns and mixed(more).count() == mixed(docs).count()
+
+
+def test_pipeline_stages(spark):
+    """Each stage on what the one before kept, against brute force, at the smallest scale."""
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(150).withColumn("score", F.lit("clash"))
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    stages, kept = dict(P.STAGES), docs
+    assert [*stages] == ["toxicity", "near_duplicates", "decontamination", "mixing", "tokens"]
+    after, model = written(stages["toxicity"](spark, kept, sf), "t"), train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    below = lambda r: model.score(features(np.frombuffer((r.text or "").encode(), dtype=np.uint8))) < model.thresholds.get(r.lang, CUT)
+    assert after.columns == docs.columns and sorted(map(str, after.collect())) == sorted(str(r) for r in docs.collect() if below(r))
+    kept, before = written(stages["near_duplicates"](spark, after, sf), "t"), after.collect()
+    cut = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) for r in before]
+    sets, to = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in cut], list(range(len(cut)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                to = [min(to[i], to[j]) if c in (to[i], to[j]) else c for c in to]
+    assert kept.columns == docs.columns and kept.count() == len(set(to)) < len(before)
+    clean = written(stages["decontamination"](spark, kept, sf), "t")
+    pattern, words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: pattern.findall(re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+    windows = {tuple(w[i : i + min(10, len(w))]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() for w in [words(r.text)] if w for i in range(max(1, len(w) - 9))}
+    hit = lambda w: any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+    assert sorted(r.text or "" for r in clean.collect()) == sorted(r.text or "" for r in kept.collect() if not hit(words(r.text)))
+    mix_ = written(stages["mixing"](spark, clean, sf), "t")
+    taken = {(r.doc_id, r.size): r for r in mix(clean).collect()}
+    counts = Counter((r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in mix_.collect())
+    assert all(n == (1 if k[1] == 0 else taken[k].taken // k[1]) for k, n in counts.items())
+    ids = stages["tokens"](spark, mix_, sf).collect()
+    assert len(ids) == mix_.count() and sum(r.n_tokens for r in ids) == max(r.start + r.n_tokens for r in ids)
+
+
 def test_mixing(docs, empty):
     rows = mix(docs).collect()
     assert all(r.taken <= 3 * r.size for r in rows)
