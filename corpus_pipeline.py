@@ -12,15 +12,20 @@ from cadastre.llm.decontamination import decontaminated
 from cadastre.llm.jaccard import without_near_duplicates
 from cadastre.llm.mixing import mixed
 from cadastre.llm.queries import END, tokenizer_spec
-from cadastre.llm.tables import load, written
+from cadastre.llm.tables import load, spare, written
 from cadastre.llm.tokens import read_tokens, write_tokens
 from cadastre.llm.toxicity import train, with_toxicity
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects at their language's threshold."""
+    """Drops the documents that the classifier rejects at their language's threshold.
+
+    A null or empty text has the score of no words; every row is judged by its
+    own text, repeated keys too.  Without labels of both kinds nothing is dropped.
+    """
     model = train(docs, load(spark, sf_dir, "labels"))
-    return with_toxicity(docs, model, score="__score", threshold="__threshold").where("__score < __threshold").select(docs.columns)
+    score, threshold = spare(docs, "score", "threshold")
+    return with_toxicity(docs, model, score=score, threshold=threshold).where(f"{score} < {threshold}").select(docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +34,17 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of a benchmark item."""
+    """Drops the documents that hold a window of a benchmark item; null and empty texts hold none."""
     return decontaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that the sources come near their target weights."""
+    """Repeats or leaves out documents so that the sources come near their target weights; a null source is one of its own, documents without words stay."""
     return mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token shards; returns what they hold for each document."""
+    """Writes the token shards; returns what they hold for each document, repeated ones each; a null text is its end id alone."""
     return read_tokens(write_tokens(docs, tokenizer_spec(), END))
 
 
