@@ -27,7 +27,7 @@ from cadastre.llm.secrets import BASE as BASE_KINDS
 from cadastre.llm.secrets import COMPLETED_BY, KINDS, SCOPE, WEAK, secret_spans
 from cadastre.llm.substrings import suffix_dedup, window_dedup
 from cadastre.llm.tables import identified, written
-from cadastre.llm.tokens import read_documents, read_tokens, write_tokens
+from cadastre.llm.tokens import FRAME, read_documents, read_tokens, write_tokens
 from cadastre.llm.toxicity import CUT, features, train, with_toxicity
 
 BASE = " ".join(f"word{i % 37}x{i * 7 % 101}" for i in range(400))
@@ -455,6 +455,21 @@ def test_tokens_round_trip(docs, empty):
     assert read_tokens(write_tokens(empty, spec)).count() == 0
 
 
+def test_tokens_of_a_document_over_several_frames(spark):
+    from tokenizers import Tokenizer
+
+    spec = Q.tokenizer_spec()
+    long = " ".join(f"alpha{i % 977} beta, Gamma{i % 13}." for i in range(40_000))
+    docs = spark.createDataFrame([(1, "first words"), (2, long), (2, "same key"), (None, "no key"), (3, "last words")], "doc_id long, text string").repartition(1)
+    shards, coder = write_tokens(docs, spec), Tokenizer.from_str(spec)
+    ids = [*coder.encode(long, add_special_tokens=False).ids, 1]
+    assert len(ids) > 2 * FRAME
+    row = next(r for r in read_tokens(shards).collect() if r.n_tokens == len(ids))
+    assert row.doc_id == 2 and row.ids_crc32 == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+    read = {(r.doc_id, len(r.ids)): list(r.ids) for r in read_documents(shards, [2, 3, None]).collect()}
+    assert len(read) == 4 and read[2, len(ids)] == ids
+
+
 def test_toxicity(spark, empty):
     rows = [(i, f"calm words number {i * 7 % 50} here " * 5 + ("vile" + "abcdefgh"[i % 8 :] if i % 4 == 0 else ""), "en", i % 2) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
