@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from cadastre.llm.collocations import SQL as COLLOCATIONS_SQL
+from cadastre.llm.collocations import collocations
 from cadastre.llm.decontamination import contamination
 from cadastre.llm.fingerprints import fingerprints
+from cadastre.llm.forest import nearest
 from cadastre.llm.jaccard import jaccard_join
 from cadastre.llm.licences import licence_scan
 from cadastre.llm.mixing import SQL as MIXING_SQL
 from cadastre.llm.mixing import mix
+from cadastre.llm.rtree import SQL as NEGATIVES_SQL
+from cadastre.llm.rtree import hard_negatives
 from cadastre.llm.secrets import secret_spans
 from cadastre.llm.substrings import suffix_dedup, window_dedup
 from cadastre.llm.tables import load
@@ -91,6 +96,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(load(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_decontamination": op2_decontamination,
@@ -102,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_licences": op9_licences,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
-ORACLES: dict[str, str] = {"op5_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {"op5_mixing": MIXING_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_collocations": COLLOCATIONS_SQL}
