@@ -26,8 +26,8 @@ WORDS, LEAST, COVER, TOP = 3, 10, 50, 2000
 SHARE, PARTS = 1 << 22, 1 << 16
 #: Bits of the sieve that the second pass is given: 16 MB, whatever the corpus.
 SIEVE_BITS = 27
-#: Bytes whose words are hashed at once; n-grams that a task gathers before it sends them.
-BLOCK, GATHER = 1 << 20, 1 << 21
+#: Bytes whose words are hashed at once; n-grams that a task gathers before it sends them; phrases sent at once.
+BLOCK, GATHER, SENT = 1 << 20, 1 << 20, 1 << 15
 #: Parts in which a language's phrases are ranked first.
 DEAL = 64
 
@@ -78,9 +78,9 @@ def seed_of(lang: str) -> np.uint64:
 
 
 def texts(batch: pa.RecordBatch, block: int = BLOCK) -> Iterator[tuple[str, np.ndarray]]:
-    """(lang, lower-cased bytes) of a batch: neighbouring texts of one language together, up to a block, a line break between them."""
+    """(lang, lower-cased bytes) of a batch: texts of one language together, up to a block, a line break between them."""
     lang, data, size = None, [], 0
-    for name, row in zip(batch["lang"].to_pylist(), byte_rows(batch["text"]), strict=True):
+    for name, row in sorted(zip(batch["lang"].to_pylist(), byte_rows(batch["text"]), strict=True), key=lambda x: x[0]):
         if data and (name != lang or size + len(row) > block):
             yield lang, LOWER[np.concatenate(data)]
             data, size = [], 0
@@ -114,11 +114,16 @@ def summaries(parts_log: int, most: int):
         def sent() -> Iterator[pa.RecordBatch]:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             part = (keys >> U64(64 - parts_log)).astype(np.int64) if parts_log else np.zeros(len(keys), dtype=np.int64)
+            # counts as bytes: a larger one takes several entries, which merge to their sum
+            times = (counts + 254) // 255
+            part, keys, last = np.repeat(part, times), np.repeat(keys, times), np.cumsum(times) - 1
+            small = np.full(len(keys), 255, dtype=np.uint8)
+            small[last] = counts - 255 * (times - 1)
             short = ((keys << U64(parts_log)) >> U64(32)).astype(np.uint32)
             at = np.flatnonzero(np.diff(part, prepend=-1))
             for low in range(0, len(at), 4096):
                 ends = np.append(at, len(part))[low : low + 4097]
-                own = [(int(part[a]), short[a:b].tobytes(), counts[a:b].astype(np.int64).tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                own = [(int(part[a]), short[a:b].tobytes(), small[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in own], pa.int64()), pa.array([1] * len(own), pa.int32()), pa.array([0] * len(own), pa.int64()), pa.array([o[1] for o in own], pa.binary()), pa.array([o[2] for o in own], pa.binary())], ["part", "kind", "mass", "keys", "counts"])
 
         for batch in batches:
@@ -150,7 +155,7 @@ def survivors(bits: int, least: int):
         def shrunk() -> None:
             nonlocal keys, counts, held, lost
             if keys:
-                k, c, low = merged(np.concatenate(keys), np.concatenate(counts), mass // least + 1)
+                k, c, low = merged(np.concatenate(keys), np.concatenate(counts).astype(np.int64), mass // least + 1)
                 keys, counts, held, lost = [k], [c], len(k), lost + low
 
         def ended() -> Iterator[pa.RecordBatch]:
@@ -172,7 +177,7 @@ def survivors(bits: int, least: int):
                     mass += m.as_py()
                     continue
                 keys.append(np.frombuffer(k.as_buffer(), dtype=np.uint32))
-                counts.append(np.frombuffer(c.as_buffer(), dtype=np.int64))
+                counts.append(np.frombuffer(c.as_buffer(), dtype=np.uint8))
                 held += len(keys[-1])
                 if held > 2 * (mass // least + 1) + GATHER:
                     shrunk()
@@ -181,27 +186,34 @@ def survivors(bits: int, least: int):
     return run
 
 
+def phrases_at(whole: bytes, start: np.ndarray, end: np.ndarray, at: np.ndarray, n: int) -> list[str]:
+    """The phrases of n words from the words ``at``, their words joined by one blank."""
+    plain = end[at + n - 1] - start[at] == sum(end[at + i] - start[at + i] for i in range(n)) + n - 1  # one byte between words
+    runs = zip(at.tolist(), start[at].tolist(), end[at + n - 1].tolist(), plain.tolist(), strict=True)
+    return [(whole[s:e].replace(b"\t", b" ") if p else b" ".join(whole[start[a + i] : end[a + i]] for i in range(n))).decode() for a, s, e, p in runs]
+
+
+def table_of(lang: str, phrases: list[str | None], n: int, f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(f)), pa.array(phrases, pa.string()), pa.array(np.full(len(f), n, dtype=np.int32)), pa.array(f.astype(np.int64))], ["lang", "phrase", "words", "f"])
+
+
 def counted(sieve, parts_log: int, bits: int, most: int):
     """Of a batch's texts: (lang, phrase, words, f) of the n-grams that the sieve holds, and the count of all words (phrase null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(sieve.value, dtype=np.uint8)
         for batch in batches:
-            for lang, data in texts(batch, 8 * BLOCK):
+            for lang, data in texts(batch, 2 * BLOCK):
                 words, start, end, piece = words_of(data)
-                rows: list[tuple[str | None, int, int]] = [(None, 0, len(words))]
+                yield table_of(lang, [None], 0, np.array([len(words)]))
                 whole = data.tobytes()
                 for n, first, keys in grams(words, piece, seed_of(lang), most):
                     index = keys >> U64(64 - parts_log - bits)
                     fits = np.flatnonzero(table[(index >> U64(3)).astype(np.int64)] >> (index & U64(7)).astype(np.uint8) & 1)
                     _, at, count = np.unique(keys[fits], return_index=True, return_counts=True)
                     at = first[fits[at]]
-                    plain = end[at + n - 1] - start[at] == sum(end[at + i] - start[at + i] for i in range(n)) + n - 1  # one byte between words
-                    for a, p, c in zip(at.tolist(), plain.tolist(), count.tolist(), strict=True):
-                        one = whole[start[a] : end[a + n - 1]].replace(b"\t", b" ") if p else b" ".join(whole[start[a + i] : end[a + i]] for i in range(n))
-                        rows.append((one.decode(), n, c))
-                phrase, words_in, f = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array(phrase, pa.string()), pa.array(words_in, pa.int32()), pa.array(f, pa.int64())], ["lang", "phrase", "words", "f"])
+                    for low in range(0, len(at), SENT):
+                        yield table_of(lang, phrases_at(whole, start, end, at[low : low + SENT], n), n, count[low : low + SENT])
 
     return run
 
