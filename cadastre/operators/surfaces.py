@@ -100,7 +100,7 @@ def contour_segments(triangles: DataFrame, interval: float) -> DataFrame:
 
     def cross(i: int) -> Column:
         p, q = F.col("v")[0], F.col("v")[i]
-        t = F.least(F.greatest((F.col("elev") - p["z"]) / (q["z"] - p["z"]), F.lit(0.0)), F.lit(1.0))
+        t = F.least(F.greatest(F.try_divide(F.col("elev") - p["z"], q["z"] - p["z"]), F.lit(0.0)), F.lit(1.0))
         return F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
 
     return rows.select("cloud", "elev", "tri", cross(1).alias("p"), cross(2).alias("q"))

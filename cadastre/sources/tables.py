@@ -27,4 +27,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", where)
     path, schema = f"{where.rstrip('/')}/cadastre-{label}-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing still to be computed reads; others are left alone."""
+    for table in tables:
+        if path := getattr(table, "written_path", None):
+            where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

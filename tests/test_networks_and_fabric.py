@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadastre.functions import geodesy
 from cadastre.operators import assessor, easements, fabric, network, places, surfaces, topology
-from cadastre.operators.graphs import components
+from cadastre.operators.graphs import components, places
 from cadastre.sources import field
 
 
@@ -43,6 +43,36 @@ def test_components_of_chains(spark):
     assert {r.component for r in components(links).collect()} == {0, 100}
 
 
+def test_components_in_few_turns_whatever_the_order(spark):
+    n = 1000
+    order = [0, *range(n, 0, -1)]
+    rows = list(zip(order, order[1:], strict=False))
+    star = [(5000 + i, 9999) for i in range(300)]
+    comb = [(20_000 + i, 20_000 + (i * 7919 + 1) % 997) for i in range(997)]
+    turns = []
+    got = {r.id: r.component for r in components(spark.createDataFrame([*rows, *star, *comb, (7, 7), (60_000, 60_000)], "a long, b long"), turns).collect()}
+    assert {got[i] for i in range(n + 1)} == {0} and {got[a] for a, _ in star} == {5000} == {got[9999]} and got[60_000] == 60_000
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in comb:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(got[a] == find(a) for a, _ in comb) and len(turns) <= 25
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_places_on_lists(spark):
+    n = 300
+    ids = [(i * 7919) % 10_007 for i in range(n)]
+    steps = [(b, a) for a, b in zip([None, *ids], ids, strict=False)] + [(20_000, None), (30_000, 30_001), (30_001, 30_000)]
+    got = {r.id: (r.head, r.place) for r in places(spark.createDataFrame(steps, "id long, prev long")).collect()}
+    assert got == {x: (ids[0], i) for i, x in enumerate(ids)} | {20_000: (20_000, 0)}
+
+
 def test_weld_merge_and_reject(spark):
     parcels = spark.createDataFrame([(1, square(0.0, 0.0)), (2, square(1.004, 0.0)), (3, square(9.0, 9.0)), (4, square(20.0, 20.0, 0.001))], RING)
     nodes, sides, rejects = topology.build_fabric(parcels, 0.01)
