@@ -100,7 +100,7 @@ def jacobian_rows(points: DataFrame, obs: DataFrame, free: DataFrame) -> DataFra
 
 
 def _solve(table: pa.Table) -> pa.RecordBatch:
-    """Whole networks' rows (net, i, j, value) to (net, i, j, dx, q); networks of one size are solved together."""
+    """Whole networks' rows (net, i, j, value) to (net, i, j, dx, q, free); networks of one size are solved together, free counts the directions that nothing holds."""
     net, value = table["net"].to_numpy(), table["value"].to_numpy()
     group = np.cumsum(np.append(False, net[1:] != net[:-1]))
     left, right = table["i"].combine_chunks(), table["j"].combine_chunks()
@@ -123,15 +123,17 @@ def _solve(table: pa.Table) -> pa.RecordBatch:
         absolute[place[group[outer]], row[outer]] = value[outer]
         # Networks without enough held points have no inverse; the least solution of all stands in.
         low = ~(np.linalg.cond(normal) < 1e14)
+        loose = np.zeros(len(own), dtype=np.int32)
+        loose[low] = n - np.linalg.matrix_rank(normal[low], hermitian=True)
         q = np.zeros_like(normal)
         q[~low], q[low] = np.linalg.inv(normal[~low]), np.linalg.pinv(normal[low], hermitian=True)
         x = (q @ absolute[:, :, None])[:, :, 0]
         g, i, j = np.indices(q.shape).reshape(3, -1)
-        out.append((own[g], params[begin[own[g]] + i] % width, params[begin[own[g]] + j] % width, np.where(i == j, x[g, i], np.nan), q.ravel()))
-    g, i, j, dx, q = (np.concatenate(c) for c in zip(*out, strict=True))
+        out.append((own[g], params[begin[own[g]] + i] % width, params[begin[own[g]] + j] % width, np.where(i == j, x[g, i], np.nan), q.ravel(), loose[g]))
+    g, i, j, dx, q, loose = (np.concatenate(c) for c in zip(*out, strict=True))
     first = table["net"].combine_chunks().take(pa.array(np.searchsorted(group, g)))
     named = [names.dictionary.take(pa.array(c)) for c in (i, j)]
-    return pa.RecordBatch.from_arrays([first, *named, pa.array(dx), pa.array(q)], names=["net", "i", "j", "dx", "q"])
+    return pa.RecordBatch.from_arrays([first, *named, pa.array(dx), pa.array(q), pa.array(loose)], names=["net", "i", "j", "dx", "q", "free"])
 
 
 def _solve_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,36 +155,42 @@ def _solve_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def solved(rows: DataFrame) -> DataFrame:
-    """(net, i, j, dx, q): corrections (where i = j) and cofactors of each network's Jacobian rows; i, j are "id axis".
+    """(net, i, j, dx, q, free): corrections (where i = j) and cofactors of each network's Jacobian rows; i, j are struct(id, axis).
 
+    free counts the directions of the network that no observation holds (its
+    normal matrix then has no inverse, and the least solution of all is taken).
     A network's normal matrix is dense and stands in one task: that bounds the
     number of coordinates of a network, never the number of networks.
     """
-    net = dict(rows.dtypes)["net"]
-    param = rows.select("net", "row", F.concat_ws(" ", "id", "axis").alias("param"), "coef", "misclosure", "weight")
+    kinds = dict(rows.dtypes)
+    # an axis is one letter, so that it comes off again whatever the id holds
+    param = rows.select("net", "row", F.concat("axis", F.col("id").cast("string")).alias("param"), "coef", "misclosure", "weight")
     equations = normal_equations(param).select("net", "i", "j", "value").repartition("net").sortWithinPartitions("net")
-    return equations.mapInArrow(_solve_all, f"net {net}, i string, j string, dx double, q double")
+    out = equations.mapInArrow(_solve_all, f"net {kinds['net']}, i string, j string, dx double, q double, free int")
+    named = lambda c: F.struct(F.substring(c, 2, 2**31 - 1).cast(kinds["id"]).alias("id"), F.substring(c, 1, 1).alias("axis")).alias(c)
+    return out.select("net", named("i"), named("j"), "dx", "q", "free")
 
 
 def adjust_networks(points: DataFrame, obs: DataFrame, free: DataFrame, most: int = 12, close: float = 0.0005) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Gauss-Newton over all networks at once: points(net, id, x, y, z, turns, converged), covariance cofactors, and rejects(net, reason).
+    """Gauss-Newton over all networks at once: points(net, id, x, y, z, turns, converged, free), covariance cofactors, and rejects(net, reason).
 
     Rows are assembled by joins, every network is solved in a group of its own,
     and each turn's coordinates are written.  A network leaves once no
     coordinate moves more than ``close``; one that has fewer rows than
-    coordinates is rejected.
+    coordinates is rejected.  ``free`` above 0 marks a network that its
+    observations don't hold in that many directions.
     """
     first = jacobian_rows(points, obs, free)
     sizes = first.groupBy("net").agg(F.countDistinct("row").alias("rows"), F.countDistinct("id", "axis").alias("params"))
     rejects = written(points.select("net").distinct().join(sizes, "net", "left").where("coalesce(rows, 0) < coalesce(params, 1)").select("net", F.lit("underdetermined").alias("reason")), "rejects")
-    now = points.join(rejects, "net", "left_anti").select("net", "id", *AXES, F.lit(0).alias("turns"), F.lit(False).alias("converged"))
+    now = points.join(rejects, "net", "left_anti").select("net", "id", *AXES, F.lit(0).alias("turns"), F.lit(False).alias("converged"), F.lit(0).alias("free"))
     now, done, cofactors = written(now, "points"), [], []
     for turn in range(1, most + 1):
         got = written(solved(jacobian_rows(now, obs, free)), "solved")
-        moves = got.where("i = j").groupBy("net", F.split("i", " ")[0].alias("id")).agg(*[F.max(F.when(F.split("i", " ")[1] == a, F.col("dx"))).alias(f"m{a}") for a in AXES])
-        still = got.where("i = j").groupBy("net").agg((F.max(F.abs("dx")) <= close).alias("closed"))
-        next_ = now.withColumn("name", F.col("id").cast("string")).join(moves.withColumnRenamed("id", "name"), ["net", "name"], "left").join(still, "net", "left")
-        now = written(next_.select("net", "id", *[(F.col(a) + F.coalesce(f"m{a}", F.lit(0.0))).alias(a) for a in AXES], F.lit(turn).alias("turns"), F.coalesce("closed", F.lit(True)).alias("converged")), "points")
+        moves = got.where("i = j").groupBy("net", "i.id").agg(*[F.max(F.when(F.col("i.axis") == a, F.col("dx"))).alias(f"m{a}") for a in AXES])
+        still = got.where("i = j").groupBy("net").agg((F.max(F.abs("dx")) <= close).alias("closed"), F.max("free").alias("free"))
+        next_ = now.select("net", "id", *AXES).join(moves, ["net", "id"], "left").join(still, "net", "left")
+        now = written(next_.select("net", "id", *[(F.col(a) + F.coalesce(f"m{a}", F.lit(0.0))).alias(a) for a in AXES], F.lit(turn).alias("turns"), F.coalesce("closed", F.lit(True)).alias("converged"), F.coalesce("free", F.lit(0)).alias("free")), "points")
         ready = now.where("converged" if turn < most else "true")
         done.append(ready)
         cofactors.append(got.join(ready.select("net").distinct(), "net", "left_semi").select("net", "i", "j", F.col("q").alias("value")))
@@ -209,7 +217,7 @@ def residuals_blunders(points: DataFrame, obs: DataFrame, free: DataFrame, cofac
     single = rows.groupBy("net", "row").agg(F.first("misclosure").alias("misclosure"), F.first("weight").alias("weight"))
     nets = single.groupBy("net").agg(F.count("*").alias("rows"), F.sum(F.col("weight") * F.col("misclosure") * F.col("misclosure")).alias("wvv")).join(params, "net")
     nets = nets.select("net", (F.col("rows") - F.col("params")).alias("redundancy"), F.when(F.col("rows") > F.col("params"), F.col("wvv") / (F.col("rows") - F.col("params"))).otherwise(0.0).alias("sigma0_sq"))
-    one = rows.select("net", "row", F.concat_ws(" ", "id", "axis").alias("i"), F.col("coef").alias("ci"))
+    one = rows.select("net", "row", F.struct("id", "axis").alias("i"), F.col("coef").alias("ci"))
     pairs = one.join(one.select("net", "row", F.col("i").alias("j"), F.col("ci").alias("cj")), ["net", "row"]).join(cofactors, ["net", "i", "j"])
     spread = pairs.groupBy("net", "row").agg(F.sum(F.col("ci") * F.col("cj") * F.col("value")).alias("aqa"))
     out = single.join(spread, ["net", "row"], "left").join(nets, "net")

@@ -12,6 +12,7 @@ from cadastre.plans import field
 from cadastre.plans.registry import query
 from cadastre.plans.traverse import r
 from cadastre.sources.tables import load
+from cadastre.streaming import live
 
 # Title commitments: an order is an item of its customer's commitment.
 
@@ -254,3 +255,45 @@ SELECT doc, actor, ts, x, y FROM (SELECT *, max(ts) OVER (PARTITION BY doc) AS n
 )
 def presence(spark, sf_dir) -> DataFrame:
     return editlog.presence(B.ops(load(spark, sf_dir, "events")), "3 days")
+
+
+# Shared editing: 300 events in a row are the operations on one polygon.
+
+_EDITS = """ops AS (SELECT event_id // 300 AS doc, CASE WHEN event_id % 10 < 6 THEN 'insert' WHEN event_id % 10 < 9 THEN 'move' ELSE 'delete' END AS kind, event_id * 7 % 300 // 2 AS vertex,
+  CASE WHEN user_id % 5 > 0 THEN greatest(event_id * 7 % 300 // 2 - 1 - user_id % 3, 0) END AS after, CASE WHEN event_id % 37 > 0 THEN value END AS x, event_id * 0.5::DOUBLE AS y, ts, user_id AS actor FROM events)"""
+#: A vertex's place in the ring is the path of stamps from its root; a path comes before those that begin with it.
+_RINGS = f"""WITH RECURSIVE {_EDITS},
+made AS (SELECT doc, vertex, min(struct_pack(ts := ts, actor := actor)) AS stamp, arg_min(struct_pack(x := x, y := y, after := after), struct_pack(ts := ts, actor := actor, x := x, y := y)) AS m FROM ops WHERE kind = 'insert' AND x IS NOT NULL GROUP BY doc, vertex),
+hung AS (SELECT a.doc, a.vertex, a.stamp, a.m, b.vertex AS parent FROM made a LEFT JOIN made b ON b.doc = a.doc AND b.vertex = a.m.after AND b.stamp < a.stamp),
+tree AS (SELECT doc, vertex, [struct_pack(s := stamp, v := vertex)] AS path FROM hung WHERE parent IS NULL
+  UNION ALL SELECT h.doc, h.vertex, list_append(t.path, struct_pack(s := h.stamp, v := h.vertex)) FROM hung h JOIN tree t ON t.doc = h.doc AND t.vertex = h.parent),
+moved AS (SELECT o.doc, o.vertex, arg_max(struct_pack(x := o.x, y := o.y), struct_pack(ts := o.ts, actor := o.actor, x := o.x, y := o.y)) AS at FROM ops o JOIN made m ON m.doc = o.doc AND m.vertex = o.vertex AND struct_pack(ts := o.ts, actor := o.actor) > m.stamp WHERE kind = 'move' AND o.x IS NOT NULL GROUP BY o.doc, o.vertex),
+gone AS (SELECT DISTINCT doc, vertex FROM ops WHERE kind = 'delete')
+SELECT t.doc, (row_number() OVER (PARTITION BY t.doc ORDER BY path) - 1)::INTEGER AS pos, t.vertex, coalesce(v.at.x, h.m.x) AS x, coalesce(v.at.y, h.m.y) AS y
+FROM tree t JOIN hung h USING (doc, vertex) LEFT JOIN moved v USING (doc, vertex) ANTI JOIN gone USING (doc, vertex)"""
+
+
+def _edits(spark, sf_dir) -> DataFrame:
+    kind = "case when event_id % 10 < 6 then 'insert' when event_id % 10 < 9 then 'move' else 'delete' end as kind"
+    return load(spark, sf_dir, "events").selectExpr("event_id div 300 as doc", kind, "event_id * 7 % 300 div 2 as vertex", "if(user_id % 5 > 0, greatest(event_id * 7 % 300 div 2 - 1 - user_id % 3, 0), null) as after", "if(event_id % 37 > 0, value, null) as x", "event_id * 0.5D as y", "ts", "user_id as actor")
+
+
+@query("replay_geometry", _RINGS)
+def replay_geometry(spark, sf_dir) -> DataFrame:
+    return editlog.replay_geometry(_edits(spark, sf_dir))
+
+
+@query("stream_geometry", _RINGS)
+def stream_geometry(spark, sf_dir) -> DataFrame:
+    """The plan of the live feed over the whole table, and the rings of its result."""
+    return editlog.ring_order(live.live_geometry(_edits(spark, sf_dir)))
+
+
+@query(
+    "stream_presence",
+    f"""WITH {B.OPS_SQL}, s AS (SELECT doc, actor, ts, lag(ts) OVER w AS before, lead(ts) OVER w AS next FROM ops WINDOW w AS (PARTITION BY doc, actor ORDER BY ts))
+SELECT doc, actor, 'join' AS event, ts FROM s WHERE before IS NULL OR ts > before + INTERVAL 6 HOUR UNION ALL SELECT doc, actor, 'leave', ts + INTERVAL 6 HOUR FROM s WHERE next IS NULL OR next > ts + INTERVAL 6 HOUR""",
+)
+def stream_presence(spark, sf_dir) -> DataFrame:
+    """Joins and leaves by the batch twin; tests hold the live feed against it."""
+    return editlog.presence_events(B.ops(load(spark, sf_dir, "events")), "6 hours").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

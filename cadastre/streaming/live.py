@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from cadastre.sources.field import scan_nmea
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadastre.functions import cogo
+from cadastre.operators import editlog
+from cadastre.sources.field import scan_nmea
 
 #: How late a row may come.
 LATE = "10 minutes"
@@ -63,3 +68,51 @@ def live_closure(legs: DataFrame) -> DataFrame:
 def stream_fixes(lines: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Positions of the GGA sentences in lines(ts, .., line), by the plan of the batch scan, with a watermark on ts."""
     return scan_nmea(lines.withWatermark("ts", delay))
+
+
+def live_geometry(ops: DataFrame) -> DataFrame:
+    """Each vertex of the polygons as its operations so far leave it, for update or complete mode; ring_order() makes the rings of that table.
+
+    The state is a row for each vertex, whatever the number of its operations;
+    late and repeated operations change nothing that newer ones have decided.
+    """
+    return editlog.polygon_vertices(ops)
+
+
+def live_presence(cursors: DataFrame, stale_ms: int = 30_000, delay: str = LATE) -> DataFrame:
+    """(doc, actor, event, ts): joins and leaves of cursors(doc, actor, ts), each once the watermark makes it final. For append mode.
+
+    A group's state holds its times of presence that the watermark hasn't passed,
+    and its timer is set to the next of their ends; an actor that has left has no
+    state.  Cursors may come late by ``delay``.
+    """
+    rows = cursors.where("ts is not null").select("doc", "actor", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    kinds = dict(rows.dtypes)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        begins, ends, joined = (list(x) for x in (state.get if state.exists else ((), (), ())))
+        new = [t for b in batches for t in (b["ts"].astype("datetime64[ms]").astype("int64")).tolist()]
+        spans: list[list] = []
+        for begin, end, known in sorted([*zip(begins, ends, joined, strict=True), *((t, t, False) for t in new)]):
+            if spans and begin <= spans[-1][1] + stale_ms:
+                spans[-1] = [spans[-1][0], max(end, spans[-1][1]), spans[-1][2] or known]
+            else:
+                spans.append([begin, end, known])
+        now, out, left = state.getCurrentWatermarkMs(), [], []
+        for begin, end, known in spans:
+            if not known and begin <= now:
+                out.append(("join", begin))
+                known = True
+            if known and end + stale_ms < now:
+                out.append(("leave", end + stale_ms))
+            else:
+                left.append((begin, end, known))
+        if left:
+            state.update(tuple(map(list, zip(*left, strict=True))))
+            state.setTimeoutTimestamp(max(now, min(end + stale_ms if known else begin for begin, end, known in left)) + 1)
+        else:
+            state.remove()
+        if out:
+            yield pd.DataFrame({"doc": [key[0]] * len(out), "actor": [key[1]] * len(out), "event": [e for e, _ in out], "ts": pd.to_datetime(np.array([t for _, t in out], dtype="datetime64[ms]"))})
+
+    return rows.groupBy("doc", "actor").applyInPandasWithState(step, f"doc {kinds['doc']}, actor {kinds['actor']}, event string, ts timestamp", "begins array<long>, ends array<long>, joined array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)

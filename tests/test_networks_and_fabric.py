@@ -33,6 +33,37 @@ def test_triangle_of_three_four_five(spark):
     assert network.free_params(points, "free").count() == 15
 
 
+def test_ids_with_blanks_and_loose_networks(spark):
+    points = spark.createDataFrame([("n 1", "P 1", 1, 0.0, 0.0, 0.0, True), ("n 1", "P 2", 2, 3.0, 0.0, 0.0, True), ("n 1", "P 3 x", 3, 2.9, 3.9, 0.0, False), ("n 2", "A", 1, 0.0, 0.0, 0.0, True), ("n 2", "B b", 2, 5.0, 1.0, 0.0, False), ("n 2", "C", 3, 0.0, 9.0, 0.0, True)], "net string, id string, ord int, x double, y double, z double, fixed boolean")
+    rows = [("n 1", i, "horizontal_distance", a, b, d, None, 0.005, False) for i, (a, b, d) in enumerate((("P 1", "P 2", 3.0), ("P 2", "P 3 x", 4.0), ("P 1", "P 3 x", 5.0)))]
+    rows += [("n 2", i, "horizontal_distance", "A", "B b", 5.0, None, 0.005, False) for i in range(3)]
+    obs = spark.createDataFrame(rows, "net string, obs int, kind string, from_pt string, to_pt string, value double, vector array<double>, sigma double, rejected boolean")
+    got, cofactors, rejects = network.adjust_networks(points, obs, network.free_params(points))
+    p = got.where("net = 'n 1' and id = 'P 3 x'").first()
+    assert abs(p.x - 3) < 1e-3 and abs(p.y - 4) < 1e-3 and p.converged and p.turns <= 4 and p.free == 0
+    loose = got.where("net = 'n 2' and id = 'B b'").first()
+    assert loose.free == 1 and abs(math.hypot(loose.x, loose.y) - 5) < 1e-3 and rejects.count() == 0
+    assert {(r.i.id, r.i.axis) for r in network.point_sigmas(cofactors).where("net = 'n 1'").collect()} == {("P 3 x", "x"), ("P 3 x", "y")}
+
+
+def test_all_kinds_of_observation_are_adjusted(spark):
+    """A point seen by every kind from held stations comes to where they were made from."""
+    stations = {"A": (0.0, 0.0, 0.0), "B": (100.0, 0.0, 2.0), "C": (0.0, 80.0, -3.0), "D": (90.0, 95.0, 5.0), "E": (-40.0, 30.0, 1.0)}
+    x, y, z = 37.0, 41.0, 4.0
+    rows = []
+    for i, (kind, (k, (a, b, c))) in enumerate(zip(("azimuth", "horizontal_distance", "slope_distance", "height_difference", "gnss"), stations.items(), strict=True)):
+        d = (x - a, y - b, z - c)
+        value = {"azimuth": math.atan2(d[0], d[1]), "horizontal_distance": math.hypot(*d[:2]), "slope_distance": math.hypot(*d), "height_difference": d[2], "gnss": None}[kind]
+        rows.append((1, i, kind, k, "P", value, list(d) if kind == "gnss" else None, None, False))
+    obs = spark.createDataFrame(rows, "net int, obs int, kind string, from_pt string, to_pt string, value double, vector array<double>, sigma double, rejected boolean")
+    points = spark.createDataFrame([(1, k, i, *p, True) for i, (k, p) in enumerate(stations.items())] + [(1, "P", 9, 33.0, 45.0, 0.0, False)], "net int, id string, ord int, x double, y double, z double, fixed boolean")
+    got, cofactors, _ = network.adjust_networks(points, obs, network.free_params(points))
+    p = got.where("id = 'P'").first()
+    assert max(abs(p.x - x), abs(p.y - y), abs(p.z - z)) < 1e-6 and p.converged and p.free == 0
+    _, nets = network.residuals_blunders(got, obs, network.free_params(points), cofactors)
+    assert nets.first().redundancy == 4 and nets.first().sigma0_sq < 1e-6
+
+
 def test_chi_square_quantiles():
     for p, r, value in ((0.025, 1, 0.000982069), (0.975, 10, 20.48318), (0.975, 1, 5.02389), (0.025, 30, 16.79077)):
         assert math.isclose(network.chi_square_quantile(p, r), value, rel_tol=1e-5)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadastre.functions import rings
 from cadastre.operators import editlog, title, traverse
 from cadastre.operators import evidence as E
-from cadastre.plans import easements, field, fieldfiles, filings, land, networks, places, records, surfaces, topology  # noqa: F401
+from cadastre.plans import easements, field, fieldfiles, filings, geodetic, land, networks, places, records, surfaces, topology  # noqa: F401
 from cadastre.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
