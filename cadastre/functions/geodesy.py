@@ -85,7 +85,7 @@ def circle_points(x: Column, y: Column, radius: Column, segments: int = 64) -> C
     return arc_points(x, y, radius, F.lit(0.0), F.lit(6.283185307179586), segments)
 
 
-#: Half axis and flattening of the ellipsoid, and the scale on a zone's middle meridian.
+#: Half axis and flattening of the ellipsoid, and the scale on a zone's middle line.
 AXIS, FLATTENING, SCALE = 6378137.0, 1 / 298.257223563, 0.9996
 
 

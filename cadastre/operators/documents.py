@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadastre.functions.rings import let
+
 # Kinds of schedule items and the words that tell them, the first kind that matches counts.
 REQUIREMENTS = {
     "mortgage_payoff": ("payoff", "release of mortgage", "satisfy mortgage", "pay off"),
@@ -47,11 +49,27 @@ EXCEPTIONS = {
 #: Kinds of high risk, on either schedule.
 RISKY_REQUIREMENTS = ("lien_release", "judgment_release", "probate", "correction_deed", "encroachment")
 RISKY_EXCEPTIONS = ("lien", "judgment", "mortgage", "delinquent_taxes", "encroachment", "mineral_reservation", "oil_gas_lease")
-#: After words for a recording or an instrument: what stands up to the next comma, semicolon, full stop and blank, or end.
-_RECORDED = r"(?i)\b(?:recorded\s+(?:in|on)|recording\s+n(?:o\.|umber)|inst(?:rument|\.)\s+no\.)\s*([\w./-]+(?:\s+[\w./-]*[\w/-])*)"
+#: Words after which a record's place or number stands.
+RECORD_LABELS = ("recorded in", "recorded on", "recording no.", "recording number", "instrument no.", "inst. no.")
 _CODE = r"(?i)^([+\-]|BEG|END)?([A-Z]+)([0-9]+)?$"
 
 
+def after(text: Column, labels: tuple[str, ...]) -> Column:
+    """What follows the first of the labels that the text holds, in any case; blanks and a colon between are left out; null without one."""
+    places = lambda low: F.array_min(F.array_compact(F.array(*[F.when(F.instr(low, x) > 0, F.instr(low, x) + len(x)) for x in labels])))
+    return let(F.lower(text), lambda low: F.ltrim(F.substring(text, places(low), F.length(text)), F.lit(": \t\r\n")))
+
+
+def until(text: Column, stops: tuple[str, ...]) -> Column:
+    """The text before the first of the stops, in any case, without blanks around; null if that is empty."""
+
+    def cut(t: Column, low: Column) -> Column:
+        least = F.array_min(F.array_compact(F.array(*[F.nullif(F.instr(low, x), F.lit(0)) for x in stops], F.length(t) + 1)))
+        return F.nullif(F.trim(F.substring(t, F.lit(1), least - 1), F.lit(" \t\r\n,")), F.lit(""))
+
+    return let(F.struct(text.alias("t"), F.lower(text).alias("low")), lambda s: cut(s["t"], s["low"]))
+
+
 def classified(text: Column, rules: dict[str, tuple[str, ...]]) -> Column:
     """The first kind of ``rules`` one of whose words the text holds, in any case; other if none; null text is null."""
     low = F.lower(text)
@@ -66,8 +84,8 @@ def classify_items(items: DataFrame) -> DataFrame:
 
 
 def recording_refs(items: DataFrame) -> DataFrame:
-    """items(.., text) with recording_ref, the first one in the text; null without one."""
-    return items.withColumn("recording_ref", F.nullif(F.trim(F.regexp_extract("text", _RECORDED, 1)), F.lit("")))
+    """items(.., text) with recording_ref, what stands after the first label up to a comma, a semicolon or the end of the sentence or line; null without one."""
+    return items.withColumn("recording_ref", until(after(F.col("text"), RECORD_LABELS), (",", ";", ". ", "\n")))
 
 
 def title_risk_score(items: DataFrame) -> DataFrame:

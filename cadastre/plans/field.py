@@ -252,11 +252,11 @@ _Q = "['NE', 'NW', 'SE', 'SW']"
 def _plss(spark, sf_dir) -> DataFrame:
     k = F.col("p_partkey")
     quarter = lambda i: F.element_at(F.array(*map(F.lit, ("NE", "NW", "SE", "SW"))), (i % 4 + 1).cast("int"))
-    text = F.concat(F.lit("The "), quarter(k), F.lit(" 1/4 of the "), quarter(F.floor(k / 4)), F.when(k % 2 == 0, " 1/4 of Section ").otherwise("¼ of Section "), k % 36 + 1, F.lit(", Township "), k % 9 + 1, F.lit(" North, Range "), k % 7 + 1, F.when(k % 3 == 0, " West, 6th P.M.").when(k % 3 == 1, " West, Salt Lake Meridian").otherwise(" West"))
+    text = F.concat(F.lit("The "), quarter(k), F.lit(" 1/4 of the "), quarter(F.floor(k / 4)), F.when(k % 2 == 0, " 1/4 of Section ").otherwise("¼ of Section "), k % 36 + 1, F.lit(", Township "), k % 9 + 1, F.lit(" North, Range "), k % 7 + 1, F.when(k % 3 == 0, " West, 6th P.M.").when(k % 3 == 1, " West, Salt Lake P.M.").otherwise(" West"))
     return load(spark, sf_dir, "part").select(k.alias("doc"), text.alias("text"))
 
 
-@query("parse_plss", f"SELECT p_partkey AS doc, (p_partkey % 9 + 1)::INTEGER AS township, 'N' AS ns, (p_partkey % 7 + 1)::INTEGER AS range, 'W' AS ew, (p_partkey % 36 + 1)::INTEGER AS section, {_Q}[p_partkey % 4 + 1] || ',' || {_Q}[p_partkey // 4 % 4 + 1] AS quarters, ['6th', 'Salt Lake', NULL][1 + p_partkey % 3] AS meridian FROM part")
+@query("parse_plss", f"SELECT p_partkey AS doc, (p_partkey % 9 + 1)::INTEGER AS township, 'N' AS ns, (p_partkey % 7 + 1)::INTEGER AS range, 'W' AS ew, (p_partkey % 36 + 1)::INTEGER AS section, {_Q}[p_partkey % 4 + 1] || ',' || {_Q}[p_partkey // 4 % 4 + 1] AS quarters, ['6th', 'Salt Lake', NULL][1 + p_partkey % 3] AS principal FROM part")
 def parse_plss(spark, sf_dir) -> DataFrame:
     return deeds.parse_plss(_plss(spark, sf_dir)).withColumn("quarters", F.array_join("quarters", ","))
 

@@ -52,7 +52,7 @@ def title_risk_score(spark, sf_dir) -> DataFrame:
     return documents.title_risk_score(documents.classify_items(_items(spark, sf_dir)))
 
 
-@query("recording_refs", f"{_ITEMS} SELECT item, nullif(trim(regexp_extract(text, '{documents._RECORDED}', 1)), '') AS recording_ref FROM items")
+@query("recording_refs", "SELECT o_orderkey AS item, CASE WHEN (o_orderkey // 3) % 10 IN (3, 4, 5, 7) THEN o_orderpriority END AS recording_ref FROM orders")
 def recording_refs(spark, sf_dir) -> DataFrame:
     return documents.recording_refs(_items(spark, sf_dir)).select("item", "recording_ref")
 

@@ -106,6 +106,6 @@ def test_curve_and_spelt_out_calls(spark):
     assert deeds.beginnings(docs).where("beginning is not null").first().beginning == "P.O.B."
 
 
-def test_plss_words_and_meridian(spark):
-    (row,) = deeds.parse_plss(spark.createDataFrame([(1, "the Northeast quarter of the SW¼ of Sec. 14, Township 2 North, Range 3 East, New Mexico Principal Meridian")], "doc int, text string")).collect()
-    assert (row.quarters, row.section, row.township, row.ew, row.meridian) == (["NE", "SW"], 14, 2, "E", "New Mexico")
+def test_plss_words_and_principal_line(spark):
+    (row,) = deeds.parse_plss(spark.createDataFrame([(1, "the Northeast quarter of the SW¼ of Sec. 14, Township 2 North, Range 3 East, New Mexico P.M.")], "doc int, text string")).collect()
+    assert (row.quarters, row.section, row.township, row.ew, row.principal) == (["NE", "SW"], 14, 2, "E", "New Mexico")

@@ -30,6 +30,19 @@ def test_commitment(spark):
     assert [(r.schedule, r.number, r.text, r.recording_ref) for r in items] == [("B1", "1.", "Release of lien to the bank.", None), ("B2", "1.", "Taxes for 2023.", None), ("B2", "a.", "Easement, Instrument No. 12345/6; more", "12345/6")]
 
 
+def test_dates_and_headings(spark):
+    said = ["Jan 5, 2024", "1/5/24", "January 5 2024", "12/31/1999", "Sept. 9, 98", "no date", "13/45/2020"]
+    docs = spark.createDataFrame([(i, f"Schedule A\r\nEffective date {t}\r\nSCHEDULE B - EXCEPTIONS\r\n1. Nothing here\r\nsee Schedule A\r\n") for i, t in enumerate(said)], "doc int, text string")
+    got = {r.doc: r.effective for r in filings.parse_schedule_a(docs).collect()}
+    assert list(map(got.get, range(7))) == [dt.date(2024, 1, 5)] * 3 + [dt.date(1999, 12, 31), dt.date(1998, 9, 9), None, None]
+    assert {r.text for r in filings.commitment_items(docs).collect()} == {"Nothing here see Schedule A"}
+
+
+def test_many_sections(spark):
+    text = "Schedule B Requirements\n" * 1500 + "SCHEDULE B EXCEPTIONS\n1. A long way down"
+    assert [r.text for r in filings.commitment_items(spark.createDataFrame([(1, text)], "doc int, text string")).collect()] == ["A long way down"]
+
+
 def test_plat(spark):
     text = "Plat of Sunset Ridge, as recorded in Cabinet C of the records. Lot 1, Block A is here. Lot 2, Block A too. Lot 3, Block B and Lot 3, Block B again. Block Z stays empty. Sunset Ridge Drive is a 60-foot wide right-of-way."
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc int, text string")
