@@ -20,15 +20,26 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+#: Side of the plane of the dense binding, the same at every size of the table.
+DENSE = 5000
 PARCELS_SQL = """side AS (SELECT (40 * ceil(sqrt(count(*))))::BIGINT AS side FROM orders),
 placed AS (SELECT o_orderkey AS id, o_orderkey % 40 AS w, o_custkey % 30 AS h, (o_custkey * 7919 + o_orderkey * 31) % side AS x, (o_orderkey * 104729) % side AS y FROM orders, side),
 parcels AS (SELECT id, x::DOUBLE AS x0, y::DOUBLE AS y0, (x + 10 + w)::DOUBLE AS x1, (y + 10 + h)::DOUBLE AS y1 FROM placed)"""
 
 
-def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rectangular parcels from orders, as closed counter-clockwise rings; the plane grows with the table, as dense at every size."""
+#: The same parcels on a plane that doesn't grow: ten times the rows are ten times as dense.
+DENSE_SQL = PARCELS_SQL.replace("(40 * ceil(sqrt(count(*))))::BIGINT AS side FROM orders", f"{DENSE}::BIGINT AS side")
+
+
+def plane(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    """One row with the side of the plane: it grows with the table, or is the same at every size."""
     orders = load(spark, sf_dir, "orders")
-    side = orders.agg((40 * F.ceil(F.sqrt(F.count("*")))).cast("long").alias("side"))
+    return orders.agg((F.lit(DENSE) if dense else 40 * F.ceil(F.sqrt(F.count("*")))).cast("long").alias("side"))
+
+
+def parcels(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    """Rectangular parcels from orders, as closed counter-clockwise rings on plane()."""
+    orders, side = load(spark, sf_dir, "orders"), plane(spark, sf_dir, dense)
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     placed = orders.select("o_orderkey", "o_custkey").crossJoin(F.broadcast(side))  # one row
     x0, y0 = (c * 7919 + k * 31) % F.col("side"), (k * 104729) % F.col("side")

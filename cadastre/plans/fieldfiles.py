@@ -78,13 +78,20 @@ def scan_rw5(spark, sf_dir) -> DataFrame:
 _SETUPS = "SELECT file, setup::BIGINT AS setup, i AS station, round(ih / 1000.0, 6)::DOUBLE AS instrument_height, 'B' || i AS backsight, round({az}, 6) AS backsight_az FROM w WHERE opens"
 
 
-@query("scan_jxl", f"WITH {_E} {_kinds('radians(deg)', 'radians(zen)', 'mm / 1000.0', 'i', 'th::DOUBLE')}")
+#: Observations before any setup belong to the file's first one, if it has any.
+_JXL = " UNION ALL ".join(
+    f"""SELECT file, i AS line_no, greatest(setup, 1)::BIGINT AS setup, coalesce(station, first) AS station, i AS target, '{k}' AS kind, round({v}, 6) AS value, th::DOUBLE AS target_height
+FROM (SELECT *, min(CASE WHEN opens THEN i END) OVER (PARTITION BY file) AS first FROM w) WHERE NOT opens AND first IS NOT NULL"""
+    for k, v in (("HA", "radians(deg)"), ("VA", "radians(zen)"), ("SD", "mm / 1000.0"))
+)
+
+
+@query("scan_jxl", f"WITH {_E} {_JXL}")
 def scan_jxl(spark, sf_dir) -> DataFrame:
     own = "coalesce(last(if(opens, i, null), true) over (partition by file order by i), -1)"
     setup = "concat('<StationSetup><ID>', i, '</ID><StationName>P', i, '</StationName><TheodoliteHeight>', ih / 1000, '</TheodoliteHeight></StationSetup>')"
     shot = f"concat('<RegularObservation><StationID>', {own}, '</StationID><TargetID>T', i, '</TargetID><HorizontalCircle>', deg, '</HorizontalCircle><VerticalCircle>', zen, '</VerticalCircle><SlopeDistance>', mm / 1000, '</SlopeDistance><HorizontalDistance>1</HorizontalDistance><TargetHeight>', th, '</TargetHeight></RegularObservation>')"
-    # A file's first observations come before any setup; there they go to its first one, here they are left out.
-    return _seen(field.scan_jxl(_lines(spark, sf_dir, setup, shot))).where("station < line_no")
+    return _seen(field.scan_jxl(_lines(spark, sf_dir, setup, shot)))
 
 
 @query("field_setups", f"WITH {_E} {_SETUPS.format(az='radians(deg + mi / 60.0 + sec / 3600.0)')}")

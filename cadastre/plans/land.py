@@ -67,6 +67,18 @@ def parcel_overlaps(spark, sf_dir) -> DataFrame:
     return spatial.parcel_overlaps(B.parcels(spark, sf_dir), 64.0, 1e-6).select("a", "b", F.round("area", 3).alias("area"))
 
 
+_DENSE = "WITH " + B.DENSE_SQL
+
+
+@query(
+    "parcel_overlaps_dense",
+    f"""{_DENSE} SELECT a.id AS a, b.id AS b, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 3) AS area
+FROM parcels a JOIN parcels b ON a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""",
+)
+def parcel_overlaps_dense(spark, sf_dir) -> DataFrame:
+    return spatial.parcel_overlaps(B.parcels(spark, sf_dir, dense=True), 64.0, 1e-6).select("a", "b", F.round("area", 3).alias("area"))
+
+
 @query(
     "clip_polygons",
     f"{_P} SELECT id, round(greatest(least(x1, 2500) - greatest(x0, 0), 0) * greatest(least(y1, 2500) - greatest(y0, 0), 0), 3) AS area FROM parcels WHERE x0 < 2500 AND y0 < 2500",
@@ -81,11 +93,10 @@ def clip_polygons(spark, sf_dir) -> DataFrame:
 _SHOTS = "shots AS (SELECT l_orderkey * 1000000 + l_partkey * 8 + l_linenumber AS id, (l_partkey * 13 + l_orderkey * 17) % side + 0.37::DOUBLE AS x, (l_suppkey * 29 + l_orderkey) % side + 0.71::DOUBLE AS y FROM lineitem, side)"
 
 
-def shots(spark, sf_dir) -> DataFrame:
+def shots(spark, sf_dir, dense: bool = False) -> DataFrame:
     k = F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 8 + F.col("l_linenumber")
-    side = load(spark, sf_dir, "orders").agg((40 * F.ceil(F.sqrt(F.count("*")))).cast("long").alias("side"))
     x, y = (F.col("l_partkey") * 13 + F.col("l_orderkey") * 17) % F.col("side"), (F.col("l_suppkey") * 29 + F.col("l_orderkey")) % F.col("side")
-    return load(spark, sf_dir, "lineitem").crossJoin(F.broadcast(side)).select(k.alias("id"), (x + 0.37).alias("x"), (y + 0.71).alias("y"))
+    return load(spark, sf_dir, "lineitem").crossJoin(F.broadcast(B.plane(spark, sf_dir, dense))).select(k.alias("id"), (x + 0.37).alias("x"), (y + 0.71).alias("y"))
 
 
 @query("points_in_parcels", f"{_P}, {_SHOTS} SELECT s.id AS point, p.id AS parcel FROM shots s JOIN parcels p ON s.x > p.x0 AND s.x < p.x1 AND s.y > p.y0 AND s.y < p.y1")
@@ -93,6 +104,11 @@ def points_in_parcels(spark, sf_dir) -> DataFrame:
     return spatial.points_in_parcels(shots(spark, sf_dir), B.parcels(spark, sf_dir), 40.0)
 
 
+@query("points_in_parcels_dense", f"{_DENSE}, {_SHOTS} SELECT s.id AS point, p.id AS parcel FROM shots s JOIN parcels p ON s.x > p.x0 AND s.x < p.x1 AND s.y > p.y0 AND s.y < p.y1")
+def points_in_parcels_dense(spark, sf_dir) -> DataFrame:
+    return spatial.points_in_parcels(shots(spark, sf_dir, dense=True), B.parcels(spark, sf_dir, dense=True), 40.0)
+
+
 _NODES = f"{_P}, {_SHOTS}, near AS (SELECT s.id, n.id AS node, round(sqrt((s.x - n.x0) ** 2 + (s.y - n.y0) ** 2), 9) AS dist FROM shots s JOIN parcels n ON abs(s.x - n.x0) <= 8 AND abs(s.y - n.y0) <= 8 WHERE sqrt((s.x - n.x0) ** 2 + (s.y - n.y0) ** 2) <= 8)"
 
 

@@ -24,18 +24,28 @@ def lonlat_ring_metrics(spark, sf_dir) -> DataFrame:
     return B.sites(spark, sf_dir).select("id", F.round(geodesy.lonlat_area(ring), 1).alias("area"), F.round(geodesy.lonlat_perimeter(ring), 3).alias("perimeter"))
 
 
-@query("arc_densify", f"WITH {B.LEGS_SQL}, p AS (SELECT t, seq, i, l_partkey + d * cos(az + CASE WHEN 1.0 < az THEN 1.0 - az + 2 * pi() ELSE 1.0 - az END * i / 48) AS x FROM legs, (VALUES (0), (17), (48)) r(i)) SELECT t, seq, 49::BIGINT AS n, round(sum(x * (i + 1)) + 1e-9, 4) AS x FROM p GROUP BY t, seq")
+@query("arc_densify", f"WITH {B.LEGS_SQL}, p AS (SELECT t, seq, i, l_partkey + d * cos(az + CASE WHEN 1.0 < az THEN 1.0 - az + 2 * pi() ELSE 1.0 - az END * i / 48) AS x FROM legs, (SELECT unnest(range(49)) AS i)) SELECT t, seq, 49::BIGINT AS n, round(sum(x * (i + 1)) + 1e-9, 4) AS x FROM p GROUP BY t, seq")
 def arc_densify(spark, sf_dir) -> DataFrame:
     points = geodesy.arc_points(F.col("l_partkey"), F.lit(0.0), F.col("d"), F.col("az"), F.lit(1.0))
     rows = B.legs(spark, sf_dir).select("t", "seq", points.alias("p"))
-    return rows.select("t", "seq", F.size("p").cast("long").alias("n"), F.round(F.expr("p[0].x + p[17].x * 18 + p[48].x * 49") + 1e-9, 4).alias("x"))
+    return rows.select("t", "seq", F.size("p").cast("long").alias("n"), F.round(F.expr("aggregate(transform(p, (q, i) -> q.x * (i + 1)), 0D, (s, v) -> s + v)") + 1e-9, 4).alias("x"))
 
 
-@query("utm_zones", f"{_S} SELECT id, floor((lon + 180) / 6)::BIGINT + 1 AS zone, lon >= floor((lon + 180) / 6) * 6 - 177 AS east_half, true AS plausible FROM sites")
+#: The series to the third order, term by term.
+_UTM = """c AS (SELECT (1 / 298.257223563::DOUBLE) / (2 - 1 / 298.257223563::DOUBLE) AS n),
+k AS (SELECT id, lat, floor((lon + 180) / 6)::BIGINT + 1 AS zone, radians(lon - (floor((lon + 180) / 6) * 6 - 177)) AS w, 2 * sqrt(n) / (1 + n) AS e, sin(radians(lat)) AS s, n, 0.9996 * 6378137.0::DOUBLE / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS a,
+  [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16, 13 * n ** 2 / 48 - 3 * n ** 3 / 5, 61 * n ** 3 / 240] AS al FROM sites, c),
+t AS (SELECT *, sinh(atanh(s) - e * atanh(e * s)) AS t FROM k), x AS (SELECT *, atan2(t, cos(w)) AS xi, atanh(sin(w) / sqrt(1 + t * t)) AS eta FROM t)"""
+
+
+@query(
+    "utm_zones",
+    f"""{_S}, {_UTM} SELECT id, zone, round(500000 + a * (eta + al[1] * cos(2 * xi) * sinh(2 * eta) + al[2] * cos(4 * xi) * sinh(4 * eta) + al[3] * cos(6 * xi) * sinh(6 * eta)), 3) AS east,
+  round(CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + a * (xi + al[1] * sin(2 * xi) * cosh(2 * eta) + al[2] * sin(4 * xi) * cosh(4 * eta) + al[3] * sin(6 * xi) * cosh(6 * eta)), 3) AS north FROM x""",
+)
 def utm_zones(spark, sf_dir) -> DataFrame:
     zone, east, north = geodesy.utm(F.col("lon"), F.col("lat"))
-    # On the ground a degree of latitude is 110.5 to 111.7 km.
-    return B.sites(spark, sf_dir).select("id", zone.cast("long").alias("zone"), (F.round(east, 3) >= 500_000).alias("east_half"), (north / F.col("lat")).between(110_400, 112_500).alias("plausible"))
+    return B.sites(spark, sf_dir).select("id", zone.cast("long").alias("zone"), F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
 
 
 @query(
@@ -85,10 +95,13 @@ def register_clouds(spark, sf_dir) -> DataFrame:
     return places.register_clouds(B.points(spark, sf_dir), spark.createDataFrame([("A",)], "cloud string")).select("cloud", "n", "min_z", "max_x")
 
 
-@query("curve_table_csv", "SELECT p_partkey AS label, p_partkey || ',' || printf('%.4f', p_partkey % 97 + 10.5) || ',' || (p_partkey % 90) || '°30''00.00\"' AS line FROM part")
+@query("curve_table_csv", """WITH c AS (SELECT p_partkey AS label, p_partkey % 97 + 10.5::DOUBLE AS r, radians(p_partkey % 90 + 0.5::DOUBLE) AS a FROM part)
+SELECT label, label || ',' || printf('%.4f', r) || ',' || (label % 90) || '°30''00.00"' || ',' || printf('%.4f', r * a) || ',' || printf('%.4f', 2 * r * sin(a / 2)) || ',' || printf('%.4f', r * tan(a / 2)) AS line FROM c""")
 def curve_table_csv(spark, sf_dir) -> DataFrame:
-    curves = load(spark, sf_dir, "part").selectExpr("p_partkey as label", "p_partkey % 97 + 10.5D as radius", "radians(p_partkey % 90 + 0.5D) as delta", "1D as arc", "1D as chord", "1D as tangent")
-    return places.curve_table_csv(curves).select("label", F.substring_index("line", ",", 3).alias("line"))
+    curves = load(spark, sf_dir, "part").selectExpr("p_partkey as label", "p_partkey % 97 + 10.5D as radius", "radians(p_partkey % 90 + 0.5D) as delta")
+    half = F.col("delta") / 2
+    curves = curves.withColumns({"arc": F.col("radius") * F.col("delta"), "chord": 2 * F.col("radius") * F.sin(half), "tangent": F.col("radius") * F.tan(half)})
+    return places.curve_table_csv(curves).select("label", "line")
 
 
 @query("verify_inputs", "SELECT o_custkey AS root, o_orderkey AS hash, CASE WHEN o_orderkey % 10 = 1 THEN 'added' ELSE 'missing' END AS problem FROM orders WHERE o_orderkey % 10 IN (1, 2)")

@@ -174,6 +174,9 @@ def test_ground_under_a_house(spark):
 def test_utm_and_design(spark):
     row = spark.range(1).select(*geodesy.utm(F.lit(-97.7431), F.lit(30.2672))).first()
     assert row[0] == 14 and abs(row[1] - 620_897) < 60 and abs(row[2] - 3_349_151) < 120
+    tower = spark.range(1).select(*geodesy.utm(F.lit(-79.387139), F.lit(43.642567))).first()
+    south = spark.range(1).select(*geodesy.utm(F.lit(-79.387139), F.lit(-43.642567))).first()
+    assert tower[0] == 17 and abs(tower[1] - 630_084) < 1 and abs(tower[2] - 4_833_438) < 1 and abs(south[1] - tower[1]) < 1e-6 and abs(south[2] + tower[2] - 10_000_000) < 1e-6
     tiles = spark.createDataFrame([(1, square(0.0, 0.0, 10.0)), (2, square(500.0, 0.0, 10.0))], RING)
     moved = spark.createDataFrame([(7, square(0.5, 0.0, 10.0)), (8, square(300.0, 0.0, 10.0))], RING)
     got = {r.id: (r.parcel, round(r.max_deviation, 6)) for r in assessor.reconcile_design(moved, tiles, 5.0, 1.0).collect()}
