@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from cadastre.functions import rings
 
 
+#: Triangles of concave rings clipped at once.
+TRIANGLES = 1 << 14
+
+
 def in_cells(boxes: DataFrame, cell: float, columns: tuple[str, str, str, str] = ("x0", "y0", "x1", "y1")) -> DataFrame:
     """A row for each cell that a box touches: cx, cy."""
     x0, y0, x1, y1 = (F.floor(F.col(c) / cell) for c in columns)
@@ -62,22 +66,63 @@ def _cut(x, y, n, ax, ay, bx, by, active):
     return out_x, out_y, count
 
 
+def _convex(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether padded counter-clockwise corner rows turn left all the way, straight corners allowed."""
+    i = np.arange(x.shape[1])
+    ahead = lambda k: np.where(i + k < n[:, None], i + k, np.maximum(i + k - n[:, None], 0)) % x.shape[1]
+    (x1, y1), (x2, y2) = [[np.take_along_axis(v, ahead(k), 1) for v in (x, y)] for k in (1, 2)]
+    turn = (x1 - x) * (y2 - y1) - (y1 - y) * (x2 - x1)
+    return ((turn >= 0) | (i >= n[:, None])).all(axis=1)
+
+
+def _clipped(x, y, n, wx, wy, wn) -> np.ndarray:
+    """Signed areas of what any simple rings have within convex windows, row by row; the bridges along which a cut concave ring hangs together have no area."""
+    rows = np.arange(len(wn))
+    for e in range(wx.shape[1]):
+        after = np.where(e + 1 < wn, e + 1, 0)
+        x, y, n = _cut(x, y, n, wx[:, e], wy[:, e], wx[rows, after], wy[rows, after], e < wn)
+    return _areas(x, y, n)
+
+
+def _fans(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, x, y, sign): the triangles between each ring's first corner and its sides, counter-clockwise, negative where they turn the other way; signed, they add up to the ring."""
+    row = np.repeat(np.arange(len(n)), np.maximum(n - 2, 0))
+    side = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(n - 2, 0)) - np.maximum(n - 2, 0), np.maximum(n - 2, 0)) + 1
+    tx, ty = (np.stack((v[row, 0], v[row, side], v[row, side + 1]), 1) for v in (x, y))
+    sign = np.sign(_areas(tx, ty, np.full(len(row), 3)))
+    back = sign < 0
+    tx[back], ty[back] = tx[back][:, ::-1], ty[back][:, ::-1]
+    return row, tx, ty, sign
+
+
 def _common_areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, s, w) with rings s, w to (a, b, area) of what s and the convex w have in common."""
+    """(a, b, s, w) with simple rings s, w to (a, b, area) of what they have in common.
+
+    One ring is clipped by the other where that is convex; where neither is, by
+    the signed triangles of the other.
+    """
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        (x, y, n), (wx, wy, wn) = _corners(batch.column(2)), _corners(batch.column(3))
-        rows = np.arange(len(wn))
-        for e in range(wx.shape[1]):
-            active = e < wn
-            after = np.where(e + 1 < wn, e + 1, 0)
-            x, y, n = _cut(x, y, n, wx[:, e], wy[:, e], wx[rows, after], wy[rows, after], active)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.abs(_areas(x, y, n)))], names=["a", "b", "area"])
+        s, w = _corners(batch.column(2)), _corners(batch.column(3))
+        by_w, by_s = _convex(*w), _convex(*s)
+        area = np.zeros(batch.num_rows)
+        pick = lambda ring, of: tuple(v[of] for v in ring)
+        for own, subject, window in ((by_w, s, w), (by_s & ~by_w, w, s)):
+            if own.any():
+                area[own] = _clipped(*pick(subject, own), *pick(window, own))
+        left = np.flatnonzero(~by_w & ~by_s)
+        if len(left):
+            row, tx, ty, sign = _fans(*pick(w, left))
+            for low in range(0, len(row), TRIANGLES):
+                part = slice(low, low + TRIANGLES)
+                own = left[row[part]]
+                np.add.at(area, own, sign[part] * _clipped(*pick(s, own), tx[part], ty[part], np.full(len(own), 3)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.abs(area))], names=["a", "b", "area"])
 
 
 def parcel_overlaps(parcels: DataFrame, cell: float, least: float) -> DataFrame:
-    """(a, b, area): pairs a < b whose rings (convex) overlap by more than ``least``.
+    """(a, b, area): pairs a < b whose simple rings, of any shape and direction, overlap by more than ``least``.
 
     Boxes meet in cells; a pair counts only in the cell of its boxes' common
     lower-left corner, so it arises once and needs no DISTINCT.  Pairs whose

@@ -79,6 +79,28 @@ def parcel_overlaps_dense(spark, sf_dir) -> DataFrame:
     return spatial.parcel_overlaps(B.parcels(spark, sf_dir, dense=True), 64.0, 1e-6).select("a", "b", F.round("area", 3).alias("area"))
 
 
+#: L-shapes: each parcel without its upper right quarter.  What two have in common is by inclusion and exclusion of boxes.
+_L_SHAPES = f"""{_P}, l AS (SELECT *, (x0 + x1) / 2 AS xm, (y0 + y1) / 2 AS ym FROM parcels),
+pairs AS (SELECT a.id AS a, b.id AS b, {{}} AS area FROM l a JOIN l b ON a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)
+SELECT a, b, round(area, 3) AS area FROM pairs WHERE area > 1e-6"""
+
+
+def _boxes_meet(p: str, q: str) -> str:
+    """Area that two boxes share, each the whole one (x0, y0) or the quarter from (xm, ym)."""
+    low = lambda axis: f"greatest(a.{axis}{p}, b.{axis}{q})"
+    return f"greatest(least(a.x1, b.x1) - {low('x')}, 0) * greatest(least(a.y1, b.y1) - {low('y')}, 0)"
+
+
+@query("parcel_overlaps_concave", _L_SHAPES.format(f"{_boxes_meet('0', '0')} - {_boxes_meet('m', '0')} - {_boxes_meet('0', 'm')} + {_boxes_meet('m', 'm')}"))
+def parcel_overlaps_concave(spark, sf_dir) -> DataFrame:
+    """Every second ring runs clockwise."""
+    point = lambda x, y: f"struct({x} as x, {y} as y)"
+    xm, ym = "(x0 + x1) / 2", "(y0 + y1) / 2"
+    corners = ", ".join(point(*c) for c in (("x0", "y0"), ("x1", "y0"), ("x1", ym), (xm, ym), (xm, "y1"), ("x0", "y1"), ("x0", "y0")))
+    shapes = spatial.with_box(B.parcels(spark, sf_dir)).selectExpr("id", f"if(id % 2 = 0, array({corners}), reverse(array({corners}))) as ring")
+    return spatial.parcel_overlaps(shapes, 64.0, 1e-6).select("a", "b", F.round("area", 3).alias("area"))
+
+
 @query(
     "clip_polygons",
     f"{_P} SELECT id, round(greatest(least(x1, 2500) - greatest(x0, 0), 0) * greatest(least(y1, 2500) - greatest(y0, 0), 0), 3) AS area FROM parcels WHERE x0 < 2500 AND y0 < 2500",

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cadastre.functions import geodesy
-from cadastre.operators import assessor, easements, fabric, network, places, surfaces, topology
-from cadastre.operators.graphs import components, places
+from cadastre.operators import assessor, easements, fabric, network, places, spatial, surfaces, topology
+from cadastre.operators.graphs import components
+from cadastre.operators.graphs import places as list_places
 from cadastre.sources import field
 
 
@@ -100,7 +101,7 @@ def test_places_on_lists(spark):
     n = 300
     ids = [(i * 7919) % 10_007 for i in range(n)]
     steps = [(b, a) for a, b in zip([None, *ids], ids, strict=False)] + [(20_000, None), (30_000, 30_001), (30_001, 30_000)]
-    got = {r.id: (r.head, r.place) for r in places(spark.createDataFrame(steps, "id long, prev long")).collect()}
+    got = {r.id: (r.head, r.place) for r in list_places(spark.createDataFrame(steps, "id long, prev long")).collect()}
     assert got == {x: (ids[0], i) for i, x in enumerate(ids)} | {20_000: (20_000, 0)}
 
 
@@ -138,6 +139,35 @@ def test_easement_corner_and_conflict(spark):
     assert {r.id: round(r.area, 6) for r in easements.strip_areas(lines).collect()} == {1: 2000.0, 2: 800.0, 3: 18.0}
 
 
+def test_overlaps_of_any_simple_rings(spark):
+    """Concave, star-shaped and clockwise rings against a fine grid."""
+    rng = np.random.default_rng(4)
+    ell = [(0.0, 0.0), (6.0, 0.0), (6.0, 2.0), (2.0, 2.0), (2.0, 6.0), (0.0, 6.0), (0.0, 0.0)]
+    shapes = [(0, ell), (1, square(-1.0, -1.0, 4.0)), (2, [(x + 1.0, y + 1.0) for x, y in ell][::-1]), (3, square(3.0, 3.0, 2.0))]
+    for i in range(4, 12):
+        angles, radii = np.sort(rng.random(9)) * 2 * math.pi, 1 + 3 * rng.random(9)
+        ring = [(3 + float(r * math.cos(a)), 3 + float(r * math.sin(a))) for a, r in zip(angles, radii, strict=True)]
+        ring.append(ring[0])
+        shapes.append((i, ring[::-1] if i % 2 else ring))
+    step = 0.01
+    gx, gy = np.meshgrid(np.arange(-2, 9, step) + step / 2, np.arange(-2, 9, step) + step / 2)
+
+    def inside(ring):
+        out = np.zeros(gx.shape, dtype=bool)
+        for (x0, y0), (x1, y1) in zip(ring, ring[1:], strict=False):
+            if y0 != y1:
+                out ^= ((y0 > gy) != (y1 > gy)) & (gx < (x1 - x0) * (gy - y0) / (y1 - y0) + x0)
+        return out
+
+    masks = {i: inside(r) for i, r in shapes}
+    got = {(r.a, r.b): r.area for r in spatial.parcel_overlaps(spark.createDataFrame(shapes, RING), 4.0, 1e-9).collect()}
+    for a in masks:
+        for b in masks:
+            if a < b:
+                assert abs(got.get((a, b), 0.0) - (masks[a] & masks[b]).sum() * step * step) < 0.15, (a, b)
+    assert (0, 3) not in got and math.isclose(got[0, 1], 8.0)
+
+
 def test_delaunay_circles_are_empty():
     rng = np.random.default_rng(1)
     points = rng.random((60, 2)) * 50
