@@ -10,6 +10,7 @@ from cadastre.operators import clouds, places
 from cadastre.plans import bindings as B
 from cadastre.plans.land import _HAV
 from cadastre.plans.registry import query
+from cadastre.sources import tables
 from cadastre.sources.tables import load
 
 _S = "WITH " + B.SITES_SQL
@@ -120,3 +121,9 @@ def scan_geojson(spark, sf_dir) -> DataFrame:
     found = places.scan_geojson(B.parcels(spark, sf_dir).selectExpr("id as file", f"{text} as text"))
     x0, _, _, y1 = rings.bounds(F.col("ring"))
     return found.select("file", "name", "epsg", x0.alias("x0"), y1.alias("y1"), F.round(rings.signed_area(F.col("ring")), 3).alias("area"))
+
+
+@query("file_fingerprints")
+def file_fingerprints(spark, sf_dir) -> DataFrame:
+    """The given table files; their bytes are no table that SQL has, so pytest holds them against hashlib."""
+    return tables.file_fingerprints(spark, sf_dir, "*.parquet").select(F.substring_index("path", "/", -1).alias("name"), "size", "hash")

@@ -7,12 +7,24 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_fingerprints(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, size, modified, hash): every file under a path, subfolders too, with the SHA-256 of its bytes; ``pattern`` is a glob on names.
+
+    A file's bytes stand in one row of Spark's binary reader, so a file is at most
+    2 GB; rows are read a file at a time.  Spark's reader leaves out empty files; a folder without others gives no rows.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows written as Parquet in the folder of spark.checkpoint.dir and read back: cuts the lineage of loops.
 

@@ -91,3 +91,17 @@ def test_training_pairs(spark):
     (pair,) = deeds.training_pairs(docs, deeds.parse_deeds(docs)).collect()
     (call,) = json.loads(pair.target)
     assert pair.doc == 1 and pair.id == hashlib.sha256(pair.text.encode()).hexdigest()[:16] and call["kind"] == "line" and math.isclose(call["metres"], 1.524)
+
+
+def test_file_fingerprints(spark, tmp_path):
+    import hashlib
+
+    from cadastre.sources.tables import file_fingerprints
+
+    (tmp_path / "sub").mkdir()
+    files = {tmp_path / "a.txt": b"", tmp_path / "sub" / "b b.txt": bytes(range(256)) * 5000, tmp_path / "c.dat": b"x"}
+    for path, data in files.items():
+        path.write_bytes(data)
+    got = {(r.path.rsplit("/", 1)[-1].replace("%20", " "), r.size): r.hash for r in file_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == {(p.name, len(d)): hashlib.sha256(d).hexdigest() for p, d in files.items() if d}
+    assert file_fingerprints(spark, str(tmp_path), "*.dat").count() == 1
