@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadastre.operators.ranks import ranked
+
 
 def cloud_stats(points: DataFrame) -> DataFrame:
     """(cloud, classification, n, extremes): per class; null class is the whole cloud."""
@@ -17,11 +19,10 @@ def cloud_filter_class(points: DataFrame, keep: list[int]) -> DataFrame:
 
 
 def cloud_stride_sample(points: DataFrame, most: int) -> DataFrame:
-    """Every n-th point of each cloud in id order, n = count div most: a sampling operator."""
+    """Every n-th point of each cloud in id order, n = count div most: a sampling operator.  A cloud is numbered over many tasks."""
     counts = points.groupBy("cloud").agg(F.count("*").alias("count"))
-    rank = F.row_number().over(Window.partitionBy("cloud").orderBy("id")) - 1
     stride = F.greatest(F.floor(F.col("count") / most), F.lit(1))
-    return points.withColumn("rank", rank).join(counts, "cloud").where(F.col("rank") % stride == 0).drop("rank", "count")
+    return ranked(points, "cloud", ["id"]).join(counts, "cloud").where(F.col("rank") % stride == 0).drop("rank", "count")
 
 
 def voxel_thin(points: DataFrame, cell: float) -> DataFrame:

@@ -105,3 +105,14 @@ def test_file_fingerprints(spark, tmp_path):
     got = {(r.path.rsplit("/", 1)[-1].replace("%20", " "), r.size): r.hash for r in file_fingerprints(spark, str(tmp_path)).collect()}
     assert got == {(p.name, len(d)): hashlib.sha256(d).hexdigest() for p, d in files.items() if d}
     assert file_fingerprints(spark, str(tmp_path), "*.dat").count() == 1
+
+
+def test_ranks_over_ranges(spark):
+    """One group holds most rows; its ranges' places join up."""
+    from cadastre.operators.ranks import ranked
+
+    rows = [("hot", (i * 7919) % 10_007, i) for i in range(3000)] + [(None, i, -i) for i in range(5)] + [("b", 3, 1), ("b", 1, 2)]
+    df = spark.createDataFrame(rows, "g string, o int, v int").repartition(7)
+    got = {(r.g, r.o): r.place for r in ranked(df, "g", ["o"], "place").collect()}
+    want = {(g, o): i for g in ("hot", None, "b") for i, o in enumerate(sorted(o for h, o, _ in rows if h == g))}
+    assert got == want and ranked(df.limit(0), "g", ["o"]).count() == 0
