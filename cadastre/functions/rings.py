@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _pairs(ring: Column) -> Column:
+def edges(ring: Column) -> Column:
     """struct<a, b> of each edge of a closed ring."""
     return F.arrays_zip(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))).alias("a"), F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))).alias("b"))
 
@@ -22,19 +22,19 @@ def _sum(values: Column) -> Column:
 
 def closed(ring: Column) -> Column:
     """The ring with its first point at the end too."""
-    return F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    return F.when(F.try_element_at(ring, F.lit(1)) == F.try_element_at(ring, F.lit(-1)), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
 
 
 def signed_area(ring: Column) -> Column:
     """Shoelace area about the first point; positive if counter-clockwise."""
     def about(k: Column) -> Column:
-        return _sum(F.transform(_pairs(k["r"]), lambda e: (e["a"]["x"] - k["o"]["x"]) * (e["b"]["y"] - k["o"]["y"]) - (e["b"]["x"] - k["o"]["x"]) * (e["a"]["y"] - k["o"]["y"]))) / 2
+        return _sum(F.transform(edges(k["r"]), lambda e: (e["a"]["x"] - k["o"]["x"]) * (e["b"]["y"] - k["o"]["y"]) - (e["b"]["x"] - k["o"]["x"]) * (e["a"]["y"] - k["o"]["y"]))) / 2
 
     return let(ring, lambda r: let(F.struct(r.alias("r"), F.try_element_at(r, F.lit(1)).alias("o")), about))
 
 
 def perimeter(ring: Column) -> Column:
-    return _sum(F.transform(_pairs(ring), lambda e: F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])))
+    return _sum(F.transform(edges(ring), lambda e: F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])))
 
 
 def centroid(ring: Column) -> tuple[Column, Column]:
@@ -61,18 +61,18 @@ def valid(ring: Column) -> Column:
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Even-odd ray casting."""
-    crossed = F.filter(_pairs(ring), lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
+    crossed = F.filter(edges(ring), lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
     return F.pmod(F.size(crossed), F.lit(2)) == 1
 
 
-def clip(subject: Column, window: Column) -> Column:
-    """Sutherland-Hodgman: the part of a ring inside a convex ring; both are made counter-clockwise first."""
+def cut(subject: Column, lines: Column) -> Column:
+    """The part of a ring left of all lines through two points (array<struct<a, b>>), cut by one after the other."""
 
     def inside(e: Column, p: Column) -> Column:
         return (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"])
 
-    def cut(poly: Column, e: Column) -> Column:
-        sides = F.transform(let(poly, _pairs), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), inside(e, s["a"]).alias("p"), inside(e, s["b"]).alias("q")))
+    def half(poly: Column, e: Column) -> Column:
+        sides = F.transform(let(poly, edges), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), inside(e, s["a"]).alias("p"), inside(e, s["b"]).alias("q")))
         kept = F.filter(sides, lambda s: (s["p"] >= 0) | (s["q"] >= 0))
 
         def of(s: Column) -> Column:
@@ -83,7 +83,25 @@ def clip(subject: Column, window: Column) -> Column:
 
         return let(F.flatten(F.transform(kept, of)), lambda new: F.concat(new, F.slice(new, 1, 1)))
 
-    return F.aggregate(_pairs(oriented(window)), oriented(subject), cut)
+    return F.aggregate(lines, subject, half)
+
+
+def clip(subject: Column, window: Column) -> Column:
+    """Sutherland-Hodgman: the part of a ring inside a convex ring; both are made counter-clockwise first."""
+    return cut(oriented(subject), edges(oriented(window)))
+
+
+def set_back(ring: Column, distance) -> Column:
+    """A convex ring with each edge moved inwards by distance(edge); empty where nothing is left."""
+
+    def moved(e: Column) -> Column:
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        by = distance(e) / F.hypot(dx, dy)
+        end = lambda p: F.struct((p["x"] - by * dy).alias("x"), (p["y"] + by * dx).alias("y"))
+        return F.struct(end(e["a"]).alias("a"), end(e["b"]).alias("b"))
+
+    lengthy = lambda e: (e["a"]["x"] != e["b"]["x"]) | (e["a"]["y"] != e["b"]["y"])
+    return let(oriented(closed(ring)), lambda r: cut(r, F.transform(F.filter(edges(r), lengthy), moved)))
 
 
 def wkt(ring: Column) -> Column:

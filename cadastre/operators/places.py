@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastre.functions import geodesy
+from cadastre.functions import geodesy, rings
 from cadastre.operators.clouds import cloud_stats
 
 
@@ -34,19 +34,60 @@ def sun_windows(sites: DataFrame, minutes: int, low: float, high: float, az_from
     return good.withColumn("run", run).groupBy("id", "run").agg(F.min("ts").alias("begins"), F.max("ts").alias("ends"), F.count("*").alias("samples")).drop("run")
 
 
-def aoi_edge_points(parcels: DataFrame, n: int) -> DataFrame:
-    """(id, k, x, y, role): n points evenly along each ring of parcels(id, ring), from its first corner; the first four are corner points."""
-    edges = parcels.select("id", F.posexplode(F.arrays_zip(F.expr("slice(ring, 1, size(ring) - 1)").alias("a"), F.expr("slice(ring, 2, size(ring) - 1)").alias("b"))).alias("seq", "e"))
-    edges = edges.select("id", "seq", "e.a", "e.b", F.hypot(F.col("e.b.x") - F.col("e.a.x"), F.col("e.b.y") - F.col("e.a.y")).alias("length"))
+def aoi_edge_points(parcels: DataFrame, n: int | Column) -> DataFrame:
+    """(id, k, x, y, role): n points (a number or a column) evenly along each ring of parcels(id, ring), from its first corner; the first four are corner points."""
+    parcels = parcels.withColumn("n", n if isinstance(n, Column) else F.lit(n))
+    n = F.col("n")
+    edges = parcels.select("id", "n", F.posexplode(F.arrays_zip(F.expr("slice(ring, 1, size(ring) - 1)").alias("a"), F.expr("slice(ring, 2, size(ring) - 1)").alias("b"))).alias("seq", "e"))
+    edges = edges.select("id", "n", "seq", "e.a", "e.b", F.hypot(F.col("e.b.x") - F.col("e.a.x"), F.col("e.b.y") - F.col("e.a.y")).alias("length"))
     by = Window.partitionBy("id")
     edges = edges.withColumns({"until": F.sum("length").over(by.orderBy("seq")), "whole": F.sum("length").over(by)})
     first = lambda at: F.when(at <= 0, F.lit(0)).otherwise(F.floor(at * n / F.col("whole")) + 1)  # noqa: E731  of the targets beyond a place
-    own = edges.withColumns({"since": F.col("until") - F.col("length")}).withColumns({"lo": F.when(F.col("seq") == 0, F.lit(0)).otherwise(first(F.col("since"))), "hi": F.least(F.floor(F.col("until") * n / F.col("whole")), F.lit(n - 1))})
-    placed = own.where("lo <= hi").select("id", "a", "b", "length", "since", "whole", F.explode(F.sequence("lo", "hi")).alias("k"))
+    own = edges.withColumns({"since": F.col("until") - F.col("length")}).withColumns({"lo": F.when(F.col("seq") == 0, F.lit(0)).otherwise(first(F.col("since"))), "hi": F.least(F.floor(F.col("until") * n / F.col("whole")), n - 1)})
+    placed = own.where("lo <= hi").select("id", "n", "a", "b", "length", "since", "whole", F.explode(F.sequence("lo", "hi")).alias("k"))
     t = (F.col("k") * F.col("whole") / n - F.col("since")) / F.greatest("length", F.lit(1e-9))
     return placed.select("id", "k", (F.col("a.x") + t * (F.col("b.x") - F.col("a.x"))).alias("x"), (F.col("a.y") + t * (F.col("b.y") - F.col("a.y"))).alias("y"), F.when(F.col("k") < 4, "corner").otherwise("edge_mid").alias("role"))
 
 
+def aoi_interior_points(parcels: DataFrame, n: int | Column) -> DataFrame:
+    """(id, k, x, y): the first n points inside parcels(id, ring) of a grid over its box with about n points, row by row from the south west.
+
+    The grid's columns and rows follow the box's sides; concave rings have fewer
+    points than n, and so may thin ones. None for n of zero or less or a ring without an extent.
+    """
+    x0, y0, x1, y1 = rings.bounds(F.col("ring"))
+    boxes = parcels.select("id", "ring", (n if isinstance(n, Column) else F.lit(n)).cast("int").alias("n"), x0.alias("x0"), y0.alias("y0"), (x1 - x0).alias("w"), (y1 - y0).alias("h")).where("n > 0 and w > 0 and h > 0")
+    boxes = boxes.withColumn("nx", F.greatest(F.lit(1), F.bround(F.sqrt(F.col("n") * F.col("w") / F.col("h"))).cast("int")))
+    boxes = boxes.withColumn("ny", F.greatest(F.lit(1), F.bround(F.col("n") / F.col("nx")).cast("int")))
+
+    def row(j: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.col("nx")), lambda i: F.struct((F.col("x0") + F.col("w") * i / (F.col("nx") + 1)).alias("x"), (F.col("y0") + F.col("h") * j / (F.col("ny") + 1)).alias("y")))
+
+    inside = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.col("ny")), row)), lambda p: rings.contains(F.col("ring"), p["x"], p["y"]))
+    return boxes.select("id", F.posexplode(F.slice(inside, F.lit(1), F.col("n"))).alias("k", "p")).select("id", "k", "p.x", "p.y")
+
+
+#: Square metres of an acre.
+ACRE = 4046.8564224
+
+
+def plan_control(parcels: DataFrame, rmse: float, most: int = 64) -> DataFrame:
+    """(id, k, x, y, role): ground control for parcels(id, ring) in metres, ``rmse`` metres being the error allowed.
+
+    A point for every 5 acres at an error of 0.05, in proportion at others, but
+    for 2 acres at least and 80 at most; at least 4 points and no more than
+    ``most``. Three in five, at least 4, lie on the ring, the others inside it,
+    numbered after them.
+    """
+    acres = F.abs(rings.signed_area(rings.closed(F.col("ring")))) / ACRE
+    count = F.least(F.lit(most), F.greatest(F.lit(4), F.ceil(acres / min(80.0, max(2.0, 100 * max(0.005, rmse))))))
+    sized = parcels.select("id", rings.closed(F.col("ring")).alias("ring"), count.cast("int").alias("count"))
+    sized = sized.withColumn("on_ring", F.greatest(F.lit(4), F.bround(F.col("count") * 0.6).cast("int")))
+    inside = aoi_interior_points(sized, F.col("count") - F.col("on_ring")).join(sized.select("id", "on_ring"), "id")
+    inside = inside.select("id", (F.col("k") + F.col("on_ring")).cast("long").alias("k"), "x", "y", F.lit("interior").alias("role"))
+    return aoi_edge_points(sized, F.col("on_ring")).withColumn("k", F.col("k").cast("long")).unionByName(inside)
+
+
 def shot_sequence(shots: DataFrame, prefix: str = "S") -> DataFrame:
     """shots(file, line_no, ..) with ``shot_id``: prefix and running number within the file, at least four digits."""
     number = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))

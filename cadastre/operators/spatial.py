@@ -148,9 +148,19 @@ def points_in_parcels(points: DataFrame, parcels: DataFrame, cell: float) -> Dat
     return boxed.where(rings.contains(F.col("ring"), F.col("x"), F.col("y"))).select("point", "parcel")
 
 
-def near_pairs(a: DataFrame, b: DataFrame, tol: float, also: str = "true") -> DataFrame:
+def near_pairs(a: DataFrame, b: DataFrame, tol: float) -> DataFrame:
     """(a_id, b_id, dist) of points within ``tol``: each a looks into its cell and the eight around."""
-    around: Column = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    return _in_cells(a, b, tol, [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+
+
+def close_pairs(points: DataFrame, tol: float) -> DataFrame:
+    """(a_id, b_id, dist) of points(id, x, y) within ``tol`` of each other, a_id < b_id: a point looks into its cell and the four after it."""
+    found = _in_cells(points, points, tol, [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)], "o.i != 0 or o.j != 0 or a_id < b_id")
+    return found.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), "dist").where("a_id < b_id")
+
+
+def _in_cells(a: DataFrame, b: DataFrame, tol: float, offsets: list[tuple[int, int]], also: str = "true") -> DataFrame:
+    around: Column = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets]))
     left = a.select(F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), around.alias("o"))
     left = left.withColumns({"cx": F.floor(F.col("ax") / tol) + F.col("o.i"), "cy": F.floor(F.col("ay") / tol) + F.col("o.j")})
     right = b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), F.floor(F.col("x") / tol).alias("cx"), F.floor(F.col("y") / tol).alias("cy"))
@@ -165,4 +175,4 @@ def snap_query(points: DataFrame, nodes: DataFrame, tol: float) -> DataFrame:
 
 def duplicate_nodes(nodes: DataFrame, tol: float) -> DataFrame:
     """(a_id, b_id, dist) of nodes a < b within ``tol``: the order is part of the join, so no pair is made twice."""
-    return near_pairs(nodes, nodes, tol, "a_id < b_id")
+    return close_pairs(nodes, tol)
