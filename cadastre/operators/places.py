@@ -38,7 +38,7 @@ def aoi_edge_points(parcels: DataFrame, n: int | Column) -> DataFrame:
     """(id, k, x, y, role): n points (a number or a column) evenly along each ring of parcels(id, ring), from its first corner; the first four are corner points."""
     parcels = parcels.withColumn("n", n if isinstance(n, Column) else F.lit(n))
     n = F.col("n")
-    edges = parcels.select("id", "n", F.posexplode(F.arrays_zip(F.expr("slice(ring, 1, size(ring) - 1)").alias("a"), F.expr("slice(ring, 2, size(ring) - 1)").alias("b"))).alias("seq", "e"))
+    edges = parcels.select("id", "n", F.posexplode(rings.edges(F.col("ring"))).alias("seq", "e"))
     edges = edges.select("id", "n", "seq", "e.a", "e.b", F.hypot(F.col("e.b.x") - F.col("e.a.x"), F.col("e.b.y") - F.col("e.a.y")).alias("length"))
     by = Window.partitionBy("id")
     edges = edges.withColumns({"until": F.sum("length").over(by.orderBy("seq")), "whole": F.sum("length").over(by)})

@@ -25,19 +25,21 @@ def file_fingerprints(spark: SparkSession, path: str, pattern: str | None = None
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows written as Parquet in the folder of spark.checkpoint.dir and read back: cuts the lineage of loops.
-
-    A fresh local folder stands in where the setting is missing and all runs in one process.
-    """
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; a fresh local folder stands in where the setting is missing and all runs in one process."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    path, schema = f"{where.rstrip('/')}/cadastre-{label}-{uuid.uuid4().hex}", df.schema
+    return f"{where.rstrip('/')}/cadastre-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows written as Parquet at a fresh_path() and read back: cuts the lineage of loops."""
+    spark, schema = df.sparkSession, df.schema
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.written_path = path
