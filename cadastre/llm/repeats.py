@@ -51,6 +51,10 @@ class Windows:
     def symbols(self, data: np.ndarray) -> np.ndarray:
         return hashing.byte_symbols(data) if self.unit == "bytes" else hashing.word_symbols(data)[0]
 
+    def every(self, data: np.ndarray) -> np.ndarray:
+        """Hashes of all windows of a text, by start."""
+        return hashing.window_hashes(self.symbols(data), self.size)
+
     def payload(self, data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """What the window hashes of phrases are made from later: their bytes, or the hashes themselves."""
         if self.unit == "bytes":

@@ -14,6 +14,7 @@ from cadastre.llm import hashing
 from cadastre.llm.arrow import byte_rows
 from cadastre.llm.repeats import Windows, merged, repeated_windows
 from cadastre.llm.tables import identified, unkeyed
+from cadastre.llm.windows import counted_windows
 
 _OUT = "k long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -63,7 +64,7 @@ def remove_repeats(docs: DataFrame, windows: Windows, key: str = "doc_id", text:
     """
     texts = identified(docs, key, text)
     none = F.from_json(F.lit("[]"), "array<struct<a:int,n:int>>")
-    joined = texts.join(repeated_windows(texts, windows), ["k", "x"], "left").select("k", "text", F.coalesce("ranges", none).alias("ranges"))
+    joined = texts.join((repeated_windows if windows.within else counted_windows)(texts, windows), ["k", "x"], "left").select("k", "text", F.coalesce("ranges", none).alias("ranges"))
     return joined.mapInArrow(_removed(windows, with_text), _OUT).select(unkeyed().alias(key), "n_units", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
