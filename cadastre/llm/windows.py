@@ -25,16 +25,31 @@ from cadastre.llm.repeats import Windows
 GROUP = 1 << 20
 #: Bytes of text for each cell of hashes: about two million windows.
 CELL = 12_000_000
-#: Cells have at most that many leading bits, so they grow beyond 780 GB of text.
-MOST_BITS = 16
+#: Leading bits of a hash that make its cell, at least and at most: cells grow beyond 780 GB of text.
+LEAST_BITS, MOST_BITS = 8, 16
 
 _RANGES = "array<struct<a:int,n:int>>"
 
 
-def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """One binary row from each start to the next."""
-    offsets = np.append(starts, len(values)).astype(np.int32) * values.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+def _planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then the second ones, and so on: what is small leaves planes of zeros, which the shuffle's compression removes."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _values(planes: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(size, len(planes) // size).T).view(kind).ravel()
+
+
+def _packed(h: np.ndarray, k: np.ndarray, x: np.ndarray, at: np.ndarray) -> tuple[bytes, ...]:
+    """Windows of a cell, sorted by document: hashes without their leading byte, which the cell has, and keys as steps."""
+    return h.view(np.uint8).reshape(len(h), 8)[:, :7].tobytes(), _planes(np.diff(k, prepend=0)), _planes(np.diff(x, prepend=0)), _planes(at)
+
+
+def _unpacked(lead: int, h: bytes, k: bytes, x: bytes, at: bytes) -> tuple[np.ndarray, ...]:
+    whole = np.full((len(h) // 7, 8), lead, dtype=np.uint8)
+    whole[:, :7] = np.frombuffer(h, dtype=np.uint8).reshape(-1, 7)
+    return whole.view(np.uint64).ravel(), np.cumsum(_values(k, np.int64)), np.cumsum(_values(x, np.int64)), _values(at, np.int32)
 
 
 def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -56,12 +71,13 @@ def _later(h: np.ndarray, k: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hashed(windows: Windows, bits: int):
+def _hashed(windows: Windows, bits: int, group: int):
     """(k, x, text) to settled windows (k, x, ranges) and open ones by cell."""
     nothing = lambda n: [pa.nulls(n, pa.binary())] * 4
     names = ["cell", "h", "ks", "xs", "at", "k", "x", "ranges"]
 
     def settle(docs: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        docs.sort(key=lambda d: d[:2])
         sizes = [len(h) for *_, h in docs]
         h, doc = np.concatenate([h for *_, h in docs]), np.repeat(np.arange(len(docs)), sizes)
         keys, others = np.array([k for k, *_ in docs], dtype=np.int64), np.array([x for _, x, _ in docs], dtype=np.int64)
@@ -73,11 +89,13 @@ def _hashed(windows: Windows, bits: int):
             of = doc[hit][first]
             cell = ints(of % (1 << bits))
             yield pa.RecordBatch.from_arrays([cell, *nothing(len(of)), longs(keys[of]), longs(others[of]), ranges], names=names)
-        cell = (h[rest] >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(rest), dtype=np.int32)
-        rest, cell = rest[np.argsort(cell, kind="stable")], np.sort(cell, kind="stable")
+        cell = (h[rest] >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.argsort(cell, kind="stable")
+        rest, cell = rest[order], cell[order]
         starts = np.flatnonzero(np.append(True, np.diff(cell) != 0))
-        values = [_binary(v, starts) for v in (h[rest], keys[doc[rest]], others[doc[rest]], pos[rest])]
-        n = len(starts)
+        n, columns = len(starts), (h[rest], keys[doc[rest]], others[doc[rest]], pos[rest])
+        rows = [_packed(*(c[i:j] for c in columns)) for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(rest)], strict=True)]
+        values = [pa.array(v, type=pa.binary()) for v in zip(*rows, strict=True)]
         yield pa.RecordBatch.from_arrays([ints(cell[starts]), *values, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())])))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +110,7 @@ def _hashed(windows: Windows, bits: int):
                 if len(h):
                     held.append((k, x, h))
                     waiting += len(h)
-                if waiting >= GROUP:
+                if waiting >= group:
                     yield from settle(held)
                     held, waiting = [], 0
         if held:
@@ -101,13 +119,11 @@ def _hashed(windows: Windows, bits: int):
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(bits: int):
     """Rows sorted by cell: settled windows as they are, open ones that a smaller key of their cell has."""
-    held: list[tuple[bytes, ...]] = []
-    now = None
 
-    def flush(rows) -> Iterator[pa.RecordBatch]:
-        h, k, x, at = (np.frombuffer(b"".join(r[i] for r in rows), dtype=t) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int32)))
+    def flush(cell: int, rows: list[tuple[bytes, ...]]) -> Iterator[pa.RecordBatch]:
+        h, k, x, at = (np.concatenate(v) for v in zip(*(_unpacked(cell >> (bits - 8), *r) for r in rows), strict=True))
         hit = np.flatnonzero(_later(h, k))
         if len(hit):
             hit = hit[np.lexsort((at[hit], x[hit], k[hit]))]
@@ -116,22 +132,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, ranges = _runs(doc, at)
             yield pa.RecordBatch.from_arrays([longs(k[first]), longs(x[first]), ranges], names=["k", "x", "ranges"])
 
-    for batch in batches:
-        settled = batch.filter(batch.column(1).is_null())
-        if settled.num_rows:
-            yield settled.select(["k", "x", "ranges"])
-        unsettled = batch.filter(batch.column(1).is_valid())
-        for cell, *row in zip(*(unsettled.column(i).to_pylist() for i in range(5)), strict=True):
-            if held and cell != now:
-                yield from flush(held)
-                held = []
-            now = cell
-            held.append(tuple(row))
-    if held:
-        yield from flush(held)
-
-
-def counted_windows(texts: DataFrame, windows: Windows) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, ...]] = []
+        now = None
+        for batch in batches:
+            settled = batch.filter(batch.column(1).is_null())
+            if settled.num_rows:
+                yield settled.select(["k", "x", "ranges"])
+            unsettled = batch.filter(batch.column(1).is_valid())
+            for cell, *row in zip(*(unsettled.column(i).to_pylist() for i in range(5)), strict=True):
+                if held and cell != now:
+                    yield from flush(now, held)
+                    held = []
+                now = cell
+                held.append(tuple(row))
+        if held:
+            yield from flush(now, held)
+
+    return run
+
+
+def counted_windows(texts: DataFrame, windows: Windows, group: int = GROUP) -> DataFrame:
     """Windows of (k, x, text) rows that a smaller key has too: (k, x, ranges array<struct<a, n>>).
 
     A range is n consecutive windows, the first starting at symbol a; documents
@@ -139,10 +160,9 @@ def counted_windows(texts: DataFrame, windows: Windows) -> DataFrame:
     """
     if windows.within:
         raise ValueError("only windows of smaller keys are counted")
-    spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = max(size / CELL, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = min(MOST_BITS, max(0, int(np.ceil(np.log2(max(1.0, least))))))
-    rows = texts.mapInArrow(_hashed(windows, bits), f"cell int, h binary, ks binary, xs binary, at binary, k long, x long, ranges {_RANGES}")
-    found = rows.repartition(1 << bits, "cell").sortWithinPartitions("cell").mapInArrow(_counted, f"k long, x long, ranges {_RANGES}")
+    parts = max(int(size / CELL) + 1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bits = min(MOST_BITS, max(LEAST_BITS, (parts - 1).bit_length()))
+    rows = texts.mapInArrow(_hashed(windows, bits, group), f"cell int, h binary, ks binary, xs binary, at binary, k long, x long, ranges {_RANGES}")
+    found = rows.repartition(min(parts, 1 << bits), "cell").sortWithinPartitions("cell").mapInArrow(_counted(bits), f"k long, x long, ranges {_RANGES}")
     return found.groupBy("k", "x").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))

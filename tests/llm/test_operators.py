@@ -26,6 +26,7 @@ from cadastre.llm.repeats import Windows, repeated_windows
 from cadastre.llm.secrets import BASE as BASE_KINDS
 from cadastre.llm.secrets import COMPLETED_BY, KINDS, SCOPE, WEAK, secret_spans
 from cadastre.llm.substrings import suffix_dedup, window_dedup
+from cadastre.llm.windows import counted_windows
 from cadastre.llm.tables import identified, written
 from cadastre.llm.tokens import FRAME, read_documents, read_tokens, write_tokens
 from cadastre.llm.toxicity import CUT, features, train, with_toxicity
@@ -85,6 +86,8 @@ def test_window_dedup_and_heavy_triggers(docs, empty):
     for w in (Windows("words", 13, 4, False), Windows("bytes", 100, 16, True)):
         cover = lambda df, size=w.size: {(r.k, r.x): {a + j for a, n in r.ranges for j in range(n)} for r in df.collect()}
         assert cover(repeated_windows(identified(docs), w, light=0)) == cover(repeated_windows(identified(docs), w))
+    w = Windows("words", 13, 4, False)
+    assert cover(counted_windows(identified(docs), w)) == cover(counted_windows(identified(docs), w, group=1)) == cover(repeated_windows(identified(docs), w)) != {}
 
 
 def test_removal_among_rows_that_share_a_key(spark):
