@@ -218,3 +218,11 @@ def test_gsi_square(spark):
     found = field.scan_gsi(field.lines_of(spark.createDataFrame([("f", text)], "file string, text string")))
     assert found.setups.count() == 4 and found.observations.where("kind = 'SD'").agg(F.sum("value")).first()[0] == 40.0
     assert sorted(round(math.degrees(r.value)) for r in found.observations.where("kind = 'HA'").collect()) == [0, 90, 180, 270]
+
+
+def test_splitting_broadcasts_no_parcels(spark):
+    parcels = spark.createDataFrame([(1, square(0.0, 0.0)), (2, square(1.0, 0.0))], RING)
+    cuts = spark.createDataFrame([(1, (-1.0, 0.4), (2.0, 0.4))], "id int, a struct<x:double,y:double>, b struct<x:double,y:double>")
+    parts, _ = topology.split_parcels(parcels, cuts)
+    assert "Broadcast" not in parts._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.part) for r in parts.collect()} == {(1, 1), (1, 2), (2, 0)}
