@@ -142,17 +142,22 @@ def plat_streets(docs: DataFrame) -> DataFrame:
 
     A street's name is a run of capitalised words without marks between them that ends in a word for a way.
     """
-    rows = docs.select("doc", _words(F.col("text")).alias("words")).select("doc", "words", F.posexplode("words").alias("i", "word"))
-    by = Window.partitionBy("doc").orderBy("i")
-    capital, stops = _bare(F.col("word")).rlike("^[A-Z][a-z]+$"), F.col("word").rlike("[^A-Za-z]$")
-    rows = rows.withColumns({"bare": _bare(F.col("word")), "capital": capital, "fresh": ~capital | F.coalesce(F.lag(~capital | stops).over(by), F.lit(True))})
-    rows = rows.withColumn("run", F.sum(F.col("fresh").cast("int")).over(by)).where("capital")
-    runs = rows.groupBy("doc", "run").agg(F.min("i").alias("first"), F.max(F.when(F.col("bare").isin(*WAYS), F.col("i"))).alias("last"), F.first("words").alias("words")).where("last > first")
+    rows = docs.select("doc", _words(F.col("text")).alias("words"))
+    marked = F.transform("words", lambda w: let(_bare(w), lambda b: F.struct(b.alias("bare"), b.rlike("^[A-Z][a-z]+$").alias("capital"), w.rlike("[^A-Za-z]$").alias("stops"), b.isin(*WAYS).alias("way"))))
+    at = lambda i: F.get("marked", i)
+    fresh = F.filter(F.sequence(F.lit(0), F.size("marked") - 1), lambda i: (i == 0) | ~at(i)["capital"] | ~at(i - 1)["capital"] | at(i - 1)["stops"])
+    rows = rows.withColumn("marked", marked).withColumn("fresh", fresh)
+    # A run goes from one fresh word to the next; it is a name from its first word to its last one for a way.
+    end = lambda j: F.coalesce(F.get("fresh", j + 1), F.size("marked"))
+    runs = F.filter(F.transform("fresh", lambda i, j: F.struct(i.alias("first"), end(j).alias("end"))), lambda r: at(r["first"])["capital"] & (r["end"] - r["first"] > 1))
+    last = lambda r: F.array_max(F.filter(F.sequence(r["first"], r["end"] - 1), lambda k: at(k)["way"]))
+    named = F.filter(F.transform(runs, lambda r: F.struct(r["first"].alias("first"), last(r).alias("last"))), lambda r: r["last"] > r["first"])
+    rows = rows.withColumn("run", F.explode(named)).select("doc", "words", "run.first", "run.last")
     name = F.transform(F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + 1), _bare)
     told = _words(F.translate(F.substring(F.array_join(F.slice("words", F.col("last") + 2, F.lit(NEAR)), " "), 1, NEAR), "-", " "))
     metres = F.create_map(*[F.lit(x) for pair in WIDTHS.items() for x in pair])
     widths = F.transform(told, lambda w, i: w.try_cast("double") * F.try_element_at(metres, F.lower(_bare(F.coalesce(F.get(told, i + 1), F.lit(""))))))
-    rows = runs.select("doc", "first", F.array_join(name, " ").alias("name"), F.get(F.array_compact(widths), F.lit(0)).alias("width_m"))
+    rows = rows.select("doc", "first", F.array_join(name, " ").alias("name"), F.get(F.array_compact(widths), F.lit(0)).alias("width_m"))
     return rows.groupBy("doc", F.lower("name").alias("key")).agg(F.min_by(F.struct("name", "width_m"), "first").alias("s")).select("doc", "s.name", "s.width_m")
 
 

@@ -60,3 +60,11 @@ def test_certificates(spark):
     issues = filings.validate_certificates(certs, ["TX", "CA"])
     assert {i: issues.where(f"cert_id = {i}").count() for i in (1, 2, 3)} == {1: 0, 2: 4, 3: 2}
     assert {(r.cert_id, r.missing) for r in filings.alta_missing_items(certs).collect()} == {(1, "11"), (2, None), (3, None)}
+
+
+def test_streets_of_long_texts_stay_in_their_row(spark):
+    text = "of the Old Mill. Old Mill Road, 40 ft wide. " + "Lot 1 by word " * 2000 + "North Way Court is 9 m. old mill Road ends at Way St Drive"
+    streets = filings.plat_streets(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "Elm, Street Ash Lane")], "doc int, text string"))
+    plan = streets._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "words" not in plan[plan.index("Exchange") : plan.index("Exchange") + 200]
+    assert {(r.doc, r.name, r.width_m and round(r.width_m, 3)) for r in streets.collect()} == {(1, "Old Mill Road", 12.192), (1, "North Way Court", 9.0), (1, "Way St Drive", None), (4, "Street Ash Lane", None)}
