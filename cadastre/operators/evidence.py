@@ -37,21 +37,29 @@ def determine_boundary(weighted: DataFrame, k: float = 3.0) -> DataFrame:
     """(corner, n, n_kept, x, y, sigma_x, sigma_y): weighted means, once more without what lies too far off.
 
     Evidence farther than max(k * weighted rms, k * greatest sigma) from the first mean is rejected, unless that is all of it.
+    Sums run in the order of (x, y, w, sigma), so that ties and last digits don't hang on the order of the rows.
     """
     corner = Window.partitionBy("corner")
+    rows = weighted.select("corner", "x", "y", "w", F.greatest("sigma", F.lit(1e-6)).alias("sigma"))
+    in_order = Window.partitionBy("corner").orderBy("x", "y", "w", "sigma").rowsBetween(Window.unboundedPreceding, 0)
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-    def mean(value, weight=F.col("w")):
-        return F.sum(weight * value).over(corner) / F.sum(weight).over(corner)
+    def with_sums(rows: DataFrame, **values) -> DataFrame:
+        """The sum of each value over the corner, added up row by row."""
+        return rows.withColumns({name: F.sum(value).over(in_order) for name, value in values.items()}).withColumns({name: F.last(name).over(whole) for name in values})
 
-    rows = weighted.withColumns({"x0": mean(F.col("x")), "y0": mean(F.col("y"))})
-    rows = rows.withColumn("r", F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")))
-    rms = F.sqrt(mean(F.col("r") * F.col("r")))
-    far = F.greatest(k * F.when(rms > 0, rms).otherwise(1e-6), k * F.max(F.greatest("sigma", F.lit(1e-6))).over(corner))
-    rows = rows.withColumn("keep", F.col("r") <= far)
+    w, x, y = F.col("w"), F.col("x"), F.col("y")
+    rows = with_sums(rows, _w=w, _x=w * x, _y=w * y).withColumns({"_dx": x - F.col("_x") / F.col("_w"), "_dy": y - F.col("_y") / F.col("_w")})
+    r = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
+    rows = with_sums(rows.withColumn("_r", r), _rr=w * F.col("_r") * F.col("_r"))
+    rms = F.sqrt(F.col("_rr") / F.col("_w"))
+    far = F.greatest(k * F.when(rms > 0, rms).otherwise(1e-6), k * F.max("sigma").over(corner))
+    rows = rows.withColumn("keep", F.col("_r") <= far)
     rows = rows.withColumn("keep", F.col("keep") | ~F.max("keep").over(corner))
-    w = F.when(F.col("keep"), F.col("w")).otherwise(0.0)
-    rows = rows.withColumn("w", w).withColumns({"fx": mean(F.col("x")), "fy": mean(F.col("y"))})
-    spread = lambda c, m: F.sqrt(F.sum(F.col("w") * (F.col(c) - F.col(m)) * (F.col(c) - F.col(m))) / F.greatest(F.sum("w"), F.lit(1e-12)))
-    return rows.groupBy("corner").agg(
-        F.count("*").alias("n"), F.sum(F.col("keep").cast("long")).alias("n_kept"), F.max("fx").alias("x"), F.max("fy").alias("y"), spread("x", "fx").alias("sigma_x"), spread("y", "fy").alias("sigma_y")
-    )
+    rows = rows.withColumn("w", F.when(F.col("keep"), w).otherwise(0.0))
+    # Left-out rows add nothing: the order still is that of the first sums but for them.
+    rows = with_sums(rows, _w=w, _x=w * x, _y=w * y).withColumns({"fx": F.col("_x") / F.col("_w"), "fy": F.col("_y") / F.col("_w")})
+    square = lambda c, m: w * (F.col(c) - F.col(m)) * (F.col(c) - F.col(m))
+    rows = with_sums(rows, _sx=square("x", "fx"), _sy=square("y", "fy"))
+    spread = lambda c: F.sqrt(F.max(c) / F.greatest(F.max("_w"), F.lit(1e-12)))
+    return rows.groupBy("corner").agg(F.count("*").alias("n"), F.sum(F.col("keep").cast("long")).alias("n_kept"), F.max("fx").alias("x"), F.max("fy").alias("y"), spread("_sx").alias("sigma_x"), spread("_sy").alias("sigma_y"))

@@ -227,6 +227,11 @@ def chain_defect_summary(spark, sf_dir) -> DataFrame:
 # Evidence.
 
 
+def _sum(value: str) -> str:
+    """A sum over the list p, added up in its order."""
+    return f"list_reduce([{value} for q in p], lambda s, v: s + v)"
+
+
 @query("evidence_weights", f"{_E} SELECT corner, kind, state, rule_weight, round(rule_weight / (greatest(sigma, 1e-6) ** 2), 4) AS w FROM weighted")
 def evidence_weights(spark, sf_dir) -> DataFrame:
     return E.evidence_weights(B.evidence(spark, sf_dir), E.state_rules(spark)).select("corner", "kind", "state", "rule_weight", F.round("w", 4).alias("w"))
@@ -234,12 +239,15 @@ def evidence_weights(spark, sf_dir) -> DataFrame:
 
 @query(
     "determine_boundary",
-    f"""{_E}, w AS (SELECT *, rule_weight / (greatest(sigma, 1e-6) ** 2) AS w FROM weighted), m AS (SELECT *, sum(w * x) OVER c / sum(w) OVER c AS x0, sum(w * y) OVER c / sum(w) OVER c AS y0 FROM w WINDOW c AS (PARTITION BY corner)),
-d AS (SELECT *, sqrt((x - x0) ** 2 + (y - y0) ** 2) AS r FROM m), f AS (SELECT *, sqrt(sum(w * r * r) OVER c / sum(w) OVER c) AS rms, max(greatest(sigma, 1e-6)) OVER c AS top FROM d WINDOW c AS (PARTITION BY corner)),
-k AS (SELECT *, r <= greatest(3 * CASE WHEN rms > 0 THEN rms ELSE 1e-6 END, 3 * top) AS keep FROM f), k2 AS (SELECT *, keep OR NOT bool_or(keep) OVER (PARTITION BY corner) AS kept FROM k),
-s AS (SELECT corner, count(*) AS n, count(*) FILTER (kept) AS n_kept, sum(w * x) FILTER (kept) / sum(w) FILTER (kept) AS fx, sum(w * y) FILTER (kept) / sum(w) FILTER (kept) AS fy FROM k2 GROUP BY corner)
-SELECT s.corner, s.n, s.n_kept, round(s.fx + 1e-9, 6) AS x, round(s.fy + 1e-9, 6) AS y, round(t.sx + 1e-9, 6) AS sigma_x FROM s JOIN
- (SELECT k2.corner, sqrt(sum(w * (x - fx) ** 2) / greatest(sum(w), 1e-12)) AS sx FROM k2 JOIN s ON s.corner = k2.corner WHERE kept GROUP BY k2.corner) t ON t.corner = s.corner""",
+    f"""{_E}, w AS (SELECT corner, x, y, greatest(sigma, 1e-6) AS s, rule_weight / (greatest(sigma, 1e-6) * greatest(sigma, 1e-6)) AS w FROM weighted),
+g AS (SELECT corner, max(s) AS top, list({{'x': x, 'y': y, 'w': w}} ORDER BY x, y, w, s) AS p FROM w GROUP BY corner),
+m AS (SELECT corner, top, p, {_sum('q.w')} AS sw, {_sum('q.w * q.x')} / {_sum('q.w')} AS x0, {_sum('q.w * q.y')} / {_sum('q.w')} AS y0 FROM g),
+d AS (SELECT corner, top, sw, [{{'x': q.x, 'y': q.y, 'w': q.w, 'r': sqrt((q.x - x0) * (q.x - x0) + (q.y - y0) * (q.y - y0))}} for q in p] AS p FROM m),
+f AS (SELECT corner, p, sqrt({_sum('q.w * q.r * q.r')} / sw) AS rms, 3 * top AS far FROM d),
+k AS (SELECT corner, p AS every, [q for q in p if q.r <= greatest(3 * CASE WHEN rms > 0 THEN rms ELSE 1e-6 END, far)] AS kept FROM f),
+k2 AS (SELECT corner, len(every) AS n, CASE WHEN len(kept) = 0 THEN every ELSE kept END AS p FROM k),
+s AS (SELECT corner, n, p, {_sum('q.w')} AS sw, {_sum('q.w * q.x')} / {_sum('q.w')} AS fx, {_sum('q.w * q.y')} / {_sum('q.w')} AS fy FROM k2)
+SELECT corner, n, len(p) AS n_kept, round(fx + 1e-9, 6) AS x, round(fy + 1e-9, 6) AS y, round(sqrt({_sum('q.w * (q.x - fx) * (q.x - fx)')} / greatest(sw, 1e-12)) + 1e-9, 6) AS sigma_x FROM s""",
 )
 def determine_boundary(spark, sf_dir) -> DataFrame:
     out = E.determine_boundary(E.evidence_weights(B.evidence(spark, sf_dir), E.state_rules(spark)))

@@ -86,3 +86,10 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert plain([r[c] for c in columns] for r in df.collect()) == plain([r[i] for i in at] for r in result.fetchall())
+
+
+def test_boundary_does_not_hang_on_the_order_of_evidence(spark):
+    rows = [(1, 100.0 + i * 0.37, 200.0 + i * 0.011, 0.01 + i % 7 / 100, 1.0 / (3 + i % 5)) for i in range(40)]
+    kinds = "corner int, x double, y double, sigma double, w double"
+    got = [tuple(E.determine_boundary(spark.createDataFrame(own, kinds).coalesce(1)).first()) for own in (rows, rows[::-1], rows[1::2] + rows[::2], sorted(rows, key=lambda r: r[4]))]
+    assert len(set(got)) == 1 and 0 < got[0][2] <= 40
