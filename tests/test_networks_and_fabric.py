@@ -220,9 +220,26 @@ def test_gsi_square(spark):
     assert sorted(round(math.degrees(r.value)) for r in found.observations.where("kind = 'HA'").collect()) == [0, 90, 180, 270]
 
 
-def test_splitting_broadcasts_no_parcels(spark):
-    parcels = spark.createDataFrame([(1, square(0.0, 0.0)), (2, square(1.0, 0.0))], RING)
+def test_splitting_broadcasts_no_parcels(spark, tmp_path):
+    spark.createDataFrame([(1, square(0.0, 0.0)), (2, square(1.0, 0.0))], RING).write.parquet(f"{tmp_path}/parcels")
+    parcels = spark.read.parquet(f"{tmp_path}/parcels")
     cuts = spark.createDataFrame([(1, (-1.0, 0.4), (2.0, 0.4))], "id int, a struct<x:double,y:double>, b struct<x:double,y:double>")
     parts, _ = topology.split_parcels(parcels, cuts)
     assert "Broadcast" not in parts._jdf.queryExecution().executedPlan().toString()
     assert {(r.id, r.part) for r in parts.collect()} == {(1, 1), (1, 2), (2, 0)}
+
+
+def test_gate_of_many_observations_agrees_with_its_sql(spark, tmp_path):
+    import duckdb
+
+    from cadastre.plans.registry import ORACLES, QUERIES
+    import __spark_entry__  # noqa: F401  registers the queries
+
+    kinds = (15140, 16820, 18242, 2911, 1539, 6810, 685, 17269, 16554, 3773, 17366, 1287, 6621, 19550)
+    rows = [(911, k + 1, part, 1, 10.0, 1.0) for k, part in enumerate(kinds)] + [(7, k + 1, part, 1, 10.0, 1.0) for k, part in enumerate(kinds[:4])]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").withColumn("l_shipdate", F.lit("1995-01-01").cast("timestamp"))
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in QUERIES["chi_square_gate"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert set(db.execute(ORACLES["chi_square_gate"]).fetchall()) == got and (911, 12, True) in got
