@@ -243,3 +243,34 @@ def test_gate_of_many_observations_agrees_with_its_sql(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert set(db.execute(ORACLES["chi_square_gate"]).fetchall()) == got and (911, 12, True) in got
+
+
+def test_welding_by_cells_agrees_with_brute_force(spark):
+    tol = 0.01
+    spots = [(round(((i * 37) % 101) * 0.0041 - 0.2, 6), round(((i * 61) % 89) * 0.0043 - 0.2, 6)) for i in range(700)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "id int, x double, y double")
+    got = {(r.a_id, r.b_id) for r in spatial.close_pairs(points, tol).collect()}
+    assert got == {(i, j) for i in range(700) for j in range(i + 1, 700) if math.hypot(spots[i][0] - spots[j][0], spots[i][1] - spots[j][1]) <= tol}
+    alone = [(i, [(x, y), (x + 5.0, y), (x + 5.0, y + 5.0 + i / 7), (x, y)]) for i, (x, y) in enumerate((k * 0.64 - 3.2 + e, k * 0.64 + e) for k in range(0, 40, 3) for e in (-0.004, 0.004))]
+    corners = [((i, s), p) for i, ring in alone for s, p in enumerate(ring[:-1])]
+    root = {c: c for c, _ in corners}
+    for _ in range(6):
+        for c, p in corners:
+            root[c] = min(root[d] for d, q in corners if math.hypot(p[0] - q[0], p[1] - q[1]) <= tol)
+    assert {((r.id, r.seq), tuple(r.node)) for r in topology.snap_nodes(spark.createDataFrame(alone, RING), tol).collect()} == set(root.items())
+
+
+def test_few_places_are_paired_in_a_fabric(spark, monkeypatch):
+    paired = []
+    close_pairs = spatial.close_pairs
+    monkeypatch.setattr(spatial, "close_pairs", lambda points, tol: paired.append(points.count()) or close_pairs(points, tol))
+    parcels = spark.createDataFrame([(i, square(20.0 * i + 5.0, 5.0, 20.0)) for i in range(30)], RING)
+    nodes, sides, rejects = topology.build_fabric(parcels, 1e-4)
+    assert nodes.count() == 62 and sides.count() == 120 and rejects.isEmpty() and paired[0] < 62
+
+
+def test_fabric_rejects_an_id_of_an_empty_and_a_whole_ring(spark):
+    parcels = spark.createDataFrame([(1, square(0.0, 0.0)), (1, []), (2, square(1.0, 0.0)), (3, []), (4, None), (5, square(9.0, 9.0)), (5, square(9.0, 9.0))], RING)
+    _, sides, rejects = topology.build_fabric(parcels, 0.01)
+    assert {r.id for r in sides.select("id").distinct().collect()} == {2}
+    assert {tuple(r) for r in rejects.collect()} == {(1, "id used twice"), (5, "id used twice"), (3, "fewer than three corners"), (4, "fewer than three corners")}
