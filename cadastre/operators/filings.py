@@ -124,7 +124,7 @@ def _named(docs: DataFrame, word: str) -> DataFrame:
     """(doc, at, sentence, words, i) for every place i among the words of a sentence where ``word`` stands."""
     sentences = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), r"(?<=[.;]) (?=[A-Z])")
     rows = docs.select("doc", F.posexplode(sentences).alias("at", "sentence")).withColumn("words", F.split("sentence", " "))
-    here = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.lower(_bare(F.get("words", i))) == word)
+    here = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.contains(F.lower(F.get("words", i)), F.lit(word)) & (F.lower(_bare(F.get("words", i))) == word))  # most words go without a pattern
     return rows.select("doc", "at", "sentence", "words", F.explode(here).alias("i"))
 
 
