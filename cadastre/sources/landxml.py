@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cadastre.functions import rings
 
 _PARCEL = "_name string, _area string, Description string, CoordGeom array<struct<Line:array<struct<Start:string,End:string>>>>"
-_SURFACE = "_name string, Definition struct<Pnts:array<struct<P:array<struct<_VALUE:string,_id:string>>>>,Faces:array<struct<F:array<string>>>>"
+_SURFACE = "_name string, Definition struct<Pnts:array<struct<P:array<struct<_VALUE:string,_id:string>>>>,Faces:array<struct<F:array<struct<_VALUE:string,_id:string>>>>>"
 
 
 class LandXML(NamedTuple):
@@ -50,8 +50,8 @@ def read_landxml(spark: SparkSession, path: str, epsg: int | None = None) -> Lan
     of files that don't name one.  A face is the ring of the points that it
     names and its surface has, in that order, left out below three; of points
     with one id the last counts, numbers count from 0 over the surface.
-    A parcel's or a surface's element is read in one row; points and faces are
-    joined as rows.
+    A parcel's or a surface's element is read in one row, once; points and
+    faces meet as rows.
     """
     system = _elements(spark, path, "CoordinateSystem", "_epsgCode int").groupBy("file").agg(F.min("_epsgCode").alias("epsg"))
     lines = F.flatten(F.transform("CoordGeom", lambda g: F.coalesce(g["Line"], F.array())))
@@ -62,15 +62,20 @@ def read_landxml(spark: SparkSession, path: str, epsg: int | None = None) -> Lan
 
     flat = lambda outer, inner: F.flatten(F.transform(F.coalesce(F.col(f"Definition.{outer}"), F.array()), lambda g: F.coalesce(g[inner], F.array())))
     surfaces = _elements(spark, path, "Surface", _SURFACE).select("file", F.col("_name").alias("surface"), flat("Pnts", "P").alias("points"), flat("Faces", "F").alias("faces"))
-    surfaces = surfaces.withColumn("own", F.xxhash64("surface", "points"))  # tells apart surfaces of one name in a file
-    keys = ["file", "own"]
-    v = F.col("v")
-    points = surfaces.select(*keys, F.posexplode("points").alias("at", "p")).select(*keys, "at", F.col("p._id").alias("id"), _parts(F.col("p._VALUE")).alias("v"))
-    points = points.where("size(v) >= 3 and v[0] is not null and v[1] is not null and v[2] is not null")
-    points = points.groupBy(*keys, "id").agg(F.max_by(F.struct(v[1].alias("x"), v[0].alias("y"), v[2].alias("z")), "at").alias("p"))
-    named = surfaces.select(*keys, "surface", F.posexplode("faces").alias("face", "ids"))
-    named = named.select(*keys, "surface", "face", F.posexplode(F.split(F.trim(F.regexp_replace("ids", r"\s+", " ")), " ")).alias("seq", "id"))
-    found = named.join(points, [*keys, "id"]).groupBy(*keys, "surface", "face").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "p"))), lambda c: c["p"]).alias("ring"))
+    # Points and faces come from one reading; a window over a point's id brings both together.
+    surfaces = surfaces.withColumn("own", F.monotonically_increasing_id())  # tells apart surfaces of one name in a file
+    rows = surfaces.select("file", "surface", "own", F.size("points").alias("n"), F.posexplode(F.concat("points", "faces")).alias("at", "e"))
+    rows = rows.select("file", "surface", "own", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")).alias("at"), F.col("e._id").alias("id"), F.col("e._VALUE").alias("text"), (F.col("at") >= F.col("n")).alias("face"))
+    whole = lambda v: (F.size(v) >= 3) & v[0].isNotNull() & v[1].isNotNull() & v[2].isNotNull()
+    place = rings.let(_parts(F.col("text")), lambda v: F.when(whole(v), F.struct(v[1].alias("x"), v[0].alias("y"), v[2].alias("z"))))
+    none = F.lit(None).cast("struct<x:double,y:double,z:double>")
+    corner = lambda seq, id, p: F.struct(seq.cast("int").alias("seq"), id.alias("id"), p.alias("p"))
+    ids = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    corners = F.when(F.col("face"), F.transform(ids, lambda id, seq: corner(seq, id, none))).otherwise(F.filter(F.array(corner(F.lit(None), F.col("id"), place)), lambda c: c["id"].isNotNull() & c["p"].isNotNull()))
+    rows = rows.select("file", "surface", "own", "at", "face", F.explode(corners).alias("c")).select("file", "surface", "own", "at", "face", "c.*")
+    last = F.max(F.when(~F.col("face"), F.struct("at", "p"))).over(Window.partitionBy("own", "id"))
+    found = rows.withColumn("last", last).where("face and last is not null").groupBy("file", "surface", "own", F.col("at").alias("face"))
+    found = found.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("last.p").alias("p")))), lambda c: c["p"]).alias("ring"))
     faces = found.where("size(ring) >= 3").select("file", "surface", "face", F.concat("ring", F.slice("ring", 1, 1)).alias("ring"))
     return LandXML(parcels, faces)
 
@@ -96,15 +101,18 @@ def landxml_lines(parcels: DataFrame, faces: DataFrame | None = None, epsg: int
     when = when or dt.datetime.now(dt.timezone.utc)
     order = {"section": "int", "surface": "string", "parcel": parcels.schema["parcel"].dataType, "part": "int", "k": "long"}
 
-    def lines(rows: DataFrame, value: Column, **at: Column) -> DataFrame:
-        return rows.select("survey", *[at.get(c, F.lit(None)).cast(t).alias(c) for c, t in order.items()], value.alias("value"))
+    def line(value: Column, **at: Column) -> Column:
+        return F.struct(*[at.get(c, F.lit(None)).cast(t).alias(c) for c, t in order.items()], value.alias("value"))
+
+    def lines(rows: DataFrame, *arrays: Column) -> DataFrame:
+        return rows.select("survey", F.explode(F.concat(*arrays)).alias("line")).select("survey", "line.*")
 
     rows = parcels.where("ring is not null").withColumn("ring", rings.closed(F.col("ring")))
     optional = {c: F.col(c).cast("string") if c in parcels.columns else F.lit(None).cast("string") for c in ("area", "description")}
     rows = rows.select("survey", "parcel", F.col("name").cast("string").alias("name"), "ring", *[v.alias(c) for c, v in optional.items()])
     northing = lambda p: F.format_string("%.6f %.6f", p["y"], p["x"])
-    corners = rows.select("survey", "parcel", F.posexplode(rings.edges(F.col("ring"))).alias("seq", "e"))
-    places = corners.select("survey", "parcel", (2 * F.col("seq")).alias("seq"), F.col("e.a").alias("p")).unionByName(corners.select("survey", "parcel", (2 * F.col("seq") + 1).alias("seq"), F.col("e.b").alias("p")))
+    # A closed ring's last corner is its first.
+    places = rows.select("survey", "parcel", F.posexplode(F.slice("ring", F.lit(1), F.greatest(F.size("ring") - 1, F.lit(0)))).alias("seq", "p"))
     points = places.select("survey", F.struct("parcel", "seq").alias("first"), northing(F.col("p")).alias("place")).groupBy("survey", "place").agg(F.min("first").alias("first"))
     numbered = points.withColumn("k", F.row_number().over(Window.partitionBy("survey").orderBy("first")))
     point = F.concat(F.lit('  <CgPoint name="P'), F.col("k").cast("string"), F.lit('">'), F.col("place"), F.lit(" 0.000000</CgPoint>"))
@@ -112,57 +120,56 @@ def landxml_lines(parcels: DataFrame, faces: DataFrame | None = None, epsg: int
     attribute = lambda name, column: F.coalesce(F.concat(F.lit(f' {name}="'), _escaped(F.col(column)), F.lit('"')), F.lit(""))
     told = F.coalesce(F.concat(F.lit("<Description>"), _escaped(F.col("description")), F.lit("</Description>")), F.lit(""))
     opens = F.concat(F.lit("  <Parcel"), attribute("name", "name"), attribute("area", "area"), F.lit(">"), told, F.lit("<CoordGeom>"))
-    side = F.concat(F.lit("   <Line><Start>"), northing(F.col("e.a")), F.lit("</Start><End>"), northing(F.col("e.b")), F.lit("</End></Line>"))
+    side = lambda e: F.concat(F.lit("   <Line><Start>"), northing(e["a"]), F.lit("</Start><End>"), northing(e["b"]), F.lit("</End></Line>"))
+    own = {"section": F.lit(6), "parcel": F.col("parcel")}
+    sides = F.transform(rings.edges(F.col("ring")), lambda e, seq: line(side(e), **own, part=F.lit(1), k=seq))
     surveys = parcels.select("survey")
     body = [
-        lines(numbered, point, section=F.lit(2), k=F.col("k")),
-        lines(rows, opens, section=F.lit(6), parcel=F.col("parcel"), part=F.lit(0)),
-        lines(corners, side, section=F.lit(6), parcel=F.col("parcel"), part=F.lit(1), k=F.col("seq")),
-        lines(rows, F.lit("  </CoordGeom></Parcel>"), section=F.lit(6), parcel=F.col("parcel"), part=F.lit(2)),
+        lines(numbered, F.array(line(point, section=F.lit(2), k=F.col("k")))),
+        lines(rows, F.array(line(opens, **own, part=F.lit(0))), sides, F.array(line(F.lit("  </CoordGeom></Parcel>"), **own, part=F.lit(2)))),
     ]
     if faces is not None:
         surveys = surveys.unionByName(faces.select("survey"))
-        body += _surface_lines(faces, lines)
-    surveys = surveys.distinct()
+        body += _surface_lines(faces, line, lines)
     system = f'\n <CoordinateSystem epsgCode="{int(epsg)}" name="EPSG:{int(epsg)}"/>' if epsg is not None else ""
     units = '<Units><Metric areaUnit="squareMeter" linearUnit="meter" volumeUnit="cubicMeter" temperatureUnit="celsius" pressureUnit="milliBars" angularUnit="decimal degrees" directionUnit="decimal degrees"/></Units>'
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<LandXML xmlns="http://www.landxml.org/schema/LandXML-1.2" version="1.2" language="en" date="{when:%Y-%m-%d}" time="{when:%H:%M:%S}">\n {units}{system}'
     frame = {0: head, 1: ' <CgPoints name="points">', 3: " </CgPoints>" + ("\n <Surfaces>" if faces is not None else ""), 5: ("</Surfaces>\n " if faces is not None else " ") + "<Parcels>", 7: " </Parcels>\n</LandXML>"}
-    out = [lines(surveys, F.lit(text), section=F.lit(section)) for section, text in frame.items()] + body
-    whole = out[0]
-    for more in out[1:]:
+    whole = lines(surveys.distinct(), F.array(*[line(F.lit(text), section=F.lit(section)) for section, text in frame.items()]))
+    for more in body:
         whole = whole.unionByName(more)
     return whole
 
 
-def _surface_lines(faces: DataFrame, lines) -> list[DataFrame]:
-    """Points and faces of surfaces, faces as three point numbers."""
+def _surface_lines(faces: DataFrame, line, lines) -> list[DataFrame]:
+    """Points and faces of surfaces, faces as three point numbers; a point's number is its rank among the corners."""
     known = F.forall("ring", lambda p: p["x"].isNotNull() & p["y"].isNotNull() & p["z"].isNotNull()) & (F.size("ring") >= 3)
     own = faces.where(known).select("survey", F.col("surface").cast("string").alias("surface"), F.struct(*[F.col(f"ring")[i][c].alias(f"{c}{i}") for i in range(3) for c in "xyz"]).alias("face")).distinct()
     corners = own.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(f"face.{c}{i}").alias(c) for c in "xyz"]) for i in range(3)])).alias("p")).select("survey", "surface", "face", "p.*")
     of = ["survey", "surface"]
-    points = corners.select(*of, "x", "y", "z").distinct().withColumn("k", F.row_number().over(Window.partitionBy(*of).orderBy("x", "y", "z")))
-    named = corners.join(points, [*of, "x", "y", "z"]).groupBy(*of, "face").agg(*[F.max(F.when(F.col("i") == i, F.col("k"))).alias(f"k{i}") for i in range(3)])
+    by = Window.partitionBy(*of).orderBy("x", "y", "z")
+    ranked = corners.withColumns({"k": F.dense_rank().over(by), "before": F.lag(F.struct("x", "y", "z")).over(by)})
+    points = ranked.where("before is null or before != struct(x, y, z)")
+    named = ranked.groupBy(*of, "face").agg(*[F.max(F.when(F.col("i") == i, F.col("k"))).alias(f"k{i}") for i in range(3)])
     value = F.concat(F.lit("   <F>"), F.concat_ws(" ", *[F.col(f"k{i}").cast("string") for i in range(3)]), F.lit("</F>"))
-    each, name = own.select(*of).distinct(), F.col("surface")
+    name = F.col("surface")
     at = {"section": F.lit(4), "surface": name}
     opens = F.concat(F.lit('  <Surface name="'), _escaped(F.coalesce(name, F.lit(""))), F.lit('"><Definition surfType="TIN"><Pnts>'))
     point = F.concat(F.lit('   <P id="'), F.col("k").cast("string"), F.lit('">'), F.format_string("%.6f %.6f %.6f", "y", "x", "z"), F.lit("</P>"))
+    frame = F.array(line(opens, **at, part=F.lit(0)), line(F.lit("  </Pnts><Faces>"), **at, part=F.lit(2)), line(F.lit("  </Faces></Definition></Surface>"), **at, part=F.lit(4)))
     return [
-        lines(each, opens, **at, part=F.lit(0)),
-        lines(points, point, **at, part=F.lit(1), k=F.col("k")),
-        lines(each, F.lit("  </Pnts><Faces>"), **at, part=F.lit(2)),
-        lines(named, value, **at, part=F.lit(3), k=F.col("k0")),
-        lines(each, F.lit("  </Faces></Definition></Surface>"), **at, part=F.lit(4)),
+        lines(points, F.array(line(point, **at, part=F.lit(1), k=F.col("k"))), F.when(F.col("k") == 1, frame).otherwise(F.slice(frame, 1, 0))),
+        lines(named, F.array(line(value, **at, part=F.lit(3), k=F.col("k0")))),
     ]
 
 
-def write_landxml(path: str, parcels: DataFrame, faces: DataFrame | None = None, epsg: int | None = None, when: dt.datetime | None = None) -> None:
+def write_landxml(path: str, parcels: DataFrame, faces: DataFrame | None = None, epsg: int | None = None, when: dt.datetime | None = None, compression: str | None = None) -> None:
     """One file for each survey, in folders ``survey=..`` of a new path; see landxml_lines() for the columns.
 
     A survey's lines are sorted in one task, on disk if need be, and written
-    one by one: no document is ever held in memory.
+    one by one: no document is ever held in memory.  ``compression`` (gzip)
+    packs the files; read_landxml() reads packed ones too.
     """
     lines = landxml_lines(parcels, faces, epsg, when)
     order = ["section", "surface", "parcel", "part", "k"]
-    lines.repartition("survey").sortWithinPartitions("survey", *order, "value").select("survey", "value").write.partitionBy("survey").text(path)
+    lines.repartition("survey").sortWithinPartitions("survey", *order, "value").select("survey", "value").write.partitionBy("survey").text(path, compression=compression)

@@ -62,3 +62,17 @@ def test_no_surveys(spark, tmp_path):
     landxml.write_landxml(f"{tmp_path}/out", parcels.where("survey = 'b'"))
     back = landxml.read_landxml(spark, f"{tmp_path}/out")
     assert [r.epsg for r in back.parcels.collect()] == [None] and back.faces.isEmpty()
+
+
+def test_surfaces_of_one_name_and_points(spark, tmp_path):
+    surface = '<Surface name="same"><Definition surfType="TIN"><Pnts><P id="a">0 0 1</P><P id="b">0 9 2</P><P id="c">9 0 3</P><P id="a">5 5 5</P><P>7 7 7</P></Pnts><Faces><F n="1">{}</F></Faces></Definition></Surface>'
+    (tmp_path / "two.xml").write_text("<LandXML><Surfaces>" + surface.format("a b c") + surface.format(" c  b a ") + surface.format("a b x") + "</Surfaces></LandXML>")
+    found = landxml.read_landxml(spark, str(tmp_path)).faces.collect()
+    assert sorted([p.z for p in r.ring] for r in found) == [[3.0, 2.0, 5.0, 3.0], [5.0, 2.0, 3.0, 5.0]]
+
+
+def test_packed_files(spark, tmp_path):
+    corner = lambda x, y: {"x": x, "y": y}
+    parcels = spark.createDataFrame([(1, 1, "a", [corner(0.0, 0.0), corner(5.0, 0.0), corner(5.0, 5.0)])], "survey int, parcel int, name string, ring array<struct<x:double,y:double>>")
+    landxml.write_landxml(f"{tmp_path}/out", parcels, compression="gzip")
+    assert list(tmp_path.glob("out/survey=1/*.gz")) and landxml.read_landxml(spark, f"{tmp_path}/out").parcels.first().name == "a"
