@@ -46,7 +46,7 @@ def to_landxml(spark, sf_dir) -> DataFrame:
 
 def _read_back(spark, sf_dir) -> landxml.LandXML:
     path = fresh_path(spark, "landxml")
-    landxml.write_landxml(path, _parcels(spark, sf_dir), _faces(spark, sf_dir), 32614, WHEN)
+    landxml.write_landxml(path, _parcels(spark, sf_dir), _faces(spark, sf_dir), 32614, WHEN, "gzip")
     return landxml.read_landxml(spark, path)
 
 
