@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastre.functions import cogo
+from cadastre.functions import cogo, rings
 
 #: Marks between the parts of an angle, and words for compass points: made blanks and letters before anything is read.
 _MARKS = r"(?i)(?:[°º*'′’\"″”]|(?<=[0-9NSns])-(?=[0-9])|(?<=[0-9])-(?=[EWew])|\b(?:degrees?|deg|minutes?|min|seconds?|sec)\b\.?)"
@@ -50,21 +50,35 @@ def _part(column: Column | str, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(column, pattern, group), F.lit(""))
 
 
-def _angle(column: Column | str, pattern: str, first: int) -> Column:
+def _groups(column: Column, pattern: str, count: int) -> Column:
+    """The first match's groups as an array, empty texts for those without a part in it: the text is searched once, the groups are taken from what was found."""
+    cut = "\u0001".join(f"${i + 1}" for i in range(count))
+    return F.split(F.regexp_replace(F.regexp_extract(column, pattern, 0), pattern, cut), "\u0001")
+
+
+def _group(groups: Column, i: int) -> Column:
+    return F.nullif(F.get(groups, F.lit(i)), F.lit(""))
+
+
+def _angle(groups: Column, first: int = 0) -> Column:
     """Radians of the degrees, minutes and seconds in three groups."""
-    value = lambda i: _part(column, pattern, first + i).cast("double")
+    value = lambda i: _group(groups, first + i).cast("double")
     return F.radians(value(0) + F.coalesce(value(1), F.lit(0.0)) / 60 + F.coalesce(value(2), F.lit(0.0)) / 3600)
 
 
-def _quadrant(column: Column | str, pattern: str) -> Column:
+def _quadrant(column: Column, pattern: str) -> Column:
     """Azimuth of a quadrant bearing: letter, three parts, letter."""
-    angle, ns, ew, pi = _angle(column, pattern, 2), F.upper(_part(column, pattern, 1)), F.upper(_part(column, pattern, 5)), F.lit(cogo.TWO_PI / 2)
-    return cogo.azimuth(F.when(ns == "N", F.when(ew == "E", angle).otherwise(-angle)).otherwise(F.when(ew == "E", pi - angle).otherwise(pi + angle)))
 
+    def of(groups: Column) -> Column:
+        angle, ns, ew, pi = _angle(groups, 1), F.upper(_group(groups, 0)), F.upper(_group(groups, 4)), F.lit(cogo.TWO_PI / 2)
+        return cogo.azimuth(F.when(ns == "N", F.when(ew == "E", angle).otherwise(-angle)).otherwise(F.when(ew == "E", pi - angle).otherwise(pi + angle)))
+
+    return rings.let(_groups(column, pattern, 5), of)
 
-def _metres(column: Column | str, pattern: str) -> Column:
+
+def _metres(column: Column, pattern: str) -> Column:
     factor = F.create_map(*[F.lit(v) for item in cogo.UNITS.items() for v in item])
-    return _part(column, pattern, 1).cast("double") * F.element_at(factor, F.lower(_part(column, pattern, 2)))
+    return rings.let(_groups(column, pattern, 2), lambda g: _group(g, 0).cast("double") * F.element_at(factor, F.lower(_group(g, 1))))
 
 
 def parse_deeds(docs: DataFrame) -> DataFrame:
@@ -79,13 +93,21 @@ def parse_deeds(docs: DataFrame) -> DataFrame:
 
     def told(c: Column) -> Column:
         clause, plain = c["clause"], c["plain"]
-        parts = {"clause": clause, "turn": F.lower(_part(clause, _TURN, 1)), "radius": _metres(clause, _RADIUS), "delta": _angle(plain, _DELTA, 1), "arc": _metres(clause, _ARC), "chord": _metres(clause, _CHORD)}
-        parts |= {"chord_az": _quadrant(plain, _CHORD_BEARING), "line_az": _quadrant(plain, "(?i)" + _BEARING), "length": _metres(clause, _DISTANCE)}
-        return F.struct(*[v.alias(k) for k, v in parts.items()])
+        bends = F.struct(_metres(clause, _RADIUS).alias("radius"), rings.let(_groups(plain, _DELTA, 3), _angle).alias("delta"), _metres(clause, _ARC).alias("arc"), _metres(clause, _CHORD).alias("chord"), _quadrant(plain, _CHORD_BEARING).alias("chord_az"))
+        runs = F.struct(_quadrant(plain, "(?i)" + _BEARING).alias("line_az"), _metres(clause, _DISTANCE).alias("length"))
+
+        # Only a clause that tells a turn is searched for a curve's parts, and only what is no curve for a line's.
+        def turned(turn: Column) -> Column:
+            def bent(bend: Column) -> Column:
+                curve = F.coalesce(bend["radius"], bend["arc"], bend["delta"]).isNotNull()
+                return F.struct(clause.alias("clause"), turn.alias("turn"), curve.alias("curve"), bend.alias("bend"), F.when(~curve, runs).alias("run"))
+
+            return rings.let(F.when(turn.isNotNull(), bends), bent)
+
+        return rings.let(F.lower(_part(clause, _TURN, 1)), turned)
 
     # What the patterns find is computed once for each clause, before anything refers to it.
-    calls = docs.select("doc", F.posexplode(F.transform(clauses, told)).alias("seq", "e")).where("seq > 0").select("doc", "seq", "e.*")
-    calls = calls.withColumn("curve", F.col("turn").isNotNull() & F.coalesce("radius", "arc", "delta").isNotNull())
+    calls = docs.select("doc", F.posexplode(F.transform(clauses, told)).alias("seq", "e")).where("seq > 0").select("doc", "seq", "e.clause", "e.turn", "e.curve", "e.bend.*", "e.run.*")
     filled = curve_fill(calls.withColumns({c: F.when(F.col("curve"), F.col(c)) for c in ("radius", "delta", "arc", "chord")}))
     curve = F.col("curve")
     filled = filled.withColumns({"az": F.when(curve, F.col("chord_az")).otherwise(F.col("line_az")), "metres": F.when(curve, F.col("chord")).otherwise(F.col("length")), "clockwise": F.when(curve, F.col("turn").isin("right", "clockwise"))})

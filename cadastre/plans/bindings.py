@@ -16,7 +16,9 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traverse legs from line items: an order is a traverse."""
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     az = F.radians((F.col("l_partkey") * 37 + F.col("l_suppkey") * 11) % 360)
-    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("t"), F.row_number().over(by).alias("seq"), az.alias("az"), F.col("l_quantity").alias("d"), "l_linenumber", "l_partkey", "l_suppkey")
+    # Named t after the window, so that rows stand by t already and aren't sent again.
+    numbered = load(spark, sf_dir, "lineitem").withColumn("seq", F.row_number().over(by))
+    rows = numbered.select(F.col("l_orderkey").alias("t"), "seq", az.alias("az"), F.col("l_quantity").alias("d"), "l_linenumber", "l_partkey", "l_suppkey")
     return rows
 
 

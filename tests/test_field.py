@@ -109,3 +109,18 @@ def test_curve_and_spelt_out_calls(spark):
 def test_plss_words_and_principal_line(spark):
     (row,) = deeds.parse_plss(spark.createDataFrame([(1, "the Northeast quarter of the SW¼ of Sec. 14, Township 2 North, Range 3 East, New Mexico P.M.")], "doc int, text string")).collect()
     assert (row.quarters, row.section, row.township, row.ew, row.principal) == (["NE", "SW"], 14, 2, "E", "New Mexico")
+
+
+def test_clauses_are_searched_once(spark):
+    docs = spark.createDataFrame([(1, "thence N 45°30' E 10 feet; thence along a curve to the left, radius of 5 m, delta of 90°, chord bearing S 10 W; thence along an arc to the right 3 chains S 1 E")], "doc int, text string")
+    calls = deeds.parse_deeds(docs)
+    found = [(r.kind, r.metres and round(r.metres, 4), r.az and round(r.az, 6), r.radius, r.clockwise) for r in calls.orderBy("seq").collect()]
+    assert found == [("line", 3.048, 0.794125, None, None), ("curve", 7.0711, 3.316126, 5.0, False), ("line", 60.3504, 3.124139, None, None)]
+    assert calls._jdf.queryExecution().analyzed().toString().count("regexp_extract(") <= 10
+
+
+def test_legs_are_sent_once(spark):
+    from cadastre.plans import bindings as B
+
+    plan = B.legs(spark, "/root/testdata/sf0.001").groupBy("t").agg(F.max("seq"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
