@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastre.functions.cogo import azimuth
+from cadastre.functions.rings import let
 
 RADIUS = 6378137.0
 #: Metres of each tidal datum above NAVD88, by coastal region.
@@ -49,18 +50,41 @@ def tidal_height(region: Column, datum: str, height: Column) -> Column:
 
 def sun_position(ts: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
     """Altitude and azimuth of the sun in degrees at a UTC time (low-precision almanac series)."""
+    return _from_sky(*_sky(ts), lat, lon)
+
+
+def _sky(ts: Column) -> tuple[Column, Column, Column]:
+    """The sun's right ascension and declination in radians, and the sidereal time at longitude 0 in hours, not reduced."""
     d = (F.unix_micros(ts) / 1e6 - 946728000.0) / 86400.0
     g, mean = F.radians(F.pmod(357.529 + 0.98560028 * d, F.lit(360.0))), F.radians(F.pmod(280.459 + 0.98564736 * d, F.lit(360.0)))
     ecliptic = mean + F.radians(F.lit(1.915)) * F.sin(g) + F.radians(F.lit(0.020)) * F.sin(2 * g)
     tilt = F.radians(23.439 - 0.00000036 * d)
     ascension, declination = F.atan2(F.cos(tilt) * F.sin(ecliptic), F.cos(ecliptic)), F.asin(F.sin(tilt) * F.sin(ecliptic))
-    hour = F.radians((F.pmod(18.697374558 + 24.06570982441908 * d, F.lit(24.0)) + lon / 15.0) * 15.0) - ascension
+    return ascension, declination, F.pmod(18.697374558 + 24.06570982441908 * d, F.lit(24.0))
+
+
+def _from_sky(ascension: Column, declination: Column, sidereal: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
+    hour = F.radians((sidereal + lon / 15.0) * 15.0) - ascension
     phi = F.radians(lat)
     altitude = F.asin(F.sin(phi) * F.sin(declination) + F.cos(phi) * F.cos(declination) * F.cos(hour))
     az = F.atan2(-F.sin(hour) * F.cos(declination), F.cos(phi) * F.sin(declination) - F.sin(phi) * F.cos(declination) * F.cos(hour))
     return F.degrees(altitude), F.pmod(F.degrees(az), F.lit(360.0))
 
 
+def with_sun(rows: DataFrame) -> DataFrame:
+    """rows(ts, lat, lon, ..) with altitude and azimuth as by sun_position(), each part computed once for a row.
+
+    Struct by struct, as a condition on columns would be computed with all of their parts wherever it names them.
+    """
+
+    def computed(df: DataFrame, *names: str, by: tuple[Column, ...]) -> DataFrame:
+        return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in zip(names, by, strict=True)]))))
+
+    sky = computed(rows, "_ascension", "_declination", "_sidereal", by=_sky(F.col("ts")))
+    found = computed(sky, "altitude", "azimuth", by=_from_sky(F.col("_ascension"), F.col("_declination"), F.col("_sidereal"), F.col("lat"), F.col("lon")))
+    return found.drop("_ascension", "_declination", "_sidereal")
+
+
 def lonlat_area(ring: Column) -> Column:
     """Spherical-excess area, in square metres, of a closed ring of struct(x = lon, y = lat) in degrees; 0 for fewer than four points."""
     edges = F.arrays_zip(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))).alias("a"), F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))).alias("b"))
@@ -76,9 +100,14 @@ def lonlat_perimeter(ring: Column) -> Column:
 
 def arc_points(x: Column, y: Column, radius: Column, begin: Column, end: Column, segments: int = 48) -> Column:
     """Array of struct(x, y) along an arc, counter-clockwise from one angle to the other; an end before the begin wraps round."""
-    span = end - begin + F.when(end < begin, F.lit(6.283185307179586)).otherwise(0.0)
-    at = lambda i: begin + span * i / segments
-    return F.transform(F.sequence(F.lit(0), F.lit(segments)), lambda i: F.struct((x + radius * F.cos(at(i))).alias("x"), (y + radius * F.sin(at(i))).alias("y")))
+    turn = F.when(end < begin, F.lit(6.283185307179586)).otherwise(0.0)
+
+    # The span once for an arc, and an angle once for both coordinates.
+    def along(k: Column) -> Column:
+        angles = F.transform(F.sequence(F.lit(0), F.lit(segments)), lambda i: k["b"] + k["s"] * i / segments)
+        return F.transform(angles, lambda at: F.struct((k["x"] + k["r"] * F.cos(at)).alias("x"), (k["y"] + k["r"] * F.sin(at)).alias("y")))
+
+    return let(F.struct(begin.alias("b"), (end - begin + turn).alias("s"), x.alias("x"), y.alias("y"), radius.alias("r")), along)
 
 
 def circle_points(x: Column, y: Column, radius: Column, segments: int = 64) -> Column:

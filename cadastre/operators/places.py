@@ -25,9 +25,10 @@ def geoid_reduce(points: DataFrame, grid: DataFrame, step: float) -> DataFrame:
 
 def sun_windows(sites: DataFrame, minutes: int, low: float, high: float, az_from: float = 0.0, az_to: float = 360.0) -> DataFrame:
     """(id, begins, ends, samples): unbroken runs of samples of sites(id, lon, lat, since, until) with the sun's altitude from low to high and its azimuth in the given arc, which may pass north."""
-    rows = sites.select("id", "lon", "lat", F.posexplode(F.sequence("since", "until", F.expr(f"interval {minutes} minutes"))).alias("k", "ts"))
-    altitude, azimuth = geodesy.sun_position(F.col("ts"), F.col("lat"), F.col("lon"))
-    rows = rows.withColumns({"altitude": altitude, "azimuth": azimuth})
+    # Sites are dealt by id before they become many rows, so samples are computed in all tasks and stay where their runs are counted.
+    parts = max(int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")), sites.sparkSession.sparkContext.defaultParallelism)
+    rows = sites.repartition(parts, "id").select("id", "lon", "lat", F.posexplode(F.sequence("since", "until", F.expr(f"interval {minutes} minutes"))).alias("k", "ts"))
+    rows = geodesy.with_sun(rows)
     inside = F.col("azimuth").between(az_from, az_to) if az_from <= az_to else (F.col("azimuth") >= az_from) | (F.col("azimuth") <= az_to)
     good = rows.where(F.col("altitude").between(low, high) & inside)
     run = F.col("k") - F.row_number().over(Window.partitionBy("id").orderBy("k"))

@@ -138,3 +138,11 @@ def test_geodesic_traverse(spark, block):
     fixed = {(r.t, r.seq): r for r in geodetic.adjust_geodesic(points, starts).collect()}
     assert fixed[1, 4].lon == pytest.approx(-97.0, abs=1e-12) and fixed[1, 4].lat == pytest.approx(30.0, abs=1e-12)
     assert geodetic.geodesic_traverse(legs.limit(0), starts).count() == 0
+
+
+def test_sun_windows_are_dealt_before_they_are_sampled(spark):
+    from cadastre.operators import places
+
+    sites = spark.range(8).selectExpr("id", "id * 10D as lon", "40D as lat", "timestamp'2026-06-21 00:00:00 UTC' as since", "timestamp'2026-06-22 00:00:00 UTC' as until")
+    plan = places.sun_windows(sites, 30, 30.0, 60.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id") == 1 and plan.index("posexplode") < plan.index("Exchange hashpartitioning(id")
