@@ -85,8 +85,19 @@ def encumbered_area_net(parcels: DataFrame, lines: DataFrame, cell: float, grid:
 
     An estimate: off by at most the cells along the strips' edges.
     """
-    boxes = spatial.with_box(segments(lines))
-    centres = spatial.in_cells(boxes, cell).select("ring", "cx", "cy", ((F.col("cx") + 0.5) * cell).alias("x"), ((F.col("cy") + 0.5) * cell).alias("y"))
-    held = centres.where(rings.contains(F.col("ring"), F.col("x"), F.col("y"))).select("cx", "cy", "x", "y").distinct()
-    found = spatial.points_in_parcels(held.select(F.struct("cx", "cy").alias("id"), "x", "y"), parcels, grid)
+    boxes = spatial.with_box(segments(lines)).select("ring", "x0", "y0", "x1", "y1")
+    # Strips are dealt by squares of side ``grid``; their centres arise there, so they are told apart and meet the parcels without being sent.
+    dealt = spatial.in_cells(boxes, grid).withColumnsRenamed({"cx": "gx", "cy": "gy"}).repartition("gx", "gy")
+
+    def within(low: str, high: str, square: str) -> Column:
+        first = F.greatest(F.floor(F.col(low) / cell), F.floor(F.col(square) * grid / cell) - 1)
+        last = F.least(F.floor(F.col(high) / cell), F.floor((F.col(square) + 1) * grid / cell) + 1)
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
+
+    x, y = ((F.col(c) + 0.5) * cell for c in ("cx", "cy"))
+    own = (F.floor(x / grid) == F.col("gx")) & (F.floor(y / grid) == F.col("gy")) & (y >= F.col("y0")) & (y < F.col("y1"))
+    centres = dealt.withColumn("cx", within("x0", "x1", "gx")).withColumn("cy", within("y0", "y1", "gy")).where(own).where(rings.contains(F.col("ring"), x, y))
+    held = centres.select("gx", "gy", "cx", "cy").distinct()
+    at = held.select(F.struct("cx", "cy").alias("point"), x.alias("x"), y.alias("y"), F.col("gx").alias("cx"), F.col("gy").alias("cy"))
+    found = spatial.placed_in_parcels(at, parcels, grid)
     return found.groupBy("parcel").agg((F.count("*") * cell * cell).alias("area"))

@@ -142,8 +142,13 @@ def parcel_overlaps(parcels: DataFrame, cell: float, least: float) -> DataFrame:
 
 def points_in_parcels(points: DataFrame, parcels: DataFrame, cell: float) -> DataFrame:
     """(point, parcel) for each parcel ring that holds a point; boxes are tested before rings."""
-    cells = in_cells(with_box(parcels).select(F.col("id").alias("parcel"), "ring", "x0", "y0", "x1", "y1"), cell)
     at = points.select(F.col("id").alias("point"), "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    return placed_in_parcels(at, parcels, cell)
+
+
+def placed_in_parcels(at: DataFrame, parcels: DataFrame, cell: float) -> DataFrame:
+    """points_in_parcels() of at(point, x, y, cx, cy), points whose cells are known."""
+    cells = in_cells(with_box(parcels).select(F.col("id").alias("parcel"), "ring", "x0", "y0", "x1", "y1"), cell)
     boxed = at.join(cells, ["cx", "cy"]).where("x between x0 and x1 and y between y0 and y1")
     return boxed.where(rings.contains(F.col("ring"), F.col("x"), F.col("y"))).select("point", "parcel")
 

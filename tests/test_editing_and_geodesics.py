@@ -146,3 +146,21 @@ def test_sun_windows_are_dealt_before_they_are_sampled(spark):
     sites = spark.range(8).selectExpr("id", "id * 10D as lon", "40D as lat", "timestamp'2026-06-21 00:00:00 UTC' as since", "timestamp'2026-06-22 00:00:00 UTC' as until")
     plan = places.sun_windows(sites, 30, 30.0, 60.0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(id") == 1 and plan.index("posexplode") < plan.index("Exchange hashpartitioning(id")
+
+
+def test_strip_centres_are_not_sent(spark):
+    from cadastre.operators import easements
+
+    corner = lambda x, y: {"x": x, "y": y}
+    point = "struct<x:double,y:double>"
+    lines = spark.createDataFrame([(1, [corner(-7.0, -3.0), corner(95.0, 61.0)], 8.0), (2, [corner(0.0, 50.0), corner(90.0, 10.0)], 6.0)], f"id int, centerline array<{point}>, width_m double")
+    parcels = spark.createDataFrame([(1, [corner(-50.0, -50.0), corner(150.0, -50.0), corner(150.0, 150.0), corner(-50.0, 150.0), corner(-50.0, -50.0)]), (2, [corner(0.0, 0.0), corner(60.0, 0.0), corner(0.0, 60.0), corner(0.0, 0.0)])], f"id int, ring array<{point}>")
+    net = easements.encumbered_area_net(parcels, lines, 0.7, 40.0)
+    assert net._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(cx") == 1  # the parcels
+    # Both rings hold a cell's centre or not by themselves: the same over every cell of the plane.
+    rings_of = [[(p.x, p.y) for p in r.ring] for r in easements.segments(lines).collect()]
+    held = lambda ring, x, y: sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:])) % 2 == 1
+    centres = [((i + 0.5) * 0.7, (j + 0.5) * 0.7) for i in range(-30, 170) for j in range(-30, 120)]
+    centres = [(x, y) for x, y in centres if any(held(r, x, y) for r in rings_of)]
+    want = {r.id: sum(held([(p.x, p.y) for p in r.ring], x, y) for x, y in centres) * 0.7 * 0.7 for r in parcels.collect()}
+    assert {r.parcel: round(r.area, 6) for r in net.collect()} == {k: round(v, 6) for k, v in want.items()}
