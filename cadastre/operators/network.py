@@ -62,6 +62,15 @@ def free_params(points: DataFrame, mode: str = "auto") -> DataFrame:
     return ranked.select("net", "id", "fixed", "n_fixed", "rank", axes).where(~held[mode]).select("net", "id", "axis")
 
 
+def _weight() -> Column:
+    """1 / sigma squared of an observation, with the usual sigma of its kind where it states none."""
+    usual = F.lit(None).cast("double")
+    for kind, sigma in SIGMAS.items():
+        usual = F.when(F.col("kind") == kind, F.lit(sigma)).otherwise(usual)
+    sigma = F.coalesce("sigma", usual)
+    return 1 / (sigma * sigma)
+
+
 def jacobian_rows(points: DataFrame, obs: DataFrame, free: DataFrame) -> DataFrame:
     """(net, row, id, axis, coef, misclosure, weight): linearised obs(net, obs, kind, from_pt, to_pt, value, vector, sigma).
 
@@ -89,116 +98,226 @@ def jacobian_rows(points: DataFrame, obs: DataFrame, free: DataFrame) -> DataFra
         .when(F.col("kind") == "height_difference", F.array(part(0, value - dz, none, none, F.lit(1.0))))
         .otherwise(F.array(*[part(i, F.col("vector")[i] - F.col(f"d{c}"), *[F.lit(float(c == a)) for a in AXES]) for i, c in enumerate(AXES)]))
     )
-    usual = F.lit(None).cast("double")
-    for kind, sigma in SIGMAS.items():
-        usual = F.when(F.col("kind") == kind, F.lit(sigma)).otherwise(usual)
-    sigma = F.coalesce("sigma", usual)
-    rows = placed.select("net", "obs", "from_pt", "to_pt", (1 / (sigma * sigma)).alias("weight"), F.explode(parts).alias("r")).where("r.misclosure is not null")
+    rows = placed.select("net", "obs", "from_pt", "to_pt", _weight().alias("weight"), F.explode(parts).alias("r")).where("r.misclosure is not null")
     sides = F.array(*[F.struct(F.col(pt).alias("id"), F.lit(a).alias("axis"), (F.col(f"r.to.{a}") * sign).alias("coef")) for pt, sign in (("to_pt", 1.0), ("from_pt", -1.0)) for a in AXES])
     out = rows.select("net", F.struct("obs", "r.part").alias("row"), "r.misclosure", "weight", F.explode(sides).alias("s")).select("net", "row", "s.id", "s.axis", "s.coef", "misclosure", "weight")
     return out.where("coef != 0").join(free, ["net", "id", "axis"], "left_semi")
 
 
-def _solve(table: pa.Table) -> pa.RecordBatch:
-    """Whole networks' rows (net, i, j, value) to (net, i, j, dx, q, free); networks of one size are solved together, free counts the directions that nothing holds."""
-    net, value = table["net"].to_numpy(), table["value"].to_numpy()
-    group = np.cumsum(np.append(False, net[1:] != net[:-1]))
-    left, right = table["i"].combine_chunks(), table["j"].combine_chunks()
-    names = pa.concat_arrays([left, pc.fill_null(right, "")]).dictionary_encode()
-    codes, width = names.indices.to_numpy().astype(np.int64), len(names.dictionary)
-    key = group * width + codes[: len(net)]
-    params = np.unique(key)
-    begin = np.searchsorted(params, np.arange(group[-1] + 2) * width)
-    row = np.searchsorted(params, key) - begin[group]
-    column = np.searchsorted(params, group * width + codes[len(net) :]) - begin[group]
-    known, size, out = right.is_null().to_numpy(zero_copy_only=False), np.diff(begin), []
-    for n in np.unique(size).tolist():
-        own = np.flatnonzero(size == n)
-        place = np.full(len(size), -1)
-        place[own] = np.arange(len(own))
-        here = place[group] >= 0
-        normal, absolute = np.zeros((len(own), n, n)), np.zeros((len(own), n))
-        inner, outer = here & ~known, here & known
-        normal[place[group[inner]], row[inner], column[inner]] = value[inner]
-        absolute[place[group[outer]], row[outer]] = value[outer]
-        # Networks without enough held points have no inverse; the least solution of all stands in.
-        low = ~(np.linalg.cond(normal) < 1e14)
-        loose = np.zeros(len(own), dtype=np.int32)
-        loose[low] = n - np.linalg.matrix_rank(normal[low], hermitian=True)
-        q = np.zeros_like(normal)
-        q[~low], q[low] = np.linalg.inv(normal[~low]), np.linalg.pinv(normal[low], hermitian=True)
-        x = (q @ absolute[:, :, None])[:, :, 0]
-        g, i, j = np.indices(q.shape).reshape(3, -1)
-        out.append((own[g], params[begin[own[g]] + i] % width, params[begin[own[g]] + j] % width, np.where(i == j, x[g, i], np.nan), q.ravel(), loose[g]))
-    g, i, j, dx, q, loose = (np.concatenate(c) for c in zip(*out, strict=True))
-    first = table["net"].combine_chunks().take(pa.array(np.searchsorted(group, g)))
-    named = [names.dictionary.take(pa.array(c)) for c in (i, j)]
-    return pa.RecordBatch.from_arrays([first, *named, pa.array(dx), pa.array(q), pa.array(loose)], names=["net", "i", "j", "dx", "q", "free"])
-
-
-def _solve_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by net; the last network of a batch may go on in the next."""
+#: What a row of _by_net() is.
+POINT, FREE, OBSERVED, COFACTOR = range(4)
+#: Rows of observations that are multiplied out at once.
+CHUNK = 1 << 15
+
+
+def _by_net(points: DataFrame, obs: DataFrame, free: DataFrame, cofactors: DataFrame | None = None) -> DataFrame:
+    """All rows of the tables in one, by network and kind of row (``what``); ``first`` marks the first row of a network.
+
+    a and b are ids as texts.  An observation is a row for each number that it
+    measures along its line: direction 0, flat length 1, slope length 2, differences of x, y, z 3 to 5.
+    Networks are numbered by a window, so tables that stand by network already aren't sent again.
+    """
+    text = lambda c, name: F.col(c).cast("string").alias(name)
+    axis = lambda c: sum(F.when(F.col(c) == a, i).otherwise(0) for i, a in enumerate(AXES))
+    part = lambda number, kind, value: F.struct(F.lit(number).alias("part"), F.lit(kind).alias("kind"), value.cast("double").alias("value"))
+    one = F.when(F.col("kind") == "horizontal_distance", 1).when(F.col("kind") == "slope_distance", 2).when(F.col("kind") == "height_difference", 5).otherwise(0)
+    single = F.array(F.struct(F.lit(0).alias("part"), one.alias("kind"), F.col("value").cast("double").alias("value")))
+    parts = F.when(F.col("kind") == "gnss", F.array(*[part(i, 3 + i, F.col("vector")[i]) for i in range(3)])).otherwise(single)
+    tables = [
+        points.select("net", F.lit(POINT).alias("what"), text("id", "a"), *[F.col(c).cast("double").alias(c) for c in AXES]),
+        free.select("net", F.lit(FREE).alias("what"), text("id", "a"), axis("axis").alias("kind"), "axis").where(F.col("net").isNotNull() & F.col("axis").isin(*AXES)).drop("axis"),
+        usable_observations(obs).where("net is not null").select("net", F.lit(OBSERVED).alias("what"), text("from_pt", "a"), text("to_pt", "b"), "obs", _weight().alias("weight"), F.explode(parts).alias("m")).select("net", "what", "a", "b", "obs", "weight", "m.*").where("value is not null"),
+    ]
+    if cofactors is not None:
+        tables.append(cofactors.where("net is not null").select("net", F.lit(COFACTOR).alias("what"), text("i.id", "a"), text("j.id", "b"), (3 * axis("i.axis") + axis("j.axis")).alias("kind"), "value"))
+    rows = reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), tables)
+    number = F.row_number().over(Window.partitionBy("net").orderBy("what", "obs", "part", "a", "b"))
+    return rows.withColumn("first", number == 1).select("net", "first", "what", "a", "b", *AXES, "obs", "part", "kind", "value", "weight")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole networks from rows of _by_net(); the last network of a batch may go on in the next."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        net = batch.column(0).to_numpy(zero_copy_only=False)
-        last = int(np.flatnonzero(net == net[-1])[0])
-        if held and (last or held[-1].column(0)[-1].as_py() != net[0]):
-            yield _solve(pa.Table.from_batches([*held, batch.slice(0, last)]))
+        begins = np.flatnonzero(batch.column("first").to_numpy(zero_copy_only=False))
+        last = int(begins[-1]) if len(begins) else None
+        if last is not None and (held or last):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
             held = []
-        elif last:
-            yield _solve(pa.Table.from_batches([batch.slice(0, last)]))
-        held.append(batch.slice(last))
+        held.append(batch if last is None else batch.slice(last))
     if held:
-        yield _solve(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+class _Networks:
+    """Whole networks of one table as numbers: coordinates of points, which are free, and observations between known points."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.table, what, group = table, table["what"].to_numpy(), np.cumsum(table["first"].to_numpy()) - 1
+        ends = pa.concat_arrays([*table["a"].chunks, *table["b"].chunks]).dictionary_encode()
+        codes = pc.fill_null(ends.indices, -1).to_numpy().astype(np.int64) + 1  # 0: no id
+        width, numbers = len(ends.dictionary) + 1, {c: table[c].to_numpy() for c in ("kind", "value", "weight")}
+        self.points = np.flatnonzero(what == POINT)
+        self.group, self.groups = group[self.points], int(group[-1]) + 1 if len(group) else 0
+        self.at = np.stack([table[c].to_numpy()[self.points] for c in AXES], axis=1)
+        keys = self.group * width + codes[self.points]
+        order = np.argsort(keys, kind="stable")
+        known = keys[order]
+
+        def find(kind: int, *sides: int) -> tuple[np.ndarray, ...]:
+            """Rows of a kind whose ends are points of their network, and those points."""
+            rows = np.flatnonzero(what == kind)
+            at = []
+            for side in sides:
+                code = codes[rows + side * len(what)]
+                key = group[rows] * width + code
+                place = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+                at.append(np.where((code > 0) & (known[place] == key), order[place], -1) if len(known) else np.full(len(rows), -1))
+            good = np.all([p >= 0 for p in at], axis=0)
+            return rows[good], *[p[good] for p in at]
+
+        self.free = np.zeros((len(self.points), 3), dtype=bool)
+        rows, place = find(FREE, 0)
+        self.free[place, numbers["kind"][rows].astype(int)] = True
+        self.rows, self.begin, self.end = find(OBSERVED, 0, 1)
+        self.of, self.kind, self.value, self.weight = group[self.rows], numbers["kind"][self.rows].astype(int), numbers["value"][self.rows], numbers["weight"][self.rows]
+        rows, i, j = find(COFACTOR, 0, 1)
+        kind = numbers["kind"][rows].astype(int)
+        self.cofactors = (3 * i + kind // 3) * 3 * len(self.points) + 3 * j + kind % 3, numbers["value"][rows]
+
+    def linear(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(coefficients, coordinates, misclosure) of observations, as jacobian_rows() states them: a row has six places, those that say nothing are 0; without any the misclosure is 0."""
+        d, kind, value = self.at[self.end[rows]] - self.at[self.begin[rows]], self.kind[rows], self.value[rows]
+        flat, slope = np.sqrt(d[:, 0] ** 2 + d[:, 1] ** 2), np.sqrt((d * d).sum(axis=1))
+        flat[flat == 0], slope[slope == 0] = np.nan, np.nan
+        turned, level, slanted = kind == 0, kind == 1, kind == 2
+        coef, off = np.zeros((len(rows), 3)), value - np.take_along_axis(d, np.maximum(kind - 3, 0)[:, None], axis=1)[:, 0]
+        coef[kind > 2, kind[kind > 2] - 3] = 1.0
+        coef[turned, 0], coef[turned, 1] = d[turned, 1] / flat[turned] ** 2, -d[turned, 0] / flat[turned] ** 2
+        off[turned] = np.mod(value[turned] - np.arctan2(d[turned, 0], d[turned, 1]) + math.pi, 2 * math.pi) - math.pi
+        coef[level, :2], off[level] = d[level, :2] / flat[level, None], value[level] - flat[level]
+        coef[slanted], off[slanted] = d[slanted] / slope[slanted, None], value[slanted] - slope[slanted]
+        place = np.concatenate([3 * self.end[rows, None] + np.arange(3), 3 * self.begin[rows, None] + np.arange(3)], axis=1)
+        both = np.concatenate([coef, -coef], axis=1)
+        both[np.isnan(both) | np.isnan(off)[:, None] | ~self.free.ravel()[place]] = 0.0
+        return both, place, np.where(both.any(axis=1), off, 0.0)
+
+    def params(self, coef: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The coordinates that observations say something about, and how many each network has."""
+        params = np.unique(place[coef != 0])
+        return params, np.bincount(self.group[params // 3], minlength=self.groups)
+
+    def turn(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(networks, coordinates, corrections, cofactors, free directions) by the observations ``rows``, networks of one size together."""
+        coef, place, off = self.linear(rows)
+        params, size = self.params(coef, place)
+        start = np.cumsum(size) - size
+        own = np.searchsorted(params, place) - start[self.of[rows]][:, None]
+        own[coef == 0] = 0
+        for n in np.unique(size[size > 0]).tolist():
+            nets = np.flatnonzero(size == n)
+            number = np.zeros(self.groups, dtype=np.int64)
+            number[nets] = np.arange(len(nets))
+            normal, absolute = np.zeros(len(nets) * n * n), np.zeros(len(nets) * n)
+            here = np.flatnonzero(size[self.of[rows]] == n)
+            for part in np.split(here, range(CHUNK, len(here), CHUNK)):
+                c, w = coef[part], self.weight[rows[part]][:, None]
+                at = number[self.of[rows[part]]][:, None] * n + own[part]
+                absolute += np.bincount(at.ravel(), (w * c * off[part][:, None]).ravel(), minlength=len(absolute))
+                normal += np.bincount((at[:, :, None] * n + own[part][:, None, :]).ravel(), ((w * c)[:, :, None] * c[:, None, :]).ravel(), minlength=len(normal))
+            normal, absolute = normal.reshape(-1, n, n), absolute.reshape(-1, n, 1)
+            # Networks without enough held points have no inverse; the least solution of all stands in.
+            low = ~(np.linalg.cond(normal) < 1e14)
+            loose = np.zeros(len(nets), dtype=np.int32)
+            loose[low] = n - np.linalg.matrix_rank(normal[low], hermitian=True)
+            q = np.zeros_like(normal)
+            q[~low], q[low] = np.linalg.inv(normal[~low]), np.linalg.pinv(normal[low], hermitian=True)
+            yield nets, params[start[nets][:, None] + np.arange(n)], (q @ absolute)[:, :, 0], q, loose
+
+
+def _adjusted(table: pa.Table, most: int, close: float) -> Iterator[dict[str, pa.Array]]:
+    """Columns of the points, cofactors and rejects of whole networks."""
+    own = _Networks(table)
+    net, ids = table["net"].take(pa.array(own.points)), table["a"].take(pa.array(own.points))
+    coef, place, _ = own.linear(np.arange(len(own.rows)))
+    rows = np.bincount(own.of[coef.any(axis=1)], minlength=own.groups)
+    open_ = rows >= np.maximum(own.params(coef, place)[1], 1)
+    begins = np.flatnonzero(np.diff(own.group, prepend=-1))
+    rejected = begins[~open_[own.group[begins]]]
+    yield {"what": pa.array(np.full(len(rejected), 2, dtype=np.int32)), "net": net.take(pa.array(rejected))}
+    kept = np.flatnonzero(open_[own.group])
+    turns, done, loose = np.zeros(own.groups, dtype=np.int32), np.zeros(own.groups, dtype=bool), np.zeros(own.groups, dtype=np.int32)
+    for turn in range(1, most + 1):
+        if not open_.any():
+            break
+        turns[open_], done[open_], loose[open_] = turn, True, 0
+        for nets, params, dx, q, free in own.turn(np.flatnonzero(open_[own.of])):
+            own.at[params // 3, params % 3] += dx
+            done[nets], loose[nets] = np.abs(dx).max(axis=1) <= close, free
+            ready = done[nets] | (turn == most)
+            n = q.shape[1]
+            names = pc.binary_join_element_wise(pa.array(AXES).take(pa.array((params % 3).ravel())), ids.take(pa.array((params // 3).ravel())), "")
+            g, i, j = (x.ravel()[np.repeat(ready, n * n)] for x in np.indices(q.shape))
+            yield {"what": pa.array(np.ones(len(g), dtype=np.int32)), "net": net.take(pa.array(params[g, 0] // 3)), "i": names.take(pa.array(g * n + i)), "j": names.take(pa.array(g * n + j)), "value": pa.array(q[ready].ravel())}
+        open_ = open_ & ~done
+    at, g = own.at[kept], own.group[kept]
+    given = {c: pc.is_null(table[c]).to_numpy()[own.points[kept]] for c in AXES}
+    yield {"what": pa.array(np.zeros(len(kept), dtype=np.int32)), "net": net.take(pa.array(kept)), "i": ids.take(pa.array(kept)), **{c: pa.array(at[:, k], mask=given[c]) for k, c in enumerate(AXES)}, "turns": pa.array(turns[g]), "converged": pa.array(done[g]), "free": pa.array(loose[g])}
+
+
+def _batches(columns: dict[str, pa.Array | pa.ChunkedArray], schema: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Columns by name, missing ones null, as batches."""
+    size = len(columns["net"])
+    yield from pa.table([columns[c] if c in columns else pa.nulls(size, t) for c, t in schema.items()], names=list(schema)).to_batches(1 << 16)
 
 
-def solved(rows: DataFrame) -> DataFrame:
-    """(net, i, j, dx, q, free): corrections (where i = j) and cofactors of each network's Jacobian rows; i, j are struct(id, axis).
+def adjust_networks(points: DataFrame, obs: DataFrame, free: DataFrame, most: int = 12, close: float = 0.0005) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gauss-Newton over all networks at once: points(net, id, x, y, z, turns, converged, free), covariance cofactors, and rejects(net, reason).
 
-    free counts the directions of the network that no observation holds (its
+    Points, observations and free coordinates are brought together by network
+    once; a task takes its networks in Arrow batches, solves those of one size
+    together and goes on with a network until no coordinate moves more than ``close``.
+    One that has fewer rows than coordinates is rejected.  ``free`` above 0 marks
+    a network that its observations don't hold in that many directions (its
     normal matrix then has no inverse, and the least solution of all is taken).
-    A network's normal matrix is dense and stands in one task: that bounds the
-    number of coordinates of a network, never the number of networks.
+    A network's normal matrix is dense and stands in one task with its
+    observations: that bounds the size of a network, never the number of networks.
     """
-    kinds = dict(rows.dtypes)
-    # an axis is one letter, so that it comes off again whatever the id holds
-    param = rows.select("net", "row", F.concat("axis", F.col("id").cast("string")).alias("param"), "coef", "misclosure", "weight")
-    equations = normal_equations(param).select("net", "i", "j", "value").repartition("net").sortWithinPartitions("net")
-    out = equations.mapInArrow(_solve_all, f"net {kinds['net']}, i string, j string, dx double, q double, free int")
-    named = lambda c: F.struct(F.substring(c, 2, 2**31 - 1).cast(kinds["id"]).alias("id"), F.substring(c, 1, 1).alias("axis")).alias(c)
-    return out.select("net", named("i"), named("j"), "dx", "q", "free")
-
+    kinds = dict(points.dtypes)
 
-def adjust_networks(points: DataFrame, obs: DataFrame, free: DataFrame, most: int = 12, close: float = 0.0005) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Gauss-Newton over all networks at once: points(net, id, x, y, z, turns, converged, free), covariance cofactors, and rejects(net, reason).
+    def adjust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches):
+            schema = {"what": pa.int32(), "net": table.schema.field("net").type, "i": pa.string(), "j": pa.string(), **dict.fromkeys((*AXES, "value"), pa.float64()), "turns": pa.int32(), "converged": pa.bool_(), "free": pa.int32()}
+            for columns in _adjusted(table, most, close):
+                yield from _batches(columns, schema)
 
-    Rows are assembled by joins, every network is solved in a group of its own,
-    and each turn's coordinates are written.  A network leaves once no
-    coordinate moves more than ``close``; one that has fewer rows than
-    coordinates is rejected.  ``free`` above 0 marks a network that its
-    observations don't hold in that many directions.
-    """
-    first = jacobian_rows(points, obs, free)
-    sizes = first.groupBy("net").agg(F.countDistinct("row").alias("rows"), F.countDistinct("id", "axis").alias("params"))
-    rejects = written(points.select("net").distinct().join(sizes, "net", "left").where("coalesce(rows, 0) < coalesce(params, 1)").select("net", F.lit("underdetermined").alias("reason")), "rejects")
-    now = points.join(rejects, "net", "left_anti").select("net", "id", *AXES, F.lit(0).alias("turns"), F.lit(False).alias("converged"), F.lit(0).alias("free"))
-    now, done, cofactors = written(now, "points"), [], []
-    for turn in range(1, most + 1):
-        got = written(solved(jacobian_rows(now, obs, free)), "solved")
-        moves = got.where("i = j").groupBy("net", "i.id").agg(*[F.max(F.when(F.col("i.axis") == a, F.col("dx"))).alias(f"m{a}") for a in AXES])
-        still = got.where("i = j").groupBy("net").agg((F.max(F.abs("dx")) <= close).alias("closed"), F.max("free").alias("free"))
-        next_ = now.select("net", "id", *AXES).join(moves, ["net", "id"], "left").join(still, "net", "left")
-        now = written(next_.select("net", "id", *[(F.col(a) + F.coalesce(f"m{a}", F.lit(0.0))).alias(a) for a in AXES], F.lit(turn).alias("turns"), F.coalesce("closed", F.lit(True)).alias("converged"), F.coalesce("free", F.lit(0)).alias("free")), "points")
-        ready = now.where("converged" if turn < most else "true")
-        done.append(ready)
-        cofactors.append(got.join(ready.select("net").distinct(), "net", "left_semi").select("net", "i", "j", F.col("q").alias("value")))
-        now = now.where("not converged")
-        if now.isEmpty():
-            break
-    union = lambda tables: reduce(DataFrame.unionByName, tables)
-    return union(done), union(cofactors), rejects
+    numbers = ", ".join(f"{c} double" for c in (*AXES, "value"))
+    out = written(_by_net(points, obs, free).mapInArrow(adjust, f"what int, net {kinds['net']}, i string, j string, {numbers}, turns int, converged boolean, free int"), "adjusted")
+    # an axis is one letter, so that it comes off again whatever the id holds
+    named = lambda c: F.struct(F.substring(c, 2, 2**31 - 1).cast(kinds["id"]).alias("id"), F.substring(c, 1, 1).alias("axis")).alias(c)
+    adjusted = out.where("what = 0").select("net", F.col("i").cast(kinds["id"]).alias("id"), *AXES, "turns", "converged", "free")
+    return adjusted, out.where("what = 1").select("net", named("i"), named("j"), "value"), out.where("what = 2").select("net", F.lit("underdetermined").alias("reason"))
+
+
+def _residuals(table: pa.Table) -> dict[str, pa.Array]:
+    """Columns of the observations of whole networks that say something about a free coordinate; ``first`` marks one of each network."""
+    own = _Networks(table)
+    coef, place, off = own.linear(np.arange(len(own.rows)))
+    used = np.flatnonzero(coef.any(axis=1))
+    params = own.params(coef, place)[1]
+    of, weight, off = own.of[used], own.weight[used], off[used]
+    keys, values = own.cofactors
+    order = np.argsort(keys)
+    keys, values, aqa = keys[order], values[order], np.zeros(len(used))
+    for part in np.split(np.arange(len(used)), range(CHUNK, len(used), CHUNK)) if len(keys) else ():
+        c, p = coef[used[part]], place[used[part]]
+        pair = p[:, :, None] * 3 * len(own.points) + p[:, None, :]
+        near = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        aqa[part] = (c[:, :, None] * c[:, None, :] * np.where(keys[near] == pair, values[near], 0.0)).sum(axis=(1, 2))
+    first = np.diff(of, prepend=-1) > 0
+    rows, wvv = np.bincount(of, minlength=own.groups), np.bincount(of, weight * off * off, minlength=own.groups)
+    given = {c: table[c].take(pa.array(own.rows[used])) for c in ("net", "obs", "part")}
+    return given | {c: pa.array(v) for c, v in {"first": first, "misclosure": off, "weight": weight, "aqa": aqa, "rows": rows[of], "params": params[of], "wvv": wvv[of]}.items()}
 
 
 def adjust_levels(points: DataFrame, obs: DataFrame, free: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -212,19 +331,19 @@ def residuals_blunders(points: DataFrame, obs: DataFrame, free: DataFrame, cofac
     A residual is computed minus observed; it is divided by the root of 1/w - a
     Q a', or with ``compat`` of 1/w - a Q a' without the variance taken out of Q.
     """
-    rows = jacobian_rows(points, obs, free)
-    params = rows.groupBy("net").agg(F.countDistinct("id", "axis").alias("params"))
-    single = rows.groupBy("net", "row").agg(F.first("misclosure").alias("misclosure"), F.first("weight").alias("weight"))
-    nets = single.groupBy("net").agg(F.count("*").alias("rows"), F.sum(F.col("weight") * F.col("misclosure") * F.col("misclosure")).alias("wvv")).join(params, "net")
-    nets = nets.select("net", (F.col("rows") - F.col("params")).alias("redundancy"), F.when(F.col("rows") > F.col("params"), F.col("wvv") / (F.col("rows") - F.col("params"))).otherwise(0.0).alias("sigma0_sq"))
-    one = rows.select("net", "row", F.struct("id", "axis").alias("i"), F.col("coef").alias("ci"))
-    pairs = one.join(one.select("net", "row", F.col("i").alias("j"), F.col("ci").alias("cj")), ["net", "row"]).join(cofactors, ["net", "i", "j"])
-    spread = pairs.groupBy("net", "row").agg(F.sum(F.col("ci") * F.col("cj") * F.col("value")).alias("aqa"))
-    out = single.join(spread, ["net", "row"], "left").join(nets, "net")
+    kinds = dict(obs.dtypes)
+
+    def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches):
+            yield from _batches(_residuals(table), {c: None for c in ("net", "obs", "part", "first", "misclosure", "weight", "aqa", "rows", "params", "wvv")})
+
+    found = _by_net(points, obs, free, cofactors).mapInArrow(residuals, f"net {kinds['net']}, obs {kinds['obs']}, part int, first boolean, misclosure double, weight double, aqa double, rows long, params long, wvv double")
+    spare = F.col("rows") - F.col("params")
+    found = found.withColumns({"redundancy": spare, "sigma0_sq": F.when(spare > 0, F.col("wvv") / spare).otherwise(0.0)})
     scale = F.greatest("sigma0_sq", F.lit(1e-30)) if compat else F.lit(1.0)
-    room = F.greatest(1 / F.col("weight") - F.coalesce("aqa", F.lit(0.0)) / scale, F.lit(1e-30))
-    out = out.withColumn("v", -F.col("misclosure")).withColumn("standardized", F.col("v") / F.sqrt(room))
-    return out.select("net", "row.obs", "row.part", "v", "standardized", (F.abs("standardized") > threshold).alias("blunder")), nets
+    room = F.greatest(1 / F.col("weight") - F.col("aqa") / scale, F.lit(1e-30))
+    out = found.withColumn("v", -F.col("misclosure")).withColumn("standardized", F.col("v") / F.sqrt(room))
+    return out.select("net", "obs", "part", "v", "standardized", (F.abs("standardized") > threshold).alias("blunder")), found.where("first").select("net", "redundancy", "sigma0_sq")
 
 
 def _gamma_part(a: float, x: float) -> float:

@@ -65,6 +65,59 @@ def test_all_kinds_of_observation_are_adjusted(spark):
     assert nets.first().redundancy == 4 and nets.first().sigma0_sq < 1e-6
 
 
+def test_networks_are_brought_together_once_whatever_their_size(spark):
+    """Cofactors, corrections and residuals of random networks against dense matrices of jacobian_rows(), with networks that go on over Arrow batches."""
+    rng = np.random.default_rng(3)
+    kinds = ("azimuth", "horizontal_distance", "slope_distance", "height_difference", "gnss", "horizontal_angle", "note")
+    points, obs = [], []
+    for net, n in ((1, 3), (2, 9), (3, 3), (4, 1), (5, 4), (None, 2)):
+        points += [(net, f"p {i}", i, *rng.uniform(0, 100, 3).tolist(), i < 2) for i in range(n)]
+        for k in range(12 * n):
+            a, b = rng.integers(0, n + 1, 2).tolist()  # point n isn't there, and ends may coincide
+            value = None if k % 17 == 5 else float(rng.uniform(0, 50))
+            obs.append((net, k, kinds[k % 7], f"p {a}", f"p {b}", value, rng.uniform(-50, 50, 3).tolist(), (None, 0.01, 0.02)[k % 3], k % 11 == 3))
+    points.append((5, "p null", 9, None, 1.0, 2.0, False))
+    obs += [(5, 100 + i, kind, "p 0", "p null", 3.0, [1.0, 2.0, 3.0], 0.01, False) for i, kind in enumerate(kinds)] + [(9, 1, "azimuth", "p 0", "p 1", 1.0, None, None, False)]
+    points = spark.createDataFrame(points, "net int, id string, ord int, x double, y double, z double, fixed boolean")
+    obs = spark.createDataFrame(obs, "net int, obs int, kind string, from_pt string, to_pt string, value double, vector array<double>, sigma double, rejected boolean").repartition(3)
+    free = network.free_params(points)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got, cofactors, rejects = network.adjust_networks(points, obs, free, most=1)
+        residuals, nets = network.residuals_blunders(points, obs, free, cofactors)
+        assert residuals._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(net") <= 4  # the tables, and cofactors; no join of rows with rows
+        got, found = {(r.net, r.id): r for r in got.collect()}, {(r.net, r.obs, r.part): r for r in residuals.collect()}
+        nets, q = {r.net: r for r in nets.collect()}, {(r.net, r.i.id + r.i.axis, r.j.id + r.j.axis): r.value for r in cofactors.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    first = {(r.net, r.id): r for r in points.collect()}
+    rows = {}
+    for r in network.jacobian_rows(points, obs, free).collect():
+        rows.setdefault(r.net, []).append(r)
+    assert {r.net for r in rejects.collect()} == {4, None} and set(rows) == {1, 2, 3, 5} == set(nets)
+    seen = 0
+    for net, own in rows.items():
+        keys, params = sorted({tuple(r.row) for r in own}), sorted({r.id + r.axis for r in own})
+        a, off, w = np.zeros((len(keys), len(params))), np.zeros(len(keys)), np.zeros(len(keys))
+        for r in own:
+            k = keys.index(tuple(r.row))
+            a[k, params.index(r.id + r.axis)] += r.coef
+            off[k], w[k] = r.misclosure, r.weight
+        inverse = np.linalg.pinv(a.T @ (w[:, None] * a))
+        dx = inverse @ (a.T @ (w * off))
+        assert np.allclose([[q[net, i, j] for j in params] for i in params], inverse, rtol=1e-6, atol=1e-12)
+        for i, d in zip(params, dx, strict=True):
+            assert math.isclose(got[net, i[:-1]][i[-1]] - first[net, i[:-1]][i[-1]], d, rel_tol=1e-6, abs_tol=1e-9)
+        for k, key in enumerate(keys):
+            room = max(1 / w[k] - a[k] @ inverse @ a[k], 1e-30)
+            r = found[net, *key]
+            seen += 1
+            assert math.isclose(r.v, -off[k], abs_tol=1e-9) and (room < 1e-9 or math.isclose(r.standardized, -off[k] / math.sqrt(room), rel_tol=1e-5))
+        assert nets[net].redundancy == len(keys) - len(params) and math.isclose(nets[net].sigma0_sq, (w * off * off).sum() / (len(keys) - len(params)), rel_tol=1e-9)
+    assert seen == len(found) and got[5, "p null"].x is None and set(got) == {k for k in first if k[0] in rows}
+
+
 def test_chi_square_quantiles():
     for p, r, value in ((0.025, 1, 0.000982069), (0.975, 10, 20.48318), (0.975, 1, 5.02389), (0.025, 30, 16.79077)):
         assert math.isclose(network.chi_square_quantile(p, r), value, rel_tol=1e-5)
