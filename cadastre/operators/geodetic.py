@@ -2,46 +2,64 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastre.functions.geodesics import geodesic_forward, geodesic_inverse
-from cadastre.functions.rings import let
-from cadastre.sources.tables import written
+from cadastre.functions.geodesics import forward_arrays, geodesic_inverse
 
-#: Legs that are walked in one row.
-BLOCK = 256
+#: Legs that a task takes at once.
+BLOCK = 1 << 16
+
+
+def _walk(legs: pa.Table, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lon, lat, run) at the ends of legs that stand by traverse, all traverses a leg at a time, and where the last one is.
+
+    ``at`` is where the traverse is whose legs came before, if its legs go on here.
+    """
+    begins = legs["number"].to_numpy() == 1
+    group = np.cumsum(begins)
+    here = np.vstack([at, np.stack([legs["lon"].to_numpy()[begins], legs["lat"].to_numpy()[begins], np.zeros(begins.sum())], axis=1)])
+    bearing, d, out = legs["bearing"].to_numpy(), legs["d"].to_numpy(), np.empty((len(group), 3))
+    place = np.arange(len(group)) - np.searchsorted(group, group)
+    order = np.argsort(place, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+        lon, lat, run = here[group[rows]].T
+        out[rows] = here[group[rows]] = np.stack([*forward_arrays(lon, lat, bearing[rows], d[rows]), run + d[rows]], axis=1)
+    return out, here[-1]
 
 
 def geodesic_traverse(legs: DataFrame, starts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(t, seq, lon, lat, run): the ends of legs(t, seq, bearing, d) walked from starts(t, lon, lat), degrees and metres; run is the length so far.
 
-    Each end is the next leg's beginning, so a traverse is a fold.  It is cut
-    into blocks of legs; a turn walks one block of every traverse from where
-    the one before ended.  Traverses without a start are left out.
+    Each end is the next leg's beginning.  A task takes its traverses' legs in
+    order, ``block`` at once, and walks those of all traverses side by side; one
+    that isn't over goes on with the next legs, so a long traverse is never held whole.
+    Traverses without a start are left out; after a leg without bearing or length places are null.
     """
-    by = Window.partitionBy("t").orderBy("seq")
-    rows = legs.select("t", "seq", "bearing", "d", F.floor((F.row_number().over(by) - 1) / block).alias("block"))
-    blocks = written(rows.groupBy("t", "block").agg(F.array_sort(F.collect_list(F.struct("seq", "bearing", "d"))).alias("legs")), "blocks")
-    last = blocks.agg(F.max("block")).first()[0]
-    at, out = starts.select("t", "lon", "lat", F.lit(0.0).alias("run")), []
-
-    def step(points: Column, leg: Column) -> Column:
-        def on(here: Column) -> Column:
-            return let(geodesic_forward(here["lon"], here["lat"], leg["bearing"], leg["d"]), lambda end: F.concat(points, F.array(F.struct(leg["seq"].alias("seq"), end["lon"].alias("lon"), end["lat"].alias("lat"), (here["run"] + leg["d"]).alias("run")))))
-
-        return let(F.element_at(points, -1), on)
-
-    for number in range((last if last is not None else -1) + 1):
-        begin = F.array(F.struct(F.lit(None).cast(dict(legs.dtypes)["seq"]).alias("seq"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), "run"))
-        walked = blocks.where(F.col("block") == number).join(at, "t").select("t", F.aggregate("legs", begin, step).alias("points"))
-        walked = written(walked, "walked")
-        out.append(walked.select("t", F.explode(F.slice("points", F.lit(2), F.size("points") - 1)).alias("p")).select("t", "p.*"))
-        at = walked.select("t", F.element_at("points", -1).alias("p")).select("t", "p.lon", "p.lat", "p.run")
-    none = starts.limit(0).select("t", F.lit(None).cast(dict(legs.dtypes)["seq"]).alias("seq"), "lon", "lat", F.lit(0.0).alias("run"))
-    return reduce(DataFrame.unionByName, out) if out else none
+    seq = dict(legs.dtypes)["seq"]
+    met = legs.select("t", "seq", F.col("bearing").cast("double").alias("bearing"), F.col("d").cast("double").alias("d")).join(starts.select("t", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")), "t")
+    rows = met.withColumn("number", F.row_number().over(Window.partitionBy("t").orderBy("seq", "bearing", "d")))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = np.full(3, np.nan), []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+            while size := sum(b.num_rows for b in held):
+                if batch is not None and size < block:
+                    break
+                table = pa.Table.from_batches(held)
+                ends, at = _walk(table.slice(0, block), at)
+                held = table.slice(block).to_batches()
+                ends = [pa.array(c, mask=np.isnan(c)) for c in ends.T]
+                yield from pa.table([*table.slice(0, block).select(["t", "seq"]).columns, *ends], names=["t", "seq", "lon", "lat", "run"]).to_batches()
+
+    return rows.mapInArrow(walk, f"t {dict(met.dtypes)['t']}, seq {seq}, lon double, lat double, run double")
 
 
 def geodesic_closure(points: DataFrame, starts: DataFrame) -> DataFrame:

@@ -140,6 +140,28 @@ def test_geodesic_traverse(spark, block):
     assert geodetic.geodesic_traverse(legs.limit(0), starts).count() == 0
 
 
+def test_traverses_are_walked_side_by_side(spark):
+    """As many lines by expressions, legs over several Arrow batches, and no job before the result is asked for."""
+    rng = random.Random(4)
+    legs = [(t, i, rng.uniform(0, 360), rng.choice([0.0, 0.5, 3e3, 2e6])) for t in range(40) for i in range(t % 9)] + [(99, i, float(i), 10.0 if i != 3 else None) for i in range(6)]
+    starts = {t: (rng.uniform(-180, 180), rng.uniform(-80, 80)) for t in (*range(40), 99)}
+    frame = spark.createDataFrame(legs, "t int, seq int, bearing double, d double").repartition(3)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("walk", "walk")
+    points = geodetic.geodesic_traverse(frame, spark.createDataFrame([(t, *p) for t, p in starts.items()], "t int, lon double, lat double"), 7)
+    assert not tracker.getJobIdsForGroup("walk")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got, at, run = {(r.t, r.seq): r for r in points.collect()}, dict(starts), dict.fromkeys(starts, 0.0)
+    assert len(got) == len(legs)
+    for k in range(9):
+        now = [(t, *at[t], b, d) for t, i, b, d in legs if i == k and t != 99]
+        ends = spark.createDataFrame(now, "t int, lon double, lat double, b double, d double").select("t", "d", geodesics.geodesic_forward(F.col("lon"), F.col("lat"), F.col("b"), F.col("d")).alias("g")).collect() if now else []
+        for t, d, end in ends:
+            at[t], run[t] = (end.lon, end.lat), run[t] + d
+            assert abs(got[t, k].lon - end.lon) < 1e-10 and abs(got[t, k].lat - end.lat) < 1e-10 and got[t, k].run == run[t]
+    assert got[99, 2].lon is not None and [got[99, i].lon for i in (3, 4, 5)] == [None] * 3 == [got[99, i].run for i in (3, 4, 5)]
+
+
 def test_sun_windows_are_dealt_before_they_are_sampled(spark):
     from cadastre.operators import places
 
