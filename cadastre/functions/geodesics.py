@@ -147,3 +147,34 @@ def forward_arrays(lon: np.ndarray, lat: np.ndarray, bearing: np.ndarray, distan
     lam, c = np.arctan2(sin * sa, cu * cos - su * sin * ca), FLATTENING / 16 * cos2 * (4 + FLATTENING * (4 - 3 * cos2))
     along = lam - (1 - c) * FLATTENING * slant * (arc + c * sin * (mid + c * cos * (-1 + 2 * mid * mid)))
     return np.mod(lon + np.degrees(along) + 180, 360.0) - 180, np.degrees(np.arctan2(su * cos + cu * sin * ca, (1 - FLATTENING) * np.sqrt(slant * slant + down * down)))
+
+
+def inverse_arrays(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, bearing) of many lines, as by geodesic_inverse(); NaN where that has null."""
+    u, v = (np.arctan((1 - FLATTENING) * np.tan(np.radians(x))) for x in (lat1, lat2))
+    along = np.mod(np.radians(lon2 - lon1) + np.pi, 2 * np.pi) - np.pi
+    su, cu, sv, cv = np.sin(u), np.cos(u), np.sin(v), np.cos(v)
+
+    def middle(lam: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        across, up = cv[at] * np.sin(lam), cu[at] * sv[at] - su[at] * cv[at] * np.cos(lam)
+        sin, cos = np.sqrt(across * across + up * up), su[at] * sv[at] + cu[at] * cv[at] * np.cos(lam)
+        slant = np.divide(cu[at] * cv[at] * np.sin(lam), sin, out=np.zeros_like(sin), where=sin != 0)
+        cos2 = 1 - slant * slant
+        mid = np.where(cos2 > 1e-15, cos - np.divide(2 * su[at] * sv[at], cos2, out=np.zeros_like(sin), where=cos2 != 0), 0.0)
+        return sin, cos, np.arctan2(sin, cos), slant, cos2, mid, across, up
+
+    lam, open_ = along.copy(), np.flatnonzero(~np.isnan(along + u + v))
+    for _ in range(TURNS):
+        if not len(open_):
+            break
+        now = lam[open_]
+        sin, cos, arc, slant, cos2, mid, _, _ = middle(now, open_)
+        c = FLATTENING / 16 * cos2 * (4 + FLATTENING * (4 - 3 * cos2))
+        lam[open_] = along[open_] + (1 - c) * FLATTENING * slant * (arc + c * sin * (mid + c * cos * (-1 + 2 * mid * mid)))
+        open_ = open_[~(np.abs(lam[open_] - now) <= CLOSE)]
+    lam[open_] = np.nan
+    lam[np.abs(lam) > np.pi] = np.nan
+    sin, cos, arc, slant, cos2, mid, across, up = middle(lam, np.arange(len(lam)))
+    a, b = _scale(cos2)
+    same = sin < 1e-15
+    return np.where(same, 0.0, MINOR * a * (arc - _bend(b, sin, cos, mid))), np.where(same, 0.0, np.mod(np.degrees(np.arctan2(across, up)), 360.0))

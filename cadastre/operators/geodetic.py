@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastre.functions.geodesics import forward_arrays, geodesic_inverse
+from cadastre.functions.geodesics import forward_arrays, inverse_arrays
 
 #: Legs that a task takes at once.
 BLOCK = 1 << 16
@@ -65,8 +65,15 @@ def geodesic_traverse(legs: DataFrame, starts: DataFrame, block: int = BLOCK) ->
 def geodesic_closure(points: DataFrame, starts: DataFrame) -> DataFrame:
     """(t, n, perimeter, closure, bearing, ratio): how far each traverse of geodesic_traverse() ends from its start, the bearing back to it, and perimeter over closure (null under a nanometre)."""
     last = points.groupBy("t").agg(F.count("*").alias("n"), F.max(F.struct("seq", "lon", "lat", "run")).alias("p"))
-    both = last.join(starts.select("t", F.col("lon").alias("x"), F.col("lat").alias("y")), "t").withColumn("g", geodesic_inverse(F.col("p.lon"), F.col("p.lat"), F.col("x"), F.col("y")))
-    return both.select("t", "n", F.col("p.run").alias("perimeter"), F.col("g.distance").alias("closure"), F.col("g.bearing").alias("bearing"), F.when(F.col("g.distance") >= 1e-9, F.col("p.run") / F.col("g.distance")).alias("ratio"))
+    both = last.join(starts.select("t", F.col("lon").cast("double").alias("x"), F.col("lat").cast("double").alias("y")), "t").select("t", "n", F.col("p.run").alias("perimeter"), "p.lon", "p.lat", "x", "y")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = inverse_arrays(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat", "x", "y")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("t", "n", "perimeter")), *(pa.array(c, mask=np.isnan(c)) for c in found)], names=["t", "n", "perimeter", "closure", "bearing"])
+
+    found = both.mapInArrow(close, f"t {dict(both.dtypes)['t']}, n long, perimeter double, closure double, bearing double")
+    return found.withColumn("ratio", F.when(F.col("closure") >= 1e-9, F.col("perimeter") / F.col("closure")))
 
 
 def adjust_geodesic(points: DataFrame, starts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,17 @@ def test_traverses_are_walked_side_by_side(spark):
     assert got[99, 2].lon is not None and [got[99, i].lon for i in (3, 4, 5)] == [None] * 3 == [got[99, i].run for i in (3, 4, 5)]
 
 
+def test_many_lines_at_once_are_those_of_expressions(spark):
+    rng = random.Random(6)
+    rows = [(rng.uniform(-180, 180), rng.uniform(-90, 90), rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(200)] + [(3.0, 40.0, 3.0, 40.0), (0.0, 0.0, 179.9, 0.1), (179.9, 1.0, -179.9, 1.0), (0.0, 0.0, 1.0, 0.0), (5.0, 10.0, 5.0000001, 10.0)]
+    want = spark.createDataFrame(rows, "a double, b double, c double, d double").select(geodesics.geodesic_inverse(*map(F.col, "abcd")).alias("g")).collect()
+    for r, distance, bearing in zip(want, *geodesics.inverse_arrays(*np.array(rows).T), strict=True):
+        if r.g is None or r.g.distance is None:
+            assert math.isnan(distance) and math.isnan(bearing)
+        else:
+            assert abs(r.g.distance - distance) < 1e-6 and abs((r.g.bearing - bearing + 180) % 360 - 180) < 1e-6
+
+
 def test_sun_windows_are_dealt_before_they_are_sampled(spark):
     from cadastre.operators import places
 
