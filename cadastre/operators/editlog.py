@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastre.operators.graphs import places
+from cadastre.sources.tables import written
 
 
 def lww_merge(ops: DataFrame) -> DataFrame:
@@ -82,6 +83,7 @@ def ring_order(vertices: DataFrame) -> DataFrame:
     list of entries and exits whose places are found by doubling, in log turns:
     a polygon of many operations is many rows in every step.
     """
+    vertices = written(vertices, "vertices")  # read thrice, and aggregated in tasks of its own
     made = vertices.where("stamp is not null")
     anchors = made.select("doc", F.col("vertex").alias("after"), F.col("stamp").alias("older"))
     hung = made.join(anchors, ["doc", "after"], "left").select("doc", "vertex", "stamp", F.when(F.col("older") < F.col("stamp"), F.col("after")).alias("parent"))
@@ -90,9 +92,11 @@ def ring_order(vertices: DataFrame) -> DataFrame:
     last = hung.where("parent is not null").groupBy("doc", F.col("parent").alias("vertex")).agg(F.max_by("vertex", F.struct("stamp", "vertex")).alias("last"))
     walk = hung.join(last, ["doc", "vertex"], "left")
     step = lambda v, out: F.struct("doc", F.col(v).alias("vertex"), F.lit(out).alias("out"))
-    enters = walk.select(step("vertex", False).alias("id"), F.when(F.col("before").isNotNull(), step("before", True)).when(F.col("parent").isNotNull(), step("parent", False)).alias("prev"))
-    exits = walk.select(step("vertex", True).alias("id"), F.when(F.col("last").isNotNull(), step("last", True)).otherwise(step("vertex", False)).alias("prev"))
-    ranked = places(enters.unionByName(exits)).where("not id.out").select("id.doc", "id.vertex", F.col("place").alias("at"))
+    link = lambda out, prev: F.struct(step("vertex", out).alias("id"), prev.alias("prev"))
+    enter = link(False, F.when(F.col("before").isNotNull(), step("before", True)).when(F.col("parent").isNotNull(), step("parent", False)))
+    leave = link(True, F.when(F.col("last").isNotNull(), step("last", True)).otherwise(step("vertex", False)))
+    steps = walk.select(F.explode(F.array(enter, leave)).alias("s")).select("s.*")
+    ranked = places(steps, heads=False).where("not id.out").select("id.doc", "id.vertex", F.col("place").alias("at"))
     shown = ranked.join(vertices.where("not gone"), ["doc", "vertex"])
     return shown.select("doc", (F.row_number().over(Window.partitionBy("doc").orderBy("at")) - 1).alias("pos"), "vertex", "place.x", "place.y")
 

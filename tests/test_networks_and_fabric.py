@@ -150,6 +150,18 @@ def test_components_in_few_turns_whatever_the_order(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_places_of_wide_ids_are_found_by_numbers(spark, monkeypatch):
+    from cadastre.operators import graphs
+
+    kept, write = [], graphs.written
+    monkeypatch.setattr(graphs, "written", lambda df, label: (kept.append((label, dict(df.dtypes))), write(df, label))[1])
+    rows = [((1, f"a{i}"), (1, f"a{i - 1}") if i else None) for i in range(9)] + [((2, "x"), (2, "nowhere")), ((3, "r"), (3, "s")), ((3, "s"), (3, "r"))]
+    steps = spark.createDataFrame(rows, "id struct<d:int,v:string>, prev struct<d:int,v:string>")
+    assert {(tuple(r.id), tuple(r.head), r.place) for r in list_places(steps).collect()} == {((1, f"a{i}"), (1, "a0"), i) for i in range(9)}
+    assert {(tuple(r.id), r.place) for r in list_places(steps, heads=False).collect()} == {((1, f"a{i}"), i) for i in range(9)}
+    assert all(set(t.values()) == {"bigint"} for label, t in kept if label == "places")
+
+
 def test_places_on_lists(spark):
     n = 300
     ids = [(i * 7919) % 10_007 for i in range(n)]
