@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from cadastre.functions import geodesy
+from cadastre.functions import geodesy, rings
 from cadastre.operators import assessor, easements, fabric, network, places, spatial, surfaces, topology
 from cadastre.operators.graphs import components
 from cadastre.operators.graphs import places as list_places
@@ -233,6 +233,23 @@ def test_overlaps_of_any_simple_rings(spark):
     assert (0, 3) not in got and math.isclose(got[0, 1], 8.0)
 
 
+def test_points_in_boxes_and_other_rings(spark):
+    """Boxes of either direction and start, and rings that only look like boxes, hold the points that ray casting says; boxes' joins are compiled and not broadcast."""
+    turned = square(2.0, 1.0, 3.0)
+    shapes = [(0, square(0.0, 0.0, 4.0)), (1, turned[::-1]), (2, turned[1:] + turned[1:2]), (3, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (1.0, 4.0), (0.0, 0.0)]), (4, [(1.0, 1.0), (1.0, 5.0), (3.0, 5.0), (3.0, 1.0), (1.0, 1.0)])]
+    shapes += [(5, [(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0), (0.0, 0.0)]), (6, [(0.0, 0.0), (2.0, 0.0), (5.0, 0.0), (5.0, 5.0), (0.0, 5.0), (0.0, 0.0)]), (7, [(1.0, 2.0), (1.0, 2.0), (1.0, 3.0), (1.0, 3.0), (1.0, 2.0)])]
+    points = spark.createDataFrame([(i * 13 + j, i / 2, j / 2) for i in range(13) for j in range(13)] + [(999, None, 1.0)], "id int, x double, y double")
+    parcels = spark.createDataFrame(shapes, RING)
+    assert {r.id for r in parcels.where(rings.is_box(F.col("ring"))).collect()} == {0, 1, 2, 4, 7}
+    want = {(r.point, r.parcel) for r in points.withColumnRenamed("id", "point").crossJoin(parcels.withColumnRenamed("id", "parcel")).where(rings.contains(F.col("ring"), F.col("x"), F.col("y"))).collect()}
+    found = spatial.points_in_parcels(points, parcels, 2.0)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) > 0 and set(got) == want
+    of_boxes = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line)
+    assert "filter(" not in of_boxes
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_delaunay_circles_are_empty():
     rng = np.random.default_rng(1)
     points = rng.random((60, 2)) * 50
