@@ -250,6 +250,20 @@ def test_points_in_boxes_and_other_rings(spark):
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_overlaps_of_boxes_and_other_rings(spark):
+    """Boxes among themselves, with other rings of smaller and larger ids, and touching ones; of boxes alone nothing gets to Python."""
+    triangle = [(0.0, 0.0), (8.0, 0.0), (0.0, 8.0), (0.0, 0.0)]
+    shapes = [("a", square(0.0, 0.0, 4.0)), ("b", triangle), ("c", square(2.0, 1.0, 5.0)[::-1]), ("d", square(4.0, 0.0, 1.5)), ("e", [(x - 1.0, y + 1.0) for x, y in triangle][::-1]), ("f", square(0.0, 0.0, 4.0))]
+    found = spatial.parcel_overlaps(spark.createDataFrame(shapes, "id string, ring array<struct<x:double,y:double>>"), 2.0, 1e-9)
+    got = sorted((r.a, r.b, round(r.area, 9)) for r in found.collect())
+    want = {"ab": 16.0, "ac": 6.0, "ae": 12.0, "af": 16.0, "bc": 12.5, "bd": 2.25, "be": 24.5, "bf": 16.0, "cd": 0.75, "ce": 12.5, "cf": 6.0, "de": 0.75, "ef": 12.0}
+    assert [(a, b) for a, b, _ in got] == sorted(map(tuple, want)), got
+    assert all(math.isclose(area, want[a + b]) for a, b, area in got), got
+    only = spatial.parcel_overlaps(spark.createDataFrame([(i, square(i * 0.5, 0.0)) for i in range(9)], RING), 2.0, 1e-9)
+    assert {(r.a, r.b): r.area for r in only.collect()} == {(i, i + 1): 0.5 for i in range(8)}
+    assert "EmptyRelation" in only._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def test_delaunay_circles_are_empty():
     rng = np.random.default_rng(1)
     points = rng.random((60, 2)) * 50
