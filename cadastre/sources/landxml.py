@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+from array import array
+from collections.abc import Iterator
 from typing import NamedTuple
+from xml.parsers import expat
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadastre.functions import rings
 
 _PARCEL = "_name string, _area string, Description string, CoordGeom array<struct<Line:array<struct<Start:string,End:string>>>>"
-_SURFACE = "_name string, Definition struct<Pnts:array<struct<P:array<struct<_VALUE:string,_id:string>>>>,Faces:array<struct<F:array<struct<_VALUE:string,_id:string>>>>>"
+_SURFACE = "_name string, Definition string"
+_SURFACE_ARRAYS = "_name string, Definition struct<Pnts:array<struct<P:array<struct<_VALUE:string,_id:string>>>>,Faces:array<struct<F:array<struct<_VALUE:string,_id:string>>>>>"
+_FACES = "file string, surface string, face int, ring array<struct<x:double,y:double,z:double>>"
+#: Elements outside of a surface's Definition, whose escapes don't matter to it.
+OUTSIDE = ("Parcel", "Surface", "Description", "Project", "Application", "Author", "CgPoint", "CoordinateSystem", "LandXML")
+#: Faces that are returned at once.
+CHUNK = 1 << 15
 
 
 class LandXML(NamedTuple):
@@ -41,6 +53,89 @@ def _place(text: Column) -> Column:
     return rings.let(_parts(text), of)
 
 
+def _escaped_surfaces(spark: SparkSession, path: str) -> DataFrame:
+    """(file) of the files with an escape, CDATA or an apostrophe in other elements than those of OUTSIDE; a row of the reading is a tag and the text after it."""
+    tags = spark.read.option("recursiveFileLookup", True).option("lineSep", "<").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    signs = F.col("value").contains("&") | F.col("value").contains("'") | F.col("value").startswith("![CDATA[")
+    return tags.where(signs).where(~F.col("value").rlike(rf"^(/?({'|'.join(OUTSIDE)})[\s>/]|\?|!--)")).select("file").distinct()
+
+
+def _number(text: str) -> float | None:
+    """A text as Spark's try_cast to double has it."""
+    try:
+        return float(text) if "_" not in text else None
+    except ValueError:
+        return float(text[:-1]) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[dDfF]", text, re.ASCII) else None
+
+
+def _definition(text: str) -> tuple[dict[str, int], array, list[tuple[int, str]]]:
+    """(rows, places, faces) of a Definition's text: the row of each point's id, x, y, z of the rows, and number and text of the faces."""
+    rows, places, faces, path, held = {}, array("d"), [], [], []
+    seen, own = 0, None
+
+    def begin(name: str, attributes: dict[str, str]) -> None:
+        nonlocal own
+        path.append(name)
+        held.clear()
+        if len(path) == 3:
+            own = attributes["id"].strip(" \t\r\n") if "id" in attributes else None
+
+    def end(name: str) -> None:
+        nonlocal seen
+        if len(path) == 3 and name == "P" and path[1] == "Pnts":
+            place = [_number(v) for v in "".join(held).split()[:3]] if own is not None else []
+            if len(place) == 3 and None not in place:
+                rows[own] = len(places) // 3
+                places.extend((place[1], place[0], place[2]))
+        elif len(path) == 3 and name == "F" and path[1] == "Faces":
+            faces.append((seen, "".join(held)))
+            seen += 1
+        path.pop()
+
+    parser = expat.ParserCreate()
+    parser.buffer_text, parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = True, begin, end, held.append
+    for part in ("<Definition>", text, "</Definition>"):
+        parser.Parse(part, part == "</Definition>")
+    return rows, places, faces
+
+
+def _faces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, surface, Definition) to (file, surface, face, ring)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            file, surface, text = (column[k].as_py() for column in batch.columns)
+            rows, places, faces = _definition(text)
+            at = np.asarray(places).reshape(-1, 3)
+            for low in range(0, len(faces), CHUNK):
+                found = [(n, [rows[id] for id in ids.split() if id in rows]) for n, ids in faces[low : low + CHUNK]]
+                found = [(n, ring + ring[:1]) for n, ring in found if len(ring) >= 3]
+                corners = at[np.array([i for _, ring in found for i in ring], dtype=np.int64)]
+                points = pa.StructArray.from_arrays([pa.array(corners[:, c]) for c in range(3)], names=["x", "y", "z"])
+                ends = np.cumsum([0] + [len(ring) for _, ring in found], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(file, pa.string()), len(found)), pa.repeat(pa.scalar(surface, pa.string()), len(found)), pa.array([n for n, _ in found], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), points)], names=["file", "surface", "face", "ring"])
+
+
+def _faces_of_arrays(elements: DataFrame) -> DataFrame:
+    """(file, surface, face, ring) of elements of _SURFACE_ARRAYS: points and faces meet as rows."""
+    flat = lambda outer, inner: F.flatten(F.transform(F.coalesce(F.col(f"Definition.{outer}"), F.array()), lambda g: F.coalesce(g[inner], F.array())))
+    surfaces = elements.select("file", F.col("_name").alias("surface"), flat("Pnts", "P").alias("points"), flat("Faces", "F").alias("faces"))
+    # Points and faces come from one reading; a window over a point's id brings both together.
+    surfaces = surfaces.withColumn("own", F.monotonically_increasing_id())  # tells apart surfaces of one name in a file
+    rows = surfaces.select("file", "surface", "own", F.size("points").alias("n"), F.posexplode(F.concat("points", "faces")).alias("at", "e"))
+    rows = rows.select("file", "surface", "own", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")).alias("at"), F.col("e._id").alias("id"), F.col("e._VALUE").alias("text"), (F.col("at") >= F.col("n")).alias("face"))
+    whole = lambda v: (F.size(v) >= 3) & v[0].isNotNull() & v[1].isNotNull() & v[2].isNotNull()
+    place = rings.let(_parts(F.col("text")), lambda v: F.when(whole(v), F.struct(v[1].alias("x"), v[0].alias("y"), v[2].alias("z"))))
+    none = F.lit(None).cast("struct<x:double,y:double,z:double>")
+    corner = lambda seq, id, p: F.struct(seq.cast("int").alias("seq"), id.alias("id"), p.alias("p"))
+    ids = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    corners = F.when(F.col("face"), F.transform(ids, lambda id, seq: corner(seq, id, none))).otherwise(F.filter(F.array(corner(F.lit(None), F.col("id"), place)), lambda c: c["id"].isNotNull() & c["p"].isNotNull()))
+    rows = rows.select("file", "surface", "own", "at", "face", F.explode(corners).alias("c")).select("file", "surface", "own", "at", "face", "c.*")
+    last = F.max(F.when(~F.col("face"), F.struct("at", "p"))).over(Window.partitionBy("own", "id"))
+    found = rows.withColumn("last", last).where("face and last is not null").groupBy("file", "surface", "own", F.col("at").alias("face"))
+    found = found.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("last.p").alias("p")))), lambda c: c["p"]).alias("ring"))
+    return found.where("size(ring) >= 3").select("file", "surface", "face", F.concat("ring", F.slice("ring", 1, 1)).alias("ring"))
+
+
 def read_landxml(spark: SparkSession, path: str, epsg: int | None = None) -> LandXML:
     """All LandXML files under a path; element names without a prefix.
 
@@ -50,8 +145,10 @@ def read_landxml(spark: SparkSession, path: str, epsg: int | None = None) -> Lan
     of files that don't name one.  A face is the ring of the points that it
     names and its surface has, in that order, left out below three; of points
     with one id the last counts, numbers count from 0 over the surface.
-    A parcel's or a surface's element is read in one row, once; points and
-    faces meet as rows.
+    A parcel's or a surface's element is read in one row.  Spark's reader copies
+    an array for each element that it adds, so a surface is read as text and its
+    points and faces meet in its task; only files with escapes in their surfaces, which
+    that text has lost, are read as arrays.
     """
     system = _elements(spark, path, "CoordinateSystem", "_epsgCode int").groupBy("file").agg(F.min("_epsgCode").alias("epsg"))
     lines = F.flatten(F.transform("CoordGeom", lambda g: F.coalesce(g["Line"], F.array())))
@@ -60,23 +157,11 @@ def read_landxml(spark: SparkSession, path: str, epsg: int | None = None) -> Lan
     read = read.withColumn("ring", rings.closed(F.filter(corners, lambda p: p.isNotNull()))).where("size(ring) >= 4")
     parcels = read.join(system, "file", "left").select("file", F.col("_name").alias("name"), F.col("Description").alias("description"), F.col("_area").try_cast("double").alias("area"), F.coalesce("epsg", F.lit(epsg).cast("int")).alias("epsg"), rings.oriented(F.col("ring")).alias("ring"))
 
-    flat = lambda outer, inner: F.flatten(F.transform(F.coalesce(F.col(f"Definition.{outer}"), F.array()), lambda g: F.coalesce(g[inner], F.array())))
-    surfaces = _elements(spark, path, "Surface", _SURFACE).select("file", F.col("_name").alias("surface"), flat("Pnts", "P").alias("points"), flat("Faces", "F").alias("faces"))
-    # Points and faces come from one reading; a window over a point's id brings both together.
-    surfaces = surfaces.withColumn("own", F.monotonically_increasing_id())  # tells apart surfaces of one name in a file
-    rows = surfaces.select("file", "surface", "own", F.size("points").alias("n"), F.posexplode(F.concat("points", "faces")).alias("at", "e"))
-    rows = rows.select("file", "surface", "own", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n")).alias("at"), F.col("e._id").alias("id"), F.col("e._VALUE").alias("text"), (F.col("at") >= F.col("n")).alias("face"))
-    whole = lambda v: (F.size(v) >= 3) & v[0].isNotNull() & v[1].isNotNull() & v[2].isNotNull()
-    place = rings.let(_parts(F.col("text")), lambda v: F.when(whole(v), F.struct(v[1].alias("x"), v[0].alias("y"), v[2].alias("z"))))
-    none = F.lit(None).cast("struct<x:double,y:double,z:double>")
-    corner = lambda seq, id, p: F.struct(seq.cast("int").alias("seq"), id.alias("id"), p.alias("p"))
-    ids = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    corners = F.when(F.col("face"), F.transform(ids, lambda id, seq: corner(seq, id, none))).otherwise(F.filter(F.array(corner(F.lit(None), F.col("id"), place)), lambda c: c["id"].isNotNull() & c["p"].isNotNull()))
-    rows = rows.select("file", "surface", "own", "at", "face", F.explode(corners).alias("c")).select("file", "surface", "own", "at", "face", "c.*")
-    last = F.max(F.when(~F.col("face"), F.struct("at", "p"))).over(Window.partitionBy("own", "id"))
-    found = rows.withColumn("last", last).where("face and last is not null").groupBy("file", "surface", "own", F.col("at").alias("face"))
-    found = found.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("last.p").alias("p")))), lambda c: c["p"]).alias("ring"))
-    faces = found.where("size(ring) >= 3").select("file", "surface", "face", F.concat("ring", F.slice("ring", 1, 1)).alias("ring"))
+    surfaces = _elements(spark, path, "Surface", _SURFACE).where("Definition is not null").select("file", F.col("_name").alias("surface"), "Definition")
+    odd = [r.file for r in _escaped_surfaces(spark, path).collect()]
+    faces = surfaces.where(~F.col("file").isin(odd)).mapInArrow(_faces, _FACES)
+    if odd:
+        faces = faces.unionByName(_faces_of_arrays(_elements(spark, path, "Surface", _SURFACE_ARRAYS).where(F.col("file").isin(odd))))
     return LandXML(parcels, faces)
 
 

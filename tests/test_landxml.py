@@ -76,3 +76,23 @@ def test_packed_files(spark, tmp_path):
     parcels = spark.createDataFrame([(1, 1, "a", [corner(0.0, 0.0), corner(5.0, 0.0), corner(5.0, 5.0)])], "survey int, parcel int, name string, ring array<struct<x:double,y:double>>")
     landxml.write_landxml(f"{tmp_path}/out", parcels, compression="gzip")
     assert list(tmp_path.glob("out/survey=1/*.gz")) and landxml.read_landxml(spark, f"{tmp_path}/out").parcels.first().name == "a"
+
+
+def test_surfaces_are_read_as_text_unless_they_have_escapes(spark, tmp_path):
+    """Points and faces meet in a surface's task, without arrays that Spark's reader copies; escapes in a surface are kept."""
+    of = lambda points, faces: f'<?xml version="1.0"?><LandXML><Surfaces><Surface name="A &amp; B"><Definition>{points}{faces}<Other><P id="b">0 0 0</P><F>a b c</F></Other></Definition></Surface></Surfaces><Parcels><Parcel name="Lot &lt;1&gt;"/></Parcels></LandXML>'
+    points = '<Pnts><P id="{0}">1 2 3</P><P id=" b ">4.5d 5e1 6 7</P><P>8 8 8</P><P id="c"> 7\n 8   Infinity </P><P id="{0}x">x 1 2</P><P id="d"/></Pnts>'
+    faces = "<Faces><F>{0} b c</F><F/><F i='0'>{0} b {0}x</F><F>c  b\n {0} late</F></Faces><Pnts><P id='late'>9 9 9</P></Pnts>"
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "x.xml").write_text(of(points, faces.replace("'", '"')).replace("{0}", "a"))
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "y.xml").write_text(of(points, faces).replace("{0}", "&lt;a&amp;"))
+    (tmp_path / "odd" / "z.xml").write_text(of(points, faces.replace("'", '"').replace("<F>{0} b c</F>", "<F><![CDATA[<&a b c]]></F>")).replace("{0}", "&lt;&amp;a"))
+    a, b, c, late = (2.0, 1.0, 3.0), (50.0, 4.5, 6.0), (8.0, 7.0, float("inf")), (9.0, 9.0, 9.0)
+    want = [(0, [a, b, c, a]), (3, [c, b, a, late, c])]
+    for folder, files in (("plain", ["x.xml"]), ("odd", ["y.xml", "z.xml"])):
+        found = landxml.read_landxml(spark, str(tmp_path / folder)).faces
+        got = sorted((r.file.rsplit("/", 1)[-1], r.surface, r.face, [(p.x, p.y, p.z) for p in r.ring]) for r in found.collect())
+        assert got == [(f, "A & B", n, ring) for f in files for n, ring in want]
+        assert ("Window" in found._jdf.queryExecution().executedPlan().toString()) == (folder == "odd")
+    assert landxml.read_landxml(spark, str(tmp_path)).faces.count() == 6
