@@ -1,6 +1,7 @@
 """Lots on both sides of a street, their checks and envelopes, and control points, against plain geometry."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,32 @@ def test_envelope_of_turned_and_skew_lots(spark):
     assert min(p.y for p in far) == 10.0 and max(p.y for p in far) == 25.0
 
 
+def test_envelopes_of_many_lots_are_those_of_expressions(spark, monkeypatch):
+    """Lots of all kinds are cut in batches, without expressions over their corners."""
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        a, width, depth = rng.uniform(0, 6), rng.uniform(5, 80), rng.uniform(10, 90)
+        corners = [(0.0, 0.0), (width, 0.0), (width, 0.0), (width * rng.uniform(1, 1.3), depth), *([(width / 2, depth * 1.2)] if i % 3 else []), (0.0, depth)]
+        corners = [(math.cos(a) * x - math.sin(a) * y + 500, math.sin(a) * x + math.cos(a) * y - 70) for x, y in corners]
+        ring = [*corners, corners[0]]
+        rows.append((i, ring[::-1] if i % 2 else ring, corners[:2] if i % 11 else None))
+    rows += [(300, None, [(0.0, 0.0), (1.0, 0.0)]), (301, [], [(0.0, 0.0), (1.0, 0.0)]), (302, [(0.0, 0.0), (9.0, 0.0), (None, 9.0), (0.0, 0.0)], [(0.0, 0.0), (9.0, 0.0)]), (303, [(0.0, 0.0), (0.0, 0.0)], [(0.0, 0.0)])]
+    lots = spark.createDataFrame(rows, f"id int, ring {RING}, front {RING}")
+    monkeypatch.setattr(design, "LOTS", 7)
+    out = design.buildable_envelope(lots, SPEC)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.envelope for r in out.collect()}
+    a, b = F.get("front", F.lit(0)), F.get("front", F.lit(1))
+    away = lambda e: F.abs((b["x"] - a["x"]) * (e["a"]["y"] + e["b"]["y"] - 2 * a["y"]) - (b["y"] - a["y"]) * (e["a"]["x"] + e["b"]["x"] - 2 * a["x"]))
+    most = F.array_max(F.transform(rings.edges(F.col("ring")), away))
+    distance = lambda e: F.when(away(e) <= 1e-9 * F.col("most"), SPEC.front).when(away(e) >= (1 - 1e-9) * F.col("most"), SPEC.rear).otherwise(SPEC.side)
+    want = {r.id: r.e if r.area is not None and r.area > 1e-9 else None for r in lots.withColumn("most", most).withColumn("e", rings.set_back(F.col("ring"), distance)).select("id", "e", rings.signed_area(F.col("e")).alias("area")).collect()}
+    assert set(got) == set(want) and sum(e is not None for e in want.values()) > 100 and any(e is None for i, e in want.items() if i < 300)
+    for i, e in want.items():
+        assert (got[i] is None) == (e is None), i
+        assert e is None or len(got[i]) == len(e) and all(abs(p.x - q.x) < 1e-9 and abs(p.y - q.y) < 1e-9 for p, q in zip(got[i], e, strict=True)), i
+
+
 def test_design_as_fabric(spark):
     lots, streets = design.design_grid(boxes(spark, (1, 0.0, 0.0, 600.0, 300.0)), SPEC, 60.0, lots=2)
     parcels = design.design_parcels(lots, streets, "Elm")
