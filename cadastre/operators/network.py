@@ -235,8 +235,8 @@ class _Networks:
             yield nets, params[start[nets][:, None] + np.arange(n)], (q @ absolute)[:, :, 0], q, loose
 
 
-def _adjusted(table: pa.Table, most: int, close: float) -> Iterator[dict[str, pa.Array]]:
-    """Columns of the points, cofactors and rejects of whole networks."""
+def _adjusted(table: pa.Table, most: int, close: float, fit: bool = False) -> Iterator[dict[str, pa.Array]]:
+    """Columns of the points, cofactors and rejects of whole networks, or with ``fit`` of their redundancy and variance alone."""
     own = _Networks(table)
     net, ids = table["net"].take(pa.array(own.points)), table["a"].take(pa.array(own.points))
     coef, place, _ = own.linear(np.arange(len(own.rows)))
@@ -244,7 +244,8 @@ def _adjusted(table: pa.Table, most: int, close: float) -> Iterator[dict[str, pa
     open_ = rows >= np.maximum(own.params(coef, place)[1], 1)
     begins = np.flatnonzero(np.diff(own.group, prepend=-1))
     rejected = begins[~open_[own.group[begins]]]
-    yield {"what": pa.array(np.full(len(rejected), 2, dtype=np.int32)), "net": net.take(pa.array(rejected))}
+    if not fit:
+        yield {"what": pa.array(np.full(len(rejected), 2, dtype=np.int32)), "net": net.take(pa.array(rejected))}
     kept = np.flatnonzero(open_[own.group])
     turns, done, loose = np.zeros(own.groups, dtype=np.int32), np.zeros(own.groups, dtype=bool), np.zeros(own.groups, dtype=np.int32)
     for turn in range(1, most + 1):
@@ -256,10 +257,21 @@ def _adjusted(table: pa.Table, most: int, close: float) -> Iterator[dict[str, pa
             done[nets], loose[nets] = np.abs(dx).max(axis=1) <= close, free
             ready = done[nets] | (turn == most)
             n = q.shape[1]
+            if fit:
+                continue
             names = pc.binary_join_element_wise(pa.array(AXES).take(pa.array((params % 3).ravel())), ids.take(pa.array((params // 3).ravel())), "")
             g, i, j = (x.ravel()[np.repeat(ready, n * n)] for x in np.indices(q.shape))
             yield {"what": pa.array(np.ones(len(g), dtype=np.int32)), "net": net.take(pa.array(params[g, 0] // 3)), "i": names.take(pa.array(g * n + i)), "j": names.take(pa.array(g * n + j)), "value": pa.array(q[ready].ravel())}
         open_ = open_ & ~done
+    if fit:
+        coef, place, off = own.linear(np.arange(len(own.rows)))
+        used = coef.any(axis=1) & (turns[own.of] > 0)
+        rows, wvv = np.bincount(own.of[used], minlength=own.groups), np.bincount(own.of[used], own.weight[used] * off[used] * off[used], minlength=own.groups)
+        told = begins[rows[own.group[begins]] > 0]
+        g = own.group[told]
+        spare = (rows - own.params(coef, place)[1])[g]
+        yield {"net": net.take(pa.array(told)), "redundancy": pa.array(spare), "sigma0_sq": pa.array(np.where(spare > 0, wvv[g] / np.maximum(spare, 1), 0.0))}
+        return
     at, g = own.at[kept], own.group[kept]
     given = {c: pc.is_null(table[c]).to_numpy()[own.points[kept]] for c in AXES}
     yield {"what": pa.array(np.zeros(len(kept), dtype=np.int32)), "net": net.take(pa.array(kept)), "i": ids.take(pa.array(kept)), **{c: pa.array(at[:, k], mask=given[c]) for k, c in enumerate(AXES)}, "turns": pa.array(turns[g]), "converged": pa.array(done[g]), "free": pa.array(loose[g])}
@@ -299,6 +311,18 @@ def adjust_networks(points: DataFrame, obs: DataFrame, free: DataFrame, most: in
     return adjusted, out.where("what = 1").select("net", named("i"), named("j"), "value"), out.where("what = 2").select("net", F.lit("underdetermined").alias("reason"))
 
 
+def network_fits(points: DataFrame, obs: DataFrame, free: DataFrame, most: int = 12, close: float = 0.0005) -> DataFrame:
+    """nets(net, redundancy, sigma0_sq) of residuals_blunders() at what adjust_networks() makes of the points, in the task that adjusts them: nothing is written or sent again."""
+    kinds = dict(points.dtypes)
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches):
+            for columns in _adjusted(table, most, close, fit=True):
+                yield from _batches(columns, {"net": table.schema.field("net").type, "redundancy": pa.int64(), "sigma0_sq": pa.float64()})
+
+    return _by_net(points, obs, free).mapInArrow(fits, f"net {kinds['net']}, redundancy long, sigma0_sq double")
+
+
 def _residuals(table: pa.Table) -> dict[str, pa.Array]:
     """Columns of the observations of whole networks that say something about a free coordinate; ``first`` marks one of each network."""
     own = _Networks(table)
@@ -368,9 +392,19 @@ def chi_square_quantile(p: float, r: int) -> float:
 def chi_square_gate(nets: DataFrame, alpha: float = 0.05) -> DataFrame:
     """nets(net, redundancy, sigma0_sq) with ``passes``: redundancy * sigma0_sq between both critical values; false without redundancy.
 
-    The critical values stand in a table of the redundancies that occur.
+    A task computes the critical values of a redundancy once, so ``nets`` is read once.
     """
-    found = [r.redundancy for r in nets.where("redundancy > 0").select("redundancy").distinct().collect()]
-    table = nets.sparkSession.createDataFrame([(int(r), chi_square_quantile(alpha / 2, r), chi_square_quantile(1 - alpha / 2, r)) for r in sorted(found)], "redundancy long, low double, high double")
-    chi = F.col("redundancy") * F.col("sigma0_sq")
-    return nets.join(F.broadcast(table), "redundancy", "left").withColumn("passes", F.coalesce(chi.between(F.col("low"), F.col("high")), F.lit(False))).drop("low", "high")
+
+    def gate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits: dict[int, tuple[float, float]] = {}
+        for batch in batches:
+            r, chi = pc.fill_null(batch.column("redundancy"), 0).to_numpy(), pc.fill_null(batch.column("sigma0_sq"), math.nan).to_numpy()
+            passes = np.zeros(len(r), dtype=bool)
+            for n in np.unique(r[r > 0]).tolist():
+                if n not in limits:
+                    limits[n] = chi_square_quantile(alpha / 2, n), chi_square_quantile(1 - alpha / 2, n)
+                low, high = limits[n]
+                passes |= (r == n) & (n * chi >= low) & (n * chi <= high)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(passes)], names=[*batch.schema.names, "passes"])
+
+    return nets.mapInArrow(gate, nets.select("*", F.lit(False).alias("passes")).schema)

@@ -113,8 +113,7 @@ cdf AS (SELECT net, redundancy, CASE WHEN redundancy < 1 OR h <= 0 THEN 0 WHEN h
 
 @query("chi_square_gate", f"{_FIT}, {_turn(6)}, {_CHI} SELECT net, redundancy, redundancy > 0 AND coalesce(p BETWEEN 0.025 AND 0.975, false) AS passes FROM cdf")
 def chi_square_gate(spark, sf_dir) -> DataFrame:
-    points, cofactors, _, obs, free = _adjusted(spark, sf_dir)
-    _, nets = network.residuals_blunders(points, obs, free, cofactors)
+    nets = network.network_fits(*_seen(spark, sf_dir))
     return network.chi_square_gate(nets).select("net", "redundancy", "passes")
 
 

@@ -341,6 +341,31 @@ def test_gate_of_many_observations_agrees_with_its_sql(spark, tmp_path):
     assert set(db.execute(ORACLES["chi_square_gate"]).fetchall()) == got and (911, 12, True) in got
 
 
+def test_fits_are_found_where_networks_are_adjusted(spark):
+    """The same as residuals at adjusted points, rejected and loose networks too, from one bringing together; the gate reads them once."""
+    rng = np.random.default_rng(8)
+    points, obs = [], []
+    for net in (*range(1, 12), None):
+        n = 1 + (net or 2) % 5
+        points += [(net, f"p {i}", i, *rng.uniform(0, 100, 3).tolist(), i < 2) for i in range(n)]
+        for k in range(5 * n):
+            a, b = rng.integers(0, n + 1, 2).tolist()
+            kind = ("horizontal_distance", "gnss", "slope_distance", "azimuth", "height_difference")[k % 5]
+            obs.append((net, k, kind, f"p {a}", f"p {b}", float(rng.uniform(1, 50)), rng.uniform(-50, 50, 3).tolist(), 9.0, k % 11 == 3))
+    points = spark.createDataFrame(points, "net int, id string, ord int, x double, y double, z double, fixed boolean")
+    obs = spark.createDataFrame(obs, "net int, obs int, kind string, from_pt string, to_pt string, value double, vector array<double>, sigma double, rejected boolean")
+    free = network.free_params(points)
+    at, cofactors, rejects = network.adjust_networks(points, obs, free)
+    want = {r.net: (r.redundancy, r.sigma0_sq) for r in network.residuals_blunders(at, obs, free, cofactors)[1].collect()}
+    gated = network.chi_square_gate(network.network_fits(points, obs, free))
+    plan = gated._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Broadcast" not in plan and not rejects.isEmpty()
+    got = {r.net: (r.redundancy, r.sigma0_sq, r.passes) for r in gated.collect()}
+    assert set(got) == set(want) and all(got[n][0] == r and math.isclose(got[n][1], v, rel_tol=1e-9, abs_tol=1e-12) for n, (r, v) in want.items())
+    between = lambda r, v: r > 0 and network.chi_square_quantile(0.025, r) <= r * v <= network.chi_square_quantile(0.975, r)
+    assert {n: g[2] for n, g in got.items()} == {n: between(*w) for n, w in want.items()} and len({g[2] for g in got.values()}) == 2
+
+
 def test_welding_by_cells_agrees_with_brute_force(spark):
     tol = 0.01
     spots = [(round(((i * 37) % 101) * 0.0041 - 0.2, 6), round(((i * 61) % 89) * 0.0043 - 0.2, 6)) for i in range(700)]
