@@ -233,6 +233,23 @@ def test_overlaps_of_any_simple_rings(spark):
     assert (0, 3) not in got and math.isclose(got[0, 1], 8.0)
 
 
+def test_bounds_of_rings_are_those_of_expressions_and_made_once(spark):
+    """In batches: what a ring is made from isn't repeated for its bounds and whether it is a box."""
+    nan, inf = float("nan"), float("inf")
+    box = [(1.0, 2.0), (5.0, 2.0), (5.0, 4.0), (1.0, 4.0), (1.0, 2.0)]
+    up = [(1.0, 2.0), (1.0, 4.0), (5.0, 4.0), (5.0, 2.0), (1.0, 2.0)]
+    odd = [box, up, box[::-1], up[::-1], box[:4], box[:-1] + [(1.0, 2.5)], [*box, (1.0, 2.0)], [(0.0, 0.0), (4.0, 1.0), (3.0, 5.0), (0.0, 0.0)], [(0.0, 0.0), (2.0, 2.0), (0.0, 0.0), (2.0, 2.0), (0.0, 0.0)], [(3.0, 3.0)] * 5, [(nan, 2.0), (5.0, 2.0), (5.0, 4.0), (nan, 4.0), (nan, 2.0)], [(inf, 2.0), (5.0, 2.0), (5.0, 4.0), (inf, 4.0), (inf, 2.0)], [(None, 2.0), (5.0, 2.0), (5.0, 4.0), (None, 4.0), (None, 2.0)], [(1.0, 2.0), None, (5.0, 4.0), (1.0, 4.0), (1.0, 2.0)], [(nan, None), (None, None)], [], None]
+    parcels = spark.createDataFrame([(i, ring) for i, ring in enumerate(odd)], RING).repartition(3)
+    key = lambda r: (r.id, *map(str, (r.x0, r.y0, r.x1, r.y1)))
+    want = {r.id: (key(r), r.box) for r in spatial.with_box(parcels).withColumn("box", rings.is_box(F.col("ring"))).collect()}
+    assert {key(r) for r in spatial.boxed(parcels).collect()} == {k for k, _ in want.values()}
+    for box_ in (True, False):
+        own = spatial.boxed(parcels, box_)
+        assert {key(r) for r in own.collect()} == {k for k, b in want.values() if b == box_} and ("ring" in own.columns) != box_
+    plan = spatial.parcel_overlaps(parcels, 64.0, 1e-6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_min" not in plan and "lambda" not in plan
+
+
 def test_points_in_boxes_and_other_rings(spark):
     """Boxes of either direction and start, and rings that only look like boxes, hold the points that ray casting says; boxes' joins are compiled and not broadcast."""
     turned = square(2.0, 1.0, 3.0)
