@@ -407,6 +407,22 @@ def test_few_places_are_paired_in_a_fabric(spark, monkeypatch):
     assert nodes.count() == 62 and sides.count() == 120 and rejects.isEmpty() and paired[0] < 62
 
 
+def test_fabric_reads_parcels_once(spark, tmp_path):
+    """Sides come from the written corners alone, without lists of corners; rings that lack corners still count."""
+    rows = [(1, square(0.0, 0.0)), (2, square(1.0, 0.0)), (3, [(5.0, 5.0), (6.0, 5.0), (None, 6.0), (5.0, 6.0), (5.0, 5.0)]), (4, [(8.0, 8.0)]), (5, None), (6, [(9.0, 9.0), (9.0, 9.0), (9.5, 9.0), (9.0, 9.0)])]
+    spark.createDataFrame(rows, RING).write.parquet(f"{tmp_path}/parcels")
+    parcels = spark.read.parquet(f"{tmp_path}/parcels")
+    nodes, sides, rejects = topology.build_fabric(parcels, 0.01)
+    assert sorted((r.id, r.seq, r.p.id, r.p.seq, r.q.id, r.q.seq) for r in sides.collect()) == [(1, 0, 1, 0, 1, 1), (1, 1, 1, 1, 1, 2), (1, 2, 1, 2, 1, 3), (1, 3, 1, 3, 1, 0), (2, 0, 1, 1, 2, 1), (2, 1, 2, 1, 2, 2), (2, 2, 2, 2, 1, 2), (2, 3, 1, 2, 1, 1), (3, 0, 3, 0, 3, 1), (3, 1, 3, 1, 3, 3), (3, 3, 3, 3, 3, 0)]
+    assert nodes.count() == 9 and {(r.id, r.reason) for r in rejects.collect()} == {(i, "fewer than three corners") for i in (4, 5, 6)}
+    _, sides, _ = topology.build_fabric(parcels.where("id < 3"), 0.01)
+    plan = sides._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "ring" not in plan
+    twice = parcels.where("id < 3").union(parcels.where("id = 3").selectExpr("1 as id", "ring")).union(parcels.where("id = 5").selectExpr("2 as id", "ring"))
+    nodes, sides, rejects = topology.build_fabric(twice, 0.01)
+    assert sides.isEmpty() and nodes.isEmpty() and {(r.id, r.reason) for r in rejects.collect()} == {(i, "id used twice") for i in (1, 2)}
+
+
 def test_fabric_rejects_an_id_of_an_empty_and_a_whole_ring(spark):
     parcels = spark.createDataFrame([(1, square(0.0, 0.0)), (1, []), (2, square(1.0, 0.0)), (3, []), (4, None), (5, square(9.0, 9.0)), (5, square(9.0, 9.0))], RING)
     _, sides, rejects = topology.build_fabric(parcels, 0.01)
